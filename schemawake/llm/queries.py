@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rendezvous, secrets, token_files
+from . import mixing, neardup, packing, rendezvous, secrets, simhash, token_files
 from .common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return P.path(name)
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path())
     return token_files.read_token_files(files, with_ids=False)
@@ -26,6 +30,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.search_counts(simhash.edited_fingerprints(table(spark, sf_dir, "documents")))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rendezvous.assign_shards(table(spark, sf_dir, "documents"), [1.0] * 24, [1.0] * 25)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -36,8 +48,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_neardup": op4_neardup,
     "op5_token_files": op5_token_files,
     "op6_secret_scan": op6_secret_scan,
+    "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
     "op9_rendezvous": op9_rendezvous,
     "op10_packing": op10_packing,
 }
