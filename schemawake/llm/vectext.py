@@ -99,7 +99,11 @@ def span_hashes(arr: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """White-space separated words of a batch: hash, text index, start and length in code points."""
-    arr, ends = code_points(texts)
+    return words_of(*code_points(texts))
+
+
+def words_of(arr: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same from code points."""
     if not len(arr):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     ink = ~space_table()[arr]
