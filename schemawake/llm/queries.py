@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, kneser_ney, mixing, neardup, packing, rendezvous, secrets, simhash, token_files
+from . import ann, kneser_ney, mixing, neardup, packing, pii, rendezvous, secrets, simhash, token_files
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nn_descent": op1_nn_descent,
+    "op2_surrogates": op2_surrogates,
     "op3_kneser_ney": op3_kneser_ney,
     "op4_neardup": op4_neardup,
     "op5_token_files": op5_token_files,
