@@ -7,8 +7,8 @@ is a Spark job: edges and reversed edges are grouped by the node they meet in
 (neighbours of neighbours), joined with the shard's vectors, compared, and the
 better pairs merged into each node's K best; only lists with a new neighbour are
 compared again, until fewer than SETTLED of the edges change. Queries, in blocks,
-meet each shard's graph and search it greedily from the best of SEEDS fixed
-nodes with a beam of BEAM; scores are then taken in double precision.
+meet each shard's graph and search it greedily from the best of
+SEEDS * sqrt(nodes) fixed nodes with a beam of BEAM; scores are then taken in double precision.
 
 Cases: rows whose vec_id is null or whose vector is null, empty, zero or holds
 null or non-finite components take no part; vectors of different lengths are not
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import graph
 from .common import saved
 
-K, BEAM, SEEDS, SETTLED = 24, 384, 512, 0.01
+K, BEAM, SEEDS, SETTLED = 24, 160, 2.0, 0.01
 #: Queries in a block.
 BLOCK = 20_000
 
@@ -137,7 +137,7 @@ def neighbour_graph(nodes: DataFrame, k: int = K) -> DataFrame:
 _HITS = "query long, node long, score double"
 
 
-def _search(seeds: int, beam: int, many: int):
+def _search(seeds: float, beam: int, many: int):
     def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
         n = shard.num_rows
         if not n or not queries.num_rows:
@@ -147,7 +147,7 @@ def _search(seeds: int, beam: int, many: int):
         names = shard["node"].to_numpy()[order]
         lists = [shard["around"][i].as_py() or [] for i in order.tolist()]
         around = _padded(lists, max(1, *map(len, lists)), -1).astype(np.int64)
-        start = np.random.default_rng(7).permutation(n)[:seeds]
+        start = np.random.default_rng(7).permutation(n)[: math.ceil(seeds * math.sqrt(n))]
         v, q = exact.astype(np.float32), _matrix(queries["v"])
         who = queries["query"].to_numpy()
         out = []
@@ -163,7 +163,7 @@ def _search(seeds: int, beam: int, many: int):
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 20, top: int = 20, k: int = K, beam: int = BEAM, seeds: int = SEEDS) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, top: int = 20, k: int = K, beam: int = BEAM, seeds: float = SEEDS) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found of each row whose vec_id is divisible by `every`."""
     rows = saved(usable(vectors), "usable")
     nodes = shard_nodes(rows)

@@ -65,20 +65,6 @@ def id_bounds(df: DataFrame, col: str, per_chunk: int = 8192, most: int = 4096)
     return sorted(set(row["b"] or []))
 
 
-def salted(big: DataFrame, small: DataFrame, key: str, per_task: int = 2000) -> DataFrame:
-    """Inner join of big and small (unique in key) on key, a hot key's rows dealt over several tasks.
-
-    A key with n rows in big gets ceil(n / per_task) salts: its rows in big take one each at random by their own hash, its row in small is repeated once per salt.
-    """
-    many = big.groupBy(key).count().where(F.col("count") > per_task).select(F.col(key).alias("_key"), F.ceil(F.col("count") / per_task).cast("int").alias("_salts"))
-    heavy = many  # at most rows(big) / per_task keys
-    left = big.join(heavy, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in big.columns]), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    right = small.join(heavy, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return left.join(right, [key, "_salt"]).drop("_salt")
-
-
 def map_texts(docs: DataFrame, keep: list[str], run: Callable[[list[str]], dict], schema: str) -> DataFrame:
     """docs' `keep` columns, passed through as they are, with the columns that run(texts) makes for each Arrow batch of whole texts (null: empty)."""
     import pyarrow as pa

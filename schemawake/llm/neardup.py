@@ -167,36 +167,21 @@ def _lists(keys: np.ndarray) -> pa.ListArray:
 # --- linking -----------------------------------------------------------------------
 
 
-def _deal(big: DataFrame, small: DataFrame, key: str, counts: DataFrame, per_task: int) -> DataFrame:
-    """Inner join on key, a key's rows in `big` dealt over ceil(count / per_task) copies of its one row in `small`. counts: key and `count`, where above per_task."""
-    heavy = F.broadcast(counts.select(F.col(key), F.ceil(F.col("count") / per_task).cast("int").alias("_salts")))
-    left = big.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    right = small.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return left.join(right, [key, "_salt"]).drop("_salt")
-
-
-def dealt_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
-    """Inner join with a table unique in `key`, hot keys split. Keys with more than 1 / 2,000 of big's rows (and over 400) are the hot ones, so there are at most 2,000."""
-    per_task = max(400, big.count() // 2000)
-    return _deal(big, small, key, big.groupBy(key).count().where(F.col("count") > per_task), per_task)
-
-
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     """node, label: the least node of each connected component of the edges (u, v); only nodes with an edge are in it.
 
-    Labels spread to neighbours and then jump to their labels' labels, so the rounds grow with the logarithm of a component's diameter.
+    Labels spread to neighbours and then jump to their labels' labels, so the rounds grow with the logarithm of a
+    component's diameter. A hub's rows in these joins are split by adaptive execution.
     """
     both = saved(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
     labels = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"), name)
     while True:
-        told = dealt_join(both, labels.withColumnRenamed("node", "u"), "u").groupBy("v").agg(F.min("label").alias("told"))
-        near = labels.join(told, labels["node"] == told["v"]).select("node", F.least("label", "told").alias("label"), F.col("label").alias("old"))
-        near = saved(near, name)
-        jump = dealt_join(near, near.select(F.col("node").alias("label"), F.col("label").alias("far")), "label")
-        new = saved(jump.select("node", F.least("label", "far").alias("label"), "old"), name)
-        if new.where("label <> old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        told = both.join(labels.withColumnRenamed("node", "u"), "u").groupBy("v").agg(F.min("label").alias("told"))
+        near = saved(labels.join(told, labels["node"] == told["v"]).select("node", F.least("label", "told").alias("label"), F.col("label").alias("old")), name)
+        if near.where("label <> old").isEmpty():
+            return near.select("node", "label")
+        far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        labels = saved(near.select("node", "label").join(far, "label").select("node", F.least("label", "far").alias("label")), name)
 
 
 def _vectors(docs: DataFrame, wanted: DataFrame, words: np.ndarray, idf: np.ndarray, rare: float) -> DataFrame:
@@ -233,10 +218,8 @@ def weighted_jaccard(terms_a: bytes, levels_a: bytes, terms_b: bytes, levels_b:
 
 def _compared(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """u, v, s: the weighted Jaccard similarity of every pair."""
-    one = dealt_join(pairs, vectors.select(F.col("node").alias("v"), F.col("terms").alias("tv"), F.col("levels").alias("lv")), "v")
-    heavy = pairs.groupBy("u").count()
-    per_task = max(400, pairs.count() // 2000)
-    both = _deal(one, vectors.select(F.col("node").alias("u"), F.col("terms").alias("tu"), F.col("levels").alias("lu")), "u", heavy.where(F.col("count") > per_task), per_task)
+    side = lambda x: vectors.select(F.col("node").alias(x), F.col("terms").alias(f"t{x}"), F.col("levels").alias(f"l{x}"))
+    both = pairs.join(side("v"), "v").join(side("u"), "u")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = level_weights()
@@ -255,36 +238,31 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, row
     # text without words has keys 0; copies of a text have equal keys
     members = saved(bands_of.dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("band", "key")).where("key <> 0").select(F.xxhash64("band", "key").alias("bucket"), "node"), "bands")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("count"), F.min("node").alias("leader")).where("count > 1")
-    active = saved(_members(members, sizes), "active")
+    active = saved(members.join(sizes, "bucket"), "active")
     if active.isEmpty():
         return spark.createDataFrame([], "node long, label long")
     vectors = _vectors(docs, active.select("node").distinct(), words, idf, rare)
     edges, labels, first = None, None, True
     while True:
-        pairs = active.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+        led = active.where("node <> leader") if first else active.where((F.col("node") != F.col("leader")) & (F.col("count") > SMALL))
+        pairs = led.select(F.col("leader").alias("u"), F.col("node").alias("v"))
         if not first:
             small = active.where(F.col("count") <= SMALL).select("bucket", "node")
             every = small.alias("a").join(small.alias("b"), "bucket").where("a.node < b.node").select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-            pairs = active.where((F.col("count") > SMALL) & (F.col("node") != F.col("leader"))).select(F.col("leader").alias("u"), F.col("node").alias("v")).unionByName(every).distinct()
-        done = _compared(saved(pairs, "pairs"), vectors)
+            pairs = pairs.unionByName(every)
+        done = _compared(saved(pairs.distinct(), "pairs"), vectors)
         found = done.where(F.col("s") >= threshold).select("u", "v")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
+        if first or not found.isEmpty():
+            edges = found if first else edges.unionByName(found)
+            labels = components(edges)
         if not first:
             active = active.where(F.col("count") > SMALL)
-        active = saved(_remaining(active, done, labels, threshold), "active")
         first = False
+        active = saved(_remaining(active, done, labels, threshold), "active")
         if active.isEmpty():
             return labels
 
 
-def _members(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """bucket, node, leader, count of the buckets in sizes."""
-    per_task = max(400, members.count() // 2000)
-    heavy = sizes.where(F.col("count") > per_task).select("bucket", "count")
-    return _deal(members, sizes, "bucket", heavy, per_task)
-
-
 def _remaining(active: DataFrame, done: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """The members whose links to others of their bucket are still open, with a new leader each bucket.
 
@@ -296,10 +274,10 @@ def _remaining(active: DataFrame, done: DataFrame, labels: DataFrame, threshold:
     rest = saved(rest, "rest")
     per = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("s") < threshold, F.col("s"))).alias("far"))
     per = per.where("low <> high and far is not null")
-    open_ = dealt_join(rest, per.select("bucket", "far"), "bucket").where((F.col("s") < threshold) | (1 - F.col("far") <= (1 - F.col("s")) + (1 - threshold)))
+    open_ = rest.join(per.select("bucket", "far"), "bucket").where((F.col("s") < threshold) | (1 - F.col("far") <= (1 - F.col("s")) + (1 - threshold)))
     open_ = saved(open_.select("bucket", "node", F.xxhash64("node", "bucket").alias("turn")), "open")
     sizes = open_.groupBy("bucket").agg(F.count("*").alias("count"), F.min_by("node", "turn").alias("leader")).where("count > 1")
-    return _members(open_.select("bucket", "node"), sizes)
+    return open_.select("bucket", "node").join(sizes, "bucket")
 
 
 def classes(docs: DataFrame, **how) -> DataFrame:
@@ -309,7 +287,7 @@ def classes(docs: DataFrame, **how) -> DataFrame:
     """
     rows = saved(docs.select("doc_id", node_of(text_of()).alias("node")), "nodes")
     per = _class_of_nodes(rows, links(docs, **how))
-    out = dealt_join(rows, per, "node")
+    out = rows.join(per, "node")
     return out.select("doc_id", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("keeper"))).alias("kept"))
 
 
@@ -319,7 +297,7 @@ def _class_of_nodes(rows: DataFrame, labels: DataFrame) -> DataFrame:
     nodes = saved(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     least = F.min(F.struct(F.col("low").isNull(), "low", "node"))
     per = nodes.groupBy("label").agg(least.alias("least"), F.sum("n").alias("class_size"))
-    joined = dealt_join(nodes.select("node", "label"), per, "label")
+    joined = nodes.select("node", "label").join(per, "label")
     return joined.select("node", F.col("least.low").alias("class_id"), "class_size", F.col("least.node").alias("keeper"))
 
 

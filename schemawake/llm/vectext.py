@@ -21,7 +21,9 @@ _LETTER, _NUMBER, _SPACE, _RARE = 1, 2, 3, 4
 @cache
 def space_table() -> np.ndarray:
     """Per code point: is it white space (str.isspace)?"""
-    return np.fromiter((chr(i).isspace() for i in range(0x110000)), bool, 0x110000)
+    out = np.zeros(0x110000, bool)
+    out[:0x3001] = [chr(i).isspace() for i in range(0x3001)]  # none lies above
+    return out
 
 
 @cache
