@@ -14,12 +14,14 @@ draws that a hash of x and k points into. Two texts agree in a sample with the
 probability of their weighted Jaccard similarity. ROWS samples make a band,
 BANDS bands a signature.
 
-Candidates share a band. In each bucket all texts are compared with one leader;
-pairs of others are compared in later rounds, with new leaders, unless they are
-in one class already or the triangle inequality of the Jaccard distance rules
-them out. Every pair that shares a band is thus decided, without ever listing all
-pairs of a large group. Pairs count as near-duplicates if their weighted Jaccard
-similarity is THRESHOLD or more; classes are the connected components.
+Candidates share a band. In each bucket all texts are first compared with one
+leader, and what is similar becomes a class. Buckets that still hold several
+classes go on: members of the smallest classes are compared with all members of
+other classes and then leave the bucket, until each bucket is down to one class.
+So every pair that shares a band is compared, or is in one class already, without
+ever listing all pairs of a large group. Pairs count as near-duplicates if their
+weighted Jaccard similarity is THRESHOLD or more; classes are the connected
+components.
 
 Work is done on distinct texts (64-bit hash), so exact copies cost one row each.
 
@@ -36,7 +38,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectext
@@ -48,8 +50,8 @@ RARE = 1e-3
 STEP = 0.15
 _LEVELS = 96
 _LOW = -0.6
-#: Buckets of at most this many texts are compared in full once their first leader has been.
-SMALL = 8
+#: Members of a bucket that are compared with all others of other classes in one round.
+ASKERS = 16
 #: Node lists up to this length (8 bytes each) are broadcast, longer ones joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 
@@ -231,53 +233,62 @@ def _compared(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rare: float = RARE) -> DataFrame:
-    """node, label of all texts that have a near-duplicate of another text."""
+    """node, label of all texts that share a band with another text; texts of one class have one label."""
     spark = docs.sparkSession
     words, idf = frequent_words(docs, docs.count(), rare)
     bands_of = map_texts(docs.select(node_of(text_of()).alias("node"), "text"), ["node"], lambda t: {"keys": _lists(signatures(t, words, idf, bands, rows, rare))}, "keys array<long>")
-    # text without words has keys 0; copies of a text have equal keys
+    # a text without words has keys 0
     members = saved(bands_of.dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("band", "key")).where("key <> 0").select(F.xxhash64("band", "key").alias("bucket"), "node"), "bands")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("count"), F.min("node").alias("leader")).where("count > 1")
-    active = saved(members.join(sizes, "bucket"), "active")
+    active = saved(members.join(sizes, "bucket").select("bucket", "node", "leader"), "active")
     if active.isEmpty():
         return spark.createDataFrame([], "node long, label long")
-    vectors = _vectors(docs, active.select("node").distinct(), words, idf, rare)
-    edges, labels, first = None, None, True
-    while True:
-        led = active.where("node <> leader") if first else active.where((F.col("node") != F.col("leader")) & (F.col("count") > SMALL))
-        pairs = led.select(F.col("leader").alias("u"), F.col("node").alias("v"))
-        if not first:
-            small = active.where(F.col("count") <= SMALL).select("bucket", "node")
-            every = small.alias("a").join(small.alias("b"), "bucket").where("a.node < b.node").select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-            pairs = pairs.unionByName(every)
-        done = _compared(saved(pairs.distinct(), "pairs"), vectors)
-        found = done.where(F.col("s") >= threshold).select("u", "v")
-        if first or not found.isEmpty():
-            edges = found if first else edges.unionByName(found)
-            labels = components(edges)
-        if not first:
-            active = active.where(F.col("count") > SMALL)
-        first = False
-        active = saved(_remaining(active, done, labels, threshold), "active")
-        if active.isEmpty():
-            return labels
-
-
-def _remaining(active: DataFrame, done: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """The members whose links to others of their bucket are still open, with a new leader each bucket.
-
-    By the triangle inequality, u linked to the leader at distance d can be near to v at distance e from it only if e <= d + 1 - threshold.
-    """
-    rest = active.where("node <> leader").select("bucket", "node", "leader")
-    rest = rest.join(done.select(F.col("u").alias("leader"), F.col("v").alias("node"), "s"), ["leader", "node"]).select("bucket", "node", "s")
-    rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = saved(rest, "rest")
-    per = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.when(F.col("s") < threshold, F.col("s"))).alias("far"))
-    per = per.where("low <> high and far is not null")
-    open_ = rest.join(per.select("bucket", "far"), "bucket").where((F.col("s") < threshold) | (1 - F.col("far") <= (1 - F.col("s")) + (1 - threshold)))
-    open_ = saved(open_.select("bucket", "node", F.xxhash64("node", "bucket").alias("turn")), "open")
-    sizes = open_.groupBy("bucket").agg(F.count("*").alias("count"), F.min_by("node", "turn").alias("leader")).where("count > 1")
-    return open_.select("bucket", "node").join(sizes, "bucket")
+    nodes = saved(active.select("node").distinct(), "candidates")
+    vectors = _vectors(docs, nodes, words, idf, rare)
+    pairs = active.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    labels = _merged(nodes.select("node", F.col("node").alias("label")), _near(pairs, vectors, threshold))
+    active = saved(_unsettled(active.where("node <> leader").select("bucket", "node"), labels), "active")
+    while not active.isEmpty():
+        askers = saved(_askers(active), "askers")
+        other = active.select("bucket", F.col("node").alias("v"), F.col("label").alias("lv"))
+        asked = askers.select("bucket", F.col("node").alias("u"), F.col("label").alias("lu")).join(other, "bucket").where("lu <> lv")
+        found = _near(asked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), vectors, threshold)
+        labels = _merged(labels, found)
+        rest = active.select("bucket", "node").join(askers.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        active = saved(_unsettled(rest, labels), "active")
+    return labels
+
+
+def _near(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    return _compared(saved(pairs, "pairs"), vectors).where(F.col("s") >= threshold).select("u", "v")
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels after joining the classes that the found pairs link; works on classes, so it is small once most links are known."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    between = found.join(side("u"), "u").join(side("v"), "v").where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct()
+    between = saved(between, "between")
+    if between.isEmpty():
+        return labels
+    new = components(between).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return saved(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node, label of the buckets whose members are not all in one class."""
+    rows = saved(members.join(labels, "node"), "rest")
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return rows.join(mixed, "bucket").select("bucket", "node", "label")
+
+
+def _askers(active: DataFrame, many: int = ASKERS) -> DataFrame:
+    """Up to `many` members of each bucket, those of its smallest classes first, found in parts so that a large bucket is spread."""
+    sizes = active.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    rows = active.join(sizes, ["bucket", "label"]).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(32)))
+    order = [F.col("size"), F.col("label"), F.col("node")]
+    for keys in (["bucket", "part"], ["bucket"]):
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= many)
+    return rows.select("bucket", "node", "label")
 
 
 def classes(docs: DataFrame, **how) -> DataFrame:
