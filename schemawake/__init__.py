@@ -1,0 +1 @@
+"""Schema-drift analytics on Spark: every operator is a function from DataFrames to a DataFrame."""

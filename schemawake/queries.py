@@ -1,4 +1,7 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import validation
+
+_PARTS = (validation,)
+QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLES = {k: q for part in _PARTS for k, q in part.ORACLES.items()}
