@@ -71,4 +71,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rendezvous": op9_rendezvous,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+#: CRC-32 for an engine without it: the table of 256 remainders by rule, then a fold over the bytes.
+_CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::UBIGINT], [0,0,0,0,0,0,0,0]::UBIGINT[]), lambda a, b: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END)) AS t)"
+_CRC = "xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(0, octet_length(encode(t))), lambda i: ('0x' || substr(hex(encode(t)), (2 * i + 1)::INT, 2))::UBIGINT)), lambda a, b: xor(a >> 8, crc_table.t[(xor(a, b) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT"
+ORACLES: dict[str, str] = {
+    "op9_rendezvous": f"""WITH {_CRC_TABLE}, docs AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(doc_id::VARCHAR, 'null') AS key FROM documents),
+      k AS (SELECT doc_id, key, octet_length(encode(docs.t)) + 8 AS size, {_CRC.replace("encode(t)", "encode(docs.t)")} AS text_crc32 FROM docs, crc_table),
+      scored AS (SELECT key, shard, -1.0 / ln((('0x' || substr(md5(key || ':' || shard), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS score FROM (SELECT DISTINCT key FROM docs) x, range(25) AS r(shard)),
+      best AS (SELECT key, arg_max(shard, score) FILTER (shard < 24) AS shard, arg_max(shard, score) AS grown_shard FROM scored GROUP BY key)
+      SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key), 1, 3), doc_id, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard FROM k JOIN best USING (key)""",
+}
