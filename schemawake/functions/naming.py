@@ -50,36 +50,55 @@ def class_name(name: Column, hint: Column, capital: bool = False) -> Column:
     """
     dotted = F.instr(name, ".") > 0
     hint = F.when(dotted, F.split_part(name, F.lit("."), F.lit(1))).otherwise(F.coalesce(hint, F.lit("")))
-    bare = F.when(dotted, F.split_part(name, F.lit("."), F.lit(2))).otherwise(name)
-    bare = F.replace(bare, F.lit("TL_"), F.lit(""))
+    bare = F.replace(F.when(dotted, F.split_part(name, F.lit("."), F.lit(2))).otherwise(name), F.lit("TL_"), F.lit(""))
     package = F.when(hint.isin("", "TLRPC", "TLObject"), "").otherwise(F.regexp_replace(hint, "^TL_", ""))
-    parts = F.split(bare, "_")
     number = lambda x: F.when(x.rlike("^[+-]?[0-9]+$"), x.try_cast("int"))
-    at = F.transform(parts, lambda x, i: F.when(x == "layer", number(F.get(parts, i + 1))).when(x.startswith("layer"), number(F.substr(x, F.lit(6)))))
-    cut = F.array_position(F.transform(at, lambda x: x.isNotNull()), True)  # 1-based; 0 for none
-    layer = F.when(cut > 0, F.get(at, (cut - 1).cast("int"))).otherwise(0)
-    old_after = F.exists(F.slice(parts, F.greatest(cut, F.lit(1)).cast("int"), F.size(parts)), lambda x: x.startswith("old"))
-    layer = F.when((cut > 0) & old_after, 1).otherwise(layer)
-    parts = F.when(cut > 0, F.slice(parts, F.lit(1), (cut - 1).cast("int"))).otherwise(parts)
-    last = F.element_at(parts, -1)
-    numbered = (layer == 0) & (F.size(parts) > 1) & (F.coalesce(number(last), F.lit(0)) >= LEAST_LAYER)
-    layer = F.when(numbered, number(last)).otherwise(layer)
     drop_last = lambda p: F.slice(p, F.lit(1), F.size(p) - 1)
-    parts = F.when(numbered, drop_last(parts)).otherwise(parts)
-    aged = F.coalesce(F.try_element_at(parts, F.lit(-1)).startswith("old"), F.lit(False))
-    layer = F.when(aged, 1).otherwise(layer).cast("int")
-    parts = F.when(aged, drop_last(parts)).otherwise(parts)
-    one = F.size(parts) == 1
-    only = F.get(parts, F.lit(0))
-    rest = F.substr(only, F.length(package) + 1)
-    prefixed = one & (package != "") & only.startswith(package) & F.substring(rest, 1, 1).rlike("^[A-Z]")
-    parts = F.when(prefixed, F.array(_first(rest, F.lower))).otherwise(parts)
-    parts = F.when(F.size(parts) > 1, F.concat(F.array(_first(F.get(parts, F.lit(0)), F.lower)), F.slice(parts, F.lit(2), F.size(parts)))).otherwise(parts)
-    if capital:
-        parts = F.concat(drop_last(parts), F.array(_first(F.element_at(parts, -1), F.upper)))
-    parts = F.when(one & (package != ""), F.concat(F.array(package), parts)).otherwise(parts)
-    whole = F.array_join(parts, ".")
-    return F.struct(F.when(bare == "TLObject", "").otherwise(whole).alias("name"), F.when(bare == "TLObject", 0).otherwise(layer).alias("layer"))
+    state = lambda parts, layer: F.struct(parts.alias("parts"), layer.cast("int").alias("layer"))
+
+    def cut_at_layer(parts: Column) -> Column:
+        told = F.transform(parts, lambda x, i: F.when(x == "layer", number(F.get(parts, i + 1))).when(x.startswith("layer"), number(F.substr(x, F.lit(6)))))
+
+        def cut(at: Column) -> Column:
+            where = F.array_position(F.transform(at, lambda x: x.isNotNull()), True).cast("int")  # from 1; 0 for none
+            old = F.exists(F.slice(parts, F.greatest(where, F.lit(1)), F.size(parts)), lambda x: x.startswith("old"))
+            layer = F.when(old, 1).otherwise(F.get(at, where - 1))
+            return F.when(where > 0, state(F.slice(parts, F.lit(1), where - 1), layer)).otherwise(state(parts, F.lit(0)))
+
+        return _let(told, cut)
+
+    def cut_number(s: Column) -> Column:
+        last = number(F.try_element_at(s["parts"], F.lit(-1)))
+        hit = (s["layer"] == 0) & (F.size(s["parts"]) > 1) & (F.coalesce(last, F.lit(0)) >= LEAST_LAYER)
+        return F.when(hit, state(drop_last(s["parts"]), last)).otherwise(s)
+
+    def cut_old(s: Column) -> Column:
+        return F.when(F.coalesce(F.try_element_at(s["parts"], F.lit(-1)).startswith("old"), F.lit(False)), state(drop_last(s["parts"]), F.lit(1))).otherwise(s)
+
+    def cased(s: Column) -> Column:
+        parts = s["parts"]
+        only = F.get(parts, F.lit(0))
+        rest = F.substr(only, F.length(package) + 1)
+        prefixed = (F.size(parts) == 1) & (package != "") & only.startswith(package) & F.substring(rest, 1, 1).rlike("^[A-Z]")
+        several = F.concat(F.array(_first(only, F.lower)), F.slice(parts, F.lit(2), F.size(parts)))
+        return state(F.when(prefixed, F.array(_first(rest, F.lower))).when(F.size(parts) > 1, several).otherwise(parts), s["layer"])
+
+    def named(s: Column) -> Column:
+        parts = s["parts"]
+        if capital:
+            parts = F.when(F.size(parts) > 0, F.concat(drop_last(parts), F.array(_first(F.try_element_at(parts, F.lit(-1)), F.upper)))).otherwise(parts)
+        whole = F.array_join(F.when((F.size(s["parts"]) == 1) & (package != ""), F.concat(F.array(package), parts)).otherwise(parts), ".")
+        return F.struct(whole.alias("name"), s["layer"].alias("layer"))
+
+    out = _let(F.split(bare, "_"), cut_at_layer)
+    for step in (cut_number, cut_old, cased, named):
+        out = _let(out, step)
+    return F.when(bare == "TLObject", F.struct(F.lit("").alias("name"), F.lit(0).alias("layer"))).otherwise(out)
+
+
+def _let(value: Column, f) -> Column:
+    """f(value), with value worked out once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def java_type(type_: Column, depth: Column) -> Column:
