@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 _own: dict[str, str] = {}
 
 
+#: Rows in an Arrow batch: whole texts of a few kB each, so a worker holds a few MB at a time.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table; also sets the session's Arrow batches to BATCH_ROWS rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

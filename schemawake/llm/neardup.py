@@ -52,6 +52,8 @@ _LEVELS = 96
 _LOW = -0.6
 #: Members of a bucket that are compared with all others of other classes in one round.
 ASKERS = 16
+#: Words a task holds before it hands their counts on.
+HELD_WORDS = 1_000_000
 #: Node lists up to this length (8 bytes each) are broadcast, longer ones joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 
@@ -77,10 +79,20 @@ def _word_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def frequent_words(docs: DataFrame, n_docs: int, rare: float = RARE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and idf of the words found in at least `rare` of all documents, counted exactly."""
 
+    def emit(held: list) -> pa.RecordBatch:
+        word, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64))], ["word", "n"])
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in parts:
-            word, n = _word_counts([t or "" for t in part.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+            held.append(_word_counts([t or "" for t in part.column(0).to_pylist()]))
+            size += len(held[-1][0])
+            if size > HELD_WORDS:
+                yield emit(held)
+                held, size = [], 0
+        if size:
+            yield emit(held)
 
     counts = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # at most (mean distinct words per document) / rare rows
