@@ -16,10 +16,11 @@ BANDS bands a signature.
 
 Candidates share a band. In each bucket all texts are first compared with one
 leader, and what is similar becomes a class. Buckets that still hold several
-classes go on: members of the smallest classes are compared with all members of
+classes go on: members of the smallest classes are compared with the members of
 other classes and then leave the bucket, until each bucket is down to one class.
-So every pair that shares a band is compared, or is in one class already, without
-ever listing all pairs of a large group. Pairs count as near-duplicates if their
+Left out are pairs that the triangle inequality of the Jaccard distance rules out
+by their distances to the leader. So every pair that shares a band is compared,
+ruled out, or in one class already, without ever listing all pairs of a group. Pairs count as near-duplicates if their
 weighted Jaccard similarity is THRESHOLD or more; classes are the connected
 components.
 
@@ -258,15 +259,19 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, row
     nodes = saved(active.select("node").distinct(), "candidates")
     vectors = _vectors(docs, nodes, words, idf, rare)
     pairs = active.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    labels = _merged(nodes.select("node", F.col("node").alias("label")), _near(pairs, vectors, threshold))
-    active = saved(_unsettled(active.where("node <> leader").select("bucket", "node"), labels), "active")
+    done = _compared(saved(pairs, "pairs"), vectors)
+    labels = _merged(nodes.select("node", F.col("node").alias("label")), done.where(F.col("s") >= threshold).select("u", "v"))
+    led = active.where("node <> leader").join(done.select(F.col("u").alias("leader"), F.col("v").alias("node"), "s"), ["leader", "node"])
+    active = saved(_unsettled(led.select("bucket", "node", "s"), labels), "active")
     while not active.isEmpty():
         askers = saved(_askers(active), "askers")
-        other = active.select("bucket", F.col("node").alias("v"), F.col("label").alias("lv"))
-        asked = askers.select("bucket", F.col("node").alias("u"), F.col("label").alias("lu")).join(other, "bucket").where("lu <> lv")
+        other = active.select("bucket", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("s").alias("sv"))
+        asked = askers.select("bucket", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("s").alias("su")).join(other, "bucket")
+        # distances to the leader that differ by more than 1 - threshold rule a pair out
+        asked = asked.where((F.col("lu") != F.col("lv")) & (F.abs(F.col("su") - F.col("sv")) <= 1 - threshold + 1e-9))
         found = _near(asked.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), vectors, threshold)
         labels = _merged(labels, found)
-        rest = active.select("bucket", "node").join(askers.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        rest = active.select("bucket", "node", "s").join(askers.select("bucket", "node"), ["bucket", "node"], "left_anti")
         active = saved(_unsettled(rest, labels), "active")
     return labels
 
@@ -287,10 +292,10 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, node, label of the buckets whose members are not all in one class."""
+    """members (bucket, node, s) with label, of the buckets whose members are not all in one class."""
     rows = saved(members.join(labels, "node"), "rest")
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    return rows.join(mixed, "bucket").select("bucket", "node", "label")
+    return rows.join(mixed, "bucket").select("bucket", "node", "s", "label")
 
 
 def _askers(active: DataFrame, many: int = ASKERS) -> DataFrame:
@@ -300,7 +305,7 @@ def _askers(active: DataFrame, many: int = ASKERS) -> DataFrame:
     order = [F.col("size"), F.col("label"), F.col("node")]
     for keys in (["bucket", "part"], ["bucket"]):
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= many)
-    return rows.select("bucket", "node", "label")
+    return rows.select("bucket", "node", "s", "label")
 
 
 def classes(docs: DataFrame, **how) -> DataFrame:
