@@ -1,20 +1,22 @@
 """Operator 3, quality classifier: interpolated modified Kneser-Ney trigrams of trusted text.
 
-Words in at least COMMON of all word occurrences have an id each (so there are
-at most 1 / COMMON); the others share classes by shape (case, digits, symbols,
-end mark, length). Trusted documents are those all of whose labels say quality 1.
-Half of them, by a hash of doc_id, train the model; the other half, which it has
-not seen, sets the threshold of each language: the QUANTILE of their
-cross-entropies plus MARGIN times the distance from their median to it. A
-document above its language's threshold is rejected; a short one is first drawn
-towards the median, as if it had PRIOR more words of it.
-
-Counts come from all training text: trigrams are counted in shards of their
-hash, bigrams and unigrams get their continuation counts from them, and joins
-with the contexts' totals give the discounted shares. Trigrams and bigrams below
-RARE of all are left to the lower order, whose share grows by what they had, so
-probabilities still add up to 1 and a model has at most 1 / RARE entries an order
-however much text it is trained on; it is broadcast with that bound.
+Every word of the training text is a word of the model, known by its 64-bit hash
+whose last 7 bits are its shape (case, digits, symbols, end mark, length). Words
+the training text doesn't have are known by their shape alone: they share what
+the word counts leave, as the words seen once share out over the shapes. Trusted
+documents are those all of whose labels say quality 1. Half of them, by a hash of
+doc_id, train the model; the other half, which it has not seen, sets the
+threshold of each language: the QUANTILE of their cross-entropies plus MARGIN
+times the distance from their median to it. A document above its language's
+threshold is rejected; a short one is first drawn towards the median, as if it
+had PRIOR more words of it.
+
+Every n-gram is kept, in Spark tables: trigrams are counted in shards of their
+hash, bigrams and unigrams get their continuation counts from them. Texts are
+coded in blocks of up to BLOCK_WORDS words; the distinct n-grams of each block
+are joined with the model's, and what is found goes back to the block, which then
+holds all that the model knows of its texts. No size of the model is sent to all
+tasks.
 
 Cases: a null or empty text has no words, perplexity 1, and is kept; a language
 with fewer than LEAST held-out documents, or null, takes the threshold of all of
@@ -28,25 +30,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
-from .common import map_texts, saved
+from .common import saved, text_of
 
-COMMON = 2e-5
-RARE = 1e-6
-#: Words in a block of the first count, and the most candidates (8 bytes each) that are sent to all tasks.
-BLOCK_WORDS, CANDIDATES = 4_000_000, 2_000_000
+#: Words in a block, whose n-grams are looked up once each, and in a row of coded texts.
+BLOCK_WORDS, CHUNK_WORDS = 2_000_000, 16_000
 QUANTILE, MARGIN, LEAST, PRIOR = 0.95, 1.5, 20, 10.0
-#: Id of the place before a text's first word; word ids follow, then one id per shape.
+#: The place before a text's first word; shapes of words.
 START, SHAPES = 0, 128
-_IDS = 1 << 16
+#: Parts over which copies of one text are dealt when rejected texts are taken out.
+SALTS = 64
 
 
-# --- words to ids --------------------------------------------------------------
+# --- words ---------------------------------------------------------------------
 
 
 def _flags() -> np.ndarray:
@@ -61,69 +62,36 @@ def _flags() -> np.ndarray:
 _kept: dict[str, np.ndarray] = {}
 
 
-def word_ids(texts: list[str], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids (uint16) of a batch's words and each word's text index. vocabulary: sorted word hashes."""
+def shaped_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's words (uint64 hashes, the last 7 bits their shapes) and each word's text index."""
     if "flags" not in _kept:
         _kept["flags"] = _flags()
     arr, ends = vectext.code_points(texts)
     word, text, start, size = vectext.words_of(arr, ends)
     if not len(word):
-        return np.zeros(0, np.uint16), text
+        return np.zeros(0, np.uint64), text
     flags = _kept["flags"][arr]
     any_ = np.bitwise_or.reduceat(flags, start)
     last = arr[start + size - 1]
     second = flags[np.minimum(start + 1, start + size - 1)]
     shape = (flags[start] & 1) | (second & 1) << 1 | (any_ & 6) << 1 | ((last == 46) | (last == 44)).astype(np.uint8) << 4
-    shape = shape.astype(np.uint16) | (np.minimum((size - 1) // 4, 3) << 5).astype(np.uint16)
-    ids = shape + np.uint16(1 + len(vocabulary))
-    if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
-        ids = np.where(vocabulary[at] == word, at + 1, ids).astype(np.uint16)
-    return ids, text
+    shape = shape.astype(np.uint64) | (np.minimum((size - 1) // 4, 3) << 5).astype(np.uint64)
+    return word.astype(np.uint64) & ~np.uint64(SHAPES - 1) | shape, text
 
 
-def _word_totals(docs: DataFrame, common: float, only: np.ndarray | None) -> DataFrame:
-    """word, n of blocks of up to BLOCK_WORDS words: those that make up at least `common` of their block, or the words of `only`; word null: the block's total."""
+def gram_key(*words: np.ndarray) -> np.ndarray:
+    """64-bit keys of n-grams, given as n columns of words."""
+    key = np.full(len(words[0]), len(words), np.uint64)
+    for x in words:
+        key = vectext.mix(key * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64))
+    return key
 
-    def emit(held: list) -> pa.RecordBatch:
-        word, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
-        total = int(n.sum())
-        keep = n >= common * total if only is None else np.isin(word, only, assume_unique=True)
-        return pa.RecordBatch.from_arrays([pa.array([*word[keep].view(np.int64).tolist(), None], pa.int64()), pa.array([*n[keep].tolist(), total], pa.int64())], ["word", "n"])
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for part in parts:
-            texts = [t or "" for t in part.column(0).to_pylist()]
-            for a, b in vectext.batches(texts):
-                word, n = np.unique(vectext.words(texts[a:b])[0], return_counts=True)
-                held.append((word, n))
-                size += int(n.sum())
-                if size >= BLOCK_WORDS:
-                    yield emit(held)
-                    held, size = [], 0
-        if size:
-            yield emit(held)
-
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def common_words(docs: DataFrame, common: float = COMMON) -> np.ndarray:
-    """Sorted hashes of the words that make up at least `common` of all words of all documents: at most 1 / common.
-
-    Such a word makes up as much of at least one block, so the first pass names candidates and the second counts them exactly.
-    """
-    first = saved(_word_totals(docs, common, None), "words")
-    total = first.where("word is null").agg(F.sum("n")).first()[0] or 0
-    rows = first.where("word is not null").count()
-    named = None
-    if rows <= CANDIDATES:
-        named = np.sort(first.where("word is not null").select("word").toArrow().column("word").to_numpy().view(np.uint64)) if rows else np.zeros(0, np.uint64)
-    # more candidates than are sent to the tasks: every word is counted by shuffling
-    counts = _word_totals(docs, common if named is not None else 0.0, named)
-    top = counts.where(F.col("word").isNotNull() & (F.col("n") >= max(common * total, 2))).select("word").toArrow().column("word").to_numpy()
-    return np.sort(top.view(np.uint64))
+def grams(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """u and v, the two words before each word of its text, and whether it is the first."""
+    first = np.r_[True, text[1:] != text[:-1]][: len(text)]
+    v = np.where(first, np.uint64(START), np.r_[np.uint64(START), words[:-1]][: len(words)])
+    return np.where(first, np.uint64(START), np.r_[np.uint64(START), v[:-1]][: len(words)]), v, first
 
 
 # --- training --------------------------------------------------------------------
@@ -131,55 +99,69 @@ def common_words(docs: DataFrame, common: float = COMMON) -> np.ndarray:
 
 @dataclass
 class Model:
-    vocabulary: np.ndarray
-    tri: np.ndarray  # keys u << 32 | v << 16 | w, sorted, and their discounted shares
-    tri_share: np.ndarray
-    pair: np.ndarray  # keys u << 16 | v and the weight of the lower order after them; 1 after all others
-    pair_back: np.ndarray
-    bi: np.ndarray  # keys v << 16 | w
-    bi_share: np.ndarray
-    back: np.ndarray  # by v
-    uni: np.ndarray  # probability by w
+    """Entries of the model table by sorted key, NaN where an n-gram is not one of that kind, and what unseen words have by shape."""
+
+    key: np.ndarray
+    share: np.ndarray  # words: probability; longer n-grams: discounted count
+    total: np.ndarray  # of the n-grams that go on from it
+    back: np.ndarray  # weight of the lower order after it
+    unseen: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table, unseen: np.ndarray) -> Model:
+        key, at = np.unique(table.column("key").to_numpy().view(np.uint64), return_index=True)
+        return cls(key, *(table.column(c).to_numpy().astype(np.float64)[at] for c in ("share", "total", "back")), unseen)
+
+    def _at(self, wanted: np.ndarray) -> np.ndarray:
+        """Row of each wanted key, or -1."""
+        if not len(self.key):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        return np.where(self.key[at] == wanted, at, -1)
 
     def cross_entropy(self, ids: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
         """Bits per word of each text; 0 for texts without words."""
         w = ids.astype(np.uint64)
-        prev = lambda k: np.where(np.r_[np.full(min(k, len(w)), -1), text[:-k]][: len(w)] == text, np.r_[np.zeros(min(k, len(w)), np.uint64), w[:-k]][: len(w)], np.uint64(START))
-        v, u = prev(1), prev(2)
-        bi = (v << np.uint64(16)) | w
-        p = _found(self.bi, self.bi_share, bi, 0.0) + self.back[v] * self.uni[w]
-        pair = (u << np.uint64(16)) | v
-        p = _found(self.tri, self.tri_share, (pair << np.uint64(16)) | w, 0.0) + _found(self.pair, self.pair_back, pair, 1.0) * p
+        u, v, first = grams(w, text)
+        none = np.full(1, START, np.uint64)
+        share, total, back = (np.r_[x, np.nan] for x in (self.share, self.total, self.back))  # row -1: not found
+        before = np.where(first, 0, np.arange(len(w)))  # the context's place in the list of each order
+        p = np.where(w == START, 0.0, self.unseen[(w % np.uint64(SHAPES)).astype(np.int64)])
+        one = self._at(gram_key(np.r_[none, w]))
+        two = self._at(gram_key(np.r_[none, v], np.r_[none, w]))
+        p = np.where(np.isnan(share[one[1:]]), p, share[one[1:]])
+        for context, at in ((one, two[1:]), (two, self._at(gram_key(u, v, w)))):
+            c = context[before]
+            known = ~np.isnan(total[c])
+            p = np.where(known, np.nan_to_num(share[at]) / np.where(known, total[c], 1.0) + np.where(known, back[c], 1.0) * p, p)
         n = np.bincount(text, minlength=n_texts)
-        return np.bincount(text, -np.log2(p), minlength=n_texts) / np.maximum(n, 1)
+        with np.errstate(divide="ignore"):
+            return np.bincount(text, -np.log2(p), minlength=n_texts) / np.maximum(n, 1)
 
 
-def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), default)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], default)
+def trigram_counts(texts: DataFrame, kind: str = "<u8") -> DataFrame:
+    """u, v, w, c of all trigrams of the texts' words (a binary column), counted in shards of their hash."""
 
-
-def trigram_counts(ids: DataFrame) -> DataFrame:
-    """key, c of all trigrams of the texts' ids (a binary column of 2-byte ids), counted in shards of their hash."""
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        w = np.concatenate(held).astype(np.uint64)
+        u, v, _ = grams(w, np.repeat(np.arange(len(held)), list(map(len, held))))
+        _, at, c = np.unique(gram_key(u, v, w), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (u, v, w)), pa.array(c)], ["u", "v", "w", "c"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in parts:
-            rows = [np.frombuffer(x, "<u2") for x in part.column(0).to_pylist()]
-            size = 0
-            held: list[np.ndarray] = []
-            for x in [*rows, None]:
-                if x is not None and len(x):
-                    held.append(np.concatenate([np.full(2, START, "<u2"), x]).astype(np.uint64))
-                    size += len(x)
-                if held and (x is None or size > vectext.BATCH_CHARS):
-                    keys = np.concatenate([(a[:-2] << np.uint64(32)) | (a[1:-1] << np.uint64(16)) | a[2:] for a in held])
-                    key, c = np.unique(keys, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c)], ["key", "c"])
+            for x in part.column(0):
+                if len(one := np.frombuffer(x.as_py(), kind)):
+                    held.append(one)
+                    size += len(one)
+                if size > vectext.BATCH_CHARS:
+                    yield counted(held)
                     held, size = [], 0
+        if held:
+            yield counted(held)
 
-    return ids.select("ids").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.select("ids").mapInArrow(run, "u long, v long, w long, c long").groupBy("u", "v", "w").agg(F.sum("c").alias("c"))
 
 
 def discounts(of: dict[int, int]) -> list[float]:
@@ -191,65 +173,144 @@ def discounts(of: dict[int, int]) -> list[float]:
     return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.0), float(i)) for i in (1, 2, 3)]
 
 
-def _shares(counts: DataFrame, context: Column, rare: float) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Discounted shares of the n-grams that are frequent enough, and what their contexts leave to the lower order."""
+def _less(counts: DataFrame) -> Column:
+    """What is taken off each count c."""
     d = discounts({r["k"]: r["n"] for r in counts.where("c <= 4").groupBy(F.col("c").alias("k")).agg(F.count("*").alias("n")).collect()})
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    totals = counts.groupBy(context.alias("context")).agg(F.sum("c").alias("total"))
-    frequent = counts.where(F.col("c") >= rare * total).select("key", "c", context.alias("context"))
-    less = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    shares = saved(frequent.join(totals, "context").select("key", "context", ((F.col("c") - less) / F.col("total")).alias("share")), "shares")
-    left = shares.groupBy("context").agg((1 - F.sum("share")).alias("back"))
-    # at most 1 / rare rows each
-    return _sorted(shares.select("key", "share"), "key", "share"), _sorted(left, "context", "back")
-
-
-def _sorted(df: DataFrame, key: str, value: str) -> dict[str, np.ndarray]:
-    t = df.toArrow()
-    k = t.column(key).to_numpy().astype(np.uint64)
-    order = np.argsort(k)
-    return {"key": k[order], "value": t.column(value).to_numpy().astype(np.float64)[order]}
-
-
-def train(ids: DataFrame, vocabulary: np.ndarray, rare: float = RARE) -> Model:
-    """ids: the trusted texts' 2-byte word ids."""
-    tri = saved(trigram_counts(ids), "trigrams")
-    bi = saved(tri.groupBy(F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("key")).agg(F.count("*").alias("c")), "bigrams")
-    uni = bi.groupBy(F.col("key").bitwiseAND(F.lit(_IDS - 1)).alias("w")).agg(F.count("*").alias("c")).toPandas()  # at most 65,536 rows
-    d = discounts(uni["c"].value_counts().to_dict())
-    c = np.zeros(_IDS)
-    c[uni["w"]] = uni["c"]
-    less = np.select([c == 0, c == 1, c == 2], [0, d[0], d[1]], d[2])
-    total = max(c.sum(), 1.0)
-    known = 1 + len(vocabulary) + SHAPES
-    p1 = (c - less) / total
-    p1 = p1 + (1 - p1.sum()) / known
-    (tri_s, tri_b), (bi_s, bi_b) = _shares(tri, F.shiftright("key", 16), rare), _shares(bi, F.shiftright("key", 16), rare)
-    back = np.ones(_IDS)
-    back[bi_b["key"].astype(np.int64)] = bi_b["value"]
-    return Model(vocabulary, tri_s["key"], tri_s["value"], tri_b["key"], tri_b["value"], bi_s["key"], bi_s["value"], back, p1)
+    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+
+
+def _keyed(df: DataFrame, words: list[str]) -> DataFrame:
+    """key, share, total, back of n-grams in columns of words; those of the three that df has not are null."""
+    values = [F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double").alias(c) for c in ("share", "total", "back")]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            key = gram_key(*(part.column(i).to_numpy().view(np.uint64) for i in range(len(words))))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *part.columns[len(words) :]], ["key", "share", "total", "back"])
+
+    return df.select(*words, *values).mapInArrow(run, "key long, share double, total double, back double")
+
+
+def _order(counts: DataFrame, context: list[str], rare: float) -> tuple[DataFrame, DataFrame]:
+    """n-grams with their discounted counts, and their contexts with total and back."""
+    least = rare * (counts.agg(F.sum("c")).first()[0] or 0) if rare else 0
+    less = _less(counts)
+    left = F.when(F.col("c") >= least, less).otherwise(F.col("c"))
+    contexts = counts.groupBy(*context).agg(F.sum("c").alias("total"), (F.sum(left) / F.sum("c")).alias("back"))
+    return counts.where(F.col("c") >= least).withColumn("share", F.col("c") - less), contexts
+
+
+def model_table(texts: DataFrame, kind: str = "<u8", rare: float = 0.0) -> tuple[DataFrame, np.ndarray]:
+    """key, share, total and back of all n-grams of the texts' words, and the probability of unseen words by shape. n-grams below `rare` of all are left to the lower order."""
+    tri = saved(trigram_counts(texts, kind), "trigrams")
+    bi = saved(tri.groupBy("v", "w").agg(F.count("*").alias("c")), "bigrams")
+    uni = saved(bi.groupBy("w").agg(F.count("*").alias("c")), "unigrams")
+    (three, pairs), (two, ones) = _order(tri, ["u", "v"], rare), _order(bi, ["v"], rare)
+    less = _less(uni)
+    total, left = uni.agg(F.sum("c"), F.sum(less)).first()
+    once = np.ones(SHAPES)
+    for r in uni.where("c = 1").groupBy(F.col("w").bitwiseAND(F.lit(SHAPES - 1)).alias("s")).agg(F.count("*").alias("n")).collect():
+        once[r["s"]] += r["n"]
+    one = uni.select("w", ((F.col("c") - less) / F.lit(float(total or 1))).alias("share"))
+    merged = lambda a, b: a.unionByName(b).groupBy("key").agg(*(F.max(c).alias(c) for c in ("share", "total", "back")))
+    table = _keyed(three, ["u", "v", "w"]).unionByName(merged(_keyed(two, ["v", "w"]), _keyed(pairs, ["u", "v"]))).unionByName(merged(_keyed(one, ["w"]), _keyed(ones, ["v"])))
+    return table, (left / total if total else 1.0) * once / once.sum()
+
+
+def train(ids: DataFrame, vocabulary: np.ndarray, rare: float = 0.0) -> Model:
+    """The whole model in memory, of small texts given as 2-byte ids (1 to len(vocabulary), then one per shape)."""
+    table, unseen = model_table(ids, "<u2", rare)
+    return Model.of(table.toArrow(), unseen)
 
 
 # --- scoring ---------------------------------------------------------------------
 
 
-@dataclass
-class Classifier:
-    model: object  # a broadcast Model
-    thresholds: dict[str, float]
-    medians: dict[str, float]
-    default: tuple[float, float]
+def coded_texts(docs: DataFrame) -> DataFrame:
+    """Texts in rows of about CHUNK_WORDS words: block, arrays of doc_id, lang, text hash and number of words, the row's distinct words and the words' places among them."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["block", "doc_id", "lang", "hash", "n", "words", "at"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for part in parts:
+            texts = part.column(3).to_pylist()
+            for a, b in vectext.batches(texts):
+                word, text = shaped_words(texts[a:b])
+                n = np.bincount(text, minlength=b - a).astype(np.int64)
+                end = np.cumsum(n)
+                cuts = [0, *(np.flatnonzero(np.diff((end - n) // CHUNK_WORDS)) + 1).tolist(), b - a]
+                for i, j in zip(cuts, cuts[1:]):
+                    words, at = np.unique(word[end[i] - n[i] : end[j - 1]], return_inverse=True)
+                    if size and size + len(at) > BLOCK_WORDS:
+                        block, size = block + 1, 0
+                    size += len(at)
+                    lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x) for x in (*(part.column(k).slice(a + i, j - i) for k in range(3)), pa.array(n[i:j]))]
+                    raw = at.astype("<u2" if len(words) <= 1 << 16 else "<u4").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([words.tobytes()]), pa.array([raw])], names)
+
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64(text_of()).alias("hash"), text_of().alias("text"))
+    return rows.mapInArrow(run, f"block long, doc_id array<{kind}>, lang array<string>, hash array<long>, n array<long>, words binary, at binary")
+
+
+def _decoded(words: bytes, at: bytes, n: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Words and text indices of a coded row."""
+    known = np.frombuffer(words, "<u8")
+    return known[np.frombuffer(at, "<u2" if len(known) <= 1 << 16 else "<u4")], np.repeat(np.arange(len(n)), n)
+
+
+def wanted_keys(coded: DataFrame) -> DataFrame:
+    """block and key of the distinct n-grams of each block and their contexts (a block that is read in two parts: of each part)."""
+
+    def emit(block: int, held: list) -> Iterator[pa.RecordBatch]:
+        w = np.concatenate([x for x, _ in held])
+        base = np.cumsum([0, *(t[-1] + 1 if len(t) else 0 for _, t in held[:-1])])
+        u, v, _ = grams(w, np.concatenate([t + k for (_, t), k in zip(held, base, strict=True)]))
+        none = np.full(1, START, np.uint64)
+        for key in (gram_key(u, v, w), gram_key(np.r_[none, v], np.r_[none, w]), gram_key(np.r_[none, w])):
+            key = np.unique(key).view(np.int64)
+            for i in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[i : i + 100_000]), block)), pa.array(key[i : i + 100_000])], ["block", "key"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for part in parts:
+            for b, words, at, n in zip(*(x.to_pylist() for x in part.columns), strict=True):
+                if held and b != block:
+                    yield from emit(block, held)
+                    held = []
+                block = b
+                held.append(_decoded(words, at, n))
+        if held:
+            yield from emit(block, held)
+
+    return coded.select("block", "words", "at", "n").mapInArrow(run, "block long, key long")
+
 
-    def bits(self) -> Column:
-        """Struct of bits per word and number of words of the column text."""
-        model = self.model
+def score_texts(docs: DataFrame, table: DataFrame, unseen: np.ndarray) -> DataFrame:
+    """doc_id, lang, hash, bits per word and number of words n of every document."""
+    coded = saved(coded_texts(docs), "coded")
+    values = [F.col(c).cast("float").alias(c) for c in ("share", "total", "back")]
+    found = wanted_keys(coded).join(table.select("key", *values).hint("shuffle_hash"), "key").select("block", "key", "share", "total", "back")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-        def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                bits, n = entropies(model.value, [t or "" for t in part.tolist()])
-                yield pd.DataFrame({"bits": bits, "n": n})
+    def score(known: pa.Table, texts: pa.Table) -> pa.Table:
+        model = Model.of(known, unseen)
+        bits = [np.zeros(0)]
+        for words, at, n in zip(*(texts.column(c).to_pylist() for c in ("words", "at", "n")), strict=True):
+            w, text = _decoded(words, at, n)
+            bits.append(model.cross_entropy(w, text, len(n)) if len(w) else np.zeros(len(n)))
+        flat = [pa.chunked_array([x.flatten() for x in texts.column(c).chunks], texts.schema.field(c).type.value_type) for c in ("doc_id", "lang", "hash", "n")]
+        return pa.Table.from_arrays([*flat, pa.array(np.concatenate(bits))], ["doc_id", "lang", "hash", "n", "bits"])
 
-        return F.pandas_udf(run, "bits double, n long")("text")
+    return found.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(score, f"doc_id {kind}, lang string, hash long, n long, bits double")
+
+
+@dataclass
+class Thresholds:
+    lines: dict[str, float]
+    medians: dict[str, float]
+    default: tuple[float, float]
 
     def by_language(self, values: dict[str, float], default: float) -> Column:
         out = F.lit(default)
@@ -257,24 +318,13 @@ class Classifier:
             out = F.when(F.col("lang") == lang, x).otherwise(out)
         return out
 
-    def threshold(self) -> Column:
-        return self.by_language(self.thresholds, self.default[0])
+    def line(self) -> Column:
+        return self.by_language(self.lines, self.default[0])
 
-    def drawn(self, score: Column) -> Column:
-        """Bits per word with PRIOR more words of the language's median."""
+    def kept(self) -> Column:
+        """Are the bits per word, with PRIOR more words of the language's median, within the line?"""
         median = self.by_language(self.medians, self.default[1])
-        return (score["bits"] * score["n"] + PRIOR * median) / (score["n"] + PRIOR)
-
-
-def entropies(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bits per word and number of words of each text."""
-    out, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for a, b in vectext.batches(texts):
-        ids, text = word_ids(texts[a:b], model.vocabulary)
-        if len(ids):
-            out[a:b] = model.cross_entropy(ids, text, b - a)
-            n[a:b] = np.bincount(text, minlength=b - a)
-    return out, n
+        return (F.col("bits") * F.col("n") + PRIOR * median) / (F.col("n") + PRIOR) <= self.line()
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
@@ -283,50 +333,45 @@ def trusted_documents(labels: DataFrame) -> DataFrame:
     return good.select("doc_id", F.xxhash64("doc_id").bitwiseAND(F.lit(1)).cast("int").alias("fold"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> Classifier:
-    spark: SparkSession = docs.sparkSession
-    vocabulary = common_words(docs)
+def training_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """ids: the words of each text that trains."""
 
-    def run(texts: list[str]) -> dict:
-        out = []
-        for a, b in vectext.batches(texts):
-            ids, text = word_ids(texts[a:b], vocabulary)
-            at = np.searchsorted(text, np.arange(b - a + 1))
-            out += [ids[at[i] : at[i + 1]].astype("<u2").tobytes() for i in range(b - a)]
-        return {"ids": out}
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = part.column(0).to_pylist()
+            for a, b in vectext.batches(texts):
+                word, text = shaped_words(texts[a:b])
+                at = np.searchsorted(text, np.arange(b - a + 1))
+                yield pa.RecordBatch.from_arrays([pa.array([word[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["ids"])
 
-    # word ids, not texts, meet the labels
-    coded = map_texts(docs.select("doc_id", "lang", "text"), ["doc_id", "lang"], run, "ids binary")
-    trusted = saved(coded.join(trusted_documents(labels), "doc_id"), "trusted")
-    model = spark.sparkContext.broadcast(train(trusted.where("fold = 0"), vocabulary))
+    mine = docs.select("doc_id", text_of().alias("text")).join(trusted_documents(labels).where("fold = 0"), "doc_id", "left_semi")
+    return mine.select("text").mapInArrow(run, "ids binary")
 
-    def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            rows = [np.frombuffer(x, "<u2") for x in part.column(1).to_pylist()]
-            text = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-            bits = model.value.cross_entropy(np.concatenate([*rows, np.zeros(0, "<u2")]).astype(np.uint16), text, len(rows)) if len(text) else np.zeros(len(rows))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits)], ["lang", "bits"])
 
-    held = saved(trusted.where("fold = 1 and length(ids) > 0").select("lang", "ids").mapInArrow(score, "lang string, bits double"), "held")
+def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> tuple[DataFrame, Thresholds]:
+    """Scores of all documents, and the lines between good and bad."""
+    scores = saved(score_texts(docs, *model_table(training_words(docs, labels))), "scores")
+    held = scores.where("n > 0").join(trusted_documents(labels).where("fold = 1"), "doc_id", "left_semi")
     at = F.percentile_approx("bits", [0.5, quantile], 10000).alias("q")
     line = lambda q: q[1] + margin * (q[1] - q[0])
     rows = held.groupBy("lang").agg(at, F.count("*").alias("n")).where(F.col("n") >= LEAST).limit(10_000).collect()  # a row per language
     whole = held.agg(at).first()["q"]
     per = {r["lang"]: r["q"] for r in rows if r["lang"] is not None}
-    return Classifier(model, {k: line(q) for k, q in per.items()}, {k: q[0] for k, q in per.items()}, (line(whole), whole[0]) if whole else (float("inf"), 0.0))
+    return scores, Thresholds({k: line(q) for k, q in per.items()}, {k: q[0] for k, q in per.items()}, (line(whole), whole[0]) if whole else (float("inf"), 0.0))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold (as a perplexity) and kept of every document."""
-    c = fit(docs, labels, **how)
-    rows = docs.select("doc_id", "lang", c.bits().alias("score"))
-    return rows.select(
-        "doc_id", "lang", F.col("score.n").alias("n_words"), F.pow(F.lit(2.0), F.col("score.bits")).alias("perplexity"), F.pow(F.lit(2.0), c.threshold()).alias("threshold"), (c.drawn(F.col("score")) <= c.threshold()).alias("kept")
-    )
+    scores, t = fit(docs, labels, **how)
+    return scores.select("doc_id", "lang", F.col("n").alias("n_words"), F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), F.pow(F.lit(2.0), t.line()).alias("threshold"), t.kept().alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents that are kept, with all their columns; one pass over the texts after fitting, no shuffle of them."""
-    c = fit(docs, labels, **how)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "lang", c.bits().alias("_score"))
-    return rows.where(c.drawn(F.col("_score")) <= c.threshold()).select("_row.*")
+    """The documents that are kept, with all their columns. A score depends on text and language alone, so rejected ones are told by these."""
+    scores, t = fit(docs, labels, **how)
+    lang = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    bad = scores.where(~t.kept()).select(F.col("hash").alias("_hash"), lang(F.col("lang")).alias("_lang"), F.isnull("lang").alias("_none")).distinct()
+    bad = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(text_of()).alias("_hash"), lang(F.col("lang")).alias("_lang"), F.isnull("lang").alias("_none"), salt.alias("_salt"))
+    return rows.join(bad, ["_hash", "_lang", "_none", "_salt"], "left_anti").select("_row.*")

@@ -155,6 +155,27 @@ def test_quality(spark):
     assert kneser_ney.score_documents(df, labels.where("false")).where("not kept").isEmpty()
 
 
+def test_every_trigram_and_word_counts(spark):
+    """Two million trigrams seen once, more than any size that was kept before, and a word that is one in two million."""
+    r = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 30_000, 50_000)) for _ in range(42)]
+    texts[0] += " singular word here"
+    ids = spark.createDataFrame([(bytearray(kneser_ney.shaped_words([t])[0].tobytes()),) for t in texts], "ids binary").repartition(4)
+    table, unseen = kneser_ney.model_table(ids)
+    model = kneser_ney.Model.of(table.toArrow(), unseen)
+    w = kneser_ney.shaped_words(["singular word here"])[0]
+    for key in (kneser_ney.gram_key(w[:1], w[1:2], w[2:]), kneser_ney.gram_key(w[:1], w[1:2]), kneser_ney.gram_key(w[:1])):
+        assert key[0] in model.key
+    assert len(model.key) > 4_000_000
+    # looked up block by block, the scores are those of the whole model
+    some = ["singular word here", texts[1][:3000], "never seen words 12", "", None]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").selectExpr("*", "'en' as lang")
+    got = {x["doc_id"]: x["bits"] for x in kneser_ney.score_texts(df, table, unseen).collect()}
+    for i, t in enumerate(some):
+        words, text = kneser_ney.shaped_words([t or ""])
+        assert abs(got[i] - (model.cross_entropy(words, text, 1)[0] if len(words) else 0)) < 1e-4
+
+
 def test_surrogates(spark):
     texts = [f"write to user{i % 50}.x@mail{i % 7}.example.com or call +1 (555) 010-{1000 + i % 90}; card 4{i % 60:015d} from 10.1.{i % 40}.7" for i in range(300)]
     texts += ["Mr. John Smith met Mrs Anna Müller. Later SMITH left; Mr Smith came back.", "Иван Петров", "plain words only 2021", None, ""]
