@@ -10,6 +10,12 @@ of the squared fills; an emptied bin is dropped. Pieces of bins that stay
 underfull are dealt anew and packed across groups; a group keeps its old bins if
 the new ones are not fewer.
 
+With `ordered`, groups are runs of GROUP consecutive documents in the order of
+docs (of its files, where it is read from files), and sequences are numbered by
+run: the sequences of the first r runs hold the first r * GROUP documents, but for
+bins that stayed underfull, which are packed with those of up to a few runs after
+theirs and numbered with the first of these runs.
+
 Cases: a null text is an empty one (one piece, the end id alone); repeated rows
 are packed each; an empty table gives no pieces; a null doc_id stays null.
 """
@@ -22,7 +28,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
@@ -33,6 +40,8 @@ END_ID = 2
 #: Pieces in a group, and the fill below which a bin is opened again in the second round.
 GROUP = 2000
 LOOSE = 0.99
+#: Bits of a sequence's number below its run: one tells the second round, the rest number bins, or full pieces by document and piece.
+RUN_BITS, PIECE_BITS = 36, 21
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -96,8 +105,8 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and a number that deals pieces out evenly."""
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "deal"]
+    """doc_id, piece, start, length, ids_crc32, a number that deals pieces out evenly, and the document's file (or partition) and row in it."""
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "deal", "file", "row"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -117,12 +126,31 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         crc.append(zlib.crc32(raw[4 * at : 4 * stop]))
                         at = stop
                 deal = np.arange(len(row), dtype=np.int64) * 7919 + zlib.crc32(str(crc[:1]).encode())
+                row = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(deal)], columns
+                    [part.column(0).take(row), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(deal), part.column(2).take(row), part.column(3).take(row)], columns
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, deal long")
+    return docs.select("doc_id", text_of().alias("text"), *_place(docs)).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, deal long, file string, row long")
+
+
+def _place(docs: DataFrame) -> list:
+    """Columns file and row: where a document stands in docs. Rows read from files are in the order of the writer's partitions, whichever task reads them."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        return [F.format_string("part-%010d", F.shiftright(at, 33)).alias("file"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")]
+    return [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+
+
+def _ranked(cut: DataFrame) -> DataFrame:
+    """Pieces with their documents' rank in the order of docs; one row per file is numbered in one task."""
+    files = cut.groupBy("file").agg((F.max("row") + 1).alias("n"))
+    number = F.expr("coalesce(try_cast(regexp_extract(file, '^part-([0-9]+)', 1) as long), 0)")
+    before = F.coalesce(F.sum("n").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.join(F.broadcast(files.select("file", before.alias("before"))), "file").withColumn("rank", F.col("before") + F.col("row")).drop("before", "file", "row")
 
 
 def _packed(capacity: int, round_: int):
@@ -142,7 +170,7 @@ def _packed(capacity: int, round_: int):
         for k, b in enumerate(bins):
             at = 0
             for i in b:
-                seq[i], offset[i] = (2 * group + round_) << 32 | k, at
+                seq[i], offset[i] = (2 * group + round_) << (RUN_BITS - 1) | k, at
                 at += sizes[i]
             free[b] = capacity - at
         kept = table.drop_columns(["sequence_id", "offset", "free", "group"])
@@ -153,22 +181,33 @@ def _packed(capacity: int, round_: int):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP, ordered: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     cut = saved(pieces(docs, tokenizer, capacity, end_id), "pieces")
-    full = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    cut = _ranked(cut) if ordered else cut.drop("file", "row").withColumn("rank", F.lit(None).cast("long"))
+    run = F.floor(F.col("rank") / group).cast("long")
+    number = F.shiftleft(run, RUN_BITS).bitwiseOR(F.shiftleft(F.col("rank") % group + 1, PIECE_BITS)).bitwiseOR(F.col("piece").cast("long"))
+    full = cut.where(F.col("length") == capacity).withColumn("sequence_id", number if ordered else -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = cut.where(F.col("length") < capacity)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, deal long, sequence_id long, offset long, free long"
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, deal long, rank long, sequence_id long, offset long, free long"
 
     def dealt(df: DataFrame, key) -> DataFrame:
         n = max(1, math.ceil(df.count() / group))
         return df.withColumn("group", F.pmod(F.xxhash64(*key), F.lit(n)))
 
     none = F.lit(None).cast("long")
-    first = dealt(rest, ["doc_id", "deal", "ids_crc32"]).withColumns({"sequence_id": none, "offset": none, "free": none})
+    # all pieces of a document but the first are full, so a run has at most `group` pieces to pack
+    first = rest.withColumn("group", run) if ordered else dealt(rest, ["doc_id", "deal", "ids_crc32"])
+    first = first.withColumns({"sequence_id": none, "offset": none, "free": none})
     first = saved(first.groupBy("group").applyInArrow(_packed(capacity, 0), schema), "packed")
     loose = F.col("free") > (1 - LOOSE) * capacity
-    second = dealt(first.where(loose), ["sequence_id"]).groupBy("group").applyInArrow(_packed(capacity, 1), schema)
+    second = first.where(loose)
+    if ordered:
+        runs = max(1, first.count() // max(1, second.count()))
+        second = second.withColumn("group", run - run % runs)
+    else:
+        second = dealt(second, ["sequence_id"])
+    second = second.groupBy("group").applyInArrow(_packed(capacity, 1), schema)
     return full.select(out).unionByName(first.where(~loose).select(out)).unionByName(second.select(out))

@@ -1,6 +1,12 @@
 """The pipeline's stages: columns, order, and what they let through."""
 
+from collections import Counter
+
 import corpus_pipeline
+from schemawake.llm import mixing, packing
+from schemawake.llm.queries import tokenizer_path
+
+from .helpers import docs, prose
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,3 +24,27 @@ def test_stages(spark):
         seen = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    rows = [(i, prose(i, 40), "en", "ab"[i * 2 // 3000], 1, "c", "r") for i in range(3000)]
+    df = spark.createDataFrame(rows, docs(spark).schema)
+    weights = {"a": 0.75, "b": 0.25}
+    mixing.in_mixed_order(df, weights, block_chars=1024).repartition(3, "doc_id").write.parquet(f"{tmp_path}/unmixed")
+    mixing.in_mixed_order(df, weights, block_chars=1024).write.parquet(f"{tmp_path}/mixed")
+    far = {}
+    for name in ("unmixed", "mixed"):
+        packed = packing.pack_documents(spark.read.parquet(f"{tmp_path}/{name}"), tokenizer_path(), group=100, ordered=True).collect()
+        assert sorted(r["doc_id"] for r in packed if r["piece"] == 0) == list(range(3000))
+        seen, far[name] = Counter(), 0
+        of = lambda r: "ab"[r["doc_id"] * 2 // 3000]
+        by = sorted(packed, key=lambda r: r["sequence_id"])
+        sizes = {"a": 0, "b": 0}
+        for r in by:
+            sizes[of(r)] += r["length"]
+        for r in by:
+            seen[of(r)] += r["length"]
+            if seen["a"] < 0.9 * sizes["a"]:  # the target holds until a source runs out
+                far[name] = max(far[name], abs(seen["a"] - 0.75 * sum(seen.values())))
+    run = 100 * sum(sizes.values()) / 3000
+    assert far["mixed"] < 3 * run < far["unmixed"]
