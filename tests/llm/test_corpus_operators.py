@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
@@ -123,6 +124,28 @@ def test_mixing(spark):
         mixing.mix_documents(df, {"hot": 1.0})
 
 
+def test_mixing_holds_exact_weights(spark):
+    weights = {"a": 0.61803, "b": 0.37187, "c": 0.0001, None: 0.01}
+    whole = sum(map(Fraction, weights.values()))
+    w = {s: Fraction(x) / whole for s, x in weights.items()}
+    blocks = {"a": 30_000, "b": 30_000, "c": 40, None: 2000}
+    rows = sorted(mixing.slots(spark, blocks, weights, 1000).collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in rows] == list(range(sum(blocks.values())))
+    assert sorted((str(r["_source"]), r["_block"]) for r in rows) == sorted((str(s), i) for s, n in blocks.items() for i in range(n))
+    had = Counter()
+    for t, r in enumerate(rows):
+        if r["phase"]:
+            break
+        s = r["_source"]
+        assert r["release"] == r["_block"] / w[s] // 1 <= t < r["deadline"] == -(-(r["_block"] + 1) / w[s] // 1)
+        had[s] += 1
+        assert all(abs(had[x] - w[x] * (t + 1)) < 1 for x in w)
+    assert t > 40_000 and had["c"] in (4, 5)
+    many = spark.createDataFrame([(i, prose(i, 3), f"s{i % 300}") for i in range(600)], "doc_id long, text string, source string")
+    got = mixing.mix_documents(many, block_chars=64).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(600))
+
+
 def test_probabilities_add_up(spark):
     r = random.Random(4)
     ids = [np.array([r.choice([1, 2, 3, 4, 4, 5]) for _ in range(40)], "<u2") for _ in range(30)]
