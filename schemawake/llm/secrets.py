@@ -2,12 +2,13 @@
 
 A random string costs many tokens: under a tiktoken vocabulary it has few
 characters per token, while words, names and numbers in common use have many.
-Runs of 16 or more characters of the base-64 alphabet that mix letters with
-digits or cases and fall below RATIO characters per token are reported as kind
-`random`. Not reported: digests of the usual lengths in hex (MD5, SHA-1, SHA-2:
-known digests; the base kind `hex` still lists them), UUIDs, and identifiers
-(words joined by separators or camel case, dates, versions), and runs that
-overlap a base span.
+Runs of 16 or more characters of the base-64 alphabet that fall below RATIO
+characters per token are reported as kind `random`, of whatever cases, digits and
+separators. A run that doesn't, or that overlaps a base span, is cut at `/` and `=`
+and then at `-` and `_`, and parts of 16 or more characters are tested in its place,
+so a secret in a path or after a name is not averaged with them. Not reported:
+numbers, UUIDs, and what overlaps a base span (so digests in lower-case hex are of
+the base kind `hex` alone).
 
 Cases: a null text is an empty one and has no spans; offsets count code points,
 end exclusive; spans are in order of start, then kind as listed in KINDS; rows
@@ -36,11 +37,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 #: Candidates of the token test and what it leaves alone.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
-DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-HEXES = re.compile(r"[0-9A-Fa-f]+")
-#: Words of one case or capitalised, or numbers, joined by separators or by nothing: an identifier, if its parts are long.
-PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: Where runs are cut, one after the other.
+CUTS = (re.compile(r"[^/=]+"), re.compile(r"[^_-]+"))
+LEAST = 16
 RATIO = 2.0
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -68,22 +68,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _identifier(s: str) -> bool:
-    """Few, long parts: at least 4 characters to a part on average counts as an identifier or path."""
-    parts = PARTS.findall(s)
-    return sum(map(len, parts)) >= 4 * len(parts)
-
-
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, ratio: float = RATIO) -> list[tuple[int, int, int]]:
     out = []
-    for m in CANDIDATE.finditer(text):
-        s, a, b = m.group(), m.start(), m.end()
-        if s.isalpha() and (s.islower() or s.isupper() or s[1:].islower()) or s.isdigit() or UUID.fullmatch(s) or HEXES.fullmatch(s) and len(s) in DIGESTS:
-            continue
-        if any(x[0] < b and a < x[2] for x in taken) or _identifier(s):
-            continue
-        if len(s) < ratio * len(encoding.encode_ordinary(s)):
+
+    def test(a: int, b: int, cuts: tuple) -> None:
+        s = text[a:b]
+        if s.isdigit() or UUID.fullmatch(s):
+            return
+        if not any(x[0] < b and a < x[2] for x in taken) and len(s) < ratio * len(encoding.encode_ordinary(s)):
             out.append((a, 3, b))
+        elif cuts:
+            for m in cuts[0].finditer(s):
+                if m.end() - m.start() >= LEAST:
+                    test(a + m.start(), a + m.end(), cuts[1:])
+
+    for m in CANDIDATE.finditer(text):
+        test(m.start(), m.end(), CUTS)
     return out
 
 

@@ -111,6 +111,27 @@ def test_secret_kinds(text, kinds):
     assert [s.split(":")[0] for s in spans.split(",") if s] == kinds
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+@pytest.mark.parametrize("frame", ["{}", "see https://example.com/account/settings/{}/profile.html", "authorization_header_value={}", "my-service-account-{}"])
+def test_random_strings_of_any_shape_are_found(alphabet, frame):
+    enc = secrets._encoding(*secrets._public(secrets.VOCABULARY))
+    r = random.Random(7)
+    found = 0
+    for _ in range(200):
+        s = "".join(r.choice(alphabet) for _ in range(40))
+        text = frame.format(s)
+        a = text.index(s)
+        spans = [x.split(":") for x in secrets.scan([text], enc)["spans"][0].split(",") if x]
+        found += any(int(x[1]) <= a and int(x[2]) >= a + 40 for x in spans)
+    assert found >= 190  # the rest have RATIO characters a token or more
+
+
+def test_words_and_identifiers_are_no_secrets():
+    enc = secrets._encoding(*secrets._public(secrets.VOCABULARY))
+    texts = ["internationalization", "some_long_identifier_name", "https://example.com/products/category/listing-page", "getElementsByClassName", "characteristically", "AbstractFactoryBuilder"]
+    assert [secrets.scan([t], enc)["spans"] for t in texts] == [[""]] * len(texts)
+
+
 def naive_fingerprint(text):
     words = text.split()
     word, owner, _, _ = vectext.words([text])
