@@ -41,9 +41,12 @@ def validate_ids(spark, sf_dir):
 
 
 def validate_summary(spark, sf_dir):
-    found = parse.problems(B.decl_lines(spark, sf_dir))
-    shown = parse.shown_problems(found).groupBy("file").agg(F.count("*").alias("shown"))
-    return parse.problem_totals(found).join(shown, "file").select("file", "problems", "fatal", "hidden", "shown")
+    return parse.problem_totals(parse.problems(B.decl_lines(spark, sf_dir)))
+
+
+def problems_shown(spark, sf_dir):
+    """The first ten problems of every file."""
+    return parse.shown_problems(parse.problems(B.decl_lines(spark, sf_dir))).select("file", "place", "line", "rule", "reason", "fatal")
 
 
 def id_roundtrip(spark, sf_dir):
@@ -101,7 +104,7 @@ _STRIPPED = r"regexp_extract(name, '^(.+?)\d+$', 1)"
 _IDS = f"""SELECT file, line, 'V15' AS rule, 'constructor id #' || id_hex || ' does not match the declaration of ' || name AS reason, FALSE AS fatal FROM good, crc_table
     WHERE ('0x' || id_hex)::BIGINT <> {B.duck_crc(_NORM % 'name')} AND NOT ({_STRIPPED} <> '' AND ('0x' || id_hex)::BIGINT = {B.duck_crc(_NORM % _STRIPPED)})"""
 
-QUERIES = {f.__name__: f for f in (idl_parse, validate_syntax, validate_dups, validate_params, validate_types, validate_ids, validate_summary, id_roundtrip, decl_checksum)}
+QUERIES = {f.__name__: f for f in (idl_parse, validate_syntax, validate_dups, validate_params, validate_types, validate_ids, validate_summary, problems_shown, id_roundtrip, decl_checksum)}
 ORACLES = {
     "idl_parse": _LINES + _SECTION + r"""
         SELECT file, line, kind, regexp_extract(source, '(\S+)#(\w+) *(\{\S+\})? *#* *\[* *([^}=\]]*) *\]* = ([^;]+)', 1) AS name, regexp_extract(source, '(\S+)#(\w+) *(\{\S+\})? *#* *\[* *([^}=\]]*) *\]* = ([^;]+)', 2) AS id_hex,
@@ -114,6 +117,8 @@ ORACLES = {
     "validate_ids": _LINES + _STRICT + " " + _IDS,
     "validate_summary": _LINES + _STRICT + _ATOMS + f""", found AS ({_SYNTAX} UNION ALL {_DUPS} UNION ALL {_PARAMS} UNION ALL {_TYPES} UNION ALL {_IDS})
         SELECT file, count(*) AS problems, count(*) FILTER (fatal) AS fatal, greatest(count(*) - 10, 0) AS hidden, least(count(*), 10) AS shown FROM found GROUP BY file""",
+    "problems_shown": _LINES + _STRICT + _ATOMS + f""", found AS ({_SYNTAX} UNION ALL {_DUPS} UNION ALL {_PARAMS} UNION ALL {_TYPES} UNION ALL {_IDS})
+        SELECT file, place, line, rule, reason, fatal FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line, rule, reason) AS place FROM found) WHERE place <= 10""",
     "id_roundtrip": """WITH r AS (SELECT l_orderkey, l_linenumber, l_orderkey * 71549 + l_partkey * 31 AS v, coalesce(TRY_CAST(CASE WHEN l_linenumber = 3 THEN 'abc' ELSE CAST(-(l_orderkey * 65537 + l_partkey) AS VARCHAR) END AS BIGINT), 0) & 4294967295 AS h FROM lineitem)
         SELECT l_orderkey, l_linenumber, lower(to_hex(h)) AS hex_id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS signed_id, v & 4294967295 AS unsigned_id,
           CASE WHEN (v & 4294967295) >= 2147483648 THEN (v & 4294967295) - 4294967296 ELSE v & 4294967295 END AS back, CASE WHEN l_orderkey > 0 AND (l_orderkey & (l_orderkey - 1)) = 0 THEN CAST(log2(l_orderkey) AS INT) END AS bit,
