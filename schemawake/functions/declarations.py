@@ -15,12 +15,16 @@ def params_text(params: Column) -> Column:
     return F.array_join(F.transform(params, lambda p: F.concat(F.lit(" "), p["name"], F.lit(":"), p["type"])), "")
 
 
-def declaration_text(name: Column, params: Column, result: Column) -> Column:
-    """Canonical text whose checksum is the id; results X and t bring their generic marks."""
+def generic_marks(result: Column) -> Column:
+    """What results X and t bring before the parameters."""
     magic = F.element_at(F.split(result, " "), -1)
     generic = F.when(magic.isin("X", "t"), F.concat(F.lit(" {"), magic, F.lit(":Type}"))).otherwise("")
-    array = F.when(magic == "t", F.lit(" # [ t ]")).otherwise("")
-    return F.concat(name, generic, array, params_text(params), F.lit(" = "), result)
+    return F.concat(generic, F.when(magic == "t", F.lit(" # [ t ]")).otherwise(""))
+
+
+def declaration_text(name: Column, params: Column, result: Column) -> Column:
+    """Canonical text whose checksum is the id; results X and t bring their generic marks."""
+    return F.concat(name, generic_marks(result), params_text(params), F.lit(" = "), result)
 
 
 def checksum_id(text: Column) -> Column:
@@ -31,7 +35,13 @@ def checksum_id(text: Column) -> Column:
     return F.crc32(F.regexp_replace(t, r" \w+:\w+\.\d+\?true", "").cast("binary"))
 
 
+def snapshot_line(name: Column, id_: Column, params: Column, result: Column) -> Column:
+    """The line of an object in a snapshot's text."""
+    return F.concat(name, F.lit("#"), F.lower(F.hex(id_)), generic_marks(result), params_text(params), F.lit(" = "), result, F.lit(";"))
+
+
 def declaration_line(name: Column, id_: Column, params: Column, result: Column) -> Column:
+    """The short line of changelogs, without generic marks."""
     return F.concat(name, F.lit("#"), F.lower(F.hex(id_)), params_text(params), F.lit(" = "), result, F.lit(";"))
 
 

@@ -33,6 +33,11 @@ def to_unsigned(v: Column) -> Column:
     return v.bitwiseAND(F.lit(_MASK))
 
 
+def flag_type(word: Column, bit: Column, type_: Column) -> Column:
+    """The type of an optional parameter: word.bit?type."""
+    return F.concat(word, F.lit("."), bit.cast("string"), F.lit("?"), type_)
+
+
 def bit_of_mask(n: Column) -> Column:
     """Index of the one bit set in n; null if n is not a power of two."""
     one = (n > 0) & (n.bitwiseAND(n - 1) == 0)

@@ -126,6 +126,24 @@ def item_name(text: Column) -> Column:
     return F.regexp_replace(t, "^([^#]+)#.*$", "$1")
 
 
+#: Names under which clients are shown, and in short; clients whose version is shown with its build number (fixed values).
+SOURCE_NAMES = {"tdesktop": "Telegram Desktop", "android": "Telegram for Android", "ios": "Telegram for iOS", "tdlib": "TDLib"}
+SHORT_NAMES = {"tdesktop": "TDesktop", "android": "Android", "ios": "iOS", "tdlib": "TDLib"}
+WITH_BUILD = ("android", "ios")
+
+
+def source_name(source: Column, short: bool = False) -> Column:
+    """A client's name; empty for an unknown one."""
+    named = F.create_map(*[F.lit(x) for kv in (SHORT_NAMES if short else SOURCE_NAMES).items() for x in kv])
+    return F.coalesce(F.element_at(named, source), F.lit(""))
+
+
+def shown_version(source: Column, version: Column, build: Column) -> Column:
+    """A client's version as shown; empty for an unknown one."""
+    built = F.concat(version, F.lit(" ("), build.cast("string"), F.lit(")"))
+    return F.when(source.isin(*WITH_BUILD), built).when(source.isin(*SOURCE_NAMES), version).otherwise("")
+
+
 def plural(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
 

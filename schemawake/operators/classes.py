@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import declarations as D
 from ..functions.ids import is_placeholder
 from ..functions.naming import LEGACY, class_name, java_type, param_name
+from ..scratch import discard, saved
 
 #: Fixed member names that tell what a class is.
 ID_MEMBER, RESPONSE, READERS = "constructor", "deserializeResponse", ("TLdeserialize", "readParams", "serializeToStream")
@@ -31,20 +32,32 @@ def class_kind(functions):
     return F.when(has(RESPONSE), "method").when(has(READERS[1]), "constructor").when(has(READERS[2]), "bare").otherwise("skip")
 
 
-def ancestors(spark: SparkSession, classes: DataFrame) -> DataFrame:
-    """class, ancestor, depth (0: itself), by a recursive query over the parent links."""
-    classes.select("class", "parent").createOrReplaceTempView("_class_links")
-    return spark.sql("""
-        WITH RECURSIVE up(class, ancestor, depth) AS (
-          SELECT class, class, 0 FROM _class_links
-          UNION ALL
-          SELECT u.class, c.parent, u.depth + 1 FROM up u JOIN _class_links c ON u.ancestor = c.class WHERE c.parent IS NOT NULL
-        ) SELECT class, ancestor, depth FROM up""")
+def ancestors(classes: DataFrame) -> DataFrame:
+    """class, ancestor, depth (0: itself), by joins that double the distance: their number grows with the logarithm of the deepest chain.
 
-
-def inherited_members(spark: SparkSession, classes: DataFrame, members: DataFrame) -> DataFrame:
+    In a cycle each class has every other one once, at its least depth.
+    """
+    links = classes.where("parent is not null").select("class", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
+    known = saved(classes.select("class", F.col("class").alias("ancestor"), F.lit(0).alias("depth")).distinct().unionByName(links.where("class <> ancestor")), "ancestors")
+    jump, n = saved(links, "jump"), known.count()
+    while not jump.isEmpty():
+        # what lies `step` levels up, and what is known from there
+        far = jump.select("class", F.col("ancestor").alias("_at"), F.col("depth").alias("_step"))
+        beyond = far.join(known.withColumnRenamed("class", "_at"), "_at").select("class", "ancestor", (F.col("depth") + F.col("_step")).alias("depth"))
+        wider = saved(known.unionByName(beyond).groupBy("class", "ancestor").agg(F.min("depth").alias("depth")), "ancestors")
+        further = saved(far.join(jump.withColumnRenamed("class", "_at"), "_at").select("class", "ancestor", (F.col("depth") + F.col("_step")).alias("depth")), "jump")
+        discard(known, jump)
+        known, jump, before = wider, further, n
+        n = known.count()
+        if n == before:
+            break
+    discard(jump)
+    return known
+
+
+def inherited_members(classes: DataFrame, members: DataFrame) -> DataFrame:
     """class, member, value, depth: the nearest definition of every member. members: class, member, value."""
-    far = ancestors(spark, classes).join(members.withColumnRenamed("class", "ancestor"), "ancestor")
+    far = ancestors(classes).join(members.withColumnRenamed("class", "ancestor"), "ancestor")
     w = Window.partitionBy("class", "member").orderBy("depth")
     return far.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("class", "member", "value", "depth")
 

@@ -39,6 +39,23 @@ def tag_balance(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "tag").agg(F.count_if(~F.col("closing")).alias("opened"), F.count_if("closing").alias("closed"), ((F.min("level") >= 0) & (F.sum("step") == 0)).alias("balanced"))
 
 
+def version_section(pages: DataFrame, version: str, heading: str = "h3", default: str = "no changelog") -> DataFrame:
+    """page_id, found, text: the first list after the first heading that names the page's version, before the next heading of level 3 or 5.
+
+    `version` names a column. List marks become bullets; links from the root stay as they are (see rebased_links). A page
+    without such a heading, or without a list in its section, has the default text. Headings and lists are matched by
+    pattern, so a list within a list ends the outer one.
+    """
+    # every heading with what follows it up to the next one
+    parts = F.regexp_extract_all("html", F.lit(rf"(?s)<{heading}\b[^>]*>.*?</{heading}>.*?(?=<h[35]\b|$)"), F.lit(0))
+    head = lambda x: F.regexp_replace(F.regexp_extract(x, rf"(?s)^<{heading}\b[^>]*>(.*?)</{heading}>", 1), "<[^>]*>", "")
+    section = F.get(F.filter(parts, lambda x: F.contains(head(x), F.col(version).cast("string"))), F.lit(0))
+    rows = pages.withColumn("_list", F.regexp_extract(section, rf"(?s)</{heading}>.*?<ul>(.*?)</ul>", 1))
+    text = F.trim(F.replace(F.replace(F.col("_list"), F.lit("<li>"), F.lit("• ")), F.lit("</li>"), F.lit("")), F.lit(" \t\r\n"))
+    found = F.coalesce(F.col("_list") != "", F.lit(False))
+    return rows.select("page_id", found.alias("found"), F.when(found, text).otherwise(F.lit(default)).alias("text"))
+
+
 def list_items(pages: DataFrame, heading: str = "nav", default: str = "no changelog") -> DataFrame:
     """page_id, pos, item: list items, entities decoded, of the first section opened by `heading`; a page without any has the default text."""
     section = F.regexp_extract("html", rf"(?s)<{heading}[^>]*>(.*?)</{heading}>", 1)
