@@ -6,6 +6,8 @@ Parquet tables, DuckDB over its views.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ RELEASED = "released AS (SELECT CAST(year(o_orderdate) AS INT) AS layer, o_custk
 TREE = "tree AS (SELECT p_partkey AS class, CASE WHEN p_partkey > 0 THEN CAST(floor(p_partkey / 2.0) AS BIGINT) END AS parent, p_type AS member, p_brand AS value FROM part)"
 
 VER = """ver AS (
-      SELECT event_type AS source, CAST(event_id % 7 AS INT) AS major, (event_id % 7) || '.' || (event_id % 90) || '.' || (event_id % 50) || CASE WHEN event_id % 13 = 0 THEN 'b' ELSE '' END AS version_name, event_id AS code, event_id % 101 = 0 AS force FROM events),
+      SELECT CASE event_type WHEN 'click' THEN 'android' ELSE event_type END AS source, CAST(event_id % 7 AS INT) AS major, (event_id % 7) || '.' || (event_id % 90) || '.' || (event_id % 50) || CASE WHEN event_id % 13 = 0 THEN 'b' ELSE '' END AS version_name, event_id AS code, event_id % 101 = 0 AS force FROM events),
     marks AS (SELECT source, max(CASE WHEN n = 80 THEN code END) AS last_code FROM (SELECT source, code, row_number() OVER (PARTITION BY source ORDER BY code) AS n FROM ver) AS x GROUP BY source)"""
 
 
@@ -93,8 +95,6 @@ def load(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
     text = f"WITH {ctes} {select}"
     for t in used:
         frames[t].createOrReplaceTempView(f"sw_{t}")
-    import re
-
     for t in used:
         text = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 sw_{t}", text)
     return spark.sql(text)
@@ -104,9 +104,18 @@ def decl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, lines("spark"), "SELECT file, CAST(line AS INT) AS line, source FROM lines")
 
 
+#: The same objects with their parameters nested in order of name, from one pass over lineitem.
+_NESTED = SNAP.replace("SELECT DISTINCT version", "SELECT version, params").replace(
+    "snap AS (", "nested AS (SELECT version, pk, array_sort(collect_list(named_struct('name', pname, 'type', ptype))) AS params FROM sold GROUP BY version, pk), snap AS ("
+).replace("FROM sold JOIN part", "FROM nested JOIN part")
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All years' objects with their params nested, in order of name."""
-    objects = load(spark, sf_dir, SNAP, "SELECT * FROM snap")
-    sold = load(spark, sf_dir, SNAP, "SELECT version, pk AS pos, pname, ptype FROM sold")
-    nested = sold.groupBy("version", "pos").agg(F.array_sort(F.collect_list(F.struct(F.col("pname").alias("name"), F.col("ptype").alias("type")))).alias("params"))
-    return objects.join(nested, ["version", "pos"])
+    return load(spark, sf_dir, _NESTED, "SELECT * FROM snap")
+
+
+def years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """version: the years that have a snapshot of their own and of the year before; a few rows."""
+    y = load(spark, sf_dir, "y AS (SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS version FROM lineitem JOIN part ON l_partkey = p_partkey)", "SELECT version FROM y")
+    return y.join(y.select((F.col("version") + 1).alias("version")), "version")

@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import canonical, changelog, diff, history, merge, params, render, repair, state
 from ..functions import declarations as D
+from ..functions import ids, naming
+from ..scratch import shared_dir
 from . import bindings as B
 
-_OLD, _NEW = 1999, 2000
+_SCOPE = ["version", "api", "kind"]
 
 
-def _pair(spark, sf_dir):
+def _sides(spark, sf_dir):
+    """Every year's snapshot and that of the year before under the same version, of the years that have both."""
     snap = B.snapshots(spark, sf_dir)
-    scope = ["api", "kind"]
-    return snap.where(F.col("version") == _OLD).drop("version"), snap.where(F.col("version") == _NEW).drop("version"), scope
+    # years are few; the next one's number is what both sides are matched by
+    old = snap.withColumn("version", F.col("version") + 1)
+    return tuple(x.join(F.broadcast(B.years(spark, sf_dir)), "version", "left_semi") for x in (old, snap))
 
 
 def _all_years(spark, sf_dir):
     """Every year's diff against the year before it, in one job."""
-    snap = B.snapshots(spark, sf_dir)
-    # years are few; the next one's number is what both sides are matched by
-    old = snap.withColumn("version", F.col("version") + 1)
-    years = snap.select("version").distinct()
-    both = years.join(years.select((F.col("version") + 1).alias("version")), "version")
-    old, new = (x.join(F.broadcast(both), "version", "left_semi") for x in (old, snap))
-    return diff.diff_snapshots(old, new, ["version", "api", "kind"])
+    return diff.diff_snapshots(*_sides(spark, sf_dir), _SCOPE)
 
 
 def _flat(d):
@@ -34,14 +34,12 @@ def _flat(d):
 
 
 def snapshot_diff(spark, sf_dir):
-    old, new, scope = _pair(spark, sf_dir)
-    return diff.diff_snapshots(old, new, scope).select("api", "kind", "name", "id", "change", "old_result", "new_result")
+    return _all_years(spark, sf_dir).select("version", "api", "kind", "name", "id", "change", "old_result", "new_result")
 
 
 def param_diff(spark, sf_dir):
-    old, new, scope = _pair(spark, sf_dir)
-    d = diff.diff_snapshots(old, new, scope).where("change = 'changed'")
-    return d.select("name", *[c.alias(k) for k, c in _flat(d).items()])
+    d = _all_years(spark, sf_dir).where("change = 'changed'")
+    return d.select("version", "name", *[c.alias(k) for k, c in _flat(d).items()])
 
 
 def diff_all_years(spark, sf_dir):
@@ -60,23 +58,30 @@ def publish_gate(spark, sf_dir):
 
 
 def changelog_lines(spark, sf_dir):
-    old, new, scope = _pair(spark, sf_dir)
-    return changelog.changelog_lines(diff.diff_snapshots(old, new, scope)).select("api", "kind", "line")
+    return changelog.changelog_lines(_all_years(spark, sf_dir)).select("version", "section", "line")
+
+
+def page_items(spark, sf_dir):
+    return changelog.page_items(_all_years(spark, sf_dir), _SCOPE)
+
+
+#: Objects whose parameters use object types: optional vectors and marked ones of the object's own result, else a primitive.
+_CONTEXT = """cpar AS (SELECT s.version, s.pk AS pos, s.pname, CASE s.ptype WHEN 'A' THEN 'flags.1?Vector<' || 'Brand' || substr(p_brand, 7) || '_' || (s.version % 2) || '_' || (length(s.pname) % 7) || '>' WHEN 'R' THEN '!Brand' || substr(p_brand, 7) || '_' || (s.pk % 7) ELSE 'int' END AS ptype FROM sold s JOIN part ON s.pk = p_partkey)"""
 
 
 def context_topk(spark, sf_dir):
-    old, new, scope = _pair(spark, sf_dir)
-    d = diff.diff_snapshots(old, new, scope)
-    told = d.select("api", "name", "change").join(new.select("name", F.array("result").alias("new_types")), "name", "left").withColumn("new_types", F.coalesce("new_types", F.array().cast("array<string>")))
-    return changelog.context_rows(old, told, ["api"]).select("api", "result", "turn", F.regexp_extract("line", "^([^#]+)#", 1).alias("name"))
+    nested = "named AS (SELECT version, pos, array_sort(collect_list(named_struct('name', pname, 'type', ptype))) AS params FROM cpar GROUP BY version, pos)"
+    snap = B.load(spark, sf_dir, f"{B.SNAP}, {_CONTEXT}, {nested}", "SELECT snap.* EXCEPT (result), result || '_' || (snap.pos % 7) AS result, params FROM snap JOIN named ON snap.version = named.version AND snap.pos = named.pos")
+    old = snap.withColumn("version", F.col("version") + 1)
+    old, new = (x.join(F.broadcast(B.years(spark, sf_dir)), "version", "left_semi") for x in (old, snap))
+    return changelog.context_rows(new, diff.diff_snapshots(old, new, _SCOPE), ["version"]).select("version", "result", "place", F.regexp_extract("line", "^([^#]+)#", 1).alias("name"))
 
 
 def report_links(spark, sf_dir):
-    old, new, scope = _pair(spark, sf_dir)
-    d = diff.diff_snapshots(old, new, scope)
-    links = new.where("id % 2 = 0").select("api", "kind", "id", F.concat(F.lit("https://example.org/"), F.col("id").cast("string")).alias("link"))
-    described = new.where("pos % 3 = 0").select("name", F.concat(F.lit("about "), "name").alias("description"))
-    return changelog.report_rows(d.select("api", "kind", "name", "id", "change"), links, described, ["api", "kind"]).select("api", "kind", "name", "change", "link", "description")
+    _, new = _sides(spark, sf_dir)
+    links = new.where("id % 2 = 0").select(*_SCOPE, "id", F.concat(F.lit("https://example.org/"), F.col("id").cast("string")).alias("link"))
+    described = new.where("version = 2000 and pos % 3 = 0").select("name", F.concat(F.lit("about "), "name").alias("description"))
+    return changelog.report_rows(_all_years(spark, sf_dir).select(*_SCOPE, "name", "id", "change"), links, described, _SCOPE).select(*_SCOPE, "name", "change", "link", "description")
 
 
 def removed_ids(spark, sf_dir):
@@ -108,8 +113,8 @@ def baseline_pick(spark, sf_dir):
     return history.pick_baseline(heads, recent, ["source"])
 
 
-_TYPES = """types AS (SELECT p_size AS scope, CASE WHEN p_partkey % 4 = 0 THEN 'ns.' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) || p_brand ELSE p_type || p_brand END AS type, p_partkey AS k FROM part),
-    objects AS (SELECT p_size AS scope, 'constructor' AS kind, replace(p_name, ' ', '') AS name, p_type AS result FROM part)"""
+_TYPES = """types AS (SELECT p_size AS scope, CASE WHEN p_partkey % 4 = 0 THEN 'ns.' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) || p_brand ELSE p_type || p_brand END AS type, p_partkey AS k, replace(p_name, ' ', '') AS nm FROM part),
+    objects AS (SELECT p_size AS scope, CASE WHEN p_partkey % 10 = 0 THEN 'method' ELSE 'constructor' END AS kind, replace(p_name, ' ', '') AS name, p_type AS result FROM part)"""
 
 
 def canonical_index(spark, sf_dir):
@@ -119,39 +124,35 @@ def canonical_index(spark, sf_dir):
 def canonical_apply(spark, sf_dir):
     types = B.load(spark, sf_dir, _TYPES, "SELECT scope, type FROM types")
     preds = canonical.predicate_index(B.load(spark, sf_dir, _TYPES, "SELECT * FROM objects"), types, ["scope"])
-    use = B.load(spark, sf_dir, _TYPES, "SELECT scope, k, CASE k % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'flags.2?Vector<' || lower(type) || '>' WHEN 2 THEN 'Vector<Vector<' || upper(type) || '>>' WHEN 3 THEN 'x.unknown' || k ELSE lower(type) END AS type FROM types")
+    use = B.load(spark, sf_dir, _TYPES, "SELECT scope, k, CASE k % 6 WHEN 0 THEN 'int' WHEN 1 THEN 'flags.2?Vector<' || lower(type) || '>' WHEN 2 THEN 'Vector<Vector<' || upper(type) || '>>' WHEN 3 THEN 'x.unknown' || k WHEN 4 THEN 'y.' || upper(nm) ELSE lower(type) END AS type FROM types")
     return canonical.canonical_types(use, canonical.spelling_index(types, ["scope"]), preds, ["scope"])
 
 
-_RENAMES = "renames AS (SELECT 'Brand' || substr(p_brand, 7) AS new_name, min('old' || p_type) AS old_name FROM part WHERE p_partkey % 7 = 0 GROUP BY 1)"
+_RENAMES = "renames AS (SELECT 'Brand' || substr(p_brand, 7) AS new_name, min('old' || p_type) AS old_name FROM part WHERE p_partkey % 7 = 0 GROUP BY 1 UNION ALL SELECT 'A', 'olda')"
 
 
 def rename_propagate(spark, sf_dir):
-    old, _, _ = _pair(spark, sf_dir)
+    """All years' objects as one scope: a name stands there once a year, with other parameters each time."""
     renames = B.load(spark, sf_dir, _RENAMES, "SELECT 'main' AS api, new_name, old_name FROM renames")
-    out = canonical.propagate_renames(old.select("api", "name", "result", "params"), renames, ["api"])
-    return out.select("api", "name", "result", F.size("params").alias("n_params"))
+    out = canonical.propagate_renames(B.snapshots(spark, sf_dir), renames, ["api"])
+    return out.select("version", "api", "name", "result", F.trim(D.params_text(F.col("params"))).alias("params"))
 
 
 _RULES = "rules AS (SELECT p_partkey AS id, 'fixed.' || p_partkey AS name, p_type AS result FROM part WHERE p_partkey % 13 = 0)"
 
 
 def override_apply(spark, sf_dir):
-    old, _, _ = _pair(spark, sf_dir)
     rules = B.load(spark, sf_dir, _RULES, "SELECT * FROM rules").withColumn("params", F.array().cast("array<struct<name:string,type:string>>"))
-    return canonical.apply_overrides(old, rules, []).select("id", "name", "result", "overridden", F.size("params").alias("n_params"))
+    return canonical.apply_overrides(B.snapshots(spark, sf_dir), rules, ["version"]).select("version", "id", "name", "result", "overridden", F.size("params").alias("n_params"))
 
 
 def override_stale(spark, sf_dir):
-    old, _, _ = _pair(spark, sf_dir)
-    return canonical.stale_overrides(old, B.load(spark, sf_dir, _RULES, "SELECT * FROM rules")).select("id", "name")
+    return canonical.stale_overrides(B.snapshots(spark, sf_dir), B.load(spark, sf_dir, _RULES, "SELECT * FROM rules")).select("id", "name")
 
 
 def deprecation_filter(spark, sf_dir):
-    _, new, _ = _pair(spark, sf_dir)
     removed = history.removed_ids_except(B.load(spark, sf_dir, B.RELEASED, "SELECT * FROM released"))
-    names = [r for r in ("small_ring0", "red_widget1")]
-    return repair.drop_deprecated(new, names, removed).select("api", "id", "name")
+    return repair.drop_deprecated(B.snapshots(spark, sf_dir), ["small_ring0", "red_widget1"], removed).select("version", "api", "id", "name")
 
 
 def api_split(spark, sf_dir):
@@ -180,35 +181,36 @@ def newer_upstream(spark, sf_dir):
     return state.newer_upstream(rows, ["scope"])
 
 
+#: Every year is merged into the year before; incoming rows come in another order, some under the name of a type, and secret ones are of the base's layer.
 _MERGE = (
     B.SNAP
-    + """, base AS (SELECT * FROM snap WHERE version = 1999),
-    incoming AS (SELECT api, kind, id, CASE WHEN pos % 19 = 0 THEN name || '_renamed' ELSE name END AS name, result, pos, 'os' || (pos % 3) AS os, api = 'e2e' AS same_layer FROM snap WHERE version = 2000),
-    pin AS (SELECT 'os' || (b.pos % 3) AS os, b.name, CASE WHEN b.pos % 34 = 0 THEN b.pos + 1000003 * 10 ELSE 5 END AS old_id, CASE WHEN b.pos % 51 = 0 THEN 1 ELSE b.id END AS new_id FROM base b WHERE b.pos % 17 = 0 AND b.pos % 3 > 0),
-    gone AS (SELECT id FROM incoming WHERE pos % 17 = 0 AND pos % 5 = 0)"""
+    + """, yr AS (SELECT DISTINCT version FROM snap), pairs AS (SELECT a.version FROM yr a JOIN yr b ON a.version = b.version + 1),
+    base AS (SELECT snap.version + 1 AS version, api, kind, id, name, result, pos FROM snap JOIN pairs ON snap.version + 1 = pairs.version),
+    incoming AS (SELECT snap.version, api, kind, id, CASE WHEN pos % 190 = 0 THEN result WHEN pos % 19 = 0 THEN name || '_renamed' ELSE name END AS name, result, pos * 7919 % 1000003 AS pos, 'os' || (pos % 3) AS os, api = 'e2e' AS same_layer, pos AS own FROM snap JOIN pairs ON snap.version = pairs.version),
+    pin AS (SELECT 'os' || (b.pos % 3) AS os, b.name, CASE WHEN b.pos % 34 = 0 THEN b.pos + 1000003 * 10 ELSE 5 END AS old_id, CASE WHEN b.pos % 51 = 0 THEN 1 ELSE b.id END AS new_id FROM base b WHERE b.version = 2000 AND b.pos % 17 = 0 AND b.pos % 3 > 0),
+    gone AS (SELECT id FROM incoming WHERE own % 17 = 0 AND own % 5 = 0)"""
 )
 
 
 def _merge_inputs(spark, sf_dir):
-    snap = B.snapshots(spark, sf_dir)
-    base = snap.where("version = 1999").select(F.lit("s").alias("source"), "api", "kind", "id", "name", "result", "pos", "params")
-    held = snap.where("version = 2000").select("pos", "params")
-    incoming = B.load(spark, sf_dir, _MERGE, "SELECT 's' AS source, incoming.* FROM incoming").join(held, "pos")
+    old, new = _sides(spark, sf_dir)
+    base = old.select("version", "api", "kind", "id", "name", "result", "pos", "params")
+    incoming = B.load(spark, sf_dir, _MERGE, "SELECT * FROM incoming").join(new.select("version", F.col("pos").alias("own"), "params"), ["version", "own"]).drop("own")
     return base, incoming, B.load(spark, sf_dir, _MERGE, "SELECT * FROM pin"), B.load(spark, sf_dir, _MERGE, "SELECT * FROM gone")
 
 
 def merge_full(spark, sf_dir):
-    out = merge.merged_objects(*_merge_inputs(spark, sf_dir), ["source"], True)
-    return out.select("api", "kind", "id", "name", "result", "place")
+    out = merge.merged_objects(*_merge_inputs(spark, sf_dir), ["version"], True)
+    return out.select("version", "api", "kind", "id", "name", "result", "place")
 
 
 def merge_incoming_order(spark, sf_dir):
-    out = merge.merged_objects(*_merge_inputs(spark, sf_dir), ["source"], False)
-    return out.select("api", "kind", "id", "name", "result", "place")
+    out = merge.merged_objects(*_merge_inputs(spark, sf_dir), ["version"], False)
+    return out.select("version", "api", "kind", "id", "name", "result", "place")
 
 
 def merge_pin_ops(spark, sf_dir):
-    return merge.pin_operations(merge.decided(*_merge_inputs(spark, sf_dir), ["source"]))
+    return merge.pin_operations(merge.decided(*_merge_inputs(spark, sf_dir), ["version"]))
 
 
 def _lists(spark, sf_dir):
@@ -245,31 +247,72 @@ def name_repair(spark, sf_dir):
     return repair.repair_names(objects, ["source"]).select("source", "pos", "name", "result", "repaired")
 
 
+#: Years as layers of one snapshot, the first of them as layer 0; some results are X and t, some methods have a namespace.
+_LAYERS = """lay AS (SELECT api, kind, id, pos, CASE WHEN pos % 4 = 0 THEN 'ns' || (pos % 9) || '.' || name ELSE name END AS name, CASE version % 3 WHEN 0 THEN 7 WHEN 1 THEN 0 ELSE 9 END AS layer, 5 AS own_layer, version,
+      CASE pos % 50 WHEN 0 THEN 'X' WHEN 1 THEN 'Vector t' ELSE result END AS result FROM snap WHERE version >= 1999)"""
+
+
+def _layered(spark, sf_dir):
+    rows = B.load(spark, sf_dir, f"{B.SNAP}, {_LAYERS}", "SELECT * FROM lay")
+    return rows.join(B.snapshots(spark, sf_dir).select("version", "pos", "params"), ["version", "pos"])
+
+
 def render_groups(spark, sf_dir):
-    snap = B.snapshots(spark, sf_dir).where(F.col("version").isin(_OLD, _NEW))
-    layered = snap.withColumn("layer", F.when(F.col("version") == _NEW, 2).otherwise(1)).withColumn("params", F.slice("params", 1, 2)).drop("version")
-    return render.rendered_lines(layered, ["api"])
+    return render.rendered_lines(_layered(spark, sf_dir), ["api"], "own_layer")
 
 
-def snapshot_roundtrip(spark, sf_dir):
-    """All years saved and loaded again."""
-    import uuid
+def render_text(spark, sf_dir):
+    return render.rendered_text(_layered(spark, sf_dir), ["api"], "own_layer")
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
 
-        root = tempfile.mkdtemp(prefix="snapshots-")
-    path = f"{root.rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+def snapshot_roundtrip(spark, sf_dir):
+    """All years saved and loaded again."""
+    path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
     state.save_snapshot(B.snapshots(spark, sf_dir), path, ["version"])
     out = state.load_snapshot(spark, path, ["version"])
     return out.select("version", "api", "kind", "id", "name", "result", "position", F.size("params").alias("n_params"), F.length(D.params_text(F.col("params"))).alias("params_chars"))
 
 
+def _roles(snap):
+    """Two years have a role, the others none."""
+    role = F.when(F.col("version") == 1998, "stable").when(F.col("version") == 2000, "preview")
+    return snap.select("version").distinct().withColumn("role", role)
+
+
+def snapshot_of_role(spark, sf_dir):
+    path, snap = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}", B.snapshots(spark, sf_dir)
+    state.save_snapshot(snap, path, ["version"])
+    out = state.load_role(spark, path, _roles(snap), "preview", ["version"])
+    return out.select("version", "api", "kind", "id", "name", "position", F.size("params").alias("n_params"))
+
+
+def import_summary(spark, sf_dir):
+    """Counts of the snapshots that are kept because they have a role."""
+    snap = B.snapshots(spark, sf_dir)
+    return state.import_summary(state.without_unreferenced(snap, _roles(snap), ["version"]), ["version"])
+
+
+def point_lookup(spark, sf_dir):
+    wanted = B.load(spark, sf_dir, _PINS, "SELECT DISTINCT os, name FROM ops")
+    return state.lookup(B.load(spark, sf_dir, _PINS, "SELECT * FROM pins"), wanted, ["os", "name"])
+
+
+def flag_types(spark, sf_dir):
+    rows = B.load(spark, sf_dir, "one AS (SELECT 1 AS x)", "SELECT p_partkey AS k, p_type AS type FROM part")
+    word = F.concat(F.lit("flags"), F.when(F.col("k") % 3 == 0, "").otherwise((F.col("k") % 3).cast("string")))
+    return rows.select("k", ids.flag_type(word, F.col("k") % 32, F.col("type")).alias("type"))
+
+
+def source_names(spark, sf_dir):
+    rows = B.load(spark, sf_dir, "one AS (SELECT 1 AS x)", "SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'tdesktop' WHEN 1 THEN 'android' WHEN 2 THEN 'ios' WHEN 3 THEN 'tdlib' ELSE 'web' END AS source, p_size || '.' || (p_partkey % 9) AS version FROM part")
+    c = F.col("source")
+    return rows.select("k", naming.source_name(c).alias("name"), naming.source_name(c, True).alias("short"), naming.shown_version(c, F.col("version"), F.col("k")).alias("version"))
+
+
 _FNS = (
-    snapshot_diff, param_diff, diff_all_years, diff_stats, publish_gate, changelog_lines, context_topk, report_links, removed_ids, removed_ids_except, release_catalog, recent_trim, role_rotate, baseline_pick,
+    snapshot_diff, param_diff, diff_all_years, diff_stats, publish_gate, changelog_lines, page_items, context_topk, report_links, removed_ids, removed_ids_except, release_catalog, recent_trim, role_rotate, baseline_pick,
     canonical_index, canonical_apply, rename_propagate, override_apply, override_stale, deprecation_filter, api_split, pins_apply, state_writes, newer_upstream, merge_full, merge_incoming_order, merge_pin_ops,
-    flag_bool_order, merge_params_same, merge_params_changed, name_repair, render_groups, snapshot_roundtrip,
+    flag_bool_order, merge_params_same, merge_params_changed, name_repair, render_groups, render_text, snapshot_roundtrip, snapshot_of_role, import_summary, point_lookup, flag_types, source_names,
 )
 QUERIES = {f.__name__: f for f in _FNS}
 
@@ -281,26 +324,48 @@ _DIFF = f"""{_S}, old_p AS (SELECT version, pk, pname, ptype FROM sold), pairs A
     pj AS (SELECT coalesce(b.version, a.version + 1) AS version, coalesce(a.pk, b.pk) AS pos, coalesce(a.pname, b.pname) AS p, a.ptype AS ot, b.ptype AS nt FROM sold a FULL JOIN sold b ON a.version + 1 = b.version AND a.pk = b.pk AND a.pname = b.pname),
     pc AS (SELECT version, pos, count(*) FILTER (ot IS NULL) AS n_new, count(*) FILTER (nt IS NULL) AS n_removed, count(*) FILTER (ot <> nt) AS n_changed,
       coalesce(string_agg(p, ',' ORDER BY p) FILTER (ot IS NULL), '') AS new_fields, coalesce(string_agg(p, ',' ORDER BY p) FILTER (nt IS NULL), '') AS removed_fields, coalesce(string_agg(p || ':' || ot || '>' || nt, ',' ORDER BY p) FILTER (ot <> nt), '') AS changed_fields,
-      string_agg(p, ', ' ORDER BY p) FILTER (ot IS NULL) AS a_txt, string_agg(p, ', ' ORDER BY p) FILTER (nt IS NULL) AS r_txt, string_agg(p || ': ' || ot || ' -> ' || nt, '; ' ORDER BY p) FILTER (ot <> nt) AS c_txt FROM pj GROUP BY 1, 2),
+      string_agg(p, ', ' ORDER BY p) FILTER (ot IS NULL) AS a_txt, string_agg(p, ', ' ORDER BY p) FILTER (nt IS NULL) AS r_txt, string_agg(p || ': ' || ot || ' -> ' || nt, '; ' ORDER BY p) FILTER (ot <> nt) AS c_txt, string_agg(p || ' from ' || ot || ' to ' || nt, ', ' ORDER BY p) FILTER (ot <> nt) AS f_txt FROM pj GROUP BY 1, 2),
     d0 AS (SELECT j.*, CASE WHEN oname IS NULL THEN 'new' WHEN nname IS NULL THEN 'deleted' WHEN ores <> nres OR n_new + n_removed + n_changed > 0 THEN 'changed' END AS change, pc.* EXCLUDE (version, pos) FROM j LEFT JOIN pc USING (version, pos)),
     d AS (SELECT * REPLACE (CASE WHEN change = 'changed' THEN n_new END AS n_new, CASE WHEN change = 'changed' THEN n_removed END AS n_removed, CASE WHEN change = 'changed' THEN n_changed END AS n_changed),
       CASE WHEN change = 'changed' AND ores <> nres THEN ores END AS old_result, CASE WHEN change = 'changed' AND ores <> nres THEN nres END AS new_result FROM d0 WHERE change IS NOT NULL)"""
 _R = f"WITH {B.RELEASED}"
 _EMPTY = "coalesce(len(list_filter(string_split(x, ' '), lambda y: y <> '')), 0)"
+_EXTRA = {
+    "snapshot_of_role": _S + """, p AS (SELECT version, pk AS pos, count(*) AS c FROM sold GROUP BY 1, 2) SELECT version, api, kind, id, name, row_number() OVER (PARTITION BY version ORDER BY CASE api WHEN 'main' THEN 1 ELSE 2 END, CASE kind WHEN 'constructor' THEN 1 ELSE 2 END, pos) - 1 AS position, c AS n_params FROM snap JOIN p USING (version, pos) WHERE version = 2000""",
+    "import_summary": _S + """ SELECT version, count(*) FILTER (api = 'main' AND kind = 'constructor') AS main_constructors, count(*) FILTER (api = 'main' AND kind = 'method') AS main_methods, count(*) FILTER (api = 'e2e' AND kind = 'constructor') AS e2e_constructors, count(*) FILTER (api = 'e2e' AND kind = 'method') AS e2e_methods
+        FROM snap WHERE version IN (1998, 2000) GROUP BY version""",
+    "point_lookup": f"WITH {_PINS} SELECT o.os, o.name, p.old_id, p.new_id, p.name IS NOT NULL AS found FROM (SELECT DISTINCT os, name FROM ops) o LEFT JOIN pins p ON p.os = o.os AND p.name = o.name",
+    "flag_types": "SELECT p_partkey AS k, 'flags' || CASE p_partkey % 3 WHEN 0 THEN '' ELSE (p_partkey % 3)::VARCHAR END || '.' || (p_partkey % 32) || '?' || p_type AS type FROM part",
+    "source_names": """SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN 'Telegram Desktop' WHEN 1 THEN 'Telegram for Android' WHEN 2 THEN 'Telegram for iOS' WHEN 3 THEN 'TDLib' ELSE '' END AS name, CASE p_partkey % 5 WHEN 0 THEN 'TDesktop' WHEN 1 THEN 'Android' WHEN 2 THEN 'iOS' WHEN 3 THEN 'TDLib' ELSE '' END AS short,
+        CASE WHEN p_partkey % 5 IN (0, 3) THEN p_size || '.' || (p_partkey % 9) WHEN p_partkey % 5 IN (1, 2) THEN p_size || '.' || (p_partkey % 9) || ' (' || p_partkey || ')' ELSE '' END AS version FROM part""",
+}
+_RENDERED = f"""{_LAYERS}, p AS (SELECT version, pk AS pos, string_agg(' ' || pname || ':' || ptype, '' ORDER BY pname) AS txt FROM sold GROUP BY 1, 2),
+    l AS (SELECT lay.* REPLACE (CASE layer WHEN 0 THEN 5 ELSE layer END AS layer), p.txt, CASE WHEN result = 'X' THEN 'X' WHEN kind = 'method' THEN split_part(name, '.', 1) ELSE result END AS grp FROM lay JOIN p USING (version, pos)),
+    g AS (SELECT *, min(pos) OVER (PARTITION BY api, kind, layer, grp) AS group_rank, max(layer) OVER (PARTITION BY api, kind, name) AS top FROM l),
+    lined AS (SELECT api, kind, layer, group_rank, pos, name || CASE WHEN layer < top THEN layer::VARCHAR ELSE '' END || '#' || lower(to_hex(id)) || CASE result WHEN 'X' THEN ' {{X:Type}}' WHEN 'Vector t' THEN ' {{t:Type}} # [ t ]' ELSE '' END || txt || ' = ' || result || ';' AS line FROM g)"""
 ORACLES = {
-    "snapshot_diff": _DIFF + f" SELECT api, kind, name, id, change, old_result, new_result FROM d WHERE version = {_NEW}",
-    "param_diff": _DIFF + f" SELECT name, new_fields, removed_fields, changed_fields FROM d WHERE version = {_NEW} AND change = 'changed'",
+    "snapshot_diff": _DIFF + " SELECT version, api, kind, name, id, change, old_result, new_result FROM d",
+    "param_diff": _DIFF + " SELECT version, name, new_fields, removed_fields, changed_fields FROM d WHERE change = 'changed'",
     "diff_all_years": _DIFF + " SELECT version, api, kind, name, id, change, n_new, n_removed, n_changed, old_result, new_result FROM d",
     "diff_stats": _DIFF + """ SELECT version, CASE WHEN grouping(api) = 1 THEN 'all' ELSE api END AS api, CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS kind, count(*) FILTER (change = 'new') AS additions, count(*) FILTER (change = 'changed') AS changes, count(*) FILTER (change = 'deleted') AS deletions
         FROM d GROUP BY GROUPING SETS ((version, api, kind), (version, api), (version))""",
     "publish_gate": _DIFF + " SELECT version, 5 AS layer, 3 AS prev_layer, count(*) AS differences FROM d WHERE change <> 'deleted' AND version % 3 <> 0 GROUP BY version",
-    "changelog_lines": _DIFF + f""" SELECT api, kind, CASE change WHEN 'new' THEN '+ ' WHEN 'deleted' THEN '- ' ELSE '~ ' END || name || CASE WHEN change = 'changed' THEN ' (' || concat_ws('; ', 'added: ' || a_txt, 'removed: ' || r_txt, c_txt, 'returns: ' || old_result || ' -> ' || new_result) || ')' ELSE '' END AS line FROM d WHERE version = {_NEW}""",
-    "context_topk": _DIFF + f""", objs AS (SELECT *, row_number() OVER (PARTITION BY api, result ORDER BY CASE kind WHEN 'constructor' THEN 1 ELSE 2 END, pos) AS turn FROM snap WHERE version = {_OLD}),
-        used AS (SELECT DISTINCT d.api, d.nres AS result FROM d WHERE version = {_NEW} AND change <> 'deleted'), hit AS (SELECT objs.* FROM objs JOIN used USING (api, result) WHERE turn <= 4),
-        per AS (SELECT api, result, coalesce(sum(count(*)) OVER (PARTITION BY api ORDER BY result ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hit GROUP BY api, result)
-        SELECT api, result, turn, name FROM hit JOIN per USING (api, result) WHERE before < 400""",
-    "report_links": _DIFF + f""", nw AS (SELECT * FROM snap WHERE version = {_NEW}) SELECT d.api, d.kind, d.name, d.change, 'https://example.org/' || l.id AS link, 'about ' || t.name AS description FROM d LEFT JOIN (SELECT api, kind, id FROM nw WHERE id % 2 = 0) l USING (api, kind, id)
-        LEFT JOIN (SELECT name FROM nw WHERE pos % 3 = 0) t ON t.name = d.name WHERE d.version = {_NEW}""",
+    "changelog_lines": _DIFF + """, txt AS (SELECT version, pk AS pos, string_agg(' ' || pname || ':' || ptype, '' ORDER BY pname) AS txt FROM sold GROUP BY 1, 2), full_ AS (SELECT d.*, coalesce(a.txt, b.txt) AS txt, coalesce(nres, ores) AS res FROM d LEFT JOIN txt a ON change <> 'deleted' AND a.version = d.version AND a.pos = d.pos LEFT JOIN txt b ON change = 'deleted' AND b.version = d.version - 1 AND b.pos = d.pos)
+        SELECT version, CASE change WHEN 'new' THEN 'added' WHEN 'deleted' THEN 'removed' ELSE 'changed' END AS section, CASE api WHEN 'e2e' THEN '[e2e] ' ELSE '' END || name || '#' || lower(to_hex(id)) || txt || ' = ' || res || ';' || CASE WHEN change = 'changed' THEN ' (' || concat_ws('; ', 'added: ' || a_txt, 'removed: ' || r_txt, c_txt, 'returns: ' || old_result || ' -> ' || new_result) || ')' ELSE '' END AS line FROM full_""",
+    "page_items": _DIFF + """ SELECT version, api, kind, CASE change WHEN 'new' THEN 'added' ELSE 'removed' END AS section, 'object' AS item, name, '' AS text FROM d WHERE change <> 'changed'
+        UNION ALL SELECT version, api, kind, 'changed', 'fields', name, concat_ws('; ', 'added ' || a_txt, 'removed ' || r_txt, 'changed ' || f_txt) FROM d WHERE change = 'changed' AND n_new + n_removed + n_changed > 0
+        UNION ALL SELECT version, api, kind, 'changed', 'result', name, 'from ' || old_result || ' to ' || new_result FROM d WHERE new_result IS NOT NULL""",
+    "context_topk": f"""{_S}, {_CONTEXT}, pairs AS (SELECT a.version FROM (SELECT DISTINCT version FROM snap) a JOIN (SELECT DISTINCT version FROM snap) b ON b.version = a.version - 1), c AS (SELECT * REPLACE (result || '_' || (pos % 7) AS result) FROM snap),
+        moved AS (SELECT DISTINCT coalesce(b.version, a.version + 1) AS version, coalesce(a.pos, b.pos) AS pos FROM cpar a FULL JOIN cpar b ON a.version + 1 = b.version AND a.pos = b.pos AND a.pname = b.pname WHERE a.ptype IS DISTINCT FROM b.ptype),
+        dif AS (SELECT n.* FROM c n JOIN pairs USING (version) LEFT JOIN c o ON o.version = n.version - 1 AND o.pos = n.pos LEFT JOIN moved m ON m.version = n.version AND m.pos = n.pos WHERE o.pos IS NULL OR o.result <> n.result OR m.pos IS NOT NULL),
+        use_ AS (SELECT version, api, kind, pos, 0 AS i, result AS t FROM dif UNION ALL SELECT d.version, d.api, d.kind, d.pos, row_number() OVER (PARTITION BY d.version, d.pos ORDER BY p.pname), p.ptype FROM dif d JOIN cpar p USING (version, pos)),
+        seq AS (SELECT *, CASE api WHEN 'main' THEN 1 ELSE 2 END AS ka, CASE kind WHEN 'method' THEN 1 ELSE 2 END AS kk, regexp_replace(regexp_replace(regexp_replace(t, '^flags\\d*\\.\\d+\\?', ''), '^Vector<(.*)>$', '\\1'), '^[%!]+', '') AS result FROM use_),
+        ord AS (SELECT *, row_number() OVER (PARTITION BY version ORDER BY ka, kk, pos, i) AS at_ FROM seq WHERE result <> 'int'), first_ AS (SELECT version, result, min(at_) AS at_ FROM ord GROUP BY 1, 2),
+        objs AS (SELECT *, row_number() OVER (PARTITION BY version, result ORDER BY CASE api WHEN 'main' THEN 1 ELSE 2 END, CASE kind WHEN 'constructor' THEN 1 ELSE 2 END, pos) AS turn FROM c JOIN pairs USING (version)), hit AS (SELECT o.*, f.at_ FROM objs o JOIN first_ f USING (version, result) WHERE turn <= 4),
+        per AS (SELECT version, result, coalesce(sum(count(*)) OVER (PARTITION BY version ORDER BY min(at_) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM hit GROUP BY version, result)
+        SELECT version, result, (before + turn - 1)::BIGINT AS place, name FROM hit JOIN per USING (version, result) WHERE before < 400""",
+    "report_links": _DIFF + """ SELECT d.version, d.api, d.kind, d.name, d.change, 'https://example.org/' || l.id AS link, 'about ' || t.name AS description FROM d LEFT JOIN (SELECT version, api, kind, id FROM n WHERE id % 2 = 0) l ON l.version = d.version AND l.api = d.api AND l.kind = d.kind AND l.id = d.id
+        LEFT JOIN (SELECT name FROM n WHERE version = 2000 AND pos % 3 = 0) t ON t.name = d.name""",
     "removed_ids": _R + """, steps AS (SELECT layer, lead(layer) OVER (ORDER BY layer) AS next FROM (SELECT DISTINCT layer FROM released)) SELECT DISTINCT r.id FROM released r JOIN steps s ON r.layer = s.layer WHERE s.next IS NOT NULL
         AND NOT EXISTS (SELECT 1 FROM released n WHERE n.layer = s.next AND n.id = r.id) AND NOT EXISTS (SELECT 1 FROM released n WHERE n.layer = (SELECT max(layer) FROM released) AND n.id = r.id)""",
     "removed_ids_except": _R + " SELECT id FROM released EXCEPT SELECT id FROM released WHERE layer = (SELECT max(layer) FROM released)",
@@ -311,15 +376,16 @@ ORACLES = {
     "baseline_pick": _R + """, h AS (SELECT id AS source, max(layer) AS layer, min(layer) AS low FROM released GROUP BY id) SELECT source, layer, CASE WHEN layer >= 1999 AND source % 3 <> 0 THEN low ELSE layer - 1 END AS baseline FROM h""",
     "canonical_index": f"WITH {_TYPES} SELECT scope, lower(regexp_extract(type, '([^.]*)$', 1)) AS low, min(type) AS spelling FROM types GROUP BY 1, 2 HAVING count(DISTINCT type) = 1",
     "canonical_apply": f"""WITH {_TYPES}, idx AS (SELECT scope, lower(regexp_extract(type, '([^.]*)$', 1)) AS low, min(type) AS spelling FROM types GROUP BY 1, 2 HAVING count(DISTINCT type) = 1),
-        u AS (SELECT scope, k, type AS t0, CASE k % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'flags.2?Vector<' || lower(type) || '>' WHEN 2 THEN 'Vector<Vector<' || upper(type) || '>>' WHEN 3 THEN 'x.unknown' || k ELSE lower(type) END AS type,
-          CASE k % 5 WHEN 0 THEN 'int' WHEN 2 THEN upper(type) WHEN 3 THEN 'x.unknown' || k ELSE lower(type) END AS bare FROM types),
-        f AS (SELECT u.*, CASE WHEN bare = 'int' THEN 'int' ELSE coalesce(idx.spelling, CASE WHEN contains(bare, '.') THEN split_part(bare, '.', 1) || '.' || upper(split_part(bare, '.', 2)[1]) || split_part(bare, '.', 2)[2:] ELSE upper(bare[1]) || bare[2:] END) END AS c
-          FROM u LEFT JOIN idx ON idx.scope = u.scope AND idx.low = lower(regexp_extract(bare, '([^.]*)$', 1)))
-        SELECT scope, k, type, CASE k % 5 WHEN 1 THEN 'flags.2?Vector<' || c || '>' WHEN 2 THEN 'Vector<Vector<' || c || '>>' ELSE c END AS canonical FROM f""",
-    "rename_propagate": f"{_S}, {_RENAMES}, np AS (SELECT pk AS pos, count(*) AS c FROM sold WHERE version = {_OLD} GROUP BY pk) SELECT api, name, coalesce(CASE WHEN api = 'main' THEN old_name END, result) AS result, c AS n_params FROM snap JOIN np USING (pos) LEFT JOIN renames ON new_name = result WHERE version = {_OLD}",
-    "override_apply": f"{_S}, {_RULES}, np AS (SELECT pk AS pos, count(*) AS c FROM sold WHERE version = {_OLD} GROUP BY pk) SELECT s.id, coalesce(r.name, s.name) AS name, coalesce(r.result, s.result) AS result, r.id IS NOT NULL AS overridden, CASE WHEN r.id IS NULL THEN c ELSE 0 END AS n_params FROM snap s JOIN np USING (pos) LEFT JOIN rules r ON r.id = s.id WHERE version = {_OLD}",
-    "override_stale": f"{_S}, {_RULES} SELECT id, name FROM rules WHERE id NOT IN (SELECT id FROM snap WHERE version = {_OLD})",
-    "deprecation_filter": f"{_S}, {B.RELEASED}, gone AS (SELECT id FROM released EXCEPT SELECT id FROM released WHERE layer = (SELECT max(layer) FROM released)) SELECT api, id, name FROM snap WHERE version = {_NEW} AND (api <> 'main' OR (name NOT IN ('small_ring0', 'red_widget1') AND id NOT IN (SELECT id FROM gone)))",
+        pred AS (SELECT scope, lower(name) AS low, min(result) AS spelling FROM objects o WHERE kind = 'constructor' AND NOT EXISTS (SELECT 1 FROM types t WHERE t.scope = o.scope AND lower(regexp_extract(t.type, '([^.]*)$', 1)) = lower(o.name)) GROUP BY 1, 2 HAVING count(DISTINCT result) = 1),
+        u AS (SELECT scope, k, type AS t0, CASE k % 6 WHEN 0 THEN 'int' WHEN 1 THEN 'flags.2?Vector<' || lower(type) || '>' WHEN 2 THEN 'Vector<Vector<' || upper(type) || '>>' WHEN 3 THEN 'x.unknown' || k WHEN 4 THEN 'y.' || upper(nm) ELSE lower(type) END AS type,
+          CASE k % 6 WHEN 0 THEN 'int' WHEN 2 THEN upper(type) WHEN 3 THEN 'x.unknown' || k WHEN 4 THEN 'y.' || upper(nm) ELSE lower(type) END AS bare FROM types),
+        s AS (SELECT u.*, coalesce(idx.spelling, pred.spelling, bare) AS c0 FROM u LEFT JOIN idx ON idx.scope = u.scope AND idx.low = lower(regexp_extract(bare, '([^.]*)$', 1)) LEFT JOIN pred ON pred.scope = u.scope AND pred.low = lower(regexp_extract(bare, '([^.]*)$', 1))),
+        f AS (SELECT *, CASE WHEN bare = 'int' THEN 'int' WHEN contains(c0, '.') THEN split_part(c0, '.', 1) || '.' || upper(split_part(c0, '.', 2)[1]) || split_part(c0, '.', 2)[2:] ELSE upper(c0[1]) || c0[2:] END AS c FROM s)
+        SELECT scope, k, type, CASE k % 6 WHEN 1 THEN 'flags.2?Vector<' || c || '>' WHEN 2 THEN 'Vector<Vector<' || c || '>>' ELSE c END AS canonical FROM f""",
+    "rename_propagate": f"{_S}, {_RENAMES}, np AS (SELECT version, pk AS pos, string_agg(pname || ':' || ptype, ' ' ORDER BY pname) AS main_, string_agg(pname || ':' || CASE ptype WHEN 'A' THEN 'olda' ELSE ptype END, ' ' ORDER BY pname) AS back FROM sold GROUP BY 1, 2) SELECT version, api, name, coalesce(CASE WHEN api = 'main' THEN old_name END, result) AS result, CASE WHEN api = 'main' THEN back ELSE main_ END AS params FROM snap JOIN np USING (version, pos) LEFT JOIN renames ON new_name = result",
+    "override_apply": f"{_S}, {_RULES}, np AS (SELECT version, pk AS pos, count(*) AS c FROM sold GROUP BY 1, 2) SELECT s.version, s.id, coalesce(r.name, s.name) AS name, coalesce(r.result, s.result) AS result, r.id IS NOT NULL AS overridden, CASE WHEN r.id IS NULL THEN c ELSE 0 END AS n_params FROM snap s JOIN np USING (version, pos) LEFT JOIN rules r ON r.id = s.id",
+    "override_stale": f"{_S}, {_RULES} SELECT id, name FROM rules WHERE id NOT IN (SELECT id FROM snap)",
+    "deprecation_filter": f"{_S}, {B.RELEASED}, gone AS (SELECT id FROM released EXCEPT SELECT id FROM released WHERE layer = (SELECT max(layer) FROM released)) SELECT version, api, id, name FROM snap WHERE api <> 'main' OR (name NOT IN ('small_ring0', 'red_widget1') AND id NOT IN (SELECT id FROM gone))",
     "api_split": "SELECT p_partkey AS k, CASE WHEN p_partkey % 6 = 0 THEN 'decryptedMessage' || p_partkey ELSE replace(p_name, ' ', '.') END AS name, CASE WHEN p_partkey % 6 = 0 OR p_partkey % 10 = 0 THEN 'e2e' ELSE 'main' END AS api FROM part",
     "pins_apply": f"WITH {_PINS}, kept AS (SELECT p.* FROM pins p WHERE NOT EXISTS (SELECT 1 FROM ops o WHERE o.op = 'delete' AND o.os = p.os AND o.name = p.name)) SELECT os, name, old_id, new_id FROM (SELECT *, row_number() OVER (PARTITION BY os, name ORDER BY seq DESC) AS n FROM (SELECT *, -1 AS seq FROM kept UNION ALL SELECT os, name, old_id, new_id, seq FROM ops WHERE op = 'create')) WHERE n = 1",
     "state_writes": _R + " SELECT DISTINCT layer, id FROM released WHERE id NOT IN (SELECT id FROM released WHERE id % 5 = 0)",
@@ -329,24 +395,24 @@ ORACLES = {
         SELECT k, 'flags:# ' || string_agg(nm || ':flags.' || bit || '?true', ' ' ORDER BY bit, i) || ' a:int w:flags2.1?true' AS params FROM u GROUP BY k""",
     "merge_params_changed": """SELECT p_partkey AS k, 'flags:# a:' || CASE WHEN p_partkey % 2 = 0 THEN 'Bool' ELSE 'flags.' || (p_partkey % 4) || '?true' END || ' n:flags.' || (p_partkey % 9) || '?true y:string' AS params FROM part""",
     "name_repair": f"WITH {B.decl('duckdb')} SELECT CAST(floor(k / 100.0) AS BIGINT) AS source, k AS pos, CASE WHEN m % 3 = 0 THEN 'ns.' || nm ELSE nm END AS name, CASE WHEN m % 3 = 0 THEN 'ns.' || res ELSE res END AS result, m % 3 < 2 AS repaired FROM decl",
-    "render_groups": _S + f""", l AS (SELECT *, CASE version WHEN {_NEW} THEN 2 ELSE 1 END AS lay FROM snap WHERE version IN ({_OLD}, {_NEW})), p AS (SELECT version, pk, ' ' || string_agg(pname || ':' || ptype, ' ' ORDER BY pname) AS txt FROM (SELECT *, row_number() OVER (PARTITION BY version, pk ORDER BY pname) AS i FROM sold) WHERE i <= 2 GROUP BY 1, 2),
-        g AS (SELECT l.*, p.txt, min(pos) OVER (PARTITION BY api, kind, lay, CASE WHEN kind = 'method' THEN '' ELSE result END) AS group_rank, max(lay) OVER (PARTITION BY api, kind, name) AS top FROM l JOIN p ON p.version = l.version AND p.pk = l.pos)
-        SELECT api, kind, lay AS layer, group_rank, pos, name || CASE WHEN lay < top THEN lay::VARCHAR ELSE '' END || '#' || lower(to_hex(id)) || txt || ' = ' || result || ';' AS line FROM g""",
+    "render_groups": f"""{_S}, {_RENDERED} SELECT api, kind, layer, group_rank, pos, line FROM lined""",
+    "render_text": f"""{_S}, {_RENDERED}, t1 AS (SELECT api, kind, layer, group_rank, string_agg(line, chr(10) ORDER BY pos, line) AS txt FROM lined GROUP BY ALL), t2 AS (SELECT api, kind, layer, string_agg(txt, chr(10) || chr(10) ORDER BY group_rank) AS txt FROM t1 GROUP BY ALL),
+        t3 AS (SELECT *, count(*) OVER (PARTITION BY api, kind) AS n FROM t2) SELECT api, kind, string_agg(CASE WHEN n > 1 THEN '// layer ' || layer || chr(10) ELSE '' END || txt, chr(10) || chr(10) ORDER BY layer) AS text FROM t3 GROUP BY api, kind""",
     "snapshot_roundtrip": _S + """, p AS (SELECT version, pk AS pos, count(*) AS c, sum(length(pname) + length(ptype) + 2) AS n FROM sold GROUP BY 1, 2) SELECT version, api, kind, id, name, result, row_number() OVER (PARTITION BY version ORDER BY CASE api WHEN 'main' THEN 1 ELSE 2 END, CASE kind WHEN 'constructor' THEN 1 ELSE 2 END, pos) - 1 AS position, c AS n_params, n AS params_chars FROM snap JOIN p USING (version, pos)""",
 }
 
 _DECIDED = f"""WITH {_MERGE}, r AS (SELECT i.*, coalesce(a.id, b.id) AS b_id, coalesce(a.name, b.name) AS b_name, coalesce(a.result, b.result) AS b_result, coalesce(a.pos, b.pos) AS b_pos, p.old_id AS po, p.new_id AS pn, g.id IS NOT NULL AS gone
-      FROM incoming i LEFT JOIN base a ON a.api = i.api AND a.kind = i.kind AND a.id = i.id LEFT JOIN base b ON b.api = i.api AND b.kind = i.kind AND b.name = i.name LEFT JOIN pin p ON p.os = i.os AND p.name = i.name LEFT JOIN (SELECT DISTINCT id FROM gone) g ON g.id = i.id),
+      FROM incoming i LEFT JOIN base a ON a.version = i.version AND a.api = i.api AND a.kind = i.kind AND a.id = i.id LEFT JOIN base b ON b.version = i.version AND b.api = i.api AND b.kind = i.kind AND b.name = i.name LEFT JOIN pin p ON p.os = i.os AND p.name = i.name LEFT JOIN (SELECT DISTINCT id FROM gone) g ON g.id = i.id),
     f AS (SELECT *, CASE WHEN b_id IS NULL THEN 'append' WHEN po IS NOT NULL AND pn = b_id AND po = id THEN 'skip' WHEN po IS NULL AND b_id <> id AND (same_layer OR gone) THEN 'skip' ELSE 'merge' END AS fate,
       CASE WHEN b_id IS NULL THEN NULL WHEN po IS NOT NULL AND pn <> b_id THEN 'delete' WHEN po IS NULL AND b_id <> id AND same_layer THEN 'create' END AS pin_op FROM r),
-    ren AS (SELECT name AS new_name, max_by(b_name, pos) AS old_name FROM f WHERE b_name <> name GROUP BY 1)"""
-_LEAF = "regexp_extract({}, '([^.]*)$', 1)"
+    ren AS (SELECT version, api, kind, name AS new_name, max_by(b_name, pos) AS old_name FROM f WHERE b_name <> name GROUP BY ALL)"""
+# each list of constructors or methods is merged and renamed by itself; without the base's order its secret objects come first, then the incoming ones
 _KEPT = f"""{_DECIDED}, h AS (SELECT * FROM f WHERE fate = 'merge'),
-    rows_ AS (SELECT b.api, b.kind, coalesce(h.id, b.id) AS id, b.name, CASE WHEN b.kind = 'method' AND regexp_matches(h.result, '^[A-Z]') AND lower(h.result) <> lower(b.result) THEN h.result ELSE b.result END AS result, 0 AS new_, '' AS hex_, b.pos, h.pos AS in_pos FROM base b LEFT JOIN h ON h.api = b.api AND h.kind = b.kind AND h.b_id = b.id
-      UNION ALL SELECT api, kind, id, name, result, 1, lower(to_hex(id)), pos, pos FROM f WHERE fate = 'append'),
-    named AS (SELECT rows_.* REPLACE (coalesce(ren.old_name, result) AS result) FROM rows_ LEFT JOIN ren ON ren.new_name = rows_.result)"""
-ORACLES |= {
+    rows_ AS (SELECT b.version, b.api, b.kind, coalesce(h.id, b.id) AS id, b.name, CASE WHEN b.kind = 'method' AND regexp_matches(h.result, '^[A-Z]') AND lower(h.result) <> lower(b.result) THEN h.result ELSE b.result END AS result, 0 AS new_, '' AS hex_, b.pos, h.pos AS in_pos FROM base b LEFT JOIN h ON h.version = b.version AND h.api = b.api AND h.kind = b.kind AND h.b_id = b.id
+      UNION ALL SELECT version, api, kind, id, name, result, 1, lower(to_hex(id)), pos, pos FROM f WHERE fate = 'append'),
+    named AS (SELECT rows_.* REPLACE (coalesce(ren.old_name, result) AS result) FROM rows_ LEFT JOIN ren ON ren.version = rows_.version AND ren.api = rows_.api AND ren.kind = rows_.kind AND ren.new_name = rows_.result)"""
+ORACLES |= _EXTRA | {
     "merge_pin_ops": _DECIDED + " SELECT os, name, pin_op AS op, CASE WHEN pin_op = 'create' THEN id END AS old_id, CASE WHEN pin_op = 'create' THEN b_id END AS new_id FROM f WHERE pin_op IS NOT NULL",
-    "merge_full": _KEPT + " SELECT api, kind, id, name, result, row_number() OVER (PARTITION BY api, kind ORDER BY new_, hex_, pos, id) - 1 AS place FROM named",
-    "merge_incoming_order": _KEPT + " SELECT api, kind, id, name, result, row_number() OVER (PARTITION BY api, kind ORDER BY coalesce(in_pos, pos + 1099511627776), id) - 1 AS place FROM named WHERE in_pos IS NOT NULL OR api = 'e2e'",
+    "merge_full": _KEPT + " SELECT version, api, kind, id, name, result, row_number() OVER (PARTITION BY version, api, kind ORDER BY new_, hex_, pos, id) - 1 AS place FROM named",
+    "merge_incoming_order": _KEPT + " SELECT version, api, kind, id, name, result, row_number() OVER (PARTITION BY version, api, kind ORDER BY CASE WHEN new_ = 0 AND api = 'e2e' THEN 0 ELSE 1 END, CASE WHEN new_ = 0 AND api = 'e2e' THEN pos ELSE in_pos END, id) - 1 AS place FROM named WHERE in_pos IS NOT NULL OR api = 'e2e'",
 }

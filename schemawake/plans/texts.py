@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import declarations as D
 from ..functions import naming as N
 from ..operators import changelog, classes, pages, parse
+from ..scratch import shared_dir
 from ..streaming import incremental as S
 from . import bindings as B
 
@@ -23,8 +24,8 @@ def class_filters(spark, sf_dir):
 
 
 def class_name_normalise(spark, sf_dir):
-    rows = B.load(spark, sf_dir, _ONE, _CLASSES).where("k % 7 in (0, 1, 2, 3, 6)")
-    name = N.class_name(F.col("class"), F.when(F.col("k") % 7 == 3, "TL_parts").otherwise(""))
+    rows = B.load(spark, sf_dir, _ONE, _CLASSES)
+    name = N.class_name(F.col("class"), F.when((F.col("k") % 7).isin(3, 4), "TL_parts").otherwise(""))
     return rows.select("k", name["name"].alias("name"), name["layer"].alias("layer"))
 
 
@@ -40,7 +41,7 @@ def java_type_map(spark, sf_dir):
 
 def inherit_members(spark, sf_dir):
     rows = B.load(spark, sf_dir, B.TREE, "SELECT * FROM tree")
-    return classes.inherited_members(spark, rows.select("class", "parent"), rows.select("class", "member", "value"))
+    return classes.inherited_members(rows.select("class", "parent"), rows.select("class", "member", "value"))
 
 
 def objects_of_classes(spark, sf_dir):
@@ -136,24 +137,23 @@ def dup_suppress(spark, sf_dir):
 
 def throttle_3s(spark, sf_dir):
     """Events at most once in 20 minutes per user (the test events are minutes apart)."""
-    return S.throttled(B.load(spark, sf_dir, _ONE, "SELECT event_id, user_id, ts FROM events"), "user_id", "ts", 1200.0).select("event_id", "user_id")
+    return S.throttled(B.load(spark, sf_dir, _ONE, "SELECT event_id, user_id, ts FROM events"), "user_id", ["ts", "event_id"], 1200.0).select("event_id", "user_id")
 
 
 def stream_ingest(spark, sf_dir):
-    """The events as a file stream, run to its end: per batch the new ones are written and the watermark after them; the result is what was written."""
-    import tempfile
-
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ingest-")).rstrip("/") + f"/ingest-{uuid.uuid4().hex}"
+    """The events as a file stream, delivered twice: per batch those above their source's watermark are written, then the watermark goes up; the result is what was written."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    B.load(spark, sf_dir, B.VER, "SELECT source, CAST(last_code AS BIGINT) AS last_code FROM marks").write.parquet(f"{root}/marks")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet" if _is_dir(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/events.parque[t]")
 
-    def process(batch, number):
-        batch.where("event_type <> 'error'").select("event_id", "user_id", "event_type").write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+    stream = stream.withColumns({"source": F.when(F.col("event_type") == "click", "android").otherwise(F.col("event_type")), "code": F.col("event_id")})
+    for turn in range(2):
 
-    def commit(batch, number):
-        batch.groupBy("event_type").agg(F.max("event_id").alias("last_code")).write.mode("overwrite").parquet(f"{root}/marks/batch={number}")
+        def process(batch, number, turn=turn):
+            batch.select("event_id", "user_id", "event_type").write.mode("overwrite").parquet(f"{root}/out/turn={turn}/batch={number}")
 
-    S.ingest(stream, process, commit, f"{root}/checkpoint")
+        S.ingest_new(stream, process, f"{root}/marks", f"{root}/checkpoint-{turn}")
     return spark.read.parquet(f"{root}/out").select("event_id", "user_id", "event_type")
 
 
@@ -178,13 +178,22 @@ def page_list_items(spark, sf_dir):
     return pages.list_items(_pages(spark, sf_dir))
 
 
+#: Pages as release notes: an older version's section, then one that has the page's own list, its end, or no list at all.
+_NOTES = """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 9999 ELSE 100 + page_id % 50 END AS version, replace(replace(html, '<nav><ul>', '<h3>Layer ' || (700 + page_id % 50) || '</h3><ul><li>old</li></ul><h3 id="x"><b>Layer</b> ' || (100 + page_id % 50) || '</h3><p>intro</p>' || CASE WHEN page_id % 4 = 1 THEN '<h5>end</h5>' ELSE '' END || '<ul>'),
+      '</ul></nav>', '</ul><ul><li>second</li></ul><h3>Layer ' || (100 + page_id % 50) || '</h3><ul><li>late</li></ul>') AS html FROM pages"""
+
+
+def page_version_section(spark, sf_dir):
+    return pages.version_section(B.load(spark, sf_dir, _ONE, _NOTES), "version")
+
+
 def page_links(spark, sf_dir):
     return pages.rebased_links(_pages(spark, sf_dir), "https://example.org")
 
 
 _FNS = (
     class_filters, class_name_normalise, param_name_fix, java_type_map, inherit_members, objects_of_classes, text_sanitise, described_reconcile, described_items, stats_lines, file_actions, line_index, dup_lines, line_split,
-    version_codes, watermark_new, watermark_advance, dispatch_one, announce, dup_suppress, throttle_3s, stream_ingest, page_tag_audit, page_tag_balance, page_list_items, page_links,
+    version_codes, watermark_new, watermark_advance, dispatch_one, announce, dup_suppress, throttle_3s, stream_ingest, page_tag_audit, page_tag_balance, page_list_items, page_version_section, page_links,
 )
 QUERIES = {f.__name__: f for f in _FNS}
 
@@ -195,8 +204,8 @@ ORACLES = {
     "class_filters": f"""WITH c AS ({_CLASSES}), l AS (SELECT * FROM c WHERE NOT regexp_matches(class, 'Old[0-9]*$|ToBeDeprecated$|(?i:ToDelete$)|Layer[0-9]+$|(?i:_legacy$)|(?i:^TL_contactLink)'))
         SELECT k, class, ((id >> 24) & 255) = ((id >> 16) & 255) AND ((id >> 16) & 255) = ((id >> 8) & 255) AS placeholder, lower(class[1]) || class[2:] AS lowered FROM l
         WHERE NOT (regexp_matches(class, '^\\S+[^0-9p][0-9]+$') AND regexp_replace(class, '[0-9]+$', '') IN (SELECT class FROM l))""",
-    "class_name_normalise": """SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 3 THEN 'parts.sold' || p_partkey ELSE replace(p_name, ' ', '.') || CASE WHEN p_partkey % 7 = 2 AND p_partkey % 300 < 100 THEN '.' || (p_partkey % 300) ELSE '' END END AS name,
-        CASE p_partkey % 7 WHEN 0 THEN p_partkey % 200 WHEN 1 THEN 1 WHEN 2 THEN CASE WHEN p_partkey % 300 >= 100 THEN p_partkey % 300 ELSE 0 END ELSE 0 END AS layer FROM part WHERE p_partkey % 7 IN (0, 1, 2, 3, 6)""",
+    "class_name_normalise": """SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 3 THEN 'parts.sold' || p_partkey WHEN p_partkey % 7 = 4 THEN 'parts.' || lower(p_type[1]) || upper(p_type[2:]) WHEN p_partkey % 7 = 5 THEN CASE WHEN starts_with(p_name, 'old') THEN '' ELSE replace(p_name, ' ', '') || 'Old' || (p_partkey % 10) END ELSE replace(p_name, ' ', '.') || CASE WHEN p_partkey % 7 = 2 AND p_partkey % 300 < 100 THEN '.' || (p_partkey % 300) ELSE '' END END AS name,
+        CASE p_partkey % 7 WHEN 0 THEN p_partkey % 200 WHEN 1 THEN 1 WHEN 2 THEN CASE WHEN p_partkey % 300 >= 100 THEN p_partkey % 300 ELSE 0 END WHEN 5 THEN CASE WHEN starts_with(p_name, 'old') THEN 1 ELSE 0 END ELSE 0 END AS layer FROM part""",
     "param_name_fix": """SELECT p_partkey AS k, CASE p_partkey % 8 WHEN 0 THEN 'isAdmin' WHEN 1 THEN 'is' || upper(p_type[1]) || lower(p_type[2:]) WHEN 2 THEN 'webPage' WHEN 3 THEN 'stickerItem' WHEN 4 THEN 'hash2' WHEN 5 THEN 'viaInvite' WHEN 6 THEN 'doc' ELSE lower(p_type) || 'BySize' END AS name,
         CASE p_partkey % 8 WHEN 0 THEN 'is_admin' WHEN 1 THEN lower(p_type) WHEN 2 THEN 'page' WHEN 3 THEN 'sticker' WHEN 4 THEN 'hash' WHEN 5 THEN 'via_request' WHEN 6 THEN 'id' ELSE lower(p_type) || '_by_size' END AS fixed FROM part""",
     "java_type_map": """SELECT p_partkey AS k, repeat('Vector<', p_partkey % 3) || CASE p_partkey % 6 WHEN 0 THEN 'int' WHEN 1 THEN 'Bool' WHEN 2 THEN 'bytes' WHEN 3 THEN 'long' ELSE upper(p_type[1]) || lower(p_type[2:]) END || repeat('>', p_partkey % 3) AS type FROM part""",
@@ -213,17 +222,21 @@ ORACLES = {
     "dup_lines": "SELECT line, count(*) AS n, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY 1 HAVING count(*) > 1",
     "line_split": r"WITH u AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'x': trim(x, E' \t\r'), 'i': i})) AS u FROM documents) SELECT CAST(doc_id AS VARCHAR) AS file, count(*) AS n, CAST(sum(u.i) AS BIGINT) AS line_sum, CAST(sum(length(u.x)) AS BIGINT) AS chars FROM u WHERE u.x <> '' AND NOT starts_with(u.x, '//') GROUP BY 1",
     "version_codes": _V + " SELECT code, version_name, list_reduce(list_transform(string_split(version_name, '.'), lambda x: coalesce(TRY_CAST(CASE WHEN regexp_matches(x, '^[0-9]+$') THEN x END AS BIGINT), 0)), lambda a, b: a * 100 + b) AS version_code FROM ver",
-    "watermark_new": _V + " SELECT v.source, v.code FROM ver v LEFT JOIN marks m USING (source) WHERE v.code > coalesce(m.last_code, 0) OR v.force",
-    "watermark_advance": _V + " SELECT source, max(code) AS last_code FROM (SELECT source, last_code AS code FROM marks UNION ALL SELECT v.source, v.code FROM ver v LEFT JOIN marks m USING (source) WHERE v.code > coalesce(m.last_code, 0) OR v.force) GROUP BY source",
+    "watermark_new": _V + " SELECT v.source, v.code FROM ver v LEFT JOIN marks m USING (source) WHERE v.code > coalesce(m.last_code, 0) OR (v.force AND v.source = 'android')",
+    "watermark_advance": _V + " SELECT source, max(code) AS last_code FROM (SELECT source, last_code AS code FROM marks UNION ALL SELECT v.source, v.code FROM ver v LEFT JOIN marks m USING (source) WHERE v.code > coalesce(m.last_code, 0) OR (v.force AND v.source = 'android')) GROUP BY source",
     "dispatch_one": "SELECT batch, source, code FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY r, code DESC) AS n FROM (SELECT user_id AS batch, event_id % 3 AS r, CASE event_id % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'lib' ELSE 'android' END AS source, event_id AS code FROM events WHERE user_id % 2 = 0 OR event_id % 3 = 2)) WHERE n = 1",
     "announce": f"WITH {B.RELEASED} SELECT id AS source, max(layer) AS layer FROM released WHERE id % 4 <> 0 GROUP BY id HAVING max(layer) > min(layer)",
     "dup_suppress": "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type",
-    "stream_ingest": "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'",
+    "throttle_3s": """WITH RECURSIVE e AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY 1, 2), n AS (SELECT e.user_id, e.ts, e.event_id, x.ts AS next_ts FROM e ASOF LEFT JOIN e x ON e.user_id = x.user_id AND e.ts + INTERVAL 1200 SECOND <= x.ts),
+        k AS (SELECT n.* FROM n JOIN (SELECT user_id, min(ts) AS ts FROM n GROUP BY 1) f USING (user_id, ts) UNION ALL SELECT n.* FROM k JOIN n ON n.user_id = k.user_id AND n.ts = k.next_ts) SELECT event_id, user_id FROM k""",
+    "stream_ingest": _V + " SELECT event_id, user_id, event_type FROM events e LEFT JOIN marks m ON m.source = CASE e.event_type WHEN 'click' THEN 'android' ELSE e.event_type END WHERE event_id > coalesce(last_code, 0)",
     "page_tag_audit": _TAGS + r""", a AS (SELECT page_id, tag, list_transform(regexp_extract_all(attrs, '([a-zA-Z-]+)\s*=', 1), lambda x: lower(x)) AS names, CASE tag WHEN 'a' THEN 'href' WHEN 'iframe' THEN 'src' WHEN 'img' THEN 'src' WHEN 'video' THEN 'src' END AS need FROM tags WHERE NOT closing)
         SELECT page_id, tag, count(*) AS n, tag IN ('a','aside','b','blockquote','br','code','em','figcaption','figure','h3','h4','hr','i','iframe','img','li','ol','p','pre','s','strong','u','ul','video') AS allowed, count(*) FILTER (need IS NOT NULL AND NOT list_contains(names, need)) AS missing_attr, count(*) FILTER (len(list_filter(names, lambda x: need IS NULL OR x <> need)) > 0) AS extra_attr FROM a GROUP BY page_id, tag""",
     "page_tag_balance": _TAGS + """, l AS (SELECT *, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, tag ORDER BY seq) AS level FROM tags WHERE tag NOT IN ('br', 'hr', 'img'))
         SELECT page_id, tag, count(*) FILTER (NOT closing) AS opened, count(*) FILTER (closing) AS closed, min(level) >= 0 AND sum(CASE WHEN closing THEN -1 ELSE 1 END) = 0 AS balanced FROM l GROUP BY page_id, tag""",
     "page_list_items": r"""WITH s AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1) AS items FROM pages), u AS (SELECT page_id, unnest(list_transform(CASE WHEN len(items) > 0 THEN items ELSE ['no changelog'] END, lambda x, i: {'x': x, 'i': i})) AS u FROM s)
         SELECT page_id, u.i - 1 AS pos, replace(replace(replace(replace(replace(regexp_replace(u.x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS item FROM u""",
+    "page_version_section": r"""WITH s AS (SELECT page_id, CASE WHEN page_id % 4 > 1 THEN regexp_extract(html, '(?s)<nav><ul>(.*?)</ul></nav>', 1) ELSE '' END AS items FROM pages)
+        SELECT page_id, items <> '' AS found, CASE WHEN items = '' THEN 'no changelog' ELSE trim(replace(replace(items, '<li>', '• '), '</li>', ''), E' \t\r\n') END AS text FROM s""",
     "page_links": """SELECT page_id, replace(html, 'href="/', 'href="https://example.org/') AS html, (length(html) - length(replace(html, 'href="/', ''))) // 7 AS links FROM pages""",
 }

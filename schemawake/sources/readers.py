@@ -11,15 +11,18 @@ from ..operators.parse import lines_of, parse_lenient
 _PARAM = "array<struct<name:string,type:string>>"
 _OBJECT = "struct<id:string,{name}:string,params:" + _PARAM + ",type:string,layer:int,force_secret:boolean>"
 DUMP = f"constructors array<{_OBJECT.format(name='predicate')}>, methods array<{_OBJECT.format(name='method')}>"
+_LISTS = f"constructors:array<{_OBJECT.format(name='predicate')}>,methods:array<{_OBJECT.format(name='method')}>"
+_SNAPSHOT = f"struct<layer:int,main_api:struct<{_LISTS}>,e2e_api:struct<{_LISTS}>>"
 RELEASE = "constructors array<struct<id:string>>, methods array<struct<id:string>>"
 STATE = (
     "last_version_code bigint, last_tdesk_id bigint, last_tdlib_id bigint, last_corefork_layer bigint, message_id bigint, recent_layers array<int>, "
     "patched_objects map<string,map<string,struct<old_constructor:string,new_constructor:string>>>, "
-    f"released_layers map<string,struct<constructors:array<struct<id:string>>,methods:array<struct<id:string>>>>"
+    f"released_layers map<string,struct<constructors:array<struct<id:string>>,methods:array<struct<id:string>>>>, "
+    f"stable_layer {_SNAPSHOT}, preview_layer {_SNAPSHOT}"
 )
 #: Fixed patterns of version numbers in source files.
 HEADER_VERSION, HEADER_NAME = r"AppVersion *?= *?([0-9]+);", r'AppVersionStr *?= *?"([0-9.]+)";'
-CMAKE_VERSION, LAYER_CONSTANT, LAYER_FIELD = r"project\(\w+\s+VERSION\s+([0-9.]+)", r"constexpr int32 MTPROTO_LAYER = ([0-9]+);", r"this\.layer = ([0-9]+);"
+CMAKE_PROJECT, CMAKE_VERSION, LAYER_CONSTANT, LAYER_FIELD = "TDLib", r"project\({}\s+VERSION\s+([0-9.]+)", r"constexpr int32 MTPROTO_LAYER = ([0-9]+);", r"this\.layer = ([0-9]+);"
 RELEASE_LINK = r'<li><a href="\?layer=([0-9]+)">'
 
 
@@ -36,13 +39,13 @@ def _ids(c: Column) -> Column:
     return to_unsigned(c.cast("bigint"))
 
 
-def objects_of_dump(dump: DataFrame, secret: bool = False) -> DataFrame:
-    """kind, name, id, params, result, layer, force_secret, pos of a dump's two arrays; `secret` forces the flag."""
+def objects_of_dump(dump: DataFrame, secret: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """kind, name, id, params, result, layer, force_secret, pos of a dump's two arrays, and its columns `keep`; `secret` forces the flag."""
 
     def one(array: str, name: str, kind: str) -> DataFrame:
-        rows = dump.select(F.posexplode(array).alias("pos", "o"))
+        rows = dump.select(*(keep or ()), F.posexplode(array).alias("pos", "o"))
         flag = F.lit(True) if secret else F.coalesce("o.force_secret", F.lit(False))
-        return rows.select(F.lit(kind).alias("kind"), F.col(f"o.{name}").alias("name"), _ids(F.col("o.id")).alias("id"), "o.params", F.col("o.type").alias("result"), F.coalesce("o.layer", F.lit(0)).alias("layer"), flag.alias("force_secret"), "pos")
+        return rows.select(*(keep or ()), F.lit(kind).alias("kind"), F.col(f"o.{name}").alias("name"), _ids(F.col("o.id")).alias("id"), "o.params", F.col("o.type").alias("result"), F.coalesce("o.layer", F.lit(0)).alias("layer"), flag.alias("force_secret"), "pos")
 
     return one("constructors", "predicate", "constructor").unionByName(one("methods", "method", "method"))
 
@@ -65,10 +68,10 @@ def layers_on_page(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", F.col("layer").cast("int")).join(last, "page_id")
 
 
-def versions_of(files: DataFrame) -> DataFrame:
-    """file, version_code, version_name, cmake_version, layer found in source files; null where a file has none."""
+def versions_of(files: DataFrame, project: str = CMAKE_PROJECT) -> DataFrame:
+    """file, version_code, version_name, cmake_version (of that project), layer found in source files; null where a file has none."""
     found = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    return files.select("file", found(HEADER_VERSION).cast("long").alias("version_code"), found(HEADER_NAME).alias("version_name"), found(CMAKE_VERSION).alias("cmake_version"), F.coalesce(found(LAYER_CONSTANT), found(LAYER_FIELD)).cast("int").alias("layer"))
+    return files.select("file", found(HEADER_VERSION).cast("long").alias("version_code"), found(HEADER_NAME).alias("version_name"), found(CMAKE_VERSION.format(project)).alias("cmake_version"), F.coalesce(found(LAYER_CONSTANT), found(LAYER_FIELD)).cast("int").alias("layer"))
 
 
 def read_app_info(spark: SparkSession, path: str) -> DataFrame:
@@ -78,11 +81,18 @@ def read_app_info(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tables_of_state(state: DataFrame) -> dict[str, DataFrame]:
-    """watermarks, recent_layers, pins and released of a saved state (nested maps)."""
+    """watermarks, recent_layers, pins, released and snapshots (role, layer, api, kind and what objects_of_dump has) of a saved state (nested maps)."""
     pins = state.select(F.explode("patched_objects").alias("os", "m")).select("os", F.explode("m").alias("name", "p"))
     rel = state.select(F.explode("released_layers").alias("layer", "r")).withColumn("layer", F.col("layer").cast("int"))
     one = lambda a, kind: rel.select("layer", F.lit(kind).alias("kind"), F.explode(f"r.{a}").alias("o")).select("layer", "kind", _ids(F.col("o.id")).alias("id"))
+    snaps = None
+    for role in ("stable", "preview"):
+        for api in ("main", "e2e"):
+            held = state.where(f"{role}_layer is not null").select(F.col(f"{role}_layer.layer").alias("snapshot_layer"), f"{role}_layer.{api}_api.*")
+            objects = objects_of_dump(held, api == "e2e", ["snapshot_layer"]).select(F.lit(role).alias("role"), "snapshot_layer", F.lit(api).alias("api"), "kind", "name", "id", "params", "result", "layer", "force_secret", "pos")
+            snaps = objects if snaps is None else snaps.unionByName(objects)
     return {
+        "snapshots": snaps,
         "watermarks": state.select("last_version_code", "last_tdesk_id", "last_tdlib_id", "last_corefork_layer"),
         "recent_layers": state.select(F.explode("recent_layers").alias("layer")),
         "pins": pins.select("os", "name", _ids(F.col("p.old_constructor")).alias("old_id"), _ids(F.col("p.new_constructor")).alias("new_id")),

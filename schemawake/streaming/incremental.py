@@ -15,9 +15,9 @@ EVERY_SECONDS = 3.0
 
 
 def new_versions(versions: DataFrame, watermarks: DataFrame) -> DataFrame:
-    """Versions above their source's watermark, or forced. versions: source, code, force; watermarks: source, last_code."""
+    """Versions above their source's watermark; those of the last source in PRIORITY also when forced. versions: source, code, force; watermarks: source, last_code."""
     j = versions.join(watermarks, "source", "left")
-    return j.where((F.col("code") > F.coalesce("last_code", F.lit(0))) | F.coalesce("force", F.lit(False)))
+    return j.where((F.col("code") > F.coalesce("last_code", F.lit(0))) | (F.coalesce("force", F.lit(False)) & (F.col("source") == PRIORITY[-1])))
 
 
 def dispatched(candidates: DataFrame, batch: str, preview: str) -> DataFrame:
@@ -40,18 +40,25 @@ def without_repeats(events: DataFrame, key: str, value: str, order: list[str]) -
     return events.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col(value))).drop("_before")
 
 
-def throttled(events: DataFrame, key: str, time: str, seconds: float = EVERY_SECONDS) -> DataFrame:
-    """Rows at least `seconds` after the key's last row that was let through. Each key is a fold in time order, so keys are the unit of work."""
+def throttled(events: DataFrame, key: str, order: list[str], seconds: float = EVERY_SECONDS) -> DataFrame:
+    """Rows at least `seconds` after the key's last row that was let through, in the order of the columns `order`, the first of which is the time.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable")
-        at, keep = None, []
-        for t in pdf[time]:
-            keep.append(at is None or (t - at).total_seconds() >= seconds)
-            at = t if keep[-1] else at
-        return pdf[keep]
+    A key's rows pass through one task in order, which remembers only the last time, however many rows the key has.
+    """
+    at = [events.columns.index(key), events.columns.index(order[0])]
 
-    return events.groupBy(key).applyInPandas(fold, events.schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, when = object(), None
+        for pdf in frames:
+            keep = []
+            for k, t in zip(pdf.iloc[:, at[0]], pdf.iloc[:, at[1]], strict=True):
+                ok = k != last or (t - when).total_seconds() >= seconds
+                keep.append(ok)
+                if ok:
+                    last, when = k, t
+            yield pdf[keep]
+
+    return events.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, events.schema)
 
 
 def throttled_stream(events: DataFrame, key: str, time: str, value: str, seconds: float = EVERY_SECONDS) -> DataFrame:
@@ -88,3 +95,17 @@ def ingest(stream: DataFrame, process: Callable[[DataFrame, int], None], commit:
         commit(batch, number)
 
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def ingest_new(stream: DataFrame, process: Callable[[DataFrame, int], None], marks: str, checkpoint: str) -> None:
+    """ingest() of what lies above each source's watermark (stream: source, code and others). The watermarks are rows (source, last_code) below the path `marks`, the highest of a source counts; they go up after each batch, so what is delivered again is left out."""
+    spark = stream.sparkSession
+
+    def above(batch: DataFrame) -> DataFrame:
+        known = spark.read.schema("source string, last_code long").parquet(marks).groupBy("source").agg(F.max("last_code").alias("last_code"))
+        return batch.join(known, "source", "left").where(F.col("code") > F.coalesce("last_code", F.lit(0))).drop("last_code")
+
+    def commit(batch: DataFrame, number: int) -> None:
+        batch.groupBy("source").agg(F.max("code").cast("long").alias("last_code")).write.mode("append").parquet(marks)
+
+    ingest(stream, lambda batch, number: process(above(batch), number), commit, checkpoint)
