@@ -36,7 +36,7 @@ def test_pages_and_manifests(spark, tmp_path):
     pages = spark.createDataFrame([(1, "".join(link.format(i) for i in (9, 12, 14))), (2, link.format(3))], "page_id int, html string")
     assert {(r["layer"], r["latest"]) for r in R.layers_on_page(pages).collect()} == {(12, 14), (14, 14)}
     put(tmp_path / "src" / "v.h", 'AppVersion = 5004003;\nAppVersionStr = "5.4.3";\nconstexpr int32 MTPROTO_LAYER = 200;')
-    put(tmp_path / "src" / "c.txt", "project(Lib VERSION 1.8.46 LANGUAGES CXX)\nthis.layer = 7;")
+    put(tmp_path / "src" / "c.txt", "project(TDLib VERSION 1.8.46 LANGUAGES CXX)\nproject(Lib VERSION 9)\nthis.layer = 7;")
     rows = sorted((tuple(r)[1:] for r in R.versions_of(R.whole_files(spark, str(tmp_path / "src"))).collect()), key=str)
     assert rows == [(5004003, "5.4.3", None, 200), (None, None, "1.8.46", 7)]
     info = R.read_app_info(spark, put(tmp_path / "app.json", {"version": "11.0", "version_code": 50007, "file_url": "u"})).first()
@@ -45,8 +45,11 @@ def test_pages_and_manifests(spark, tmp_path):
 
 def test_saved_state(spark, tmp_path):
     state = {"last_version_code": 7, "recent_layers": [3, 4], "patched_objects": {"ios": {"a": {"old_constructor": "-1", "new_constructor": "5"}}}, "released_layers": {"3": {"constructors": [{"id": "9"}], "methods": []}}}
+    one = {"constructors": [{"id": "5", "predicate": "c", "params": [], "type": "T"}], "methods": []}
+    state["preview_layer"] = {"layer": 8, "main_api": one, "e2e_api": one}
     raw = spark.read.schema(R.STATE).json(put(tmp_path / "s.json", state), multiLine=True)
     t = R.tables_of_state(raw)
+    assert sorted(tuple(r) for r in t["snapshots"].select("role", "snapshot_layer", "api", "name", "force_secret").collect()) == [("preview", 8, "e2e", "c", True), ("preview", 8, "main", "c", False)]
     assert [tuple(r) for r in t["pins"].collect()] == [("ios", "a", 4294967295, 5)]
     assert [tuple(r) for r in t["released"].collect()] == [(3, "constructor", 9)]
     assert sorted(r["layer"] for r in t["recent_layers"].collect()) == [3, 4] and t["watermarks"].first()["last_version_code"] == 7
@@ -66,4 +69,4 @@ def test_throttled_stream(spark, tmp_path):
 def test_batch_throttle(spark):
     rows = [("k", 0), ("k", 2), ("k", 3), ("k", 5), ("k", 6), ("z", 1)]
     df = spark.createDataFrame(rows, "key string, s int").withColumn("ts", F.timestamp_seconds("s"))
-    assert sorted((r["key"], r["s"]) for r in S.throttled(df, "key", "ts", 3.0).collect()) == [("k", 0), ("k", 3), ("k", 6), ("z", 1)]
+    assert sorted((r["key"], r["s"]) for r in S.throttled(df, "key", ["ts"], 3.0).collect()) == [("k", 0), ("k", 3), ("k", 6), ("z", 1)]
