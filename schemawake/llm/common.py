@@ -3,53 +3,35 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+from ..scratch import discard, saved, shared_dir  # noqa: F401
 
+#: Shuffle files go when the query that wrote them ends; every step here ends in a written table, so none is read again.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows in an Arrow batch: whole texts of a few kB each, so a worker holds a few MB at a time.
 BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table; also sets the session's Arrow batches to BATCH_ROWS rows."""
+    """An input table; also sets the session's Arrow batches to BATCH_ROWS rows and has shuffle files removed with their query."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set(_CLEAN, "true")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a new temporary one only where that is unset (tests, one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    return _own.setdefault(app, tempfile.mkdtemp(prefix="spark-shared-"))
+#: Documents in a range that is sorted in one task, about.
+RANGE_ROWS = 65_536
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read back: its lineage ends there, so a lost executor costs one file read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.scratch_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table written by `saved` that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def in_ranges(rows: DataFrame, n_rows: int, *order) -> DataFrame:
+    """rows dealt by ranges of `order` into tasks of about RANGE_ROWS rows (at least the session's shuffle partitions) and sorted there: task i holds what comes before task i + 1. Rows equal in `order` may be split over tasks."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_rows / RANGE_ROWS))
+    return rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
 
 
 def text_of(col: str = "text") -> Column:
@@ -57,20 +39,6 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def id_bounds(df: DataFrame, col: str, per_chunk: int = 8192, most: int = 4096) -> list[int]:
-    """Values of an integer column that cut it into chunks of about per_chunk rows; at most `most` of them, so the list stays small.
-
-    Chunk c of a value is the number of bounds up to it; nulls are chunk 0. The first value of each chunk but 0 is its bound.
-    """
-    n = df.count()
-    k = min(most, math.ceil(n / per_chunk))
-    if k < 2:
-        return []
-    at = [i / k for i in range(1, k)]
-    row = df.agg(F.percentile_approx(col, at, 20 * k).alias("b")).first()
-    return sorted(set(row["b"] or []))
-
-
 def map_texts(docs: DataFrame, keep: list[str], run: Callable[[list[str]], dict], schema: str) -> DataFrame:
     """docs' `keep` columns, passed through as they are, with the columns that run(texts) makes for each Arrow batch of whole texts (null: empty)."""
     import pyarrow as pa
