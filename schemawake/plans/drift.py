@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import canonical, changelog, diff, history, merge, params, render, repair, state
 from ..functions import declarations as D
 from ..functions import ids, naming
-from ..scratch import shared_dir
+from ..scratch import saved, shared_dir
 from . import bindings as B
 
 _SCOPE = ["version", "api", "kind"]
@@ -194,7 +194,7 @@ _MERGE = (
 
 def _merge_inputs(spark, sf_dir):
     old, new = _sides(spark, sf_dir)
-    base = old.select("version", "api", "kind", "id", "name", "result", "pos", "params")
+    base = saved(old.select("version", "api", "kind", "id", "name", "result", "pos", "params"), "base")
     incoming = B.load(spark, sf_dir, _MERGE, "SELECT * FROM incoming").join(new.select("version", F.col("pos").alias("own"), "params"), ["version", "own"]).drop("own")
     return base, incoming, B.load(spark, sf_dir, _MERGE, "SELECT * FROM pin"), B.load(spark, sf_dir, _MERGE, "SELECT * FROM gone")
 
