@@ -3,20 +3,24 @@
 Every word of the training text is a word of the model, known by its 64-bit hash
 whose last 7 bits are its shape (case, digits, symbols, end mark, length). Words
 the training text doesn't have are known by their shape alone: they share what
-the word counts leave, as the words seen once share out over the shapes. Trusted
-documents are those all of whose labels say quality 1. Half of them, by a hash of
-doc_id, train the model; the other half, which it has not seen, sets the
-threshold of each language: the QUANTILE of their cross-entropies plus MARGIN
-times the distance from their median to it. A document above its language's
-threshold is rejected; a short one is first drawn towards the median, as if it
-had PRIOR more words of it.
+the word counts leave, as the words seen once share out over the shapes. A text
+ends with an end mark, which is predicted like a word. Trusted documents are
+those all of whose labels say quality 1. Half of them, by a hash of doc_id, train
+the model; the other half, which it has not seen, sets the threshold of each
+language: the QUANTILE of their bits per word. A document above its language's
+threshold is rejected.
 
 Every n-gram is kept, in Spark tables: trigrams are counted in shards of their
-hash, bigrams and unigrams get their continuation counts from them. Texts are
-coded in blocks of up to BLOCK_WORDS words; the distinct n-grams of each block
-are joined with the model's, and what is found goes back to the block, which then
-holds all that the model knows of its texts. No size of the model is sent to all
-tasks.
+hash, bigrams and unigrams get their continuation counts from them, and joins
+give each n-gram the logarithm of its interpolated probability. An n-gram the
+model has adds a fixed number of bits to the text it stands in, whatever else the
+text holds: a trigram log2 p(w|u,v) - log2 p(w|v) - log2 b(u,v), a bigram
+log2 p(w|v) - log2 p(w) - log2 b(v) and, as a context, log2 b(u,v), where b is the
+share a context leaves to the lower order; a word likewise. So a text's score is
+a sum over a join of its n-grams with the model's, by key. Texts send the distinct n-grams of each batch,
+packed by shard and key, with the hashes of the texts they stand in; this is done
+in PARTS rounds, each over one range of keys, so that a round's scratch space is a
+part of the whole. No size of the model is sent to all tasks.
 
 Cases: a null or empty text has no words, perplexity 1, and is kept; a language
 with fewer than LEAST held-out documents, or null, takes the threshold of all of
@@ -26,25 +30,30 @@ are ignored; repeated rows are scored each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectext
-from .common import saved, text_of
-
-#: Words in a block, whose n-grams are looked up once each, and in a row of coded texts.
-BLOCK_WORDS, CHUNK_WORDS = 2_000_000, 16_000
-QUANTILE, MARGIN, LEAST, PRIOR = 0.95, 1.5, 20, 10.0
-#: The place before a text's first word; shapes of words.
-START, SHAPES = 0, 128
-#: Parts over which copies of one text are dealt when rejected texts are taken out.
-SALTS = 64
+from .common import discard, saved, text_of
+
+#: Words in a batch, whose n-grams are sent once each, and in a row of training text.
+BATCH_WORDS, ROW_WORDS = 1_000_000, 100_000
+QUANTILE, LEAST = 0.99, 20
+#: Places before a text's first word and after its last one; shapes of words.
+START, END, SHAPES = 0, 128, 128
+#: Rounds over ranges of keys; keys that texts send to one shard, at most about.
+PARTS, SHARD_KEYS = 4, 4_000_000
+#: Bytes of a key that are sent, next to the shard: an n-gram the model lacks is taken for another with probability SHARD_KEYS / 2**48.
+_KEY_BYTES = 6
+#: Tables with a row per word, language or trusted document are broadcast up to this many rows.
+BROADCAST_ROWS = 1_000_000
+#: What a discount is at least, so that every context leaves something to the lower order.
+_LEAST_DISCOUNT = 0.1
 
 
 # --- words ---------------------------------------------------------------------
@@ -79,14 +88,29 @@ def shaped_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word.astype(np.uint64) & ~np.uint64(SHAPES - 1) | shape, text
 
 
+def _rotl(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
 def gram_key(*words: np.ndarray) -> np.ndarray:
-    """64-bit keys of n-grams, given as n columns of words."""
-    key = np.full(len(words[0]), len(words), np.uint64)
-    for x in words:
-        key = vectext.mix(key * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64))
+    """64-bit keys of n-grams, given as n columns of words: what Spark's xxhash64 gives for them, so that both sides of the join can make them."""
+    p = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+    key = np.full(len(words[0]), 42, np.uint64)
+    for w in words:
+        key = (key + p[4] + np.uint64(8)) ^ _rotl(w.astype(np.uint64) * p[1], 31) * p[0]
+        key = _rotl(key, 27) * p[0] + p[3]
+        key = (key ^ key >> np.uint64(33)) * p[1]
+        key = (key ^ key >> np.uint64(29)) * p[2]
+        key ^= key >> np.uint64(32)
     return key
 
 
+def ended(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with an end mark after each text that has words."""
+    last = np.flatnonzero(np.r_[text[1:] != text[:-1], True]) if len(text) else np.zeros(0, int)
+    return np.insert(words, last + 1, np.uint64(END)), np.insert(text, last + 1, text[last])
+
+
 def grams(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """u and v, the two words before each word of its text, and whether it is the first."""
     first = np.r_[True, text[1:] != text[:-1]][: len(text)]
@@ -94,74 +118,67 @@ def grams(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.where(first, np.uint64(START), np.r_[np.uint64(START), v[:-1]][: len(words)]), v, first
 
 
+def _few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, broadcast if it is small; else Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 # --- training --------------------------------------------------------------------
 
 
-@dataclass
-class Model:
-    """Entries of the model table by sorted key, NaN where an n-gram is not one of that kind, and what unseen words have by shape."""
-
-    key: np.ndarray
-    share: np.ndarray  # words: probability; longer n-grams: discounted count
-    total: np.ndarray  # of the n-grams that go on from it
-    back: np.ndarray  # weight of the lower order after it
-    unseen: np.ndarray
-
-    @classmethod
-    def of(cls, table: pa.Table, unseen: np.ndarray) -> Model:
-        key, at = np.unique(table.column("key").to_numpy().view(np.uint64), return_index=True)
-        return cls(key, *(table.column(c).to_numpy().astype(np.float64)[at] for c in ("share", "total", "back")), unseen)
-
-    def _at(self, wanted: np.ndarray) -> np.ndarray:
-        """Row of each wanted key, or -1."""
-        if not len(self.key):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
-        return np.where(self.key[at] == wanted, at, -1)
-
-    def cross_entropy(self, ids: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
-        """Bits per word of each text; 0 for texts without words."""
-        w = ids.astype(np.uint64)
-        u, v, first = grams(w, text)
-        none = np.full(1, START, np.uint64)
-        share, total, back = (np.r_[x, np.nan] for x in (self.share, self.total, self.back))  # row -1: not found
-        before = np.where(first, 0, np.arange(len(w)))  # the context's place in the list of each order
-        p = np.where(w == START, 0.0, self.unseen[(w % np.uint64(SHAPES)).astype(np.int64)])
-        one = self._at(gram_key(np.r_[none, w]))
-        two = self._at(gram_key(np.r_[none, v], np.r_[none, w]))
-        p = np.where(np.isnan(share[one[1:]]), p, share[one[1:]])
-        for context, at in ((one, two[1:]), (two, self._at(gram_key(u, v, w)))):
-            c = context[before]
-            known = ~np.isnan(total[c])
-            p = np.where(known, np.nan_to_num(share[at]) / np.where(known, total[c], 1.0) + np.where(known, back[c], 1.0) * p, p)
-        n = np.bincount(text, minlength=n_texts)
-        with np.errstate(divide="ignore"):
-            return np.bincount(text, -np.log2(p), minlength=n_texts) / np.maximum(n, 1)
-
-
-def trigram_counts(texts: DataFrame, kind: str = "<u8") -> DataFrame:
-    """u, v, w, c of all trigrams of the texts' words (a binary column), counted in shards of their hash."""
-
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        w = np.concatenate(held).astype(np.uint64)
-        u, v, _ = grams(w, np.repeat(np.arange(len(held)), list(map(len, held))))
-        _, at, c = np.unique(gram_key(u, v, w), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (u, v, w)), pa.array(c)], ["u", "v", "w", "c"])
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """doc_id and fold (0 trains, 1 is held out) of the documents all of whose labels are of quality 1."""
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1")
+    return good.select("doc_id", F.xxhash64("doc_id").bitwiseAND(F.lit(1)).cast("int").alias("fold"))
+
+
+def training_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """ids: the words of the texts that train, ends marked, some texts a row."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for part in parts:
+            texts = part.column(0).to_pylist()
+            for a, b in vectext.batches(texts):
+                words, _ = ended(*shaped_words(texts[a:b]))
+                held.append(words)
+                size += len(words)
+                if size > ROW_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], ["ids"])
+                    held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], ["ids"])
+
+    mine = _few(saved(trusted_documents(labels).where("fold = 0").select("doc_id"), "trusted"))
+    return docs.select("doc_id", text_of().alias("text")).join(mine, "doc_id", "left_semi").select("text").mapInArrow(run, "ids binary")
+
+
+def trigram_counts(texts: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """u, v, w, c of the trigrams of the texts' words (a binary column, ends marked) whose middle word falls into the part; a context's are in one task."""
+
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        w = np.concatenate(held)
+        u, v, _ = grams(w, np.cumsum(np.r_[0, w[:-1] == END]))
+        mine = gram_key(v) % np.uint64(parts) == part
+        u, v, w = u[mine], v[mine], w[mine]
+        _, at, c = np.unique(gram_key(u, v, w), return_index=True, return_counts=True)
+        for i in range(0, len(at), 100_000):
+            one = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[one].view(np.int64)) for x in (u, v, w)), pa.array(c[i : i + 100_000])], ["u", "v", "w", "c"])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in rows:
             for x in part.column(0):
-                if len(one := np.frombuffer(x.as_py(), kind)):
-                    held.append(one)
-                    size += len(one)
-                if size > vectext.BATCH_CHARS:
-                    yield counted(held)
+                held.append(np.frombuffer(x.as_py(), "<u8"))
+                size += len(held[-1])
+                if size > BATCH_WORDS:
+                    yield from counted(held)
                     held, size = [], 0
-        if held:
-            yield counted(held)
+        if size:
+            yield from counted(held)
 
-    return texts.select("ids").mapInArrow(run, "u long, v long, w long, c long").groupBy("u", "v", "w").agg(F.sum("c").alias("c"))
+    return texts.select("ids").mapInArrow(run, "u long, v long, w long, c long").repartition("u", "v").groupBy("u", "v", "w").agg(F.sum("c").alias("c"))
 
 
 def discounts(of: dict[int, int]) -> list[float]:
@@ -170,208 +187,229 @@ def discounts(of: dict[int, int]) -> list[float]:
     if not all(n):
         return [0.5, 0.5, 0.5]
     y = n[0] / (n[0] + 2 * n[1])
-    return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.0), float(i)) for i in (1, 2, 3)]
+    return [min(max(i - (i + 1) * y * n[i] / n[i - 1], _LEAST_DISCOUNT), float(i)) for i in (1, 2, 3)]
 
 
-def _less(counts: DataFrame) -> Column:
-    """What is taken off each count c."""
-    d = discounts({r["k"]: r["n"] for r in counts.where("c <= 4").groupBy(F.col("c").alias("k")).agg(F.count("*").alias("n")).collect()})
-    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+def _discounts(counts: DataFrame) -> list[float]:
+    return discounts({r["k"]: r["n"] for r in counts.where("c <= 4").groupBy(F.col("c").alias("k")).agg(F.count("*").alias("n")).collect()})
 
 
-def _keyed(df: DataFrame, words: list[str]) -> DataFrame:
-    """key, share, total, back of n-grams in columns of words; those of the three that df has not are null."""
-    values = [F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double").alias(c) for c in ("share", "total", "back")]
+def _less(c: Column, d: list[float]) -> Column:
+    """What is taken off a count."""
+    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+
+
+def _of_context() -> dict[str, Column]:
+    """A context's counts: their sum, how many are 1 and 2, and how many there are."""
+    return {"total": F.sum("c"), "n1": F.count_if(F.col("c") == 1), "n2": F.count_if(F.col("c") == 2), "n": F.count("*")}
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            key = gram_key(*(part.column(i).to_numpy().view(np.uint64) for i in range(len(words))))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *part.columns[len(words) :]], ["key", "share", "total", "back"])
 
-    return df.select(*words, *values).mapInArrow(run, "key long, share double, total double, back double")
+def _back(d: list[float]) -> Column:
+    """The share that a context leaves to the lower order."""
+    return (F.col("n1") * d[0] + F.col("n2") * d[1] + (F.col("n") - F.col("n1") - F.col("n2")) * d[2]) / F.col("total")
 
 
-def _order(counts: DataFrame, context: list[str], rare: float) -> tuple[DataFrame, DataFrame]:
-    """n-grams with their discounted counts, and their contexts with total and back."""
-    least = rare * (counts.agg(F.sum("c")).first()[0] or 0) if rare else 0
-    less = _less(counts)
-    left = F.when(F.col("c") >= least, less).otherwise(F.col("c"))
-    contexts = counts.groupBy(*context).agg(F.sum("c").alias("total"), (F.sum(left) / F.sum("c")).alias("back"))
-    return counts.where(F.col("c") >= least).withColumn("share", F.col("c") - less), contexts
+def _model(rows: DataFrame, parts: int) -> DataFrame:
+    """key, bits and part, written in a folder for each part of the keys."""
+    part = F.shiftrightunsigned("key", 64 - int(math.log2(parts))).cast("int") if parts > 1 else F.lit(0)
+    return saved(rows.select("key", F.col("bits").cast("float").alias("bits"), part.alias("part")), "model", by="part")
 
 
-def model_table(texts: DataFrame, kind: str = "<u8", rare: float = 0.0) -> tuple[DataFrame, np.ndarray]:
-    """key, share, total and back of all n-grams of the texts' words, and the probability of unseen words by shape. n-grams below `rare` of all are left to the lower order."""
-    tri = saved(trigram_counts(texts, kind), "trigrams")
-    bi = saved(tri.groupBy("v", "w").agg(F.count("*").alias("c")), "bigrams")
-    uni = saved(bi.groupBy("w").agg(F.count("*").alias("c")), "unigrams")
-    (three, pairs), (two, ones) = _order(tri, ["u", "v"], rare), _order(bi, ["v"], rare)
-    less = _less(uni)
-    total, left = uni.agg(F.sum("c"), F.sum(less)).first()
+def model_tables(texts: DataFrame, parts: int = PARTS) -> tuple[list[DataFrame], np.ndarray]:
+    """Tables of key, bits and part (the key's first bits) of all n-grams, a key in one row or two, and the probability of unseen words by shape."""
+    # a part has all that goes with its middle words: their contexts, trigrams and the bigrams that go on from them
+    tris, bis = [], []
+    own = Window.partitionBy("u", "v")
+    sums = {name: c.over(own) for name, c in _of_context().items()}
+    for i in range(parts):
+        tris.append(saved(trigram_counts(texts, i, parts).withColumns(sums | {"first": F.row_number().over(own.orderBy("w")) == 1}), "trigrams"))
+        bis.append(saved(tris[-1].groupBy("v", "w").agg(F.count("*").alias("c")), "bigrams"))
+    d3, d2 = _discounts(_all(tris)), _discounts(_all(bis))
+    uni = saved(_all(bis).groupBy("w").agg(F.count("*").alias("c")), "unigrams")
+    d1 = _discounts(uni)
+    total, left = uni.agg(F.sum("c"), F.sum(_less(F.col("c"), d1))).first()
     once = np.ones(SHAPES)
     for r in uni.where("c = 1").groupBy(F.col("w").bitwiseAND(F.lit(SHAPES - 1)).alias("s")).agg(F.count("*").alias("n")).collect():
         once[r["s"]] += r["n"]
-    one = uni.select("w", ((F.col("c") - less) / F.lit(float(total or 1))).alias("share"))
-    merged = lambda a, b: a.unionByName(b).groupBy("key").agg(*(F.max(c).alias(c) for c in ("share", "total", "back")))
-    table = _keyed(three, ["u", "v", "w"]).unionByName(merged(_keyed(two, ["v", "w"]), _keyed(pairs, ["u", "v"]))).unionByName(merged(_keyed(one, ["w"]), _keyed(ones, ["v"])))
-    return table, (left / total if total else 1.0) * once / once.sum()
-
-
-def train(ids: DataFrame, vocabulary: np.ndarray, rare: float = 0.0) -> Model:
-    """The whole model in memory, of small texts given as 2-byte ids (1 to len(vocabulary), then one per shape)."""
-    table, unseen = model_table(ids, "<u2", rare)
-    return Model.of(table.toArrow(), unseen)
+    unseen = (left / total if total else 1.0) * once / once.sum()
+    p1 = saved(uni.select("w", ((F.col("c") - _less(F.col("c"), d1)) / F.lit(float(total or 1))).alias("p1")), "words")
+    base = F.element_at(F.array(*[F.lit(float(x)) for x in np.log2(unseen)]), F.col("w").bitwiseAND(F.lit(SHAPES - 1)).cast("int") + 1)
+    out = [_model(p1.select(F.xxhash64("w").alias("key"), (F.log2("p1") - base).alias("bits")), parts)]
+    for tri, bi in zip(tris, bis, strict=True):
+        ones = saved(bi.groupBy("v").agg(*(c.alias(name) for name, c in _of_context().items())).select("v", "total", _back(d2).alias("back")), "contexts")
+        seen = (F.col("c") - _less(F.col("c"), d2)) / F.col("total") + F.col("back") * F.col("p1")
+        two = saved(bi.join(_few(ones), "v").join(_few(p1), "w").select("v", "w", seen.alias("p2"), (F.log2(seen) - F.log2("back") - F.log2("p1")).alias("bits")), "bigrams")
+        rows = tri.select("v", "w", F.xxhash64("u", "v", "w").alias("key"), ((F.col("c") - _less(F.col("c"), d3)) / F.col("total")).cast("float").alias("own"), _back(d3).cast("float").alias("back"))
+        three = rows.join(two.select("v", "w", F.col("p2").cast("float").alias("p2")), ["v", "w"])
+        leave = ones.select(F.xxhash64("v").alias("key"), F.log2("back").alias("bits")).unionByName(tri.where("first").select(F.xxhash64("u", "v").alias("key"), F.log2(_back(d3)).alias("bits")))
+        out.append(_model(two.select(F.xxhash64("v", "w").alias("key"), "bits").unionByName(leave), parts))
+        out.append(_model(three.select("key", (F.log2(F.col("own") + F.col("back") * F.col("p2")) - F.log2("back") - F.log2("p2")).alias("bits")), parts))
+        discard(tri, bi, ones, two)
+    discard(uni, p1)
+    return out, unseen
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 # --- scoring ---------------------------------------------------------------------
 
 
-def coded_texts(docs: DataFrame) -> DataFrame:
-    """Texts in rows of about CHUNK_WORDS words: block, arrays of doc_id, lang, text hash and number of words, the row's distinct words and the words' places among them."""
+def _short(key: np.ndarray, bits: int) -> np.ndarray:
+    """What of a key is compared within its shard (its first bits)."""
+    return key << np.uint64(bits) >> np.uint64(64 - 8 * _KEY_BYTES)
+
+
+def sent_grams(docs: DataFrame, part: int, parts: int, bits: int) -> DataFrame:
+    """shard, keys, counts, places, hashes: the n-grams of one part of the keys in batches of texts.
+
+    keys: the distinct ones in order, 6 bytes each; counts: in how many places each stands; places: the texts of those
+    places, as places in hashes, which are the texts' own.
+    """
+    shift = np.uint64(64 - bits)
+
+    def packed(words: np.ndarray, text: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u, v, first = grams(words, text)
+        ahead = text[first]
+        key = np.concatenate([gram_key(u, v, words), gram_key(v, words), gram_key(words), gram_key(u[first], v[first]), gram_key(v[first])])
+        owner = np.concatenate([text, text, text, ahead, ahead])
+        if parts > 1:
+            mine = key >> np.uint64(64 - int(math.log2(parts))) == part
+            key, owner = key[mine], owner[mine]
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        count = np.diff(np.r_[start, len(key)])
+        shard = (key[start] >> shift).astype(np.int64) if bits else np.zeros(len(start), np.int64)
+        cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(shard)])
+        for i, j in zip(cut, np.r_[cut[1:], len(shard)]):
+            a, b = start[i], start[j] if j < len(start) else len(key)
+            texts, place = np.unique(owner[a:b], return_inverse=True)
+            short = np.ascontiguousarray(_short(key[start[i:j]], bits).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES])
+            raw = [short.tobytes(), count[i:j].astype("<u4").tobytes(), place.astype("<u2" if len(texts) <= 1 << 16 else "<u4").tobytes(), hashes[texts].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([shard[i]]), *(pa.array([x], pa.binary()) for x in raw)], names)
+
+    names = ["shard", "keys", "counts", "places", "hashes"]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, many = [], 0, 0
+        for rec in rows:
+            texts, hashes = rec.column(1).to_pylist(), rec.column(0).to_numpy()
+            for a, b in vectext.batches(texts):
+                words, text = ended(*shaped_words(texts[a:b]))
+                held.append((words, text + many, hashes[a:b]))
+                size, many = size + len(words), many + b - a
+                if size > BATCH_WORDS:
+                    yield from packed(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size, many = [], 0, 0
+        if size:
+            yield from packed(*map(np.concatenate, zip(*held, strict=True)))
+
+    return docs.select(F.xxhash64(text_of()).alias("hash"), text_of().alias("text")).mapInArrow(run, "shard long, keys binary, counts binary, places binary, hashes binary")
+
+
+def _found(model: pa.Table, sent: pa.Table, bits: int) -> pa.Table:
+    """hash and bits: what the shard's n-grams add to each text, one row a batch and text."""
+    key = _short(model.column("key").to_numpy().view(np.uint64), bits)
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], model.column("bits").to_numpy().astype(np.float64)[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    # a bigram's rows as bigram and as context count together
+    key, value = key[start], np.add.reduceat(value, start) if len(start) else value
+    hashes, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for keys, counts, places, texts in zip(*(sent.column(c) for c in ("keys", "counts", "places", "hashes")), strict=True):
+        if not len(key):
+            break
+        raw = np.frombuffer(keys.as_py(), np.uint8).reshape(-1, _KEY_BYTES)
+        wanted = np.zeros((len(raw), 8), np.uint8)
+        wanted[:, :_KEY_BYTES] = raw
+        wanted = wanted.view("<u8").ravel()
+        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        got = np.where(key[at] == wanted, value[at], 0.0)
+        text = np.frombuffer(texts.as_py(), np.int64)
+        place = np.frombuffer(places.as_py(), "<u2" if len(text) <= 1 << 16 else "<u4")
+        total = np.bincount(place, np.repeat(got, np.frombuffer(counts.as_py(), "<u4")), minlength=len(text))
+        hashes.append(text[total != 0])
+        sums.append(total[total != 0])
+    return pa.table({"hash": np.concatenate(hashes), "bits": np.concatenate(sums)})
+
+
+def plain_bits(docs: DataFrame, unseen: np.ndarray) -> DataFrame:
+    """doc_id, lang, hash, n and bits of every document as if the model had none of its words: by their shapes alone."""
+    worth = np.log2(unseen)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["block", "doc_id", "lang", "hash", "n", "words", "at"]
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = TaskContext.get().partitionId() << 32, 0
-        for part in parts:
-            texts = part.column(3).to_pylist()
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rec in rows:
+            texts = rec.column(3).to_pylist()
+            n, bits = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for a, b in vectext.batches(texts):
-                word, text = shaped_words(texts[a:b])
-                n = np.bincount(text, minlength=b - a).astype(np.int64)
-                end = np.cumsum(n)
-                cuts = [0, *(np.flatnonzero(np.diff((end - n) // CHUNK_WORDS)) + 1).tolist(), b - a]
-                for i, j in zip(cuts, cuts[1:]):
-                    words, at = np.unique(word[end[i] - n[i] : end[j - 1]], return_inverse=True)
-                    if size and size + len(at) > BLOCK_WORDS:
-                        block, size = block + 1, 0
-                    size += len(at)
-                    lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), x) for x in (*(part.column(k).slice(a + i, j - i) for k in range(3)), pa.array(n[i:j]))]
-                    raw = at.astype("<u2" if len(words) <= 1 << 16 else "<u4").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([words.tobytes()]), pa.array([raw])], names)
+                words, text = shaped_words(texts[a:b])
+                n[a:b] = np.bincount(text, minlength=b - a)
+                words, text = ended(words, text)
+                bits[a:b] = np.bincount(text, worth[(words % np.uint64(SHAPES)).astype(np.int64)], minlength=b - a)
+            yield pa.RecordBatch.from_arrays([*rec.columns[:3], pa.array(n), pa.array(bits)], ["doc_id", "lang", "hash", "n", "bits"])
 
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64(text_of()).alias("hash"), text_of().alias("text"))
-    return rows.mapInArrow(run, f"block long, doc_id array<{kind}>, lang array<string>, hash array<long>, n array<long>, words binary, at binary")
-
-
-def _decoded(words: bytes, at: bytes, n: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Words and text indices of a coded row."""
-    known = np.frombuffer(words, "<u8")
-    return known[np.frombuffer(at, "<u2" if len(known) <= 1 << 16 else "<u4")], np.repeat(np.arange(len(n)), n)
-
-
-def wanted_keys(coded: DataFrame) -> DataFrame:
-    """block and key of the distinct n-grams of each block and their contexts (a block that is read in two parts: of each part)."""
-
-    def emit(block: int, held: list) -> Iterator[pa.RecordBatch]:
-        w = np.concatenate([x for x, _ in held])
-        base = np.cumsum([0, *(t[-1] + 1 if len(t) else 0 for _, t in held[:-1])])
-        u, v, _ = grams(w, np.concatenate([t + k for (_, t), k in zip(held, base, strict=True)]))
-        none = np.full(1, START, np.uint64)
-        for key in (gram_key(u, v, w), gram_key(np.r_[none, v], np.r_[none, w]), gram_key(np.r_[none, w])):
-            key = np.unique(key).view(np.int64)
-            for i in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[i : i + 100_000]), block)), pa.array(key[i : i + 100_000])], ["block", "key"])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, []
-        for part in parts:
-            for b, words, at, n in zip(*(x.to_pylist() for x in part.columns), strict=True):
-                if held and b != block:
-                    yield from emit(block, held)
-                    held = []
-                block = b
-                held.append(_decoded(words, at, n))
-        if held:
-            yield from emit(block, held)
-
-    return coded.select("block", "words", "at", "n").mapInArrow(run, "block long, key long")
-
-
-def score_texts(docs: DataFrame, table: DataFrame, unseen: np.ndarray) -> DataFrame:
-    """doc_id, lang, hash, bits per word and number of words n of every document."""
-    coded = saved(coded_texts(docs), "coded")
-    values = [F.col(c).cast("float").alias(c) for c in ("share", "total", "back")]
-    found = wanted_keys(coded).join(table.select("key", *values).hint("shuffle_hash"), "key").select("block", "key", "share", "total", "back")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def score(known: pa.Table, texts: pa.Table) -> pa.Table:
-        model = Model.of(known, unseen)
-        bits = [np.zeros(0)]
-        for words, at, n in zip(*(texts.column(c).to_pylist() for c in ("words", "at", "n")), strict=True):
-            w, text = _decoded(words, at, n)
-            bits.append(model.cross_entropy(w, text, len(n)) if len(w) else np.zeros(len(n)))
-        flat = [pa.chunked_array([x.flatten() for x in texts.column(c).chunks], texts.schema.field(c).type.value_type) for c in ("doc_id", "lang", "hash", "n")]
-        return pa.Table.from_arrays([*flat, pa.array(np.concatenate(bits))], ["doc_id", "lang", "hash", "n", "bits"])
-
-    return found.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(score, f"doc_id {kind}, lang string, hash long, n long, bits double")
-
-
-@dataclass
-class Thresholds:
-    lines: dict[str, float]
-    medians: dict[str, float]
-    default: tuple[float, float]
-
-    def by_language(self, values: dict[str, float], default: float) -> Column:
-        out = F.lit(default)
-        for lang, x in sorted(values.items()):
-            out = F.when(F.col("lang") == lang, x).otherwise(out)
-        return out
-
-    def line(self) -> Column:
-        return self.by_language(self.lines, self.default[0])
-
-    def kept(self) -> Column:
-        """Are the bits per word, with PRIOR more words of the language's median, within the line?"""
-        median = self.by_language(self.medians, self.default[1])
-        return (F.col("bits") * F.col("n") + PRIOR * median) / (F.col("n") + PRIOR) <= self.line()
-
-
-def trusted_documents(labels: DataFrame) -> DataFrame:
-    """doc_id and fold (0 trains, 1 is held out) of the documents all of whose labels are of quality 1."""
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1")
-    return good.select("doc_id", F.xxhash64("doc_id").bitwiseAND(F.lit(1)).cast("int").alias("fold"))
-
-
-def training_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """ids: the words of each text that trains."""
+    return rows.mapInArrow(run, f"doc_id {kind}, lang string, hash long, n long, bits double")
+
+
+def score_texts(docs: DataFrame, model: list[DataFrame], unseen: np.ndarray, parts: int = PARTS) -> DataFrame:
+    """doc_id, lang, hash, bits per word (the end mark counts as one) and number of words n of every document."""
+    plain = saved(plain_bits(docs, unseen), "plain")
+    many = plain.agg(F.sum("n")).first()[0] or 0
+    bits = max(int(math.log2(parts)), math.ceil(math.log2(max(1, 2.5 * many / SHARD_KEYS))))
+    sums = []
+    for i in range(parts):
+        mine = _all([t.where(F.col("part") == i).select("key", "bits") for t in model])
+        mine = mine.withColumn("shard", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
+        got = sent_grams(docs, i, parts, bits).groupBy("shard").cogroup(mine.groupBy("shard"))
+        per = got.applyInArrow(lambda sent, known: _found(known, sent, bits), "hash long, bits double")
+        sums.append(saved(per.groupBy("hash").agg(F.sum("bits").alias("more")), "sums"))
+    # copies of a text are sent each, so their sum is shared out
+    copies = plain.groupBy("hash").agg(F.count("*").alias("copies"))
+    more = _all(sums).groupBy("hash").agg(F.sum("more").alias("more")).join(copies, "hash").select("hash", (F.col("more") / F.col("copies")).alias("more"))
+    total = -(F.col("bits") + F.coalesce("more", F.lit(0.0)))
+    out = saved(plain.join(more, "hash", "left").select("doc_id", "lang", "hash", "n", F.when(F.col("n") > 0, total / (F.col("n") + 1)).otherwise(0.0).alias("bits")), "scores")
+    discard(plain, *sums)
+    return out
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = part.column(0).to_pylist()
-            for a, b in vectext.batches(texts):
-                word, text = shaped_words(texts[a:b])
-                at = np.searchsorted(text, np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([word[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["ids"])
 
-    mine = docs.select("doc_id", text_of().alias("text")).join(trusted_documents(labels).where("fold = 0"), "doc_id", "left_semi")
-    return mine.select("text").mapInArrow(run, "ids binary")
+def thresholds(scores: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, float]:
+    """lang and line (bits per word) of the languages with enough held-out documents, and the line of all others."""
+    held = scores.where("n > 0").join(_few(trusted_documents(labels).where("fold = 1").select("doc_id")), "doc_id", "left_semi")
+    at = F.percentile_approx("bits", quantile, 10000).alias("line")
+    per = saved(held.where("lang is not null").groupBy("lang").agg(at, F.count("*").alias("held")).where(F.col("held") >= LEAST).select("lang", "line"), "lines")
+    whole = held.agg(at).first()["line"]
+    return per, math.inf if whole is None else whole
 
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> tuple[DataFrame, Thresholds]:
-    """Scores of all documents, and the lines between good and bad."""
-    scores = saved(score_texts(docs, *model_table(training_words(docs, labels))), "scores")
-    held = scores.where("n > 0").join(trusted_documents(labels).where("fold = 1"), "doc_id", "left_semi")
-    at = F.percentile_approx("bits", [0.5, quantile], 10000).alias("q")
-    line = lambda q: q[1] + margin * (q[1] - q[0])
-    rows = held.groupBy("lang").agg(at, F.count("*").alias("n")).where(F.col("n") >= LEAST).limit(10_000).collect()  # a row per language
-    whole = held.agg(at).first()["q"]
-    per = {r["lang"]: r["q"] for r in rows if r["lang"] is not None}
-    return scores, Thresholds({k: line(q) for k, q in per.items()}, {k: q[0] for k, q in per.items()}, (line(whole), whole[0]) if whole else (float("inf"), 0.0))
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """doc_id, lang, hash, n, bits and line of every document."""
+    words = saved(training_words(docs, labels), "words")
+    model, unseen = model_tables(words)
+    discard(words)
+    scores = score_texts(docs, model, unseen)
+    discard(*model)
+    per, other = thresholds(scores, labels, quantile)
+    return scores.join(_few(per), "lang", "left").withColumn("line", F.coalesce("line", F.lit(other)))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold (as a perplexity) and kept of every document."""
-    scores, t = fit(docs, labels, **how)
-    return scores.select("doc_id", "lang", F.col("n").alias("n_words"), F.pow(F.lit(2.0), F.col("bits")).alias("perplexity"), F.pow(F.lit(2.0), t.line()).alias("threshold"), t.kept().alias("kept"))
+    rows = judged(docs, labels, **how)
+    power = lambda c: F.pow(F.lit(2.0), F.col(c))
+    return rows.select("doc_id", "lang", F.col("n").alias("n_words"), power("bits").alias("perplexity"), power("line").alias("threshold"), (F.col("bits") <= F.col("line")).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that are kept, with all their columns. A score depends on text and language alone, so rejected ones are told by these."""
-    scores, t = fit(docs, labels, **how)
     lang = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    bad = scores.where(~t.kept()).select(F.col("hash").alias("_hash"), lang(F.col("lang")).alias("_lang"), F.isnull("lang").alias("_none")).distinct()
-    bad = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(text_of()).alias("_hash"), lang(F.col("lang")).alias("_lang"), F.isnull("lang").alias("_none"), salt.alias("_salt"))
-    return rows.join(bad, ["_hash", "_lang", "_none", "_salt"], "left_anti").select("_row.*")
+    bad = judged(docs, labels, **how).where("bits > line").select(F.col("hash").alias("_hash"), lang(F.col("lang")).alias("_lang"), F.isnull("lang").alias("_none")).distinct()
+    bad = _few(saved(bad, "rejected"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(text_of()).alias("_hash"), lang(F.col("lang")).alias("_lang"), F.isnull("lang").alias("_none"))
+    return rows.join(bad, ["_hash", "_lang", "_none"], "left_anti").select("_row.*")
