@@ -79,5 +79,5 @@ ORACLES: dict[str, str] = {
       k AS (SELECT doc_id, key, octet_length(encode(docs.t)) + 8 AS size, {_CRC.replace("encode(t)", "encode(docs.t)")} AS text_crc32 FROM docs, crc_table),
       scored AS (SELECT key, shard, -1.0 / ln((('0x' || substr(md5(key || ':' || shard), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS score FROM (SELECT DISTINCT key FROM docs) x, range(25) AS r(shard)),
       best AS (SELECT key, arg_max(shard, score) FILTER (shard < 24) AS shard, arg_max(shard, score) AS grown_shard FROM scored GROUP BY key)
-      SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key), 1, 3), doc_id, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard FROM k JOIN best USING (key)""",
+      SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || ':' || text_crc32), 1, 3), doc_id, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard FROM k JOIN best USING (key)""",
 }
