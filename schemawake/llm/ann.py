@@ -12,8 +12,10 @@ SEEDS * sqrt(nodes) fixed nodes with a beam of BEAM; scores are then taken in do
 
 Cases: rows whose vec_id is null or whose vector is null, empty, zero or holds
 null or non-finite components take no part; vectors of different lengths are not
-compared; rows of equal vec_id and vector count once; equal scores are ordered by
-vec_id; with fewer candidates than asked for all are returned; an empty table
+compared; rows of equal vec_id and vector count once; rows of one vec_id but
+different vectors are queries (with a list each) and candidates each; equal scores
+are ordered by vec_id, also where a shard keeps only some of those that tie; with
+fewer candidates than asked for all are returned; an empty table
 gives no rows.
 """
 
@@ -55,11 +57,11 @@ def _matrix(column: pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
 
 
 def shard_nodes(rows: DataFrame) -> DataFrame:
-    """shard, idx (0 up, in the shard), node, v of the distinct vectors."""
-    nodes = saved(rows.groupBy("node").agg(F.first("v").alias("v")), "nodes")
+    """shard, idx (0 up, in the shard, by least vec_id), node, v, low (least vec_id) of the distinct vectors."""
+    nodes = saved(rows.groupBy("node").agg(F.first("v").alias("v"), F.min("vec_id").alias("low")), "nodes")
     shards = max(1, round(math.sqrt(nodes.count()) / 8))
     dealt = nodes.withColumn("shard", F.size("v") * F.lit(1 << 32) + F.pmod(F.xxhash64("node"), F.lit(shards)))
-    return saved(dealt.withColumn("idx", (F.row_number().over(Window.partitionBy("shard").orderBy("node")) - 1).cast("int")), "shards")
+    return saved(dealt.withColumn("idx", (F.row_number().over(Window.partitionBy("shard").orderBy("low", "node")) - 1).cast("int")), "shards")
 
 
 _EDGES = "shard long, owner int, other int, score float, new boolean"
@@ -134,17 +136,17 @@ def neighbour_graph(nodes: DataFrame, k: int = K) -> DataFrame:
             return edges.drop("new")
 
 
-_HITS = "query long, node long, score double"
+_HITS = "query long, node long, low long, score double"
 
 
 def _search(seeds: float, beam: int, many: int):
     def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
         n = shard.num_rows
         if not n or not queries.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.table({"query": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "low": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         order = np.argsort(shard["idx"].to_numpy())
         exact = _matrix(shard["v"])[order]
-        names = shard["node"].to_numpy()[order]
+        names, low = shard["node"].to_numpy()[order], shard["low"].to_numpy()[order]
         lists = [shard["around"][i].as_py() or [] for i in order.tolist()]
         around = _padded(lists, max(1, *map(len, lists)), -1).astype(np.int64)
         start = np.random.default_rng(7).permutation(n)[: math.ceil(seeds * math.sqrt(n))]
@@ -154,11 +156,12 @@ def _search(seeds: float, beam: int, many: int):
         for a in range(0, len(q), 256):
             ids, _ = graph.greedy_search(v, around, q[a : a + 256].astype(np.float32), start, beam)
             s = np.where(ids >= 0, np.einsum("ij,ikj->ik", q[a : a + 256], exact[np.maximum(ids, 0)]), -np.inf)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :many]
+            # nodes are numbered by their least vec_id, so what ties is kept in that order
+            top = np.lexsort((np.maximum(ids, 0), -s))[:, :many]
             ids, s = np.take_along_axis(ids, top, 1), np.take_along_axis(s, top, 1)
             i, j = np.nonzero(ids >= 0)
-            out.append((who[a + i], names[ids[i, j]], s[i, j]))
-        return pa.table({k: pa.array(np.concatenate(x)) for k, x in zip(("query", "node", "score"), zip(*out, strict=True), strict=True)})
+            out.append((who[a + i], names[ids[i, j]], low[ids[i, j]], s[i, j]))
+        return pa.table({k: pa.array(np.concatenate(x)) for k, x in zip(("query", "node", "low", "score"), zip(*out, strict=True), strict=True)})
 
     return run
 
@@ -179,11 +182,10 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, k: int = K, beam
     told = saved(queries.withColumn("dim", F.size("v")).join(F.broadcast(shards), "dim").select("shard", F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"), "query", "v"), "told")
     whole = nodes.join(around, ["shard", "idx"], "left").withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
     hits = whole.groupBy("shard", "block").cogroup(told.groupBy("shard", "block")).applyInArrow(_search(seeds, beam, top + 1), _HITS)
-    first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
+    first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "low"))
     hits = saved(hits.withColumn("r", first).where(F.col("r") <= top + 1).drop("r"), "hits")
     ids = _least_ids(rows, top + 1)
-    # classes that tie with the last one kept are told apart by vec_id only among those found
     found = hits.join(ids, "node").join(asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")), "query")
-    each = found.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    each = found.select("query_id", "query", "node", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id or node <> query")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -99,5 +99,5 @@ def greedy_search(vectors: np.ndarray, around: np.ndarray, queries: np.ndarray,
         all_ids = np.concatenate([ids[live], np.where(fresh, near, -1)], 1)
         all_s = np.concatenate([score[live], s], 1)
         all_open = np.concatenate([open_[live], fresh], 1)
-        order = np.argsort(-all_s, axis=1, kind="stable")[:, :beam]
+        order = np.lexsort((all_ids, -all_s))[:, :beam]  # equal scores: lower numbers first
         ids[live], score[live], open_[live] = (np.take_along_axis(x, order, 1) for x in (all_ids, all_s, all_open))
