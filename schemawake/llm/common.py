@@ -28,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 RANGE_ROWS = 65_536
 
 
-def in_ranges(rows: DataFrame, n_rows: int, *order) -> DataFrame:
-    """rows dealt by ranges of `order` into tasks of about RANGE_ROWS rows (at least the session's shuffle partitions) and sorted there: task i holds what comes before task i + 1. Rows equal in `order` may be split over tasks."""
+def in_ranges(rows: DataFrame, n_rows: int, order: list, then: str) -> DataFrame:
+    """rows dealt by ranges of `order` into tasks of about RANGE_ROWS rows (at least the session's shuffle partitions) and sorted there, by `then` too: task i holds what comes before task i + 1.
+
+    `order` should be short values, as the driver gets a sample of them; rows equal in it may be split over tasks.
+    """
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_rows / RANGE_ROWS))
-    return rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order, then)
 
 
 def text_of(col: str = "text") -> Column:

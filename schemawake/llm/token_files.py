@@ -10,15 +10,16 @@ File format: a Parquet dataset `<name>-<id>` of binary blocks, so that any store
 Spark reaches can hold it. Columns: chunk, block, tokens_before (in the chunk),
 n_docs, n_tokens, ids (doc ids, 8 bytes each, little-endian), nulls (one byte a
 document: is its id null?), lens (tokens per document, 4 bytes each), control,
-data. Chunks ascend by doc_id, blocks within a chunk too. The rank table is a
-second dataset of rows (rank, id).
+data. A chunk is a range of documents that one task writes: chunks ascend by
+doc_id, blocks within a chunk too, and there are as many as the documents need.
+The rank table is a second dataset of rows (rank, id).
 
 The texts are encoded once, into a scratch table of 2-byte ids that also carries
 each task's token counts; ranking reads only those counts.
 
 Cases: a null text is an empty one (its ids are the end id alone); a null
-doc_id comes before all others; equal doc_ids are ordered by their ids' bytes;
-an empty table makes no blocks.
+doc_id comes before all others; equal doc_ids are ordered by length, then by their ids'
+bytes, and many of them go to several chunks; an empty table makes no blocks.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import discard, id_bounds, partitions, saved, text_of
+from .common import discard, in_ranges, saved, text_of
 
 #: A block ends with the document that reaches this many tokens.
 BLOCK_TOKENS = 1 << 18
@@ -70,29 +72,25 @@ class TokenFiles:
     ranks: DataFrame
 
 
-def _encoded(docs: DataFrame, path: str, end_id: int, bounds: list[int]) -> DataFrame:
-    """chunk, doc_id, ids (2-byte) of every document; per task one more row: chunk -1 and its token counts as 8-byte (id, count) pairs."""
-    cuts = np.array(bounds, np.int64)
-    schema = pa.schema([("chunk", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """doc_id and ids (2-byte) of every document; per task one more row, of its token counts as 8-byte (id, count) pairs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([end_id], "<u2").tobytes()
         counts = np.zeros(1 << 16, np.int64)
         for part in parts:
-            keys = part.column(0)
-            chunk = np.where(keys.is_null().to_numpy(False), 0, np.searchsorted(cuts, keys.fill_null(0).to_numpy(), "right")).astype(np.int32)
             texts = part.column(1).to_pylist()
             for a in range(0, len(texts), 500):
                 ids = enc.ids(texts[a : a + 500])
-                for x in ids:
-                    counts += np.bincount(x, minlength=1 << 16)
+                counts += np.bincount(np.concatenate(ids), minlength=1 << 16)
                 counts[end_id] += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(chunk[a : a + 500]), keys.slice(a, len(ids)), pa.array([x.astype("<u2").tobytes() + end for x in ids], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, len(ids)), pa.array([x.astype("<u2").tobytes() + end for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], schema=schema)
         used = np.flatnonzero(counts)
         pairs = np.stack([used, counts[used]], 1).astype("<i8").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.int64()), pa.array([pairs], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "chunk int, doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
 def _pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,26 +117,23 @@ _BLOCKS = "chunk int, block int, tokens_before long, n_docs int, n_tokens long,
 
 
 def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by chunk and doc_id; a chunk is whole within its task."""
-    held, size, chunk, block, before = [], 0, None, 0, 0
+    """Rows come sorted by doc_id; the task's range is a chunk."""
+    held, size, chunk, block, before = [], 0, TaskContext.get().partitionId(), 0, 0
     for part in parts:
-        for c, key, n, control, data in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
-            if held and (c != chunk or size >= BLOCK_TOKENS):
+        for row in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+            if size >= BLOCK_TOKENS:
                 yield _block(chunk, block, before, held)
                 block, before, held, size = block + 1, before + size, [], 0
-            if c != chunk:
-                chunk, block, before = c, 0, 0
-            held.append((key, n, control, data))
-            size += n
+            held.append(row)
+            size += row[1]
     if held:
         yield _block(chunk, block, before, held)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> TokenFiles:
     """Encode all texts and write them as blocks in ascending doc_id order, with the rank table."""
-    spark = docs.sparkSession
-    coded = saved(_encoded(docs, tokenizer, end_id, id_bounds(docs.select(F.col("doc_id").cast("long")), "doc_id")), "token-ids")
-    totals = coded.where("chunk = -1").select("ids").mapInArrow(_pairs, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    coded = saved(_encoded(docs, tokenizer, end_id), "token-ids")
+    totals = coded.where("counts is not null").select("counts").mapInArrow(_pairs, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # at most one row per vocabulary entry
     ranks = saved(totals.select((F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).alias("rank"), "id"), "token-ranks")
     rank_of = np.zeros(1 << 16, np.uint32)
@@ -147,16 +142,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) ->
 
     def ranked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            values = [rank_of[np.frombuffer(x, "<u2")] for x in part.column(2).to_pylist()]
+            values = [rank_of[np.frombuffer(x, "<u2")] for x in part.column(1).to_pylist()]
             made = [encode_values(v) for v in values]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([len(v) for v in values], pa.int32()), pa.array([c for c, _ in made], pa.binary()), pa.array([d for _, d in made], pa.binary())],
-                ["chunk", "doc_id", "n", "control", "data"],
+                [part.column(0), pa.array([len(v) for v in values], pa.int32()), pa.array([c for c, _ in made], pa.binary()), pa.array([d for _, d in made], pa.binary())],
+                ["doc_id", "n", "control", "data"],
             )
 
-    coded_docs = coded.where("chunk >= 0").mapInArrow(ranked, "chunk int, doc_id long, n int, control binary, data binary")
-    dealt = coded_docs.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "doc_id", "data", "control")
-    blocks = saved(dealt.mapInArrow(_blocks, _BLOCKS), "token-files", "none")
+    coded_docs = coded.where("counts is null").select("doc_id", "ids")
+    # lengths tell most equal doc_ids apart for the ranges, so that one key's rows are spread
+    dealt = in_ranges(coded_docs.withColumn("h", F.octet_length("ids")), docs.count(), [F.asc_nulls_first("doc_id"), F.asc("h")], "ids").select("doc_id", "ids")
+    blocks = saved(dealt.mapInArrow(ranked, "doc_id long, n int, control binary, data binary").mapInArrow(_blocks, _BLOCKS), "token-files", "none")
     discard(coded)
     return TokenFiles(blocks, ranks)
 
@@ -167,20 +163,19 @@ def read_token_files(files: TokenFiles, with_ids: bool = True) -> DataFrame:
     for r in files.ranks.collect():
         id_of[r["rank"]] = r["id"]
     chunks = files.blocks.groupBy("chunk").agg(F.sum("n_tokens").alias("n"))
-    # as many rows as there are chunks (at most 4,096)
+    # a row for each task that wrote, so one task numbers them and all tasks get them
     starts = chunks.select("chunk", F.coalesce(F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("chunk_start"))
-    start_of = {r["chunk"]: r["chunk_start"] for r in starts.collect()}
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for chunk, before, n, keys, nulls, lens, control, data in zip(*(part.column(i).to_pylist() for i in range(8)), strict=True):
+            for start, before, n, keys, nulls, lens, control, data in zip(*(part.column(i).to_pylist() for i in range(8)), strict=True):
                 ids = id_of[decode_values(control, data, n)].astype("<u4")
                 lens = np.frombuffer(lens, "<u4").astype(np.int64)
                 ends = np.cumsum(lens)
                 raw = [ids[e - k : e].tobytes() for e, k in zip(ends.tolist(), lens.tolist(), strict=True)]
-                cols = [pa.array(np.frombuffer(keys, "<i8"), mask=np.frombuffer(nulls, bool)), pa.array(start_of[chunk] + before + ends - lens), pa.array(lens), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+                cols = [pa.array(np.frombuffer(keys, "<i8"), mask=np.frombuffer(nulls, bool)), pa.array(start + before + ends - lens), pa.array(lens), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
                 cols += [pa.array(raw, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    columns = ("chunk", "tokens_before", "n_tokens", "ids", "nulls", "lens", "control", "data")
-    return files.blocks.select(*columns).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    columns = ("chunk_start", "tokens_before", "n_tokens", "ids", "nulls", "lens", "control", "data")
+    return files.blocks.join(F.broadcast(starts), "chunk").select(*columns).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
