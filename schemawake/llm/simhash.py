@@ -13,7 +13,7 @@ only in the first table that holds it.
 
 Cases: a null text is an empty one, whose fingerprint is all zeros; equal texts
 have equal fingerprints; documents are in order of doc_id, nulls first, then
-text; the last one's next is the first (itself, if it is the only one); an empty
+a hash of the text; the last one's next is the first (itself, if it is the only one); an empty
 table gives no rows.
 """
 
@@ -25,11 +25,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectext
-from .common import id_bounds, partitions, saved, text_of
+from .common import in_ranges, map_texts, saved, text_of
 
 BITS, BLOCKS, RADIUS = 64, 6, 3
 _ROWS = 1 << 17
@@ -66,79 +67,83 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count(a ^ b) / BITS
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """chunk, follows, doc_id, text: the documents by chunks of doc_id, sorted, each chunk whole in one task and followed by its next chunk's first document (follows: true)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    bounds = id_bounds(rows.select("doc_id"), "doc_id")
-    low = rows.agg(F.min("doc_id").alias("m"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    first_of = {c - 1: b for c, b in enumerate(bounds, 1)} | {len(bounds): None if low["nulls"] else low["m"]}
-    before = {b: c for c, b in first_of.items()}
-    cuts = np.array(bounds, np.int64)
-    names = ["chunk", "follows", "doc_id", "text"]
-
-    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, tuple] = {}
-        for part in parts:
-            keys, texts = part.column(0), part.column(1)
-            chunk = np.where(keys.is_null().to_numpy(False), 0, np.searchsorted(cuts, keys.fill_null(0).to_numpy(), "right"))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(np.zeros(len(chunk), bool)), keys, texts], names)
-            for i, k in enumerate(keys.to_pylist()):
-                if k in before:
-                    c, t = before[k], texts[i].as_py()
-                    if c not in least or t < least[c][1]:
-                        least[c] = (k, t)
-        if least:
-            yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array([True] * len(least)), pa.array([k for k, _ in least.values()], pa.int64()), pa.array([t for _, t in least.values()], pa.string())], names)
-
-    dealt = rows.mapInArrow(deal, "chunk int, follows boolean, doc_id long, text string")
-    return dealt.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "follows", F.asc_nulls_first("doc_id"), "text")
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Two more columns on the first and the last document of a range, whose neighbour is in another one.
+_ENDS = "range int, head string, tail string"
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _measured(rows: list[tuple]) -> list[pa.Array]:
+    """The columns of documents given as (doc_id, text, next text)."""
+    keys, texts, follows = zip(*rows, strict=True)
+    edited = [t[: len(t) - len(t) // 4] + f[: len(t) // 4] for t, f in zip(texts, follows, strict=True)]
+    own, other = fingerprints(list(texts)), fingerprints(edited)
+    after = np.empty_like(own)
+    after[:-1] = own[1:]
+    apart = [i for i in range(len(rows)) if i == len(rows) - 1 or follows[i] is not texts[i + 1]]
+    after[apart] = fingerprints([follows[i] for i in apart])
+    return [
+        pa.array(keys, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+        pa.array([f"{x:016x}" for x in own.tolist()]), pa.array([f"{x:016x}" for x in other.tolist()]), pa.array(likeness(own, other)), pa.array(likeness(own, after)),
+    ]
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
 def _compared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as `in_order` deals them; a document is finished when the next one has come."""
+    """Rows (doc_id, text) in order. A document is finished when the next one has come; the range's last one goes on as it is, with the range's first text."""
     held: list[tuple] = []
-    chars, last = 0, None
+    chars, last, head = 0, None, None
+    names = _names(f"{SCHEMA}, {_ENDS}")
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        keys, texts, follows = zip(*rows, strict=True)
-        edited = [t[: len(t) - len(t) // 4] + f[: len(t) // 4] for t, f in zip(texts, follows, strict=True)]
-        own, other = fingerprints(list(texts)), fingerprints(edited)
-        after = np.empty_like(own)
-        after[:-1] = own[1:]
-        apart = [i for i in range(len(rows)) if i == len(rows) - 1 or follows[i] is not texts[i + 1]]
-        after[apart] = fingerprints([follows[i] for i in apart])
-        cols = [
-            pa.array(keys, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-            pa.array([f"{x:016x}" for x in own.tolist()]), pa.array([f"{x:016x}" for x in other.tolist()]), pa.array(likeness(own, other)), pa.array(likeness(own, after)),
-        ]
-        return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in SCHEMA.split(", ")])
+        none = [pa.nulls(len(rows), t) for t in (pa.int32(), pa.string(), pa.string())]
+        return pa.RecordBatch.from_arrays([*_measured(rows), *none], names)
 
     for part in parts:
-        for c, f, k, t in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-            if last and last[0] == c:
-                held.append((last[1], last[2], t))
-                chars += len(last[2])
+        for k, t in zip(*(part.column(i).to_pylist() for i in range(2)), strict=True):
+            if last is None:
+                head = t
+            else:
+                held.append((*last, t))
+                chars += len(last[1])
                 if chars >= vectext.BATCH_CHARS:
                     yield flush(held)
                     held, chars = [], 0
-            last = None if f else (c, k, t)
+            last = (k, t)
     if held:
         yield flush(held)
+    if last:
+        blank = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), *blank, pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([head]), pa.array([last[1]])], names)
+
+
+def _finished(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Last documents of ranges, with the first text of the range that follows."""
+    for part in parts:
+        for row in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            yield pa.RecordBatch.from_arrays(_measured([row]), _names(SCHEMA))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Per document its fingerprint, that of its edited text (the last quarter taken from the next document's start), and how alike they and the next document's are."""
-    return in_order(docs).mapInArrow(_compared, SCHEMA)
+    """Per document its fingerprint, that of its edited text (the last quarter taken from the next document's start), and how alike they and the next document's are.
+
+    Documents are sorted in ranges; what a range's last one needs from the next range is brought to it by a second, small pass.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+    dealt = in_ranges(rows, docs.count(), [F.asc_nulls_first("doc_id"), F.asc("h")], "text").select("doc_id", "text")
+    out = saved(dealt.mapInArrow(_compared, f"{SCHEMA}, {_ENDS}"), "fingerprints")
+    ends = out.where("range is not null").select("range", "doc_id", "head", "tail")
+    # a number for each range, so one task finds what follows them; the last is followed by the first
+    ring = ends.select("range", F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.orderBy("range"))).alias("next"))
+    then = ring.join(ends.select(F.col("range").alias("next"), F.col("head").alias("after")), "next")
+    last = ends.join(then, "range").select("doc_id", "tail", "after").mapInArrow(_finished, SCHEMA)
+    return out.where("range is null").select(*_names(SCHEMA)).unionByName(last)
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (long): one pass, no shuffle."""
-    from .common import map_texts
-
     return map_texts(docs, ["doc_id"], lambda texts: {"fingerprint": fingerprints(texts).view(np.int64)}, "fingerprint long")
 
 
@@ -170,15 +175,17 @@ def within_radius(queries: DataFrame, table: DataFrame, radius: int = RADIUS, bl
     first = F.lit(True)
     for i, m in enumerate(masks):
         first = first & ((F.col("t") <= i) | (x.bitwiseAND(F.lit(_signed(m))) != 0))
-    hits = q.join(t, ["t", "bits"]).where((F.col("query") != F.col("found")) & (F.bit_count(x) <= radius) & first)
+    # sorted rather than broadcast: a side's rows are many times its fingerprints
+    hits = q.hint("merge").join(t, ["t", "bits"]).where((F.col("query") != F.col("found")) & (F.bit_count(x) <= radius) & first)
     return hits.select("query", "found", F.bit_count(x).cast("int").alias("distance"))
 
 
 def search_counts(compared: DataFrame, every: int = 20, radius: int = RADIUS) -> DataFrame:
     """`edited_fingerprints` with n_within: for the query documents (doc_id divisible by `every`), how many documents with another fingerprint lie within the radius; null for the rest."""
-    rows = saved(compared, "fingerprints").withColumn("fp", F.conv("fingerprint", 16, -10).cast("long"))
-    per = rows.groupBy("fp").agg(F.count("*").alias("n")).withColumnRenamed("fp", "fingerprint")
-    asked = rows.where(F.col("doc_id") % every == 0).select(F.col("fp").alias("fingerprint")).distinct()
-    hits = within_radius(asked, per, radius).join(per.withColumnRenamed("fingerprint", "found"), "found").groupBy("query").agg(F.sum("n").alias("n_within"))
-    out = rows.where(F.col("doc_id") % every == 0).select("doc_id", F.col("fp").alias("query")).distinct().join(hits, "query", "left").select("doc_id", F.coalesce("n_within", F.lit(0)).cast("long").alias("n_within"))
-    return rows.drop("fp").join(out.dropDuplicates(["doc_id"]), "doc_id", "left")
+    rows = saved(compared, "compared").withColumn("fp", F.conv("fingerprint", 16, -10).cast("long"))
+    per = rows.groupBy(F.col("fp").alias("fingerprint")).agg(F.count("*").alias("n"))
+    is_query = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    asked = rows.where(is_query)
+    hits = within_radius(asked.select(F.col("fp").alias("fingerprint")), per, radius).join(per.withColumnRenamed("fingerprint", "found"), "found").groupBy(F.col("query").alias("fp")).agg(F.sum("n").alias("n_within"))
+    told = asked.join(hits, "fp", "left").withColumn("n_within", F.coalesce("n_within", F.lit(0)).cast("long"))
+    return told.unionByName(rows.where(~is_query).withColumn("n_within", F.lit(None).cast("long"))).drop("fp")
