@@ -66,6 +66,21 @@ def test_packing(spark, tokenizer):
             at += length
         assert at <= 1024
     assert len(bins) <= -(-total // 1024) * 1.05 + 2
+    # every document's pieces, put together, are its ids; only those of over 1,024 are cut
+    held = {}
+    for r in got:
+        held.setdefault(r["doc_id"], []).append(r)
+    for d, ids in expected_ids(tokenizer):
+        pieces = sorted(held[d], key=lambda r: (r["piece"], r["sequence_id"]))
+        if len(ids) <= 1024:
+            assert {(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pieces} == {(0, 0, len(ids), zlib.crc32(ids.tobytes()))}
+            continue
+        assert [r["piece"] for r in pieces] == list(range(-(-len(ids) // 1024)))
+        at = 0
+        for r in pieces:
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes()) and (r["length"] == 1024 or r["piece"] == 0)
+            at += r["length"]
+        assert at == len(ids)
     assert packing.pack_documents(none(spark), tokenizer_path()).isEmpty()
 
 
@@ -94,6 +109,30 @@ def test_secrets(spark):
     assert masked.columns == docs(spark).columns and "0123456789abcdef" not in masked.where("doc_id = 11").first()["text"]
 
 
+def naive_base(text):
+    """The three base patterns, each from left to right without overlaps; too short matches are used up and dropped."""
+    found = []
+    for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A):
+        found += [("assign", m.start(), m.end())] * (len(m.group(2)) >= 6)
+    for kind, pattern, least in (("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24)):
+        found += [(kind, m.start(), m.end()) for m in re.finditer(pattern, text) if m.end() - m.start() >= least]
+    return sorted(found, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def test_base_spans_equal_brute_force(spark):
+    r = random.Random(9)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "apikey", "AKIA", "AKIAQ7", "=", ":", " ", "  ", '"', "'", "0123456789abcdef", "deadbeef", "hunter2", "abc", "XYZ12345678901234", "é", "-", "/", "\n", "ſ", "K"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 40))) for _ in range(1500)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for row in secrets.find_secrets(df).collect():
+        base = naive_base(texts[row["doc_id"]] or "")
+        assert [row["n_assign"], row["n_access"], row["n_hex"]] == [sum(k == x[0] for x in base) for k in ("assign", "access", "hex")]
+        joined = [":".join(map(str, x)) for x in base]
+        assert row["base_sha256"] == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        spans = row["spans"].split(",") if row["spans"] else []
+        assert [x for x in spans if not x.startswith("random")] == joined
+
+
 @pytest.mark.parametrize(
     ("text", "kinds"),
     [
@@ -144,17 +183,35 @@ def naive_fingerprint(text):
 
 
 def test_simhash(spark):
-    got = simhash.edited_fingerprints(docs(spark)).collect()
-    rows = sorted(((d, t or "") for d, t, *_ in corpus()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    assert len(got) == len(rows)
-    by = {}
-    for i, (d, t) in enumerate(rows):
-        after = rows[(i + 1) % len(rows)][1]
-        k = len(t) // 4
-        by.setdefault(d, []).append((len(t), hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest(), f"{naive_fingerprint(t):016x}"))
-    for r in got:
-        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) in by[r["doc_id"]]
-    assert simhash.edited_fingerprints(none(spark)).isEmpty()
+    """More ranges than documents, so that most ends are in another range than what follows them."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("3", "100"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = simhash.edited_fingerprints(docs(spark)).collect()
+        h = {r["t"]: r["h"] for r in docs(spark).selectExpr("coalesce(text, '') t", "xxhash64(coalesce(text, '')) h").collect()}
+        rows = sorted(((d, t or "") for d, t, *_ in corpus()), key=lambda x: (x[0] is not None, x[0] or 0, h[x[1]]))
+        want = []
+        for i, (d, t) in enumerate(rows):
+            after = rows[(i + 1) % len(rows)][1]
+            k = len(t) // 4
+            edited = t[: len(t) - k] + after[:k]
+            own, other, following = (naive_fingerprint(x) for x in (t, edited, after))
+            like = lambda a, b: 1 - (a ^ b).bit_count() / 64
+            want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{own:016x}", f"{other:016x}", like(own, other), like(own, following)))
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+        assert simhash.edited_fingerprints(none(spark)).isEmpty()
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_search_counts_equal_brute_force(spark):
+    rows = [(i, f"{i % 30:016x}" if i % 3 else f"{(i % 30) << 3 | 1:016x}") for i in range(200)] + [(20, "ffffffffffffffff"), (20, "fffffffffffffff0"), (None, "0" * 16)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    got = sorted(map(str, map(tuple, simhash.search_counts(df).select("doc_id", "fingerprint", "n_within").collect())))
+    want = []
+    for d, f in rows:
+        n = sum(0 < (int(f, 16) ^ int(g, 16)).bit_count() <= 3 for _, g in rows)
+        want.append((d, f, n if d is not None and d % 20 == 0 else None))
+    assert got == sorted(map(str, want))
 
 
 def test_radius_search_equals_brute_force(spark):
@@ -178,6 +235,8 @@ def test_rendezvous(spark):
         assert r["grown_shard"] in (r["shard"], 24)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert rendezvous.assign_shards(none(spark), [1.0] * 24).isEmpty()
+    hot = spark.range(9000).selectExpr("cast(null as long) doc_id", "cast(id as string) text")
+    assert sorted(r["slot"] for r in rendezvous.assign_shards(hot, [1.0] * 3).collect()) == list(range(9000))
     many = spark.range(20000).selectExpr("id as doc_id", "'' as text")
     share = {r["shard"]: r["count"] / 20000 for r in rendezvous.assign_shards(many, [1.0, 2.0, 1.0]).groupBy("shard").count().collect()}
     assert abs(share[1] - 0.5) < 0.02
