@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, kneser_ney, mixing, neardup, packing, pii, rendezvous, secrets, simhash, token_files
+from . import ann, kneser_ney, lexical, mixing, neardup, packing, pii, rendezvous, secrets, simhash, token_counts, token_files
 from .common import table
 
 
@@ -59,6 +59,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nn_descent": op1_nn_descent,
     "op2_surrogates": op2_surrogates,
@@ -70,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_rendezvous": op9_rendezvous,
     "op10_packing": op10_packing,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_token_counts": op12_token_counts,
 }
 #: CRC-32 for an engine without it: the table of 256 remainders by rule, then a fold over the bytes.
 _CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::UBIGINT], [0,0,0,0,0,0,0,0]::UBIGINT[]), lambda a, b: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END)) AS t)"
@@ -80,4 +90,11 @@ ORACLES: dict[str, str] = {
       scored AS (SELECT key, shard, -1.0 / ln((('0x' || substr(md5(key || ':' || shard), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS score FROM (SELECT DISTINCT key FROM docs) x, range(25) AS r(shard)),
       best AS (SELECT key, arg_max(shard, score) FILTER (shard < 24) AS shard, arg_max(shard, score) AS grown_shard FROM scored GROUP BY key)
       SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || ':' || text_crc32), 1, 3), doc_id, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard FROM k JOIN best USING (key)""",
+    "op11_ranked_search": r"""WITH cut AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+      docs AS (SELECT row_number() OVER () AS d, doc_id, len(terms) AS n, terms FROM cut WHERE len(terms) > 0), total AS (SELECT count(*) AS nd, sum(n)::BIGINT AS nt FROM docs),
+      items AS (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+      asked AS (SELECT i, item_id, term, count(*) AS q FROM items GROUP BY ALL), posts AS (SELECT d, doc_id, n, term, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+      weights AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM posts, total GROUP BY term, nd),
+      scored AS (SELECT i, item_id, d, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt))))::BIGINT AS score FROM asked JOIN posts USING (term) JOIN weights USING (term), total GROUP BY i, item_id, d, doc_id)
+      SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0) WHERE rank <= 20""",
 }
