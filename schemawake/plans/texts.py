@@ -174,12 +174,21 @@ def page_tag_balance(spark, sf_dir):
     return pages.tag_balance(_pages(spark, sf_dir))
 
 
+#: Pages with one fault each: crossed tags, a closing tag too many, one too few, a child where none may be, self-closed tags, capitals.
+_NESTED = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN '<b><i></b></i>' || html WHEN 1 THEN html || '</p>' WHEN 2 THEN '<p>' || html WHEN 3 THEN '<video src="v"> </video>' || html WHEN 4 THEN '<video src="v"></video><br/><p>a<hr>b</p>' WHEN 5 THEN '<B>x</b>'
+      WHEN 6 THEN '<ul><li>' || page_id || '<ol><li><b>x</b></li></ol></li></ul>' ELSE html END AS html FROM pages"""
+
+
+def page_nesting(spark, sf_dir):
+    return pages.nesting(B.load(spark, sf_dir, _ONE, _NESTED))
+
+
 def page_list_items(spark, sf_dir):
     return pages.list_items(_pages(spark, sf_dir))
 
 
-#: Pages as release notes: an older version's section, then one that has the page's own list, its end, or no list at all.
-_NOTES = """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 9999 ELSE 100 + page_id % 50 END AS version, replace(replace(html, '<nav><ul>', '<h3>Layer ' || (700 + page_id % 50) || '</h3><ul><li>old</li></ul><h3 id="x"><b>Layer</b> ' || (100 + page_id % 50) || '</h3><p>intro</p>' || CASE WHEN page_id % 4 = 1 THEN '<h5>end</h5>' ELSE '' END || '<ul>'),
+#: Pages as release notes: an older version's section, then one that has the page's own list behind lists within lists, its end, or no list at all.
+_NOTES = """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 9999 ELSE 100 + page_id % 50 END AS version, replace(replace(html, '<nav><ul>', '<h3>Layer ' || (700 + page_id % 50) || '</h3><ul><li>old</li></ul><h3 id="x"><b>Layer</b> ' || (100 + page_id % 50) || '</h3><p>intro</p>' || CASE WHEN page_id % 4 = 1 THEN '<h5>end</h5>' ELSE '' END || '<ul>' || CASE WHEN page_id % 4 = 2 THEN '<li>outer<ul class="in"><li>inner<ul><li>deep</li></ul></li><li>next</li></ul></li>' ELSE '' END),
       '</ul></nav>', '</ul><ul><li>second</li></ul><h3>Layer ' || (100 + page_id % 50) || '</h3><ul><li>late</li></ul>') AS html FROM pages"""
 
 
@@ -193,13 +202,13 @@ def page_links(spark, sf_dir):
 
 _FNS = (
     class_filters, class_name_normalise, param_name_fix, java_type_map, inherit_members, objects_of_classes, text_sanitise, described_reconcile, described_items, stats_lines, file_actions, line_index, dup_lines, line_split,
-    version_codes, watermark_new, watermark_advance, dispatch_one, announce, dup_suppress, throttle_3s, stream_ingest, page_tag_audit, page_tag_balance, page_list_items, page_version_section, page_links,
+    version_codes, watermark_new, watermark_advance, dispatch_one, announce, dup_suppress, throttle_3s, stream_ingest, page_tag_audit, page_tag_balance, page_nesting, page_list_items, page_version_section, page_links,
 )
 QUERIES = {f.__name__: f for f in _FNS}
 
 _V = f"WITH {B.VER}"
-_TAGS = r"""WITH t AS (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<(/?)([a-z][a-z0-9]*)([^<>]*)>'), lambda x, i: {'x': x, 'i': i})) AS u FROM pages),
-    tags AS (SELECT page_id, u.i AS seq, u.x[2] = '/' AS closing, regexp_extract(u.x, '<(/?)([a-z][a-z0-9]*)([^<>]*)>', 2) AS tag, regexp_extract(u.x, '<(/?)([a-z][a-z0-9]*)([^<>]*)>', 3) AS attrs FROM t)"""
+_TAGS = r"""WITH t AS (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>'), lambda x, i: {'x': x, 'i': i})) AS u FROM pages),
+    tags AS (SELECT page_id, u.i AS seq, u.x[2] = '/' AS closing, regexp_extract(u.x, '<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>', 2) AS tag, regexp_extract(u.x, '<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>', 3) AS attrs FROM t)"""
 ORACLES = {
     "class_filters": f"""WITH c AS ({_CLASSES}), l AS (SELECT * FROM c WHERE NOT regexp_matches(class, 'Old[0-9]*$|ToBeDeprecated$|(?i:ToDelete$)|Layer[0-9]+$|(?i:_legacy$)|(?i:^TL_contactLink)'))
         SELECT k, class, ((id >> 24) & 255) = ((id >> 16) & 255) AND ((id >> 16) & 255) = ((id >> 8) & 255) AS placeholder, lower(class[1]) || class[2:] AS lowered FROM l
@@ -237,6 +246,13 @@ ORACLES = {
     "page_list_items": r"""WITH s AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1) AS items FROM pages), u AS (SELECT page_id, unnest(list_transform(CASE WHEN len(items) > 0 THEN items ELSE ['no changelog'] END, lambda x, i: {'x': x, 'i': i})) AS u FROM s)
         SELECT page_id, u.i - 1 AS pos, replace(replace(replace(replace(replace(regexp_replace(u.x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&') AS item FROM u""",
     "page_version_section": r"""WITH s AS (SELECT page_id, CASE WHEN page_id % 4 > 1 THEN regexp_extract(html, '(?s)<nav><ul>(.*?)</ul></nav>', 1) ELSE '' END AS items FROM pages)
-        SELECT page_id, items <> '' AS found, CASE WHEN items = '' THEN 'no changelog' ELSE trim(replace(replace(items, '<li>', '• '), '</li>', ''), E' \t\r\n') END AS text FROM s""",
+        SELECT page_id, items <> '' AS found, CASE WHEN items = '' THEN 'no changelog' ELSE trim(CASE WHEN page_id % 4 = 2 THEN '• outer• inner• deep• next' ELSE '' END || replace(replace(items, '<li>', '• '), '</li>', ''), E' \t\r\n') END AS text FROM s""",
+    "page_nesting": "WITH RECURSIVE src AS (" + _NESTED + r"""), t AS (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|[^<]+'), lambda x, i: {'x': x, 'i': i})) AS u FROM src),
+        tok AS (SELECT page_id, u.i - 1 AS seq, regexp_extract(u.x, '<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>', 2) AS tag, starts_with(u.x, '</') AS closing, ends_with(u.x, '/>') OR regexp_extract(u.x, '<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>', 2) IN ('br', 'hr', 'img') AS alone FROM t),
+        walk AS (SELECT page_id, 0::BIGINT AS seq, []::VARCHAR[] AS open, -1::BIGINT AS last, NULL::VARCHAR AS reason, NULL::VARCHAR AS tag, NULL::VARCHAR AS expected FROM src
+          UNION ALL SELECT page_id, seq + (bad IS NULL)::INT, CASE WHEN bad IS NOT NULL OR tag = '' OR (NOT closing AND alone) THEN open WHEN closing THEN open[:-2] ELSE list_append(open, tag) END, CASE WHEN closing THEN last ELSE len(open) END, bad, CASE WHEN bad IS NOT NULL THEN tag END, CASE WHEN bad = 'other tag open' THEN open[-1] END
+            FROM (SELECT w.page_id, w.seq, w.open, w.last, k.tag, k.closing, k.alone, CASE WHEN NOT k.closing THEN NULL WHEN len(w.open) = 0 THEN 'nothing open' WHEN w.open[-1] <> k.tag THEN 'other tag open' WHEN w.last = len(w.open) AND k.tag IN ('img', 'iframe', 'video', 'br', 'hr') THEN 'has content' END AS bad FROM walk w JOIN tok k ON k.page_id = w.page_id AND k.seq = w.seq WHERE w.reason IS NULL)),
+        fin AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY seq DESC, reason NULLS LAST) = 1)
+        SELECT page_id, reason IS NULL AND len(open) = 0 AS nested, CASE WHEN reason IS NULL AND len(open) > 0 THEN 'never closed' ELSE reason END AS reason, CASE WHEN reason IS NULL AND len(open) > 0 THEN open[-1] ELSE tag END AS tag, expected, CASE WHEN reason IS NOT NULL OR len(open) > 0 THEN seq::INT END AS seq FROM fin""",
     "page_links": """SELECT page_id, replace(html, 'href="/', 'href="https://example.org/') AS html, (length(html) - length(replace(html, 'href="/', ''))) // 7 AS links FROM pages""",
 }
