@@ -182,21 +182,22 @@ def newer_upstream(spark, sf_dir):
 
 
 #: Every year is merged into the year before; incoming rows come in another order, some under the name of a type, and secret ones are of the base's layer.
-_MERGE = (
-    B.SNAP
-    + """, yr AS (SELECT DISTINCT version FROM snap), pairs AS (SELECT a.version FROM yr a JOIN yr b ON a.version = b.version + 1),
-    base AS (SELECT snap.version + 1 AS version, api, kind, id, name, result, pos FROM snap JOIN pairs ON snap.version + 1 = pairs.version),
-    incoming AS (SELECT snap.version, api, kind, id, CASE WHEN pos % 190 = 0 THEN result WHEN pos % 19 = 0 THEN name || '_renamed' ELSE name END AS name, result, pos * 7919 % 1000003 AS pos, 'os' || (pos % 3) AS os, api = 'e2e' AS same_layer, pos AS own FROM snap JOIN pairs ON snap.version = pairs.version),
+#: Some objects come twice or three times: under an unknown id, and again under their own id and another name.
+_INPUTS = """yr AS (SELECT DISTINCT version FROM snap), pairs AS (SELECT a.version FROM yr a JOIN yr b ON a.version = b.version + 1),
+    base AS (SELECT snap.version + 1 AS version, api, kind, id, name, result, pos{more} FROM snap JOIN pairs ON snap.version + 1 = pairs.version),
+    fresh AS (SELECT snap.version, api, kind, id, CASE WHEN pos % 190 = 0 THEN result WHEN pos % 19 = 0 THEN name || '_renamed' ELSE name END AS name, result, pos * 7919 % 1000003 * 10 AS pos, 'os' || (pos % 3) AS os, api = 'e2e' AS same_layer, pos AS own{more} FROM snap JOIN pairs ON snap.version = pairs.version),
+    incoming AS (SELECT * FROM fresh UNION ALL SELECT version, api, kind, id + 77000000 AS id, name, 'Second' || (own % 5) AS result, pos + 1 AS pos, os, same_layer, own{more} FROM fresh WHERE own % 23 = 0
+      UNION ALL SELECT version, api, kind, id, name || '_third' AS name, CASE WHEN own % 4 = 0 THEN 'Third' ELSE result END AS result, pos + CASE WHEN own % 3 = 0 THEN -1 ELSE 2 END AS pos, os, same_layer, own{more} FROM fresh WHERE own % 46 = 0 OR own % 31 = 0),
     pin AS (SELECT 'os' || (b.pos % 3) AS os, b.name, CASE WHEN b.pos % 34 = 0 THEN b.pos + 1000003 * 10 ELSE 5 END AS old_id, CASE WHEN b.pos % 51 = 0 THEN 1 ELSE b.id END AS new_id FROM base b WHERE b.version = 2000 AND b.pos % 17 = 0 AND b.pos % 3 > 0),
-    gone AS (SELECT id FROM incoming WHERE own % 17 = 0 AND own % 5 = 0)"""
-)
+    gone AS (SELECT id FROM fresh WHERE own % 17 = 0 AND own % 5 = 0)"""
+_MERGE = f"{B.SNAP}, {_INPUTS.format(more='')}"
 
 
 def _merge_inputs(spark, sf_dir):
-    old, new = _sides(spark, sf_dir)
-    base = saved(old.select("version", "api", "kind", "id", "name", "result", "pos", "params"), "base")
-    incoming = B.load(spark, sf_dir, _MERGE, "SELECT * FROM incoming").join(new.select("version", F.col("pos").alias("own"), "params"), ["version", "own"]).drop("own")
-    return base, incoming, B.load(spark, sf_dir, _MERGE, "SELECT * FROM pin"), B.load(spark, sf_dir, _MERGE, "SELECT * FROM gone")
+    """base, incoming, pins and removed, all derived from one copy of the snapshots that is written once."""
+    saved(B.snapshots(spark, sf_dir), "snapshots").createOrReplaceTempView("sw_snap")
+    ctes = _INPUTS.format(more=", params")
+    return tuple(spark.sql(f"WITH snap AS (SELECT * FROM sw_snap), {ctes} SELECT * FROM {x}") for x in ("base", "incoming", "pin", "gone"))
 
 
 def merge_full(spark, sf_dir):
@@ -401,18 +402,26 @@ ORACLES = {
     "snapshot_roundtrip": _S + """, p AS (SELECT version, pk AS pos, count(*) AS c, sum(length(pname) + length(ptype) + 2) AS n FROM sold GROUP BY 1, 2) SELECT version, api, kind, id, name, result, row_number() OVER (PARTITION BY version ORDER BY CASE api WHEN 'main' THEN 1 ELSE 2 END, CASE kind WHEN 'constructor' THEN 1 ELSE 2 END, pos) - 1 AS position, c AS n_params, n AS params_chars FROM snap JOIN p USING (version, pos)""",
 }
 
-_DECIDED = f"""WITH {_MERGE}, r AS (SELECT i.*, coalesce(a.id, b.id) AS b_id, coalesce(a.name, b.name) AS b_name, coalesce(a.result, b.result) AS b_result, coalesce(a.pos, b.pos) AS b_pos, p.old_id AS po, p.new_id AS pn, g.id IS NOT NULL AS gone
+#: The fold row by row: what an object is after each of its rows, in the order of these.
+_DECIDED = f"""WITH RECURSIVE {_MERGE}, r0 AS (SELECT i.*, coalesce(a.id, b.id) AS b_id, coalesce(a.name, b.name) AS b_name, coalesce(a.result, b.result) AS b_result, p.old_id AS po, p.new_id AS pn, g.id IS NOT NULL AS gone
       FROM incoming i LEFT JOIN base a ON a.version = i.version AND a.api = i.api AND a.kind = i.kind AND a.id = i.id LEFT JOIN base b ON b.version = i.version AND b.api = i.api AND b.kind = i.kind AND b.name = i.name LEFT JOIN pin p ON p.os = i.os AND p.name = i.name LEFT JOIN (SELECT DISTINCT id FROM gone) g ON g.id = i.id),
-    f AS (SELECT *, CASE WHEN b_id IS NULL THEN 'append' WHEN po IS NOT NULL AND pn = b_id AND po = id THEN 'skip' WHEN po IS NULL AND b_id <> id AND (same_layer OR gone) THEN 'skip' ELSE 'merge' END AS fate,
-      CASE WHEN b_id IS NULL THEN NULL WHEN po IS NOT NULL AND pn <> b_id THEN 'delete' WHEN po IS NULL AND b_id <> id AND same_layer THEN 'create' END AS pin_op FROM r),
-    ren AS (SELECT version, api, kind, name AS new_name, max_by(b_name, pos) AS old_name FROM f WHERE b_name <> name GROUP BY ALL)"""
+    r1 AS (SELECT *, coalesce(b_id, id) AS target, b_id IS NOT NULL AS old FROM r0), r AS (SELECT *, row_number() OVER w AS rn, first_value(coalesce(b_name, name)) OVER w AS own_name FROM r1 WINDOW w AS (PARTITION BY version, api, kind, target ORDER BY pos, id, name)),
+    st AS (SELECT version, api, kind, target, old, own_name, CASE WHEN old THEN 0 ELSE 1 END AS rn, coalesce(b_id, id) AS id, coalesce(b_result, result) AS result, CASE WHEN NOT old THEN pos END AS in_pos, []::STRUCT(name VARCHAR, old_id BIGINT, new_id BIGINT)[] AS pins, []::STRUCT(os VARCHAR, name VARCHAR, op VARCHAR, old_id BIGINT, new_id BIGINT)[] AS ops FROM r WHERE rn = 1
+      UNION ALL SELECT version, api, kind, target, old, own_name, rn + 1, CASE WHEN skip THEN id ELSE x_id END, CASE WHEN NOT skip AND kind = 'method' AND regexp_matches(x_result, '^[A-Z]') AND lower(x_result) <> lower(result) THEN x_result ELSE result END, CASE WHEN skip THEN in_pos ELSE coalesce(in_pos, x_pos) END,
+          CASE WHEN stale THEN list_append(pins, {{'name': x_name, 'old_id': NULL, 'new_id': NULL}}) WHEN makes THEN list_append(pins, {{'name': x_name, 'old_id': x_id, 'new_id': id}}) ELSE pins END,
+          CASE WHEN stale THEN list_append(ops, {{'os': os, 'name': x_name, 'op': 'delete', 'old_id': NULL, 'new_id': NULL}}) WHEN makes THEN list_append(ops, {{'os': os, 'name': x_name, 'op': 'create', 'old_id': x_id, 'new_id': id}}) ELSE ops END
+        FROM (SELECT *, po IS NOT NULL AND pn <> id AS stale, po IS NULL AND id <> x_id AND same_layer AS makes, (po IS NOT NULL AND pn = id AND po = x_id) OR (po IS NULL AND id <> x_id AND (same_layer OR gone)) AS skip
+          FROM (SELECT s.*, x.id AS x_id, x.name AS x_name, x.result AS x_result, x.pos AS x_pos, x.os, x.same_layer, x.gone, CASE WHEN len(mine) > 0 THEN mine[-1].old_id ELSE x.po END AS po, CASE WHEN len(mine) > 0 THEN mine[-1].new_id ELSE x.pn END AS pn
+            FROM (SELECT st.*, list_filter(st.pins, lambda p: p.name = q.name) AS mine FROM st JOIN r q ON q.version = st.version AND q.api = st.api AND q.kind = st.kind AND q.target = st.target AND q.rn = st.rn + 1) s JOIN r x ON x.version = s.version AND x.api = s.api AND x.kind = s.kind AND x.target = s.target AND x.rn = s.rn + 1))),
+    f AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY version, api, kind, target ORDER BY rn DESC) = 1),
+    ren AS (SELECT version, api, kind, name AS new_name, max_by(own_name, pos) AS old_name FROM r WHERE own_name <> name GROUP BY ALL)"""
 # each list of constructors or methods is merged and renamed by itself; without the base's order its secret objects come first, then the incoming ones
-_KEPT = f"""{_DECIDED}, h AS (SELECT * FROM f WHERE fate = 'merge'),
-    rows_ AS (SELECT b.version, b.api, b.kind, coalesce(h.id, b.id) AS id, b.name, CASE WHEN b.kind = 'method' AND regexp_matches(h.result, '^[A-Z]') AND lower(h.result) <> lower(b.result) THEN h.result ELSE b.result END AS result, 0 AS new_, '' AS hex_, b.pos, h.pos AS in_pos FROM base b LEFT JOIN h ON h.version = b.version AND h.api = b.api AND h.kind = b.kind AND h.b_id = b.id
-      UNION ALL SELECT version, api, kind, id, name, result, 1, lower(to_hex(id)), pos, pos FROM f WHERE fate = 'append'),
+_KEPT = f"""{_DECIDED},
+    rows_ AS (SELECT b.version, b.api, b.kind, coalesce(f.id, b.id) AS id, b.name, coalesce(f.result, b.result) AS result, 0 AS new_, '' AS hex_, b.pos, f.in_pos FROM base b LEFT JOIN f ON f.old AND f.version = b.version AND f.api = b.api AND f.kind = b.kind AND f.target = b.id
+      UNION ALL SELECT version, api, kind, id, own_name, result, 1, lower(to_hex(target)), in_pos, in_pos FROM f WHERE NOT old),
     named AS (SELECT rows_.* REPLACE (coalesce(ren.old_name, result) AS result) FROM rows_ LEFT JOIN ren ON ren.version = rows_.version AND ren.api = rows_.api AND ren.kind = rows_.kind AND ren.new_name = rows_.result)"""
 ORACLES |= _EXTRA | {
-    "merge_pin_ops": _DECIDED + " SELECT os, name, pin_op AS op, CASE WHEN pin_op = 'create' THEN id END AS old_id, CASE WHEN pin_op = 'create' THEN b_id END AS new_id FROM f WHERE pin_op IS NOT NULL",
+    "merge_pin_ops": _DECIDED + " SELECT o.os, o.name, o.op, o.old_id, o.new_id FROM (SELECT version, api, kind, target, unnest(list_transform(ops, lambda o, i: {'o': o, 'last': len(list_filter(ops[i + 1:], lambda q: q.name = o.name)) = 0})) AS u FROM f), LATERAL (SELECT u.o) t(o) WHERE u.last",
     "merge_full": _KEPT + " SELECT version, api, kind, id, name, result, row_number() OVER (PARTITION BY version, api, kind ORDER BY new_, hex_, pos, id) - 1 AS place FROM named",
     "merge_incoming_order": _KEPT + " SELECT version, api, kind, id, name, result, row_number() OVER (PARTITION BY version, api, kind ORDER BY CASE WHEN new_ = 0 AND api = 'e2e' THEN 0 ELSE 1 END, CASE WHEN new_ = 0 AND api = 'e2e' THEN pos ELSE in_pos END, id) - 1 AS place FROM named WHERE in_pos IS NOT NULL OR api = 'e2e'",
 }
