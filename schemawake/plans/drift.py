@@ -238,14 +238,19 @@ def merge_params_changed(spark, sf_dir):
     return _lists(spark, sf_dir).select("k", _text(params.merge_params(F.col("old"), F.col("new"), F.lit(False))).alias("params"))
 
 
+#: Three objects share a bare name: one in namespace x and one in z that should have it, one that has it but belongs to namespace y; who comes first changes
+#: from group to group, and so does who gets the name. Every fifth group has an object more, which wants the name that one of x frees.
+_MISNAMED = """mis AS (SELECT CAST(floor(k / 100.0) AS BIGINT) AS source, k, k % 3 AS role, CASE WHEN k % 7 < 3 THEN 'method' ELSE 'constructor' END AS kind, k * 37 % 101 AS pos, 'b' || CAST(floor(k / 3.0) AS BIGINT) AS bare, res FROM decl),
+    shown AS (SELECT *, CASE role WHEN 0 THEN 'x.' || bare WHEN 1 THEN bare ELSE 'z.' || bare END AS name, CASE role WHEN 1 THEN 'y.' || res ELSE res END AS result, CASE role WHEN 1 THEN 'y.' || bare ELSE bare END AS own FROM mis
+      UNION ALL SELECT source, k + 1000000, 3, CASE WHEN k % 2 = 0 THEN 'method' ELSE 'constructor' END, pos + 50, bare, 'x.' || res, bare || '_q', 'x.' || res, 'x.' || bare FROM mis WHERE role = 0 AND k % 5 = 0),
+    named AS (SELECT source, k, kind, pos, CASE role WHEN 3 THEN 'w.' || bare ELSE name END AS name, result, own FROM shown)"""
+
+
 def name_repair(spark, sf_dir):
-    rows = B.load(spark, sf_dir, B.decl("spark"), "SELECT k, nm, res, m FROM decl")
-    none = F.array(F.struct(F.lit("size").alias("name"), F.lit("int").alias("type")))
-    true = F.when(F.col("m") % 3 == 0, F.concat(F.lit("ns."), "nm")).otherwise(F.col("nm"))
-    shown = F.when(F.col("m") % 3 == 0, F.col("nm")).when(F.col("m") % 3 == 1, F.concat(F.lit("ns."), "nm")).otherwise(F.col("nm"))
-    result = F.when(F.col("m") % 3 == 0, F.concat(F.lit("ns."), "res")).otherwise(F.col("res"))
-    objects = rows.select(F.floor(F.col("k") / 100).alias("source"), F.lit("main").alias("api"), D.checksum_id(D.declaration_text(true, none, result)).alias("id"), shown.alias("name"), result.alias("result"), none.alias("params"), F.col("k").alias("pos"))
-    return repair.repair_names(objects, ["source"]).select("source", "pos", "name", "result", "repaired")
+    rows = B.load(spark, sf_dir, f"{B.decl('spark')}, {_MISNAMED}", "SELECT * FROM named")
+    params_ = F.array(F.struct(F.lit("size").alias("name"), F.lit("int").alias("type")))
+    objects = rows.select("source", F.lit("main").alias("api"), "kind", D.checksum_id(D.declaration_text(F.col("own"), params_, F.col("result"))).alias("id"), "name", "result", params_.alias("params"), "pos")
+    return repair.repair_names(objects, ["source"]).select("source", "kind", "pos", "id", "name", "result", "repaired")
 
 
 #: Years as layers of one snapshot, the first of them as layer 0; some results are X and t, some methods have a namespace.
@@ -395,7 +400,16 @@ ORACLES = {
     "merge_params_same": """WITH x AS (SELECT p_partkey AS k, p_partkey % 5 AS z, p_partkey % 7 AS y, p_partkey % 9 AS n FROM part), u AS (SELECT k, z AS bit, 1 AS i, 'z' AS nm FROM x UNION ALL SELECT k, y, 3, 'y' FROM x UNION ALL SELECT k, n, 9, 'n' FROM x WHERE n <> z AND n <> y)
         SELECT k, 'flags:# ' || string_agg(nm || ':flags.' || bit || '?true', ' ' ORDER BY bit, i) || ' a:int w:flags2.1?true' AS params FROM u GROUP BY k""",
     "merge_params_changed": """SELECT p_partkey AS k, 'flags:# a:' || CASE WHEN p_partkey % 2 = 0 THEN 'Bool' ELSE 'flags.' || (p_partkey % 4) || '?true' END || ' n:flags.' || (p_partkey % 9) || '?true y:string' AS params FROM part""",
-    "name_repair": f"WITH {B.decl('duckdb')} SELECT CAST(floor(k / 100.0) AS BIGINT) AS source, k AS pos, CASE WHEN m % 3 = 0 THEN 'ns.' || nm ELSE nm END AS name, CASE WHEN m % 3 = 0 THEN 'ns.' || res ELSE res END AS result, m % 3 < 2 AS repaired FROM decl",
+    "name_repair": f"""WITH RECURSIVE {B.DUCK_CRC_TABLE}, {B.decl('duckdb')}, {_MISNAMED}, objs AS (SELECT source, kind, pos, k, name, result, {B.duck_crc("(own || ' size:int = ' || result)")} AS id FROM named, crc_table),
+        parts AS (SELECT *, CASE WHEN contains(name, '.') THEN split_part(name, '.', 1) ELSE '' END AS ns, regexp_extract(name, '([^.]*)$', 1) AS nb, CASE WHEN contains(result, '.') THEN split_part(result, '.', 1) ELSE '' END AS rs, regexp_extract(result, '([^.]*)$', 1) AS rb FROM objs),
+        vars AS (SELECT source, kind, pos, k, id, name, result, unnest(list_transform(list_concat([{{'n': nb, 'r': result}}, {{'n': name, 'r': rb}}, {{'n': nb, 'r': rb}}], CASE WHEN ns <> '' THEN [{{'n': nb, 'r': ns || '.' || rb}}, {{'n': ns || '.' || nb, 'r': rb}}, {{'n': ns || '.' || nb, 'r': ns || '.' || rb}}] ELSE [] END,
+          CASE WHEN rs <> '' THEN [{{'n': nb, 'r': rs || '.' || rb}}, {{'n': rs || '.' || nb, 'r': rb}}, {{'n': rs || '.' || nb, 'r': rs || '.' || rb}}] ELSE [] END), lambda v, i: {{'v': v, 'i': i}})) AS u FROM parts),
+        hits AS (SELECT source, kind, pos, k, id, name, result, list({{'n': u.v.n, 'r': u.v.r}} ORDER BY u.i) AS c FROM vars, crc_table WHERE id = {B.duck_crc("(u.v.n || ' size:int = ' || u.v.r)")} GROUP BY ALL),
+        todo AS (SELECT h.*, row_number() OVER (PARTITION BY h.source ORDER BY h.kind, h.pos, h.id, h.name) AS rn FROM hits h, crc_table WHERE h.id <> {B.duck_crc("(h.name || ' size:int = ' || h.result)")}),
+        walk AS (SELECT source, 0::BIGINT AS rn, list(DISTINCT name) AS taken, NULL::BIGINT AS k, NULL::STRUCT(n VARCHAR, r VARCHAR) AS got FROM objs GROUP BY source
+          UNION ALL SELECT w.source, t.rn, CASE WHEN got_ IS NULL OR got_.n = t.name THEN w.taken ELSE list_append(list_filter(w.taken, lambda x: x <> t.name), got_.n) END, t.k, got_
+            FROM walk w JOIN todo t ON t.source = w.source AND t.rn = w.rn + 1, LATERAL (SELECT list_filter(t.c, lambda v: v.n = t.name OR NOT list_contains(w.taken, v.n))[1]) l(got_))
+        SELECT o.source, o.kind, o.pos, o.id, coalesce(w.got.n, o.name) AS name, coalesce(w.got.r, o.result) AS result, w.got IS NOT NULL AS repaired FROM objs o LEFT JOIN walk w ON w.source = o.source AND w.k = o.k""",
     "render_groups": f"""{_S}, {_RENDERED} SELECT api, kind, layer, group_rank, pos, line FROM lined""",
     "render_text": f"""{_S}, {_RENDERED}, t1 AS (SELECT api, kind, layer, group_rank, string_agg(line, chr(10) ORDER BY pos, line) AS txt FROM lined GROUP BY ALL), t2 AS (SELECT api, kind, layer, string_agg(txt, chr(10) || chr(10) ORDER BY group_rank) AS txt FROM t1 GROUP BY ALL),
         t3 AS (SELECT *, count(*) OVER (PARTITION BY api, kind) AS n FROM t2) SELECT api, kind, string_agg(CASE WHEN n > 1 THEN '// layer ' || layer || chr(10) ELSE '' END || txt, chr(10) || chr(10) ORDER BY layer) AS text FROM t3 GROUP BY api, kind""",
