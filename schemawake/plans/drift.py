@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import canonical, changelog, diff, history, merge, params, render, repair, state
+from ..operators import canonical, changelog, commits, diff, history, merge, params, publish, render, repair, state
 from ..functions import declarations as D
 from ..functions import ids, naming
 from ..scratch import saved, shared_dir
@@ -168,6 +168,16 @@ def pins_apply(spark, sf_dir):
     return state.apply_pin_operations(B.load(spark, sf_dir, _PINS, "SELECT * FROM pins"), B.load(spark, sf_dir, _PINS, "SELECT * FROM ops"))
 
 
+def pins_store(spark, sf_dir):
+    """The same changes on a store of hash buckets: deletes first, then writes, each of its own buckets only."""
+    store = state.BucketStore(spark, f"{shared_dir(spark)}/pins-{uuid.uuid4().hex}", ["os", "name"], "os string, name string, old_id long, new_id long", 16)
+    columns = "SELECT os, name, CAST(old_id AS BIGINT) AS old_id, CAST(new_id AS BIGINT) AS new_id"
+    store.upsert(B.load(spark, sf_dir, _PINS, f"{columns}, CAST(0 AS BIGINT) AS seq FROM pins"), "seq")
+    store.delete(B.load(spark, sf_dir, _PINS, "SELECT os, name FROM ops WHERE op = 'delete'"))
+    store.upsert(B.load(spark, sf_dir, _PINS, f"{columns}, CAST(seq AS BIGINT) AS seq FROM ops WHERE op = 'create'"), "seq")
+    return store.read()
+
+
 def state_writes(spark, sf_dir):
     """Insert-if-absent and keyed delete on the release layers of the customers."""
     seen = B.load(spark, sf_dir, B.RELEASED, "SELECT DISTINCT layer, id FROM released WHERE layer < 1998")
@@ -200,6 +210,30 @@ def _merge_inputs(spark, sf_dir):
     return tuple(spark.sql(f"WITH snap AS (SELECT * FROM sw_snap), {ctes} SELECT * FROM {x}") for x in ("base", "incoming", "pin", "gone"))
 
 
+#: Updates of the years: an object with a name that no validator lets through in 1995, some objects in both apis, rules that change every 13th object.
+_UPDATE = """yr AS (SELECT DISTINCT version FROM snap), pairs AS (SELECT a.version FROM yr a JOIN yr b ON a.version = b.version + 1),
+    base AS (SELECT snap.version + 1 AS version, api, kind, id, name, result, pos{more} FROM snap JOIN pairs ON snap.version + 1 = pairs.version),
+    fresh AS (SELECT snap.version, api, kind, id, name, result, pos, 'os' || (pos % 3) AS os, FALSE AS same_layer{more} FROM snap JOIN pairs ON snap.version = pairs.version),
+    incoming AS (SELECT * FROM fresh UNION ALL SELECT version, 'e2e' AS api, kind, id, name, result, pos, os, same_layer{more} FROM fresh WHERE pos % 499 = 3 AND api = 'main'
+      UNION ALL SELECT version, api, kind, id + 55000000 AS id, '1bad' || pos AS name, result, pos, os, same_layer{more} FROM fresh WHERE version = 1995 AND pos % 97 = 1),
+    gone AS (SELECT id FROM fresh WHERE pos % 17 = 0 AND pos % 5 = 0), rules AS (SELECT p_partkey AS id, 'fixed.o' || p_partkey AS name, 'Fixed' AS result FROM part WHERE p_partkey % 13 = 0)"""
+
+
+def publish_report(spark, sf_dir):
+    """Every year's update of the year before, committed as one run and delivered twice; the report is read from what the first commit has left."""
+    saved(B.snapshots(spark, sf_dir), "snapshots").createOrReplaceTempView("sw_snap")
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("sw_part")
+    ctes = _UPDATE.format(more=", params").replace("FROM part", "FROM sw_part")
+    read = lambda x: spark.sql(f"WITH snap AS (SELECT * FROM sw_snap), {ctes} SELECT * FROM {x}")
+    rules = read("rules").withColumn("params", F.array().cast("array<struct<name:string,type:string>>"))
+    heads = read("pairs").select("version", F.when(F.col("version") % 3 == 0, 1).otherwise(5).alias("layer"), F.lit(3).alias("prev_layer"))
+    pins = spark.createDataFrame([], "os string, name string, old_id long, new_id long")
+    root = f"{shared_dir(spark)}/publish-{uuid.uuid4().hex}"
+    for _ in range(2):
+        publish.publish_once(root, ("all", 1), read("base"), read("incoming"), pins, read("gone"), rules, heads, ["version"], [])
+    return commits.read_committed(spark, root, ("all", 1), "report")
+
+
 def merge_full(spark, sf_dir):
     out = merge.merged_objects(*_merge_inputs(spark, sf_dir), ["version"], True)
     return out.select("version", "api", "kind", "id", "name", "result", "place")
@@ -317,7 +351,7 @@ def source_names(spark, sf_dir):
 
 _FNS = (
     snapshot_diff, param_diff, diff_all_years, diff_stats, publish_gate, changelog_lines, page_items, context_topk, report_links, removed_ids, removed_ids_except, release_catalog, recent_trim, role_rotate, baseline_pick,
-    canonical_index, canonical_apply, rename_propagate, override_apply, override_stale, deprecation_filter, api_split, pins_apply, state_writes, newer_upstream, merge_full, merge_incoming_order, merge_pin_ops,
+    canonical_index, canonical_apply, rename_propagate, override_apply, override_stale, deprecation_filter, api_split, pins_apply, state_writes, newer_upstream, merge_full, merge_incoming_order, merge_pin_ops, publish_report, pins_store,
     flag_bool_order, merge_params_same, merge_params_changed, name_repair, render_groups, render_text, snapshot_roundtrip, snapshot_of_role, import_summary, point_lookup, flag_types, source_names,
 )
 QUERIES = {f.__name__: f for f in _FNS}
@@ -439,3 +473,18 @@ ORACLES |= _EXTRA | {
     "merge_full": _KEPT + " SELECT version, api, kind, id, name, result, row_number() OVER (PARTITION BY version, api, kind ORDER BY new_, hex_, pos, id) - 1 AS place FROM named",
     "merge_incoming_order": _KEPT + " SELECT version, api, kind, id, name, result, row_number() OVER (PARTITION BY version, api, kind ORDER BY CASE WHEN new_ = 0 AND api = 'e2e' THEN 0 ELSE 1 END, CASE WHEN new_ = 0 AND api = 'e2e' THEN pos ELSE in_pos END, id) - 1 AS place FROM named WHERE in_pos IS NOT NULL OR api = 'e2e'",
 }
+ORACLES["pins_store"] = ORACLES["pins_apply"]
+ORACLES["publish_report"] = f"""WITH {B.SNAP}, {_UPDATE.format(more='')}, np AS (SELECT version, pk AS pos, list(pname || ':' || ptype ORDER BY pname) AS ps FROM sold GROUP BY 1, 2),
+    b AS (SELECT base.*, np.ps FROM base JOIN np ON np.version = base.version - 1 AND np.pos = base.pos), i AS (SELECT incoming.*, np.ps FROM incoming JOIN np ON np.version = incoming.version AND np.pos = incoming.pos),
+    r AS (SELECT i.*, coalesce(x.id, y.id) AS b_id FROM i LEFT JOIN b x ON x.version = i.version AND x.api = i.api AND x.kind = i.kind AND x.id = i.id LEFT JOIN b y ON y.version = i.version AND y.api = i.api AND y.kind = i.kind AND y.name = i.name),
+    m AS (SELECT b.version, b.api, b.kind, b.name, b.pos, coalesce(r.id, b.id) AS id, CASE WHEN r.id IS NOT NULL AND b.kind = 'method' AND lower(r.result) <> lower(b.result) THEN r.result ELSE b.result END AS result, CASE WHEN r.id <> b.id THEN r.ps ELSE b.ps END AS ps
+        FROM b LEFT JOIN r ON r.version = b.version AND r.api = b.api AND r.kind = b.kind AND r.b_id = b.id AND NOT (r.id <> r.b_id AND r.id IN (SELECT id FROM gone))
+      UNION ALL SELECT version, api, kind, name, pos, id, result, ps FROM r WHERE b_id IS NULL),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY version, id ORDER BY CASE api WHEN 'main' THEN 1 ELSE 2 END DESC, CASE kind WHEN 'constructor' THEN 1 ELSE 2 END DESC) AS turn FROM m WHERE NOT (api = 'main' AND id IN (SELECT id FROM gone))),
+    fixed AS (SELECT k.version, k.api, k.kind, k.id, coalesce(u.name, k.name) AS name, coalesce(u.result, k.result) AS result, CASE WHEN u.id IS NULL THEN k.ps ELSE [] END AS ps, u.id IS NOT NULL AS overridden FROM kept k LEFT JOIN rules u ON u.id = k.id AND k.turn = 1),
+    j AS (SELECT f.*, coalesce(x.name, y.name) AS o_name, coalesce(x.result, y.result) AS o_result, coalesce(x.ps, y.ps) AS o_ps FROM fixed f LEFT JOIN b x ON x.version = f.version AND x.api = f.api AND x.kind = f.kind AND x.id = f.id LEFT JOIN b y ON y.version = f.version AND y.api = f.api AND y.kind = f.kind AND y.name = f.name),
+    d AS (SELECT version, CASE WHEN o_name IS NULL THEN 'new' WHEN result <> o_result OR ps <> o_ps THEN 'changed' END AS change FROM j UNION ALL SELECT version, 'deleted' FROM b WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.version = b.version AND j.api = b.api AND j.kind = b.kind AND j.o_name = b.name)),
+    s AS (SELECT version, count(change) AS differences, count(*) FILTER (change = 'new') AS additions, count(*) FILTER (change = 'changed') AS changes, count(*) FILTER (change = 'deleted') AS deletions FROM d GROUP BY 1),
+    sound AS (SELECT * FROM fixed WHERE NOT starts_with(name, '1')), known AS (SELECT DISTINCT version, result FROM sound WHERE kind = 'constructor'),
+    p AS (SELECT f.version, count(*) FILTER (f.overridden) AS overridden, sum(CASE WHEN starts_with(f.name, '1') THEN 1 ELSE 1 + len(f.ps) + CASE WHEN k.result IS NULL THEN 1 ELSE 0 END END)::BIGINT AS problems, count(*) FILTER (starts_with(f.name, '1')) AS fatal FROM fixed f LEFT JOIN known k ON k.version = f.version AND k.result = f.result GROUP BY 1)
+    SELECT version, CASE WHEN version % 3 = 0 THEN 1 ELSE 5 END AS layer, differences, 0::BIGINT AS repaired, overridden, problems, fatal, version % 3 <> 0 AND fatal = 0 AND differences > 0 AS published, additions, changes, deletions FROM p JOIN s USING (version)"""
