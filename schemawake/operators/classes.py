@@ -12,6 +12,8 @@ from ..scratch import discard, saved
 
 #: Fixed member names that tell what a class is.
 ID_MEMBER, RESPONSE, READERS = "constructor", "deserializeResponse", ("TLdeserialize", "readParams", "serializeToStream")
+#: Fixed pattern of class names that may be a number of another class.
+NUMBERED = r"^\S+[^0-9p][0-9]+$"
 
 
 def without_legacy(classes: DataFrame) -> DataFrame:
@@ -20,7 +22,7 @@ def without_legacy(classes: DataFrame) -> DataFrame:
 
 def without_numbered(classes: DataFrame) -> DataFrame:
     """Drops a class whose name ends in digits when the name without them is a class of the corpus."""
-    numbered = F.col("class").rlike(r"^\S+[^0-9p][0-9]+$")
+    numbered = F.col("class").rlike(NUMBERED)
     bases = classes.select(F.col("class").alias("_base")).distinct()
     rows = classes.withColumn("_base", F.when(numbered, F.regexp_replace("class", "[0-9]+$", "")))
     return rows.join(bases, "_base", "left_anti").select(*classes.columns)
@@ -56,10 +58,27 @@ def ancestors(classes: DataFrame) -> DataFrame:
 
 
 def inherited_members(classes: DataFrame, members: DataFrame) -> DataFrame:
-    """class, member, value, depth: the nearest definition of every member. members: class, member, value."""
-    far = ancestors(classes).join(members.withColumnRenamed("class", "ancestor"), "ancestor")
-    w = Window.partitionBy("class", "member").orderBy("depth")
-    return far.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("class", "member", "value", "depth")
+    """class, member, value, depth: the nearest definition of every member. members: class, member, value.
+
+    Pointer doubling on what is found, not on the ancestors: after t rounds each class has the nearest definitions among itself and its first 2**t - 1
+    ancestors and a pointer to the one 2**t up, from which it takes what it lacks; what a nearer class defines is left out in every
+    round, so no table is larger than the result. A round that finds nothing is the last, also in a cycle. Of several definitions of a member in one class, or at one distance, the least value counts.
+    """
+    found = saved(members.join(classes.select("class").distinct(), "class", "left_semi").groupBy("class", "member").agg(F.min("value").alias("value"), F.lit(0).alias("depth")), "found")
+    jump = saved(classes.where("parent is not null").select("class", F.col("parent").alias("at")).distinct(), "jump")
+    step = 1
+    while True:
+        # members of the class a pointer leads to, that class's pointer
+        above = found.select(F.col("class").alias("at"), "member", "value", (F.col("depth") + step).alias("depth"))
+        gained = jump.join(above, "at").join(found.select("class", "member"), ["class", "member"], "left_anti")
+        gained = saved(gained.groupBy("class", "member").agg(F.min(F.struct("depth", "value")).alias("d")).select("class", "member", "d.value", "d.depth"), "gained")
+        if gained.isEmpty():
+            discard(gained, jump)
+            return found
+        wider = saved(found.unionByName(gained), "found")
+        further = saved(jump.join(jump.select(F.col("class").alias("at"), F.col("at").alias("_to")), "at").select("class", F.col("_to").alias("at")).distinct(), "jump")
+        discard(found, gained, jump)
+        found, jump, step = wider, further, step * 2
 
 
 def objects_from_classes(classes: DataFrame, layer: int) -> DataFrame:

@@ -230,7 +230,7 @@ def publish_report(spark, sf_dir):
     pins = spark.createDataFrame([], "os string, name string, old_id long, new_id long")
     root = f"{shared_dir(spark)}/publish-{uuid.uuid4().hex}"
     for _ in range(2):
-        publish.publish_once(root, ("all", 1), read("base"), read("incoming"), pins, read("gone"), rules, heads, ["version"], [])
+        publish.publish_once(root, ("all", 1), read("base"), read("incoming"), pins, read("gone"), rules, heads, scope=["version"], denied=[])
     return commits.read_committed(spark, root, ("all", 1), "report")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import to_unsigned
-from ..operators.parse import lines_of, parse_lenient
+from ..operators.parse import parse_lenient, section_mark
+from ..scratch import saved
 
 _PARAM = "array<struct<name:string,type:string>>"
 _OBJECT = "struct<id:string,{name}:string,params:" + _PARAM + ",type:string,layer:int,force_secret:boolean>"
@@ -31,8 +32,26 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), source and kind of text files of any size, read in splits.
+
+    A prefix scan in two levels: each split counts its lines and notes its last section mark; one row a split, added up over the
+    splits before it, tells where its numbers begin and which section it begins in. Within a split the order that it was read in is
+    kept, so no task holds more than a split and no window goes over a file.
+    """
+    own = F.monotonically_increasing_id()  # rising within a split, as a split is read by one task from its start
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), own.alias("at"), F.trim(F.col("value"), F.lit(" \t\r")).alias("source"))
+    raw = saved(raw.withColumn("mark", section_mark(F.col("source"))), "split-lines")
+    splits = raw.groupBy("file", "split").agg(F.count("*").alias("lines"), F.min("at").alias("first"), F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("at"))).alias("last"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("ahead"), F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit("constructor")).alias("opened"))
+    so_far = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = raw.withColumn("kind", F.last("mark", ignorenulls=True).over(so_far)).join(splits, ["file", "split"])
+    return rows.select("file", (F.col("at") - F.col("first") + F.col("ahead") + 1).alias("line"), "source", F.coalesce("kind", "opened").alias("kind"))
+
+
 def read_declarations(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lenient(lines_of(whole_files(spark, path)))
+    return parse_lenient(numbered_lines(spark, path))
 
 
 def _ids(c: Column) -> Column:
