@@ -75,9 +75,12 @@ def test_bounds_hold_and_exclude():
     words = [f"w{int(r.paretovariate(0.6))}" for _ in range(400_000)]
     texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
     rows = list(lexical._blocks(list(range(len(texts))), texts, 5))
-    own = [lexical.terms_of(*vectext.code_points([" ".join(r.sample(words, 6))]))[0] for _ in range(8)]
+    rare = sorted({w for w, n in Counter(words).items() if n < 200})
+    own = [lexical.terms_of(*vectext.code_points([" ".join(r.sample(rare, 4)) + " w1 w2"]))[0] for _ in range(8)]
     terms = np.unique(np.concatenate(own))
-    ranking = lexical.Ranking(own, terms, np.arange(1, len(terms) + 1), 4000, 400_000)
+    _, hashes, _ = lexical.counted(texts)
+    df = Counter(hashes.tolist())
+    ranking = lexical.Ranking(own, terms, np.array([df[t] for t in terms.tolist()]), 4000, 400_000)
     best = lexical.Best(len(own), 5)
     for row in rows:
         n = np.array(row["n"])
