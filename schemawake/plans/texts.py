@@ -10,6 +10,7 @@ from ..functions import declarations as D
 from ..functions import naming as N
 from ..operators import changelog, classes, pages, parse
 from ..scratch import shared_dir
+from ..sources import manifests as M
 from ..streaming import incremental as S
 from . import bindings as B
 
@@ -140,13 +141,47 @@ def throttle_3s(spark, sf_dir):
     return S.throttled(B.load(spark, sf_dir, _ONE, "SELECT event_id, user_id, ts FROM events"), "user_id", ["ts", "event_id"], 1200.0).select("event_id", "user_id")
 
 
+def _event_stream(spark, sf_dir):
+    at = f"{sf_dir}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(at).schema).option("pathGlobFilter", "*.parquet").parquet(at if _is_dir(spark, at) else f"{sf_dir}/events.parque[t]")
+
+
+def throttle_values(spark, sf_dir):
+    """Events whose type differs from the user's last one let through and that come 20 minutes or more after it, or a day."""
+    rows = B.load(spark, sf_dir, _ONE, _EVENTS)
+    return S.throttled_values(rows, "user_id", "event_type", ["ts", "event_id"], 1200.0).select("event_id", "user_id", "event_type")
+
+
+def throttle_stream(spark, sf_dir):
+    """The same from the events as a stream, with state that ends."""
+    root = f"{shared_dir(spark)}/throttle-{uuid.uuid4().hex}"
+    stream = S.throttled_stream(_event_stream(spark, sf_dir).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), "user_id", "ts", "event_type", 1200.0, then=("event_id",))
+    stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "user_id", "event_type")
+
+
+def manifest_stream(spark, sf_dir):
+    """Version manifests of the events as a stream that is stopped and started again as more arrive; what its batches have written."""
+    root = f"{shared_dir(spark)}/manifests-{uuid.uuid4().hex}"
+    rows = B.load(spark, sf_dir, B.VER, "SELECT source, major, max(code) AS code, max_by(version_name, code) AS version_name FROM ver GROUP BY source, major")
+    for turn in range(2):
+        half = rows.where(F.col("code") <= rows.agg(F.percentile_approx("code", 0.5)).first()[0]) if not turn else rows
+        half.repartition("source", "code").write.mode("overwrite").partitionBy("source", "code").json(f"{root}/in")
+
+        def process(batch, number):
+            batch.select("source", "code", "version_name").write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+        query = M.manifest_stream(spark, f"{root}/in").writeStream.foreachBatch(process).option("checkpointLocation", f"{root}/checkpoint").start()
+        query.processAllAvailable()
+        query.stop()
+    return spark.read.parquet(f"{root}/out").select("source", "code", "version_name")
+
+
 def stream_ingest(spark, sf_dir):
     """The events as a file stream, delivered twice: per batch those above their source's watermark are written, then the watermark goes up; the result is what was written."""
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     B.load(spark, sf_dir, B.VER, "SELECT source, CAST(last_code AS BIGINT) AS last_code FROM marks").write.parquet(f"{root}/marks")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet" if _is_dir(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/events.parque[t]")
-
+    stream = _event_stream(spark, sf_dir)
     stream = stream.withColumns({"source": F.when(F.col("event_type") == "click", "android").otherwise(F.col("event_type")), "code": F.col("event_id")})
     for turn in range(2):
 
@@ -202,7 +237,7 @@ def page_links(spark, sf_dir):
 
 _FNS = (
     class_filters, class_name_normalise, param_name_fix, java_type_map, inherit_members, objects_of_classes, text_sanitise, described_reconcile, described_items, stats_lines, file_actions, line_index, dup_lines, line_split,
-    version_codes, watermark_new, watermark_advance, dispatch_one, announce, dup_suppress, throttle_3s, stream_ingest, page_tag_audit, page_tag_balance, page_nesting, page_list_items, page_version_section, page_links,
+    version_codes, watermark_new, watermark_advance, dispatch_one, announce, dup_suppress, throttle_3s, throttle_values, throttle_stream, manifest_stream, stream_ingest, page_tag_audit, page_tag_balance, page_nesting, page_list_items, page_version_section, page_links,
 )
 QUERIES = {f.__name__: f for f in _FNS}
 
@@ -256,3 +291,10 @@ ORACLES = {
         SELECT page_id, reason IS NULL AND len(open) = 0 AS nested, CASE WHEN reason IS NULL AND len(open) > 0 THEN 'never closed' ELSE reason END AS reason, CASE WHEN reason IS NULL AND len(open) > 0 THEN open[-1] ELSE tag END AS tag, expected, CASE WHEN reason IS NOT NULL OR len(open) > 0 THEN seq::INT END AS seq FROM fin""",
     "page_links": """SELECT page_id, replace(html, 'href="/', 'href="https://example.org/') AS html, (length(html) - length(replace(html, 'href="/', ''))) // 7 AS links FROM pages""",
 }
+ORACLES["throttle_stream"] = ORACLES["throttle_values"] = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    k AS (SELECT user_id, n, event_id, event_type, TRUE AS ok, ts AS since, event_type AS latest FROM e WHERE n = 1
+      UNION ALL SELECT user_id, n, event_id, event_type, ok, CASE WHEN ok THEN ts ELSE since END, CASE WHEN ok THEN event_type ELSE latest END
+        FROM (SELECT e.*, k.since, k.latest, e.ts >= k.since + INTERVAL 86400 SECOND OR (e.event_type <> k.latest AND e.ts >= k.since + INTERVAL 1200 SECOND) AS ok FROM k JOIN e ON e.user_id = k.user_id AND e.n = k.n + 1))
+    SELECT event_id, user_id, event_type FROM k WHERE ok"""
+ORACLES["manifest_stream"] = _V + """, v AS (SELECT source, major, max(code) AS code, max_by(version_name, code) AS version_name FROM ver GROUP BY 1, 2), half AS (SELECT source, max(code) AS top FROM v WHERE code <= (SELECT quantile_disc(code, 0.5) FROM v) GROUP BY 1)
+    SELECT v.source, v.code, v.version_name FROM v LEFT JOIN half USING (source) WHERE top IS NULL OR code > top OR code <= (SELECT quantile_disc(code, 0.5) FROM v)"""

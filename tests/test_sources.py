@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from schemawake.sources import manifests as M
 from schemawake.sources import readers as R
 from schemawake.streaming import incremental as S
 
@@ -55,15 +56,73 @@ def test_saved_state(spark, tmp_path):
     assert sorted(r["layer"] for r in t["recent_layers"].collect()) == [3, 4] and t["watermarks"].first()["last_version_code"] == 7
 
 
-def test_throttled_stream(spark, tmp_path):
-    rows = [("k", "a", 0), ("k", "a", 1), ("k", "b", 2), ("k", "c", 4), ("k", "c", 9), ("k", "d", 10), ("z", "a", 1)]
-    df = spark.createDataFrame(rows, "key string, value string, s int").select("key", "value", F.timestamp_seconds("s").alias("ts"))
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = S.throttled_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "key", "ts", "value", 3.0)
-    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = sorted((r["key"], r["value"], r["ts"].second) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [("k", "a", 0), ("k", "c", 4), ("k", "d", 10), ("z", "a", 1)]
+THROTTLE = [("k", "a", 0), ("k", "a", 1), ("k", "b", 2), ("k", "c", 4), ("k", "c", 9), ("k", "d", 10), ("z", "a", 1), ("k", "d", 25), ("k", "d", 31), ("y", "q", 200)]
+
+
+def throttle_rows(spark, rows):
+    return spark.createDataFrame(rows, "key string, value string, s int").select("key", "value", F.timestamp_seconds(F.col("s") + 1000).alias("ts"))
+
+
+def shown(df):
+    return sorted((r["key"], r["value"], r["at"] - 1000) for r in df.select("key", "value", F.unix_seconds("ts").alias("at")).collect())
+
+
+def test_throttled_stream_equals_the_batch_and_forgets(spark, tmp_path):
+    want = [("k", "a", 0), ("k", "c", 4), ("k", "d", 10), ("k", "d", 31), ("y", "q", 200), ("z", "a", 1)]  # d is told again after 20 s
+    everything = throttle_rows(spark, THROTTLE)
+    assert shown(S.throttled_values(everything, "key", "value", ["ts"], 3.0, 20.0)) == want
+    stream = S.throttled_stream(spark.readStream.schema(everything.schema).parquet(str(tmp_path / "in" / "*")), "key", "ts", "value", 3.0, 20.0, late="60 seconds")
+    throttle_rows(spark, THROTTLE[:4]).coalesce(1).write.parquet(str(tmp_path / "in" / "0"))
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        held = []
+        for n, part in enumerate((THROTTLE[4:7], THROTTLE[7:9], THROTTLE[9:], [("x", "w", 400)]), 1):
+            q.processAllAvailable()
+            throttle_rows(spark, part).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        q.processAllAvailable()
+        held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    finally:
+        q.stop()
+    assert shown(spark.read.parquet(str(tmp_path / "out")).where("key <> 'x'")) == want
+    # k, z and y have left: only what the last key keeps (its value and its timer's two entries) is there
+    assert max(held) > held[-1] and held[-1] <= 3
+
+
+def test_manifest_stream_goes_on_where_it_was(spark, tmp_path):
+    def put_version(source, code):
+        put(tmp_path / "in" / f"source={source}" / f"code={code}" / "m.json", {"version_name": f"{source}-{code}"})
+
+    fail = []
+
+    def process(batch, number):
+        rows = batch.collect()
+        if fail:
+            raise ValueError("lost")
+        put(tmp_path / "out" / f"{number}.json", [[r["source"], r["code"], r["version_name"]] for r in rows])
+
+    def run():
+        q = M.manifest_stream(spark, str(tmp_path / "in")).writeStream.foreachBatch(process).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            q.processAllAvailable()
+        except Exception:
+            assert fail
+        finally:
+            q.stop()
+
+    for source, code in (("a", 9), ("a", 10), ("b", 3)):
+        put_version(source, code)
+    run()
+    put_version("a", 11)
+    put_version("c", 1)
+    put_version("b", 2)  # below the watermark
+    fail.append(True)
+    run()
+    fail.clear()
+    put_version("a", 12)
+    run()
+    run()
+    got = [tuple(r) for p in sorted((tmp_path / "out").iterdir()) for r in json.loads(p.read_text())]
+    assert sorted(got) == sorted((s, c, f"{s}-{c}") for s, c in (("a", 9), ("a", 10), ("b", 3), ("a", 11), ("c", 1), ("a", 12)))
 
 
 def test_batch_throttle(spark):
