@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import canonical, changelog, commits, diff, history, merge, params, publish, render, repair, state
 from ..functions import declarations as D
 from ..functions import ids, naming
-from ..scratch import saved, shared_dir
+from ..scratch import folder, saved
 from . import bindings as B
 
 _SCOPE = ["version", "api", "kind"]
@@ -24,8 +22,10 @@ def _sides(spark, sf_dir):
 
 
 def _all_years(spark, sf_dir):
-    """Every year's diff against the year before it, in one job."""
-    return diff.diff_snapshots(*_sides(spark, sf_dir), _SCOPE)
+    """Every year's diff against the year before it, in one job: each snapshot is read once and is both the new side of its year and the old side of the next."""
+    sides = F.explode(F.array(F.struct(F.col("version"), F.lit(True).alias("fresh")), F.struct((F.col("version") + 1).alias("version"), F.lit(False).alias("fresh"))))
+    both = B.snapshots(spark, sf_dir).withColumn("side", sides).drop("version").select("*", "side.*").drop("side")
+    return diff.diff_sides(both.join(F.broadcast(B.years(spark, sf_dir)), "version", "left_semi"), _SCOPE)
 
 
 def _flat(d):
@@ -170,7 +170,7 @@ def pins_apply(spark, sf_dir):
 
 def pins_store(spark, sf_dir):
     """The same changes on a store of hash buckets: deletes first, then writes, each of its own buckets only."""
-    store = state.BucketStore(spark, f"{shared_dir(spark)}/pins-{uuid.uuid4().hex}", ["os", "name"], "os string, name string, old_id long, new_id long", 16)
+    store = state.BucketStore(spark, folder(spark, "pins"), ["os", "name"], "os string, name string, old_id long, new_id long", 16)
     columns = "SELECT os, name, CAST(old_id AS BIGINT) AS old_id, CAST(new_id AS BIGINT) AS new_id"
     store.upsert(B.load(spark, sf_dir, _PINS, f"{columns}, CAST(0 AS BIGINT) AS seq FROM pins"), "seq")
     store.delete(B.load(spark, sf_dir, _PINS, "SELECT os, name FROM ops WHERE op = 'delete'"))
@@ -228,7 +228,7 @@ def publish_report(spark, sf_dir):
     rules = read("rules").withColumn("params", F.array().cast("array<struct<name:string,type:string>>"))
     heads = read("pairs").select("version", F.when(F.col("version") % 3 == 0, 1).otherwise(5).alias("layer"), F.lit(3).alias("prev_layer"))
     pins = spark.createDataFrame([], "os string, name string, old_id long, new_id long")
-    root = f"{shared_dir(spark)}/publish-{uuid.uuid4().hex}"
+    root = folder(spark, "publish")
     for _ in range(2):
         publish.publish_once(root, ("all", 1), read("base"), read("incoming"), pins, read("gone"), rules, heads, scope=["version"], denied=[])
     return commits.read_committed(spark, root, ("all", 1), "report")
@@ -287,9 +287,9 @@ def name_repair(spark, sf_dir):
     return repair.repair_names(objects, ["source"]).select("source", "kind", "pos", "id", "name", "result", "repaired")
 
 
-#: Years as layers of one snapshot, the first of them as layer 0; some results are X and t, some methods have a namespace.
+#: Years as layers of one snapshot, several of them as one layer, some as layer 0; some results are X and t, some methods have a namespace.
 _LAYERS = """lay AS (SELECT api, kind, id, pos, CASE WHEN pos % 4 = 0 THEN 'ns' || (pos % 9) || '.' || name ELSE name END AS name, CASE version % 3 WHEN 0 THEN 7 WHEN 1 THEN 0 ELSE 9 END AS layer, 5 AS own_layer, version,
-      CASE pos % 50 WHEN 0 THEN 'X' WHEN 1 THEN 'Vector t' ELSE result END AS result FROM snap WHERE version >= 1999)"""
+      CASE pos % 50 WHEN 0 THEN 'X' WHEN 1 THEN 'Vector t' ELSE result END AS result FROM snap)"""
 
 
 def _layered(spark, sf_dir):
@@ -307,7 +307,7 @@ def render_text(spark, sf_dir):
 
 def snapshot_roundtrip(spark, sf_dir):
     """All years saved and loaded again."""
-    path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    path = folder(spark, "snapshots")
     state.save_snapshot(B.snapshots(spark, sf_dir), path, ["version"])
     out = state.load_snapshot(spark, path, ["version"])
     return out.select("version", "api", "kind", "id", "name", "result", "position", F.size("params").alias("n_params"), F.length(D.params_text(F.col("params"))).alias("params_chars"))
@@ -320,7 +320,7 @@ def _roles(snap):
 
 
 def snapshot_of_role(spark, sf_dir):
-    path, snap = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}", B.snapshots(spark, sf_dir)
+    path, snap = folder(spark, "snapshots"), B.snapshots(spark, sf_dir)
     state.save_snapshot(snap, path, ["version"])
     out = state.load_role(spark, path, _roles(snap), "preview", ["version"])
     return out.select("version", "api", "kind", "id", "name", "position", F.size("params").alias("n_params"))

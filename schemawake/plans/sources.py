@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import declarations as D
 from ..operators import classes, parse, state
-from ..scratch import shared_dir
+from ..scratch import folder
 from ..sources import readers as R
 from . import bindings as B
 
 _ONE = "one AS (SELECT 1 AS x)"
 
 
-def _folder(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def split_lines(spark, sf_dir):
     """The declaration lines as text files, a folder each, read in splits and numbered by a prefix scan."""
-    path = _folder(spark, "texts")
+    path = folder(spark, "texts")
     B.decl_lines(spark, sf_dir).repartition("file").sortWithinPartitions("file", "line").select("file", "source").write.partitionBy("file").text(path)
     lines = R.numbered_lines(spark, path).withColumn("file", F.regexp_extract("file", "file=([^/]+)/", 1))
     return parse.with_section(lines).select("file", "line", "source", "kind")
@@ -40,14 +34,14 @@ def _dump(spark, sf_dir):
 
 def dump_read(spark, sf_dir):
     """JSON dumps, read with the secret flag forced."""
-    path = _folder(spark, "dumps")
+    path = folder(spark, "dumps")
     _dump(spark, sf_dir).repartition("dump").write.partitionBy("dump").json(path)
     return R.read_dump(spark, path).select("kind", "name", "id", F.trim(D.params_text(F.col("params"))).alias("params"), "result", "layer", "force_secret")
 
 
 def releases_read(spark, sf_dir):
     """Release lists by layer, replaced in part by a second delivery; ids that are there twice count once."""
-    path, out = _folder(spark, "releases"), _folder(spark, "released")
+    path, out = folder(spark, "releases"), folder(spark, "released")
     rows = B.load(spark, sf_dir, B.RELEASED, "SELECT layer, CAST(id * 91 - 40000 AS VARCHAR(20)) AS id, id % 3 = 0 AS method FROM released")
     ids = lambda when: F.collect_list(F.when(when, F.struct("id")))
     rows.groupBy("layer").agg(ids(~F.col("method")).alias("constructors"), ids(F.col("method")).alias("methods")).repartition("layer").write.partitionBy("layer").json(path)
@@ -72,14 +66,14 @@ _SOURCES = """texts AS (SELECT 'f' || s_suppkey AS file, CASE s_suppkey % 4 WHEN
 
 def source_versions(spark, sf_dir):
     """Version numbers in source files: written as files, read whole."""
-    path = _folder(spark, "sources")
+    path = folder(spark, "sources")
     B.load(spark, sf_dir, _SOURCES, "SELECT file, text FROM texts").repartition("file").write.partitionBy("file").text(path)
     found = R.versions_of(R.whole_files(spark, path))
     return found.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), "version_code", "version_name", "cmake_version", "layer")
 
 
 def app_info(spark, sf_dir):
-    path = _folder(spark, "apps")
+    path = folder(spark, "apps")
     rows = B.load(spark, sf_dir, _ONE, "SELECT s_suppkey AS k, s_suppkey || '.0' AS version, s_suppkey * 10 + s_suppkey % 10 AS version_code, 'https://example.org/' || s_suppkey AS file_url FROM supplier")
     rows.repartition("k").write.partitionBy("k").json(path)
     return R.read_app_info(spark, path)
@@ -96,7 +90,7 @@ def saved_state(spark, sf_dir):
     # one row each, so these joins are on a constant of one row
     one = lambda df: df.withColumn("one", F.lit(1))
     doc = one(marks).join(one(by_os), "one").join(one(released), "one").join(one(snap), "one").drop("one")
-    path = _folder(spark, "state")
+    path = folder(spark, "state")
     doc.coalesce(1).write.json(path)
     t = R.tables_of_state(spark.read.schema(R.STATE).json(path))
     none, row = F.lit(None).cast("long"), lambda df, part, a, b, n, m: df.select(F.lit(part).alias("part"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), n.cast("long").alias("n"), m.cast("long").alias("m"))
@@ -150,6 +144,6 @@ ORACLES = {
     "objects_of_layers": f"""WITH c AS ({_LAYERED}) SELECT class, CASE WHEN k % 5 = 2 THEN 'bare' WHEN k % 2 = 0 THEN 'constructor' ELSE 'method' END AS kind, id, replace(split_part(substr(class, 4), '_q', 1), '_', '.') || '.q' || k || 'x' AS name, CASE WHEN k % 5 = 0 THEN 100 + k % 100 ELSE 0 END AS name_layer
         FROM c WHERE id IS NOT NULL AND (k % 5 <> 0 OR 100 + k % 100 >= 150) AND NOT (((id >> 24) & 255) = ((id >> 16) & 255) AND ((id >> 16) & 255) = ((id >> 8) & 255))""",
     "validate_generics": f"WITH {B.DUCK_CRC_TABLE}, {B.decl('duckdb')}, {_GENERIC.format(hex=_DUCK_HEX, more=', crc_table')}" + """
-        SELECT file, line, 'V14' AS rule, 'parameter "q" has the unknown type "Y"' AS reason, FALSE AS fatal FROM gen WHERE m = 1 UNION ALL SELECT file, line, 'V12', 'parameter "r" depends on "flags", which is not declared before it', TRUE FROM gen WHERE m = 1
-        UNION ALL SELECT file, line, 'V15', 'constructor id #6abd978 does not match the declaration of ' || nm, FALSE FROM gen WHERE m = 3""",
+        SELECT file, line, 'V14' AS rule, 'nothing makes "Y", the type of parameter "q"' AS reason, FALSE AS fatal FROM gen WHERE m = 1 UNION ALL SELECT file, line, 'V12', 'no flag word "flags" stands before parameter "r"', TRUE FROM gen WHERE m = 1
+        UNION ALL SELECT file, line, 'V15', 'id #6abd978 is not the checksum of ' || nm, FALSE FROM gen WHERE m = 3""",
 }

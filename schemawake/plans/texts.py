@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import declarations as D
 from ..functions import naming as N
 from ..operators import changelog, classes, pages, parse
-from ..scratch import shared_dir
+from ..scratch import folder
 from ..sources import manifests as M
 from ..streaming import incremental as S
 from . import bindings as B
@@ -154,7 +152,7 @@ def throttle_values(spark, sf_dir):
 
 def throttle_stream(spark, sf_dir):
     """The same from the events as a stream, with state that ends."""
-    root = f"{shared_dir(spark)}/throttle-{uuid.uuid4().hex}"
+    root = folder(spark, "throttle")
     stream = S.throttled_stream(_event_stream(spark, sf_dir).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), "user_id", "ts", "event_type", 1200.0, then=("event_id",))
     stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out").select("event_id", "user_id", "event_type")
@@ -162,7 +160,7 @@ def throttle_stream(spark, sf_dir):
 
 def manifest_stream(spark, sf_dir):
     """Version manifests of the events as a stream that is stopped and started again as more arrive; what its batches have written."""
-    root = f"{shared_dir(spark)}/manifests-{uuid.uuid4().hex}"
+    root = folder(spark, "manifests")
     rows = B.load(spark, sf_dir, B.VER, "SELECT source, major, max(code) AS code, max_by(version_name, code) AS version_name FROM ver GROUP BY source, major")
     for turn in range(2):
         half = rows.where(F.col("code") <= rows.agg(F.percentile_approx("code", 0.5)).first()[0]) if not turn else rows
@@ -179,7 +177,7 @@ def manifest_stream(spark, sf_dir):
 
 def stream_ingest(spark, sf_dir):
     """The events as a file stream, delivered twice: per batch those above their source's watermark are written, then the watermark goes up; the result is what was written."""
-    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    root = folder(spark, "ingest")
     B.load(spark, sf_dir, B.VER, "SELECT source, CAST(last_code AS BIGINT) AS last_code FROM marks").write.parquet(f"{root}/marks")
     stream = _event_stream(spark, sf_dir)
     stream = stream.withColumns({"source": F.when(F.col("event_type") == "click", "android").otherwise(F.col("event_type")), "code": F.col("event_id")})

@@ -85,23 +85,23 @@ _STRICT = (
     par AS (SELECT *, nullif(regexp_extract(type, '^(flags\d*)\.(\d+)\?(.+)$', 1), '') AS flag, nullif(regexp_extract(type, '^(flags\d*)\.(\d+)\?(.+)$', 2), '') AS bit,
         CASE WHEN regexp_matches(type, '^(flags\d*)\.(\d+)\?(.+)$') THEN regexp_extract(type, '^(flags\d*)\.(\d+)\?(.+)$', 3) ELSE type END AS inner_type FROM params)"""
 )
-_SYNTAX = """SELECT file, line, rule, CASE rule WHEN 'V1' THEN 'missing the trailing semicolon' WHEN 'V2' THEN 'missing the result type' WHEN 'V3' THEN 'missing the object name' WHEN 'V4' THEN 'missing the constructor id'
-      WHEN 'V5' THEN 'invalid object name "' || name || '"' WHEN 'V6' THEN 'invalid constructor id "' || id_hex || '"' WHEN 'V7' THEN 'constructor id is zero' ELSE 'invalid parameter "' || bad[1] || '"' END AS reason, TRUE AS fatal FROM parsed WHERE rule IS NOT NULL"""
-_DUPS = """SELECT file, line, 'V9' AS rule, 'constructor id #' || id_hex || ' is already used by ' || n1 || ' at line ' || l1 AS reason, TRUE AS fatal FROM (SELECT *, row_number() OVER w AS n, first_value(name) OVER w AS n1, first_value(line) OVER w AS l1 FROM good WINDOW w AS (PARTITION BY file, id_hex ORDER BY line)) WHERE n > 1
-    UNION ALL SELECT file, line, 'V10', 'object name ' || name || ' is already defined at line ' || l1, TRUE FROM (SELECT *, row_number() OVER w AS n, first_value(line) OVER w AS l1 FROM good WINDOW w AS (PARTITION BY file, name ORDER BY line)) WHERE n > 1"""
-_PARAMS = """SELECT file, line, 'V11' AS rule, 'duplicated parameter "' || param || '"' AS reason, TRUE AS fatal FROM (SELECT *, row_number() OVER (PARTITION BY file, line, param ORDER BY pos) AS n FROM par) WHERE n > 1
-    UNION ALL SELECT file, line, 'V12', 'parameter "' || param || '" depends on "' || flag || '", which is not declared before it', TRUE FROM (
+_SYNTAX = """SELECT file, line, rule, CASE rule WHEN 'V1' THEN 'no semicolon at the end' WHEN 'V2' THEN 'no result type' WHEN 'V3' THEN 'no name' WHEN 'V4' THEN 'no id behind the name'
+      WHEN 'V5' THEN 'not a name: "' || name || '"' WHEN 'V6' THEN 'not an id: "' || id_hex || '"' WHEN 'V7' THEN 'the id is zero' ELSE 'not a parameter: "' || bad[1] || '"' END AS reason, TRUE AS fatal FROM parsed WHERE rule IS NOT NULL"""
+_DUPS = """SELECT file, line, 'V9' AS rule, 'id #' || id_hex || ' belongs to ' || n1 || ' of line ' || l1 AS reason, TRUE AS fatal FROM (SELECT *, row_number() OVER w AS n, first_value(name) OVER w AS n1, first_value(line) OVER w AS l1 FROM good WINDOW w AS (PARTITION BY file, id_hex ORDER BY line)) WHERE n > 1
+    UNION ALL SELECT file, line, 'V10', name || ' is there since line ' || l1, TRUE FROM (SELECT *, row_number() OVER w AS n, first_value(line) OVER w AS l1 FROM good WINDOW w AS (PARTITION BY file, name ORDER BY line)) WHERE n > 1"""
+_PARAMS = """SELECT file, line, 'V11' AS rule, 'second parameter "' || param || '"' AS reason, TRUE AS fatal FROM (SELECT *, row_number() OVER (PARTITION BY file, line, param ORDER BY pos) AS n FROM par) WHERE n > 1
+    UNION ALL SELECT file, line, 'V12', 'no flag word "' || flag || '" stands before parameter "' || param || '"', TRUE FROM (
       SELECT *, row_number() OVER (PARTITION BY file, line, flag ORDER BY pos) AS n FROM par a WHERE flag IS NOT NULL AND NOT EXISTS (SELECT 1 FROM par b WHERE b.file = a.file AND b.line = a.line AND b.pos < a.pos AND b.param = a.flag AND b.type = '#')) WHERE n = 1
-    UNION ALL SELECT file, line, 'V13', 'parameter "' || param || '" uses the out of range flag bit ' || bit, TRUE FROM par WHERE flag IS NOT NULL AND coalesce(TRY_CAST(bit AS INT), 99) > 31"""
+    UNION ALL SELECT file, line, 'V13', 'bit ' || bit || ' of parameter "' || param || '" is above 31', TRUE FROM par WHERE flag IS NOT NULL AND coalesce(TRY_CAST(bit AS INT), 99) > 31"""
 _ATOMS = r""",
     used AS (SELECT file, line, param, inner_type AS t FROM par WHERE type <> '#' UNION ALL SELECT file, line, NULL, result FROM good),
     atoms AS (SELECT file, line, param, unnest(CASE WHEN starts_with(b, 'Vector<') AND ends_with(b, '>') THEN ['Vector', regexp_replace(b[8:-2], '^[!%]+', '')] ELSE [b] END) AS atom FROM (SELECT file, line, param, regexp_replace(t, '^[!%]+', '') AS b FROM used))"""
-_TYPES = """SELECT file, line, 'V14' AS rule, CASE WHEN param IS NULL THEN 'unknown result type "' || atom || '"' ELSE 'parameter "' || param || '" has the unknown type "' || atom || '"' END AS reason, FALSE AS fatal
+_TYPES = """SELECT file, line, 'V14' AS rule, CASE WHEN param IS NULL THEN 'nothing makes the result "' || atom || '"' ELSE 'nothing makes "' || atom || '", the type of parameter "' || param || '"' END AS reason, FALSE AS fatal
     FROM atoms WHERE atom <> '' AND atom NOT IN ('true','int','long','double','string','bytes','Bool','#','int128','int256','Type','Object','Vector','True') AND atom NOT IN (SELECT result FROM good WHERE kind = 'constructor')"""
 _REST = "substr(body, instr(body, ' ') + 1)"
 _NORM = "rtrim(replace(replace(%s || ' ' || " + _REST + ", '<', ' '), '>', ''))"
 _STRIPPED = r"regexp_extract(name, '^(.+?)\d+$', 1)"
-_IDS = f"""SELECT file, line, 'V15' AS rule, 'constructor id #' || id_hex || ' does not match the declaration of ' || name AS reason, FALSE AS fatal FROM good, crc_table
+_IDS = f"""SELECT file, line, 'V15' AS rule, 'id #' || id_hex || ' is not the checksum of ' || name AS reason, FALSE AS fatal FROM good, crc_table
     WHERE ('0x' || id_hex)::BIGINT <> {B.duck_crc(_NORM % 'name')} AND NOT ({_STRIPPED} <> '' AND ('0x' || id_hex)::BIGINT = {B.duck_crc(_NORM % _STRIPPED)})"""
 
 QUERIES = {f.__name__: f for f in (idl_parse, validate_syntax, validate_dups, validate_params, validate_types, validate_ids, validate_summary, problems_shown, id_roundtrip, decl_checksum)}

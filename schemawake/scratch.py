@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_left: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,10 +26,36 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one; it goes with the session."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _left[path] = spark
+    return path
+
+
+def sweep() -> int:
+    """Deletes the scratch tables and folders of this process that are still there, and tells how many; results that read them are lost. Runs at exit."""
+    gone = 0
+    for path, spark in list(_left.items()):
+        with contextlib.suppress(Exception):  # the session may have ended
+            _delete(spark, path)
+            gone += 1
+        del _left[path]
+    return gone
+
+
+atexit.register(sweep)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder, in a folder for each value of `by`, and read back: its lineage ends there, so a lost executor costs one file read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     write = df.write.option("compression", codec)
     (write.partitionBy(by) if by else write).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -38,5 +67,5 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables written by `saved` that nothing reads any more; other DataFrames are left alone."""
     for df in tables:
         if at := getattr(df, "scratch_path", None):
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, at)
+            _left.pop(at, None)
