@@ -7,8 +7,13 @@ characters per token are reported as kind `random`, of whatever cases, digits an
 separators. A run that doesn't, or that overlaps a base span, is cut at `/` and `=`
 and then at `-` and `_`, and parts of 16 or more characters are tested in its place,
 so a secret in a path or after a name is not averaged with them. Not reported:
-numbers, UUIDs, and what overlaps a base span (so digests in lower-case hex are of
-the base kind `hex` alone).
+numbers, UUIDs, what overlaps a base span (so digests in lower-case hex are of
+the base kind `hex` alone), and known digests and identifiers: hex of a digest's
+length in capitals or mixed case (MD5 or a UUID without hyphens, SHA-1, SHA-2),
+integrity strings and key prints (sha384-..., SHA256:...) of the right length,
+ULIDs of this age, and ISBNs whose check digit fits. Shorter strings than LEAST
+are not tested for randomness at all: under 16 characters words and codes cannot
+be told from secrets by their tokens.
 
 Cases: a null text is an empty one and has no spans; offsets count code points,
 end exclusive; spans are in order of start, then kind as listed in KINDS; rows
@@ -38,6 +43,15 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 #: Candidates of the token test and what it leaves alone.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: Forms of digests and identifiers that are no secrets (fixed lengths of their standards).
+KNOWN = re.compile(
+    "|".join((
+        r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{128}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![A-Za-z0-9])",
+        r"\b(?i:sha)(?:256[-:][A-Za-z0-9+/]{43}=?|384[-:][A-Za-z0-9+/]{64}|512[-:][A-Za-z0-9+/]{86}(?:==)?)(?![A-Za-z0-9+/])",
+        r"(?<![A-Za-z0-9])01[0-9A-HJKMNP-TV-Z]{24}(?![A-Za-z0-9])",
+    ))
+)
+ISBN = re.compile(r"(?<![0-9-])(?:97[89]-)?(?:[0-9]+-){3}[0-9X](?![0-9-])")
 #: Where runs are cut, one after the other.
 CUTS = (re.compile(r"[^/=]+"), re.compile(r"[^_-]+"))
 LEAST = 16
@@ -68,8 +82,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def is_isbn(s: str) -> bool:
+    """Ten or thirteen digits between hyphens whose check digit fits."""
+    d = [10 if c == "X" else int(c) for c in s if c != "-"]
+    if len(d) == 10:
+        return 10 not in d[:9] and sum((10 - i) * x for i, x in enumerate(d)) % 11 == 0
+    return len(d) == 13 and 10 not in d and sum(x * (3 if i % 2 else 1) for i, x in enumerate(d)) % 10 == 0
+
+
+def known_spans(text: str) -> list[tuple[int, int, int]]:
+    """Digests and identifiers, as random_spans takes what it must leave alone."""
+    return [(m.start(), -1, m.end()) for m in KNOWN.finditer(text)] + [(m.start(), -1, m.end()) for m in ISBN.finditer(text) if is_isbn(m[0])]
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    out = []
+    out, taken = [], None if not CANDIDATE.search(text) else [*taken, *known_spans(text)]
 
     def test(a: int, b: int, cuts: tuple) -> None:
         s = text[a:b]

@@ -240,3 +240,28 @@ def test_rendezvous(spark):
     many = spark.range(20000).selectExpr("id as doc_id", "'' as text")
     share = {r["shard"]: r["count"] / 20000 for r in rendezvous.assign_shards(many, [1.0, 2.0, 1.0]).groupBy("shard").count().collect()}
     assert abs(share[1] - 0.5) < 0.02
+
+
+def test_known_digests_and_identifiers_are_no_secrets():
+    """Planted in prose: random strings are found, digests and identifiers of the same looks are not."""
+    import base64
+    import string
+    import uuid
+
+    r = random.Random(11)
+    encoding = secrets._encoding(*secrets._public(secrets.VOCABULARY))
+    raw = lambda n: bytes(r.randrange(256) for _ in range(n))
+    crockford = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+    known = []
+    for _ in range(40):
+        known += [hashlib.md5(raw(9)).hexdigest().upper(), hashlib.sha1(raw(9)).hexdigest().upper(), hashlib.sha256(raw(9)).hexdigest().upper(), uuid.UUID(bytes=raw(16)).hex.upper(), str(uuid.UUID(bytes=raw(16)))]
+        known += [f"sha{n}-{base64.b64encode(hashlib.new(f'sha{n}', raw(9)).digest()).decode()}" for n in (256, 384, 512)]
+        known += ["SHA256:" + base64.b64encode(raw(32)).decode().rstrip("="), "01" + "".join(r.choice(crockford) for _ in range(24))]
+    known += ["978-3-16-148410-0", "0-306-40615-2", "978-0-306-40615-7", "0-8044-2957-X"]
+    hidden = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randrange(20, 44))) for _ in range(300)]
+    prose_ = "the value of {} was written down in the long report about transportation and understanding"
+    found = lambda s: [(s_[a:b]) for s_ in [prose_.format(s)] for a, _, b in secrets.random_spans(s_, secrets.base_spans(s_), encoding)]
+    assert [k for k in known if found(k)] == []
+    assert sum(found(h) == [h] for h in hidden) >= 0.97 * len(hidden)
+    assert found("978-3-16-148410-1") or not secrets.is_isbn("978-3-16-148410-1")
+    assert found("internationalization-and-localization") == [] == found("understanding_of_transportation/department")
