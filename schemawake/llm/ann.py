@@ -7,8 +7,8 @@ is a Spark job: edges and reversed edges are grouped by the node they meet in
 (neighbours of neighbours), joined with the shard's vectors, compared, and the
 better pairs merged into each node's K best; only lists with a new neighbour are
 compared again, until fewer than SETTLED of the edges change. Queries, in blocks,
-meet each shard's graph and search it greedily from the best of
-SEEDS * sqrt(nodes) fixed nodes with a beam of BEAM; scores are then taken in double precision.
+meet each shard's graph and search it greedily with a beam of BEAM from the best of its leaders, nodes that have every other node for a
+neighbour of one of them, so no cluster is out of reach however small; scores are then taken in double precision.
 
 Cases: rows whose vec_id is null or whose vector is null, empty, zero or holds
 null or non-finite components take no part; vectors of different lengths are not
@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import saved
+from .common import discard, saved
 
-K, BEAM, SEEDS, SETTLED = 24, 160, 2.0, 0.01
+K, BEAM, SETTLED = 24, 160, 0.01
 #: Queries in a block.
 BLOCK = 20_000
 
@@ -53,7 +53,9 @@ def _least_ids(rows: DataFrame, many: int) -> DataFrame:
 
 
 def _matrix(column: pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=dtype)
+    """Vectors of one length as a matrix."""
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(dtype, copy=False)
 
 
 def shard_nodes(rows: DataFrame) -> DataFrame:
@@ -61,7 +63,9 @@ def shard_nodes(rows: DataFrame) -> DataFrame:
     nodes = saved(rows.groupBy("node").agg(F.first("v").alias("v"), F.min("vec_id").alias("low")), "nodes")
     shards = max(1, round(math.sqrt(nodes.count()) / 8))
     dealt = nodes.withColumn("shard", F.size("v") * F.lit(1 << 32) + F.pmod(F.xxhash64("node"), F.lit(shards)))
-    return saved(dealt.withColumn("idx", (F.row_number().over(Window.partitionBy("shard").orderBy("low", "node")) - 1).cast("int")), "shards")
+    out = saved(dealt.withColumn("idx", (F.row_number().over(Window.partitionBy("shard").orderBy("low", "node")) - 1).cast("int")), "shards")
+    discard(nodes)
+    return out
 
 
 _EDGES = "shard long, owner int, other int, score float, new boolean"
@@ -130,16 +134,17 @@ def neighbour_graph(nodes: DataFrame, k: int = K) -> DataFrame:
         worst = edges.groupBy("shard", F.col("owner").alias("idx")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
         known = nodes.join(worst, ["shard", "idx"], "left").select("shard", "idx", "v", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
         found = known.groupBy("shard").cogroup(met.groupBy("shard")).applyInArrow(_compare, _EDGES)
-        edges = saved(_best(edges.withColumn("new", F.lit(False)).unionByName(found), k), "edges")
+        before, edges = edges, saved(_best(edges.withColumn("new", F.lit(False)).unionByName(found), k), "edges")
+        discard(before)
         n = edges.agg(F.count("*").alias("all"), F.count_if("new").alias("new")).first()
         if n["new"] <= SETTLED * n["all"]:
-            return edges.drop("new")
+            return edges
 
 
 _HITS = "query long, node long, low long, score double"
 
 
-def _search(seeds: float, beam: int, many: int):
+def _search(beam: int, many: int):
     def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
         n = shard.num_rows
         if not n or not queries.num_rows:
@@ -149,7 +154,7 @@ def _search(seeds: float, beam: int, many: int):
         names, low = shard["node"].to_numpy()[order], shard["low"].to_numpy()[order]
         lists = [shard["around"][i].as_py() or [] for i in order.tolist()]
         around = _padded(lists, max(1, *map(len, lists)), -1).astype(np.int64)
-        start = np.random.default_rng(7).permutation(n)[: math.ceil(seeds * math.sqrt(n))]
+        start = graph.leaders(around)
         v, q = exact.astype(np.float32), _matrix(queries["v"])
         who = queries["query"].to_numpy()
         out = []
@@ -166,7 +171,7 @@ def _search(seeds: float, beam: int, many: int):
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 20, top: int = 20, k: int = K, beam: int = BEAM, seeds: float = SEEDS) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, top: int = 20, k: int = K, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found of each row whose vec_id is divisible by `every`."""
     rows = saved(usable(vectors), "usable")
     nodes = shard_nodes(rows)
@@ -181,9 +186,10 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, k: int = K, beam
     # every query against every shard, in blocks; there are about sqrt(nodes) / 8 shards
     told = saved(queries.withColumn("dim", F.size("v")).join(F.broadcast(shards), "dim").select("shard", F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"), "query", "v"), "told")
     whole = nodes.join(around, ["shard", "idx"], "left").withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    hits = whole.groupBy("shard", "block").cogroup(told.groupBy("shard", "block")).applyInArrow(_search(seeds, beam, top + 1), _HITS)
+    hits = whole.groupBy("shard", "block").cogroup(told.groupBy("shard", "block")).applyInArrow(_search(beam, top + 1), _HITS)
     first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "low"))
     hits = saved(hits.withColumn("r", first).where(F.col("r") <= top + 1).drop("r"), "hits")
+    discard(nodes, edges, queries, told)
     ids = _least_ids(rows, top + 1)
     found = hits.join(ids, "node").join(asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")), "query")
     each = found.select("query_id", "query", "node", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id or node <> query")

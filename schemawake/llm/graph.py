@@ -11,19 +11,15 @@ import numpy as np
 _BLOCK = 512
 
 
-def best_lists(owner: np.ndarray, other: np.ndarray, score: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, k) arrays of each owner's k best others, best first, and their scores; -1 and -inf where there are fewer."""
-    order = np.lexsort((other, -score, owner))
-    owner, other, score = owner[order], other[order], score[order]
-    keep = np.r_[True, (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])][: len(owner)]
-    owner, other, score = owner[keep], other[keep], score[keep]
-    start = np.searchsorted(owner, np.arange(n))
-    place = np.arange(len(owner)) - start[owner]
-    ids, s = np.full((n, k), -1, np.int32), np.full((n, k), -np.inf, np.float32)
-    keep = place < k
-    ids[owner[keep], place[keep]] = other[keep]
-    s[owner[keep], place[keep]] = score[keep]
-    return ids, s
+def leaders(around: np.ndarray) -> np.ndarray:
+    """Nodes such that every node is one of them or a neighbour of one: each node in turn that no leader before it has for a neighbour."""
+    covered, out = np.zeros(len(around), bool), []
+    for i in range(len(around)):
+        if not covered[i]:
+            out.append(i)
+            near = around[i]
+            covered[near[near >= 0]] = True
+    return np.array(out, np.int64)
 
 
 def local_join(vectors: np.ndarray, around: np.ndarray, new: np.ndarray, worst: np.ndarray, emit: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -187,3 +187,25 @@ def test_the_heap_falls_and_bounds_hold():
     for bound, upper, lower, c in seen:
         s = x[cell == c] @ x[3]
         assert lower <= s.min() and s.max() <= upper and s.max() <= bound
+
+
+def test_greedy_search_reaches_every_cluster():
+    """A shard of 8,000 vectors in 200 tight clusters, as one of a million rows would be: recall, and the share of vectors scored."""
+    from schemawake.llm import graph
+
+    r, n, k = np.random.default_rng(1), 8000, 24
+    middles = r.normal(size=(200, 64))
+    v = middles[r.integers(0, 200, n)] + 0.3 * r.normal(size=(n, 64))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    s = v @ v.T
+    np.fill_diagonal(s, -9)
+    around = np.argsort(-s, axis=1)[:, :k].astype(np.int64)
+    start = graph.leaders(around)
+    reached = np.zeros(n, bool)
+    reached[start] = True
+    reached[around[start].ravel()] = True
+    assert reached.all() and len(start) < n / 6
+    q = v[::40]
+    ids, _ = graph.greedy_search(v, around, q, start, 160)
+    true = np.argsort(-(q @ v.T), axis=1)[:, :20]
+    assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(ids.tolist(), true.tolist(), strict=True)]) >= 0.95
