@@ -66,19 +66,19 @@ def inherited_members(classes: DataFrame, members: DataFrame) -> DataFrame:
     """
     found = saved(members.join(classes.select("class").distinct(), "class", "left_semi").groupBy("class", "member").agg(F.min("value").alias("value"), F.lit(0).alias("depth")), "found")
     jump = saved(classes.where("parent is not null").select("class", F.col("parent").alias("at")).distinct(), "jump")
-    step = 1
-    while True:
-        # members of the class a pointer leads to, that class's pointer
+    n, step = found.count(), 1
+    while not jump.isEmpty():
+        # what the class at the end of each pointer has, and that class's pointer
         above = found.select(F.col("class").alias("at"), "member", "value", (F.col("depth") + step).alias("depth"))
-        gained = jump.join(above, "at").join(found.select("class", "member"), ["class", "member"], "left_anti")
-        gained = saved(gained.groupBy("class", "member").agg(F.min(F.struct("depth", "value")).alias("d")).select("class", "member", "d.value", "d.depth"), "gained")
-        if gained.isEmpty():
-            discard(gained, jump)
-            return found
-        wider = saved(found.unionByName(gained), "found")
+        both = found.unionByName(jump.join(above, "at").select(*found.columns))
+        wider = saved(both.groupBy("class", "member").agg(F.min(F.struct("depth", "value")).alias("d")).select("class", "member", "d.value", "d.depth"), "found")
         further = saved(jump.join(jump.select(F.col("class").alias("at"), F.col("at").alias("_to")), "at").select("class", F.col("_to").alias("at")).distinct(), "jump")
-        discard(found, gained, jump)
-        found, jump, step = wider, further, step * 2
+        discard(found, jump)
+        found, jump, step, before, n = wider, further, step * 2, n, wider.count()
+        if n == before:
+            break
+    discard(jump)
+    return found
 
 
 def objects_from_classes(classes: DataFrame, layer: int) -> DataFrame:
