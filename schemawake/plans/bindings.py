@@ -104,15 +104,18 @@ def decl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, lines("spark"), "SELECT file, CAST(line AS INT) AS line, source FROM lines")
 
 
-#: The same objects with their parameters nested in order of name, from one pass over lineitem.
-_NESTED = SNAP.replace("SELECT DISTINCT version", "SELECT version, params").replace(
-    "snap AS (", "nested AS (SELECT version, pk, array_sort(collect_list(named_struct('name', pname, 'type', ptype))) AS params FROM sold GROUP BY version, pk), snap AS ("
-).replace("FROM sold JOIN part", "FROM nested JOIN part")
-
-
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All years' objects with their params nested, in order of name."""
-    return load(spark, sf_dir, _NESTED, "SELECT * FROM snap")
+    """The rows of SNAP with their params nested, in order of name: rows are dealt by object once, and both groupings are made where they lie."""
+    sales = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.year("l_shipdate").alias("version"), F.col("l_partkey").alias("pk"), "l_suppkey", "l_returnflag")
+    sold = sales.repartition("version", "pk").groupBy("version", "pk", "l_suppkey").agg(F.max("l_returnflag").alias("type"))
+    nested = sold.groupBy("version", "pk").agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("name"), "type"))).alias("params"))
+    pk, version = F.col("pk"), F.col("version")
+    brand = F.substr(F.col("p_brand"), F.lit(7))
+    return nested.join(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("pk"), "p_name", "p_brand"), "pk").select(
+        "version", "params", F.when(pk % 11 == 0, "e2e").otherwise("main").alias("api"), F.when(pk % 3 == 0, "method").otherwise("constructor").alias("kind"),
+        (pk + F.when(pk % 17 == 0, F.lit(1000003) * (version - 1990)).otherwise(0)).alias("id"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), pk.cast("string")).alias("name"), F.lit(0).alias("layer"),
+        F.concat(F.lit("Brand"), brand, F.when(pk % 2 == 1, "").otherwise(F.concat(F.lit("_"), (version % 2).cast("string")))).alias("result"), pk.alias("pos"),
+    )
 
 
 def years(spark: SparkSession, sf_dir: str) -> DataFrame:
