@@ -123,7 +123,7 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
 
 
 def neighbour_graph(nodes: DataFrame, k: int = K) -> DataFrame:
-    """shard, owner, other, score: each node's k best found by NN-descent."""
+    """shard, owner, other, score and new (found in the last round): each node's k best found by NN-descent."""
     edges = saved(_best(nodes.groupBy("shard").applyInArrow(_start(k), _EDGES), k), "edges")
     while True:
         back = edges.select("shard", F.col("other").alias("owner"), F.col("owner").alias("other"), "new")
@@ -175,7 +175,8 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, k: int = K, beam
     """query_id, rank, vec_id, score: the `top` nearest found of each row whose vec_id is divisible by `every`."""
     rows = saved(usable(vectors), "usable")
     nodes = shard_nodes(rows)
-    edges = neighbour_graph(nodes, k)
+    graph_ = neighbour_graph(nodes, k)
+    edges = graph_.drop("new")
     back = edges.select("shard", F.col("other").alias("owner"), F.col("owner").alias("other"), "score")
     best = F.row_number().over(Window.partitionBy("shard", "owner").orderBy(F.desc("score"), "other"))
     around = edges.unionByName(back.withColumn("r", best).where(F.col("r") <= k).drop("r")).groupBy("shard", F.col("owner").alias("idx")).agg(F.collect_set("other").alias("around"))
@@ -189,7 +190,7 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, k: int = K, beam
     hits = whole.groupBy("shard", "block").cogroup(told.groupBy("shard", "block")).applyInArrow(_search(beam, top + 1), _HITS)
     first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "low"))
     hits = saved(hits.withColumn("r", first).where(F.col("r") <= top + 1).drop("r"), "hits")
-    discard(nodes, edges, queries, told)
+    discard(nodes, graph_, queries, told)
     ids = _least_ids(rows, top + 1)
     found = hits.join(ids, "node").join(asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")), "query")
     each = found.select("query_id", "query", "node", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id or node <> query")
