@@ -75,8 +75,9 @@ def test_bounds_hold_and_exclude():
     words = [f"w{int(r.paretovariate(0.6))}" for _ in range(400_000)]
     texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
     rows = list(lexical._blocks(list(range(len(texts))), texts, 5))
-    rare = sorted({w for w, n in Counter(words).items() if n < 200})
-    own = [lexical.terms_of(*vectext.code_points([" ".join(r.sample(rare, 4)) + " w1 w2"]))[0] for _ in range(8)]
+    # with fewer holders than the list is long, documents of the frequent words alone are among the best, and no bound tells these apart
+    some = sorted(w for w, n in Counter(words).items() if 50 <= n < 400)
+    own = [lexical.terms_of(*vectext.code_points([" ".join(r.sample(some, 4)) + " w1 w2"]))[0] for _ in range(8)]
     terms = np.unique(np.concatenate(own))
     _, hashes, _ = lexical.counted(texts)
     df = Counter(hashes.tolist())
