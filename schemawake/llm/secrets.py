@@ -96,15 +96,20 @@ def known_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    out, taken = [], None if not CANDIDATE.search(text) else [*taken, *known_spans(text)]
+    out, known = [], []
+    meets = lambda spans, a, b: any(x[0] < b and a < x[2] for x in spans)
 
     def test(a: int, b: int, cuts: tuple) -> None:
         s = text[a:b]
         if s.isdigit() or UUID.fullmatch(s):
             return
-        if not any(x[0] < b and a < x[2] for x in taken) and len(s) < ratio * len(encoding.encode_ordinary(s)):
-            out.append((a, 3, b))
-        elif cuts:
+        if not meets(taken, a, b) and len(s) < ratio * len(encoding.encode_ordinary(s)):
+            if not known:  # looked for once a text, and only where there is something to report
+                known.append(known_spans(text))
+            if not meets(known[0], a, b):
+                out.append((a, 3, b))
+                return
+        if cuts:
             for m in cuts[0].finditer(s):
                 if m.end() - m.start() >= LEAST:
                     test(a + m.start(), a + m.end(), cuts[1:])
