@@ -8,8 +8,9 @@ separators. A run that doesn't, or that overlaps a base span, is cut at `/` and
 and then at `-` and `_`, and parts of 16 or more characters are tested in its place,
 so a secret in a path or after a name is not averaged with them. Not reported:
 numbers, UUIDs, what overlaps a base span (so digests in lower-case hex are of
-the base kind `hex` alone), and known digests and identifiers: hex of a digest's
-length in capitals or mixed case (MD5 or a UUID without hyphens, SHA-1, SHA-2),
+the base kind `hex` alone), and known digests and identifiers: hex in capitals or
+mixed case, of the length of an MD5, SHA-1 or SHA-2 digest, behind a word that says
+so (a bare one looks like any random string and is reported), UUIDs without hyphens,
 integrity strings and key prints (sha384-..., SHA256:...) of the right length,
 ULIDs of this age, and ISBNs whose check digit fits. Shorter strings than LEAST
 are not tested for randomness at all: under 16 characters words and codes cannot
@@ -46,7 +47,8 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Forms of digests and identifiers that are no secrets (fixed lengths of their standards).
 KNOWN = re.compile(
     "|".join((
-        r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{128}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![A-Za-z0-9])",
+        r"(?i:\b(?:md5|sha-?[0-9]{0,3}|digest|checksum|fingerprint|etag|commit|hash)(?:sum)?)(?: (?:is|was|of))?[\s:=()\"'-]{1,6}(?:[0-9A-Fa-f]{128}|[0-9A-Fa-f]{96}|[0-9A-Fa-f]{64}|[0-9A-Fa-f]{56}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])[0-9A-Fa-f]{12}[1-5][0-9A-Fa-f]{3}[89ABab][0-9A-Fa-f]{15}(?![A-Za-z0-9])",
         r"\b(?i:sha)(?:256[-:][A-Za-z0-9+/]{43}=?|384[-:][A-Za-z0-9+/]{64}|512[-:][A-Za-z0-9+/]{86}(?:==)?)(?![A-Za-z0-9+/])",
         r"(?<![A-Za-z0-9])01[0-9A-HJKMNP-TV-Z]{24}(?![A-Za-z0-9])",
     ))

@@ -254,7 +254,8 @@ def test_known_digests_and_identifiers_are_no_secrets():
     crockford = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
     known = []
     for _ in range(40):
-        known += [hashlib.md5(raw(9)).hexdigest().upper(), hashlib.sha1(raw(9)).hexdigest().upper(), hashlib.sha256(raw(9)).hexdigest().upper(), uuid.UUID(bytes=raw(16)).hex.upper(), str(uuid.UUID(bytes=raw(16)))]
+        known += [f"MD5: {hashlib.md5(raw(9)).hexdigest().upper()}", f"sha1={hashlib.sha1(raw(9)).hexdigest().upper()}", f"SHA-256 ({hashlib.sha256(raw(9)).hexdigest().upper()})", f"checksum is {hashlib.sha512(raw(9)).hexdigest().upper()}"]
+        known += [uuid.UUID(bytes=raw(16), version=4).hex.upper(), str(uuid.UUID(bytes=raw(16)))]
         known += [f"sha{n}-{base64.b64encode(hashlib.new(f'sha{n}', raw(9)).digest()).decode()}" for n in (256, 384, 512)]
         known += ["SHA256:" + base64.b64encode(raw(32)).decode().rstrip("="), "01" + "".join(r.choice(crockford) for _ in range(24))]
     known += ["978-3-16-148410-0", "0-306-40615-2", "978-0-306-40615-7", "0-8044-2957-X"]
