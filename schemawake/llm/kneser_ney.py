@@ -10,17 +10,21 @@ the model; the other half, which it has not seen, sets the threshold of each
 language: the QUANTILE of their bits per word. A document above its language's
 threshold is rejected.
 
-Every n-gram is kept, in Spark tables: trigrams are counted in shards of their
-hash, bigrams and unigrams get their continuation counts from them, and joins
-give each n-gram the logarithm of its interpolated probability. An n-gram the
-model has adds a fixed number of bits to the text it stands in, whatever else the
-text holds: a trigram log2 p(w|u,v) - log2 p(w|v) - log2 b(u,v), a bigram
-log2 p(w|v) - log2 p(w) - log2 b(v) and, as a context, log2 b(u,v), where b is the
-share a context leaves to the lower order; a word likewise. So a text's score is
-a sum over a join of its n-grams with the model's, by key. Texts send the distinct n-grams of each batch,
-packed by shard and key, with the hashes of the texts they stand in; this is done
-in PARTS rounds, each over one range of keys, so that a round's scratch space is a
-part of the whole. No size of the model is sent to all tasks.
+Every n-gram is kept. A position is a word w with the two before it, u and v; all positions
+with the same v go to one shard, packed by batches of texts with a list of the words in
+them. A first pass over the texts that train counts there: how many trigrams stand
+once to four times, and each bigram's continuation count, from which Spark joins make
+a table of bigrams with their last word's probability. Then all texts send their positions,
+in PARTS rounds over ranges of shards, so that a round's scratch space is a part of the
+whole. Positions of training texts say so, and the shard counts its trigrams
+and contexts from them again: trigrams are never written. What v does not know of a
+word, its probability alone, is a term of its own, which is added where the word is v.
+So a text's score is a sum over shards; each shard answers a batch in one row, and
+answers are summed by batch before they are told by text.
+
+A word v with more than half a shard's positions is dealt over several shards by u, a pair u, v with
+as many by w; the counts of such a pair are summed over its shards in the first pass. Which
+they are is told by every SAMPLE-th text, and decides on nothing but the places of positions.
 
 Cases: a null or empty text has no words, perplexity 1, and is kept; a language
 with fewer than LEAST held-out documents, or null, takes the threshold of all of
@@ -32,24 +36,24 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
 from .common import discard, saved, text_of
 
-#: Words in a batch, whose n-grams are sent once each, and in a row of training text.
-BATCH_WORDS, ROW_WORDS = 1_000_000, 100_000
+#: Words in a batch, which sends one row to a shard; positions in a shard, about; texts of which one is read to see what is frequent.
+BATCH_WORDS, SHARD_WORDS, SAMPLE = 2_000_000, 1_200_000, 16
 QUANTILE, LEAST = 0.99, 20
 #: Places before a text's first word and after its last one; shapes of words.
 START, END, SHAPES = 0, 128, 128
-#: Rounds over ranges of keys; keys that texts send to one shard, at most about.
-PARTS, SHARD_KEYS = 4, 4_000_000
-#: Bytes of a key that are sent, next to the shard: an n-gram the model lacks is taken for another with probability SHARD_KEYS / 2**48.
-_KEY_BYTES = 6
+#: Rounds over ranges of shards; code points a word with its space has, about.
+PARTS, WORD_CHARS = 4, 6
 #: Tables with a row per word, language or trusted document are broadcast up to this many rows.
 BROADCAST_ROWS = 1_000_000
 #: What a discount is at least, so that every context leaves something to the lower order.
@@ -111,13 +115,6 @@ def ended(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, last + 1, np.uint64(END)), np.insert(text, last + 1, text[last])
 
 
-def grams(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """u and v, the two words before each word of its text, and whether it is the first."""
-    first = np.r_[True, text[1:] != text[:-1]][: len(text)]
-    v = np.where(first, np.uint64(START), np.r_[np.uint64(START), words[:-1]][: len(words)])
-    return np.where(first, np.uint64(START), np.r_[np.uint64(START), v[:-1]][: len(words)]), v, first
-
-
 def _few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, broadcast if it is small; else Spark joins it as it sees fit."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -132,53 +129,10 @@ def trusted_documents(labels: DataFrame) -> DataFrame:
     return good.select("doc_id", F.xxhash64("doc_id").bitwiseAND(F.lit(1)).cast("int").alias("fold"))
 
 
-def training_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """ids: the words of the texts that train, ends marked, some texts a row."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for part in parts:
-            texts = part.column(0).to_pylist()
-            for a, b in vectext.batches(texts):
-                words, _ = ended(*shaped_words(texts[a:b]))
-                held.append(words)
-                size += len(words)
-                if size > ROW_WORDS:
-                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], ["ids"])
-                    held, size = [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(held).tobytes()], pa.binary())], ["ids"])
-
-    mine = _few(saved(trusted_documents(labels).where("fold = 0").select("doc_id"), "trusted"))
-    return docs.select("doc_id", text_of().alias("text")).join(mine, "doc_id", "left_semi").select("text").mapInArrow(run, "ids binary")
-
-
-def trigram_counts(texts: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
-    """u, v, w, c of the trigrams of the texts' words (a binary column, ends marked) whose middle word falls into the part; a context's are in one task."""
-
-    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        w = np.concatenate(held)
-        u, v, _ = grams(w, np.cumsum(np.r_[0, w[:-1] == END]))
-        mine = gram_key(v) % np.uint64(parts) == part
-        u, v, w = u[mine], v[mine], w[mine]
-        _, at, c = np.unique(gram_key(u, v, w), return_index=True, return_counts=True)
-        for i in range(0, len(at), 100_000):
-            one = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[one].view(np.int64)) for x in (u, v, w)), pa.array(c[i : i + 100_000])], ["u", "v", "w", "c"])
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for part in rows:
-            for x in part.column(0):
-                held.append(np.frombuffer(x.as_py(), "<u8"))
-                size += len(held[-1])
-                if size > BATCH_WORDS:
-                    yield from counted(held)
-                    held, size = [], 0
-        if size:
-            yield from counted(held)
-
-    return texts.select("ids").mapInArrow(run, "u long, v long, w long, c long").repartition("u", "v").groupBy("u", "v", "w").agg(F.sum("c").alias("c"))
+def marked_texts(docs: DataFrame, mine: DataFrame) -> DataFrame:
+    """hash, text and whether it trains."""
+    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("hash"), text_of().alias("text"))
+    return rows.join(mine.select("doc_id", F.lit(True).alias("train")), "doc_id", "left").select("hash", "text", F.coalesce("train", F.lit(False)).alias("train"))
 
 
 def discounts(of: dict[int, int]) -> list[float]:
@@ -190,195 +144,347 @@ def discounts(of: dict[int, int]) -> list[float]:
     return [min(max(i - (i + 1) * y * n[i] / n[i - 1], _LEAST_DISCOUNT), float(i)) for i in (1, 2, 3)]
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    return discounts({r["k"]: r["n"] for r in counts.where("c <= 4").groupBy(F.col("c").alias("k")).agg(F.count("*").alias("n")).collect()})
-
-
 def _less(c: Column, d: list[float]) -> Column:
     """What is taken off a count."""
     return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
 
-def _of_context() -> dict[str, Column]:
-    """A context's counts: their sum, how many are 1 and 2, and how many there are."""
-    return {"total": F.sum("c"), "n1": F.count_if(F.col("c") == 1), "n2": F.count_if(F.col("c") == 2), "n": F.count("*")}
-
-
-def _back(d: list[float]) -> Column:
-    """The share that a context leaves to the lower order."""
-    return (F.col("n1") * d[0] + F.col("n2") * d[1] + (F.col("n") - F.col("n1") - F.col("n2")) * d[2]) / F.col("total")
-
-
-def _model(rows: DataFrame, parts: int) -> DataFrame:
-    """key, bits and part, written in a folder for each part of the keys."""
-    part = F.shiftrightunsigned("key", 64 - int(math.log2(parts))).cast("int") if parts > 1 else F.lit(0)
-    return saved(rows.select("key", F.col("bits").cast("float").alias("bits"), part.alias("part")), "model", by="part")
+# --- places ----------------------------------------------------------------------
+
+
+@dataclass
+class Layout:
+    """How positions are dealt: words v (sorted) that have several shards, how many each, and keys of pairs (sorted) that are dealt by w too."""
+
+    shards: int
+    words: np.ndarray
+    splits: np.ndarray
+    pairs: np.ndarray
+
+    def of(self, words: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Shards of positions, given as places in words."""
+        shard = ((gram_key(words) >> np.uint64(40)) % np.uint64(self.shards)).astype(np.int32)[v]
+        splits = self.splits_of(words)[v]
+        hot = np.flatnonzero(splits > 1)
+        key = gram_key(words[u[hot]], words[v[hot]])
+        both = _places(self.pairs, key) >= 0
+        key[both] = gram_key(*(words[x[hot[both]]] for x in (u, v, w)))
+        shard[hot] = (shard[hot] + (key >> np.uint64(40)).astype(np.int64) % splits[hot]) % self.shards
+        return shard
+
+    def splits_of(self, words: np.ndarray) -> np.ndarray:
+        at = _places(self.words, words)
+        return np.where(at >= 0, np.r_[self.splits, 1][at], 1).astype(np.int32)
+
+    def column(self, rows: DataFrame, v: str) -> DataFrame:
+        """rows with each shard that positions of v can be in."""
+        spark = rows.sparkSession
+        several = [(int(x), int(k)) for x, k in zip(self.words.view(np.int64), self.splits, strict=True)]
+        rows = rows.withColumn("shard", F.shiftrightunsigned(F.xxhash64(v), 40) % self.shards)
+        if not several:
+            return rows
+        rows = rows.join(F.broadcast(spark.createDataFrame(several, f"{v} long, _k long")), v, "left")
+        more = rows.where("_k is not null").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).withColumn("shard", (F.col("shard") + F.col("_i")) % self.shards)
+        return rows.where("_k is null").drop("_k").unionByName(more.drop("_k", "_i"))
+
+
+def _places(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where in known (sorted) each x is, or -1."""
+    if not len(known):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, at, -1)
+
+
+def _positions(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words, START first, and u, v and w of each position as places in them."""
+    words, at = np.unique(np.r_[np.uint64(START), words], return_inverse=True)
+    w = at[1:].astype(np.int32)
+    del at
+    first = np.r_[True, text[1:] != text[:-1]][: len(text)]
+    v = np.where(first, np.int32(0), np.r_[np.int32(0), w[:-1]][: len(w)])
+    return words, np.where(first, np.int32(0), np.r_[np.int32(0), v[:-1]][: len(v)]), v, w
+
+
+def _batched(rows: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """words (ends marked), their texts, the texts' hashes and whether they train, of about BATCH_WORDS words."""
+    held, size, many = [], 0, 0
+    for rec in rows:
+        hashes, texts, train = rec.column(0).to_numpy(), rec.column(1).to_pylist(), rec.column(2).to_numpy(zero_copy_only=False)
+        for a, b in vectext.batches(texts):
+            words, text = ended(*shaped_words(texts[a:b]))
+            held.append((words, (text + many).astype(np.int32), hashes[a:b], train[a:b]))
+            size, many = size + len(words), many + b - a
+            if size > BATCH_WORDS:
+                out, held, size, many = [np.concatenate(x) for x in zip(*held, strict=True)], [], 0, 0
+                yield out
+                del out
+    if size:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def layout_of(texts: DataFrame, chars: int, parts: int, shard_words: int) -> Layout:
+    """So many shards that each has about shard_words positions, a multiple of parts."""
+    shards = parts * max(1, math.ceil(chars / WORD_CHARS / shard_words / parts))
+    share = 0.5 / shards
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, text, *_ in _batched(rows):
+            words, u, v, _ = _positions(words, text)
+            many = np.bincount(v, minlength=len(words))
+            own = np.flatnonzero(many >= share / 2 * len(v))
+            hot = np.isin(v, own)
+            pair, n = np.unique(gram_key(words[u[hot]], words[v[hot]]), return_counts=True)
+            both = n >= share / 2 * len(v)
+            kind = np.r_[0, np.full(len(own), 1), np.full(both.sum(), 2)]
+            key = np.r_[np.uint64(0), words[own], pair[both]].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(np.r_[len(v), many[own], n[both]])], ["kind", "key", "n"])
+
+    some = texts.where(F.monotonically_increasing_id() % SAMPLE == 0).mapInArrow(run, "kind long, key long, n long")
+    some = saved(some.groupBy("kind", "key").agg(F.sum("n").alias("n")), "frequent")
+    total = some.where("kind = 0").agg(F.sum("n")).first()[0] or 1
+    found = some.where(F.col("n") > share * total).where("kind > 0").collect()
+    discard(some)
+    of = lambda kind: np.array(sorted((r["key"], r["n"]) for r in found if r["kind"] == kind), np.int64).reshape(-1, 2)
+    words, pairs = of(1), of(2)
+    key = words[:, 0].copy().view(np.uint64)
+    order = np.argsort(key)
+    splits = np.minimum(np.ceil(words[order, 1] / total / share), shards).astype(np.int64)
+    return Layout(shards, key[order], splits, np.sort(pairs[:, 0].copy().view(np.uint64)))
+
+
+SENT = "shard long, batch long, n long, words binary, grams binary, places binary, train binary, hashes binary, sizes binary"
+
+
+def sent_positions(texts: DataFrame, layout: Layout, low: int, high: int) -> DataFrame:
+    """The positions of shards low to high - 1, a row a batch of texts and shard: its words, u, v and w as places in them, the steps from text to text and whether each trains.
+
+    One row of a batch also has the hashes of its texts and how many positions of the round each has.
+    """
 
-def model_tables(texts: DataFrame, parts: int = PARTS) -> tuple[list[DataFrame], np.ndarray]:
-    """Tables of key, bits and part (the key's first bits) of all n-grams, a key in one row or two, and the probability of unseen words by shape."""
-    # a part has all that goes with its middle words: their contexts, trigrams and the bigrams that go on from them
-    tris, bis = [], []
-    own = Window.partitionBy("u", "v")
-    sums = {name: c.over(own) for name, c in _of_context().items()}
-    for i in range(parts):
-        tris.append(saved(trigram_counts(texts, i, parts).withColumns(sums | {"first": F.row_number().over(own.orderBy("w")) == 1}), "trigrams"))
-        bis.append(saved(tris[-1].groupBy("v", "w").agg(F.count("*").alias("c")), "bigrams"))
-    d3, d2 = _discounts(_all(tris)), _discounts(_all(bis))
-    uni = saved(_all(bis).groupBy("w").agg(F.count("*").alias("c")), "unigrams")
-    d1 = _discounts(uni)
+    def packed(words: np.ndarray, text: np.ndarray, hashes: np.ndarray, train: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words, u, v, w = _positions(words, text)
+        shard = layout.of(words, u, v, w) - low
+        at = np.flatnonzero((shard >= 0) & (shard < high - low))
+        shard = shard[at].astype(np.uint16 if high - low <= 1 << 16 else np.int64)
+        order = np.argsort(shard, kind="stable")
+        at, shard = at[order], shard[order]
+        # equal batches have one number: their texts are the same, and count together
+        batch = int(vectext.mix(hashes.view(np.uint64) + vectext.mix(np.arange(len(hashes)))).sum().view(np.int64)) if len(hashes) else 0
+        sizes = np.bincount(text[at], minlength=len(hashes)).astype("<i8")
+        cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(shard)])
+        for i, j in zip(cut, np.r_[cut[1:], len(shard)], strict=True):
+            one = at[i:j]
+            three = np.concatenate([u[one], v[one], w[one]])
+            if len(three) * 32 > len(words):
+                there = np.zeros(len(words), bool)
+                there[three] = True
+                own, three = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[three]
+            else:
+                own, three = np.unique(three, return_inverse=True)
+            place = np.diff(text[one], prepend=0)
+            # the bytes of the words by their place, as the first ones of sorted words are nearly the same
+            raw = [words[own].view(np.uint8).reshape(-1, 8).T, three.astype(_width(len(own))), place.astype(_width(len(hashes))), np.packbits(train[text[one]])]
+            head = [hashes.tobytes(), sizes.tobytes()] if i == 0 else [None, None]
+            yield pa.RecordBatch.from_arrays([*(pa.array([int(x)]) for x in (shard[i] + low, batch, j - i)), *(pa.array([x], pa.binary()) for x in (*(y.tobytes() for y in raw), *head))], [f.split()[0] for f in SENT.split(", ")])
+
+    return texts.mapInArrow(lambda rows: (out for held in _batched(rows) for out in packed(*held)), SENT)
+
+
+def _width(n: int) -> str:
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, _width(0) if len(raw) == 2 * n else "<u4")
+
+
+class _Shard:
+    """A shard's positions: words (distinct, sorted), u, v and w as places in them, train, text (numbered over the batches) and each row's first text; contexts u, v and trigrams, each once."""
+
+    def __init__(self, sent: pa.Table, more: np.ndarray | None = None):
+        names, parts, self.text, train, self.many = [], [], [], [], [0]
+        off = 0
+        for n, words, grams, places, t in zip(*(sent.column(c).to_pylist() for c in ("n", "words", "grams", "places", "train")), strict=True):
+            names.append(np.frombuffer(words, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel())
+            parts.append(_wide(grams, 3 * n).reshape(3, n).astype(np.int32) + np.int32(off))
+            place = np.cumsum(_wide(places, n), dtype=np.int32)
+            self.text.append(place + np.int32(self.many[-1]))
+            self.many.append(self.many[-1] + int(place[-1]) + 1)
+            train.append(np.unpackbits(np.frombuffer(t, np.uint8), count=n))
+            off += len(names[-1])
+        if more is not None:
+            names.append(more)
+        none = [np.zeros(0, np.int32)]
+        self.words, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *names]), return_inverse=True)
+        self.more = at[off:]
+        self.text, self.train = np.concatenate(none + self.text), np.concatenate([np.zeros(0, np.uint8), *train])
+        u, v, w = at[:off].astype(np.int32)[np.concatenate([np.zeros((3, 0), np.int32), *parts], axis=1)]
+        del parts, names, train
+        self.base = max(1, len(self.words))
+        context, of = np.unique(u.astype(np.int64) * self.base + v, return_inverse=True)
+        self.u, self.v = context // self.base, context % self.base
+        del u, v
+        gram, self.gram = np.unique(of * self.base + w, return_inverse=True)
+        self.context, self.w = gram // self.base, gram % self.base
+        self.count = np.bincount(self.gram, self.train, minlength=len(gram)).astype(np.int64)
+
+    def sums(self) -> list[np.ndarray]:
+        """By context: the sum of its counts, how many are 1, 2, and how many there are."""
+        c = self.count
+        return [np.bincount(self.context, x, minlength=len(self.u)) for x in (c, c == 1, c == 2, c > 0)]
+
+
+def _counted(sent: pa.Table, layout: Layout) -> pa.Table:
+    """kind, a, b, c: 0 trigrams that stand a = 1 to 4 times; 1 bigrams a, b with their continuation counts, 2 those that other shards count too; 3 to 6 sums of the pairs that are dealt by w."""
+    x = _Shard(sent)
+    seen = x.count > 0
+    bigram, n = np.unique(x.v[x.context[seen]] * x.base + x.w[seen], return_counts=True)
+    v = x.words[bigram // x.base]
+    rows = [(0, np.arange(1, 5), np.zeros(4), np.bincount(np.minimum(x.count[seen], 5), minlength=6)[1:5]), (1 + (layout.splits_of(v) > 1), v.view(np.int64), x.words[bigram % x.base].view(np.int64), n)]
+    at = _places(layout.pairs, gram_key(x.words[x.u], x.words[x.v]))
+    rows += [(3 + i, at[at >= 0], np.zeros((at >= 0).sum()), y[at >= 0]) for i, y in enumerate(x.sums())]
+    kind = np.concatenate([np.broadcast_to(r[0], len(r[1])) for r in rows])
+    return pa.table({"kind": kind.astype(np.int64)} | {k: np.concatenate([np.asarray(r[i], np.int64) for r in rows]) for i, k in ((1, "a"), (2, "b"), (3, "c"))})
+
+
+@dataclass
+class Model:
+    """Discounts of trigrams and bigrams, sums of the pairs that are dealt by w, probabilities of unseen words by shape and of the end mark; bigrams: v, w, c and p1 of w, and p1 of each word v where w is START."""
+
+    d3: list[float]
+    d2: list[float]
+    sums: np.ndarray
+    unseen: np.ndarray
+    end: float
+    bigrams: DataFrame
+
+
+def trained(texts: DataFrame, layout: Layout) -> Model:
+    counted = sent_positions(texts, layout, 0, layout.shards).groupBy("shard").applyInArrow(lambda sent: _counted(sent, layout), "kind long, a long, b long, c long")
+    counted = saved(counted, "counts")
+    few = counted.where("kind = 0 or kind > 2").groupBy("kind", "a").agg(F.sum("c").alias("c")).collect()
+    d3 = discounts({r["a"]: r["c"] for r in few if r["kind"] == 0})
+    sums = np.zeros((4, len(layout.pairs)))
+    for r in few:
+        if r["kind"] > 2:
+            sums[r["kind"] - 3, r["a"]] = r["c"]
+    two = counted.where("kind = 1").select(F.col("a").alias("v"), F.col("b").alias("w"), "c")
+    if len(layout.words):
+        two = two.unionByName(counted.where("kind = 2").groupBy(F.col("a").alias("v"), F.col("b").alias("w")).agg(F.sum("c").alias("c")))
+    of = lambda rows: discounts({r["c"]: r["n"] for r in rows.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()})
+    d2 = of(two)
+    uni = saved(two.groupBy("w").agg(F.count("*").alias("c")), "unigrams")
+    d1 = of(uni)
     total, left = uni.agg(F.sum("c"), F.sum(_less(F.col("c"), d1))).first()
     once = np.ones(SHAPES)
     for r in uni.where("c = 1").groupBy(F.col("w").bitwiseAND(F.lit(SHAPES - 1)).alias("s")).agg(F.count("*").alias("n")).collect():
         once[r["s"]] += r["n"]
     unseen = (left / total if total else 1.0) * once / once.sum()
-    p1 = saved(uni.select("w", ((F.col("c") - _less(F.col("c"), d1)) / F.lit(float(total or 1))).alias("p1")), "words")
-    base = F.element_at(F.array(*[F.lit(float(x)) for x in np.log2(unseen)]), F.col("w").bitwiseAND(F.lit(SHAPES - 1)).cast("int") + 1)
-    out = [_model(p1.select(F.xxhash64("w").alias("key"), (F.log2("p1") - base).alias("bits")), parts)]
-    for tri, bi in zip(tris, bis, strict=True):
-        ones = saved(bi.groupBy("v").agg(*(c.alias(name) for name, c in _of_context().items())).select("v", "total", _back(d2).alias("back")), "contexts")
-        seen = (F.col("c") - _less(F.col("c"), d2)) / F.col("total") + F.col("back") * F.col("p1")
-        two = saved(bi.join(_few(ones), "v").join(_few(p1), "w").select("v", "w", seen.alias("p2"), (F.log2(seen) - F.log2("back") - F.log2("p1")).alias("bits")), "bigrams")
-        rows = tri.select("v", "w", F.xxhash64("u", "v", "w").alias("key"), ((F.col("c") - _less(F.col("c"), d3)) / F.col("total")).cast("float").alias("own"), _back(d3).cast("float").alias("back"))
-        three = rows.join(two.select("v", "w", F.col("p2").cast("float").alias("p2")), ["v", "w"])
-        leave = ones.select(F.xxhash64("v").alias("key"), F.log2("back").alias("bits")).unionByName(tri.where("first").select(F.xxhash64("u", "v").alias("key"), F.log2(_back(d3)).alias("bits")))
-        out.append(_model(two.select(F.xxhash64("v", "w").alias("key"), "bits").unionByName(leave), parts))
-        out.append(_model(three.select("key", (F.log2(F.col("own") + F.col("back") * F.col("p2")) - F.log2("back") - F.log2("p2")).alias("bits")), parts))
-        discard(tri, bi, ones, two)
-    discard(uni, p1)
-    return out, unseen
-
-
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
+    p1 = uni.select("w", ((F.col("c") - _less(F.col("c"), d1)) / F.lit(float(total or 1))).cast("float").alias("p1"))
+    end = p1.where(F.col("w") == END).first()
+    own = p1.select(F.col("w").alias("v"), F.lit(START).cast("long").alias("w"), F.lit(0).cast("int").alias("c"), "p1")
+    rows = two.join(_few(p1), "w").select("v", "w", F.col("c").cast("int").alias("c"), "p1").unionByName(own)
+    out = Model(d3, d2, sums, unseen, end["p1"] if end else float(unseen[END % SHAPES]), saved(rows, "bigrams"))
+    discard(counted, uni)
     return out
 
 
 # --- scoring ---------------------------------------------------------------------
 
 
-def _short(key: np.ndarray, bits: int) -> np.ndarray:
-    """What of a key is compared within its shard (its first bits)."""
-    return key << np.uint64(bits) >> np.uint64(64 - 8 * _KEY_BYTES)
-
-
-def sent_grams(docs: DataFrame, part: int, parts: int, bits: int) -> DataFrame:
-    """shard, keys, counts, places, hashes: the n-grams of one part of the keys in batches of texts.
-
-    keys: the distinct ones in order, 6 bytes each; counts: in how many places each stands; places: the texts of those
-    places, as places in hashes, which are the texts' own.
-    """
-    shift = np.uint64(64 - bits)
-
-    def packed(words: np.ndarray, text: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        u, v, first = grams(words, text)
-        ahead = text[first]
-        key = np.concatenate([gram_key(u, v, words), gram_key(v, words), gram_key(words), gram_key(u[first], v[first]), gram_key(v[first])])
-        owner = np.concatenate([text, text, text, ahead, ahead])
-        if parts > 1:
-            mine = key >> np.uint64(64 - int(math.log2(parts))) == part
-            key, owner = key[mine], owner[mine]
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        count = np.diff(np.r_[start, len(key)])
-        shard = (key[start] >> shift).astype(np.int64) if bits else np.zeros(len(start), np.int64)
-        cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(shard)])
-        for i, j in zip(cut, np.r_[cut[1:], len(shard)]):
-            a, b = start[i], start[j] if j < len(start) else len(key)
-            texts, place = np.unique(owner[a:b], return_inverse=True)
-            short = np.ascontiguousarray(_short(key[start[i:j]], bits).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES])
-            raw = [short.tobytes(), count[i:j].astype("<u4").tobytes(), place.astype("<u2" if len(texts) <= 1 << 16 else "<u4").tobytes(), hashes[texts].tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([shard[i]]), *(pa.array([x], pa.binary()) for x in raw)], names)
-
-    names = ["shard", "keys", "counts", "places", "hashes"]
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, many = [], 0, 0
-        for rec in rows:
-            texts, hashes = rec.column(1).to_pylist(), rec.column(0).to_numpy()
-            for a, b in vectext.batches(texts):
-                words, text = ended(*shaped_words(texts[a:b]))
-                held.append((words, text + many, hashes[a:b]))
-                size, many = size + len(words), many + b - a
-                if size > BATCH_WORDS:
-                    yield from packed(*map(np.concatenate, zip(*held, strict=True)))
-                    held, size, many = [], 0, 0
-        if size:
-            yield from packed(*map(np.concatenate, zip(*held, strict=True)))
-
-    return docs.select(F.xxhash64(text_of()).alias("hash"), text_of().alias("text")).mapInArrow(run, "shard long, keys binary, counts binary, places binary, hashes binary")
-
-
-def _found(model: pa.Table, sent: pa.Table, bits: int) -> pa.Table:
-    """hash and bits: what the shard's n-grams add to each text, one row a batch and text."""
-    key = _short(model.column("key").to_numpy().view(np.uint64), bits)
-    order = np.argsort(key, kind="stable")
-    key, value = key[order], model.column("bits").to_numpy().astype(np.float64)[order]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    # a bigram's rows as bigram and as context count together
-    key, value = key[start], np.add.reduceat(value, start) if len(start) else value
-    hashes, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for keys, counts, places, texts in zip(*(sent.column(c) for c in ("keys", "counts", "places", "hashes")), strict=True):
-        if not len(key):
-            break
-        raw = np.frombuffer(keys.as_py(), np.uint8).reshape(-1, _KEY_BYTES)
-        wanted = np.zeros((len(raw), 8), np.uint8)
-        wanted[:, :_KEY_BYTES] = raw
-        wanted = wanted.view("<u8").ravel()
-        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-        got = np.where(key[at] == wanted, value[at], 0.0)
-        text = np.frombuffer(texts.as_py(), np.int64)
-        place = np.frombuffer(places.as_py(), "<u2" if len(text) <= 1 << 16 else "<u4")
-        total = np.bincount(place, np.repeat(got, np.frombuffer(counts.as_py(), "<u4")), minlength=len(text))
-        hashes.append(text[total != 0])
-        sums.append(total[total != 0])
-    return pa.table({"hash": np.concatenate(hashes), "bits": np.concatenate(sums)})
-
-
-def plain_bits(docs: DataFrame, unseen: np.ndarray) -> DataFrame:
-    """doc_id, lang, hash, n and bits of every document as if the model had none of its words: by their shapes alone."""
-    worth = np.log2(unseen)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rec in rows:
-            texts = rec.column(3).to_pylist()
-            n, bits = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for a, b in vectext.batches(texts):
-                words, text = shaped_words(texts[a:b])
-                n[a:b] = np.bincount(text, minlength=b - a)
-                words, text = ended(words, text)
-                bits[a:b] = np.bincount(text, worth[(words % np.uint64(SHAPES)).astype(np.int64)], minlength=b - a)
-            yield pa.RecordBatch.from_arrays([*rec.columns[:3], pa.array(n), pa.array(bits)], ["doc_id", "lang", "hash", "n", "bits"])
-
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64(text_of()).alias("hash"), text_of().alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, lang string, hash long, n long, bits double")
-
-
-def score_texts(docs: DataFrame, model: list[DataFrame], unseen: np.ndarray, parts: int = PARTS) -> DataFrame:
+def _back(d: list[float], total: np.ndarray, n1: np.ndarray, n2: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The share that a context leaves to the lower order; all, if it isn't known."""
+    return np.where(total > 0, (n1 * d[0] + n2 * d[1] + (n - n1 - n2) * d[2]) / np.maximum(total, 1), 1.0)
+
+
+def _off(c: np.ndarray, d: list[float]) -> np.ndarray:
+    """A count without its discount."""
+    return np.where(c > 0, c - np.array([0, *d])[np.minimum(c, 3)], 0.0)
+
+
+ANSWER = "batch long, places binary, bits binary, hashes binary, sizes binary"
+
+
+def _answered(sent: pa.Table, known: pa.Table, layout: Layout, model: tuple) -> pa.Table:
+    """What the shard's positions add to the texts of each batch: a row for each that came."""
+    d3, d2, pair_sums, unseen = model
+    v, w, c, p1 = (known.column(k).to_numpy() for k in ("v", "w", "c", "p1"))
+    x = _Shard(sent, np.r_[v, w].view(np.uint64))
+    v, w = x.more[: len(v)], x.more[len(v) :]
+    own = x.words[w] == START if len(w) else np.zeros(0, bool)
+    alone = unseen[(x.words % np.uint64(SHAPES)).astype(np.int64)]
+    alone[v[own]] = p1[own]
+    alone[x.words == START] = 1.0  # it is not predicted
+    v, w, c, p1 = (y[~own] for y in (v, w, c, p1))
+    sums = [np.bincount(v, y, minlength=x.base) for y in (c, c == 1, c == 2, c > 0)]
+    back2 = _back(d2, *sums)
+    p2 = _off(c, d2) / sums[0][v] + back2[v] * p1
+    key = v * x.base + w
+    order = np.argsort(key)
+    # by trigram: how many times p1 of its last word its probability is
+    mid = x.v[x.context]
+    at = _places(key[order], mid * x.base + x.w)
+    ratio, last = back2[mid], np.ones(len(mid))
+    if len(key):
+        at = order[at[(hit := at >= 0)]]
+        ratio[hit], last[hit] = p2[at] / p1[at], p1[at]
+    sums = x.sums()
+    if len(layout.pairs):
+        pair = _places(layout.pairs, gram_key(x.words[x.u], x.words[x.v]))
+        for y, all_ in zip(sums, pair_sums, strict=True):
+            y[pair >= 0] = all_[pair[pair >= 0]]
+    back3 = _back(d3, *sums)[x.context]
+    bits = np.log2(_off(x.count, d3) / np.maximum(sums[0][x.context], 1) / last + back3 * ratio) + np.log2(alone)[mid]
+    total, there = (np.bincount(x.text, y, minlength=x.many[-1]) for y in (bits[x.gram], None))
+    rows = []
+    for i, j in zip(x.many, x.many[1:]):
+        place = np.flatnonzero(there[i:j])
+        rows.append((place.astype(_width(j - i)).tobytes(), total[i:j][place].tobytes()))
+    return pa.table([sent.column("batch"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), sent.column("hashes"), sent.column("sizes")], names=[f.split()[0] for f in ANSWER.split(", ")])
+
+
+def _summed(answers: pa.Table) -> pa.Table:
+    """hash, bits and n (positions) of a batch's texts, summed over its answers; equal batches count together."""
+    heads = [(h, s) for h, s in zip(answers.column("hashes").to_pylist(), answers.column("sizes").to_pylist(), strict=True) if h is not None]
+    hashes, n = np.frombuffer(heads[0][0], "<i8"), sum(np.frombuffer(s, "<i8") for _, s in heads)
+    bits = np.zeros(len(hashes))
+    for place, more in zip(answers.column("places").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+        more = np.frombuffer(more)
+        bits[_wide(place, len(more))] += more
+    return pa.table({"hash": hashes[n > 0], "bits": bits[n > 0], "n": n[n > 0]})
+
+
+def score_texts(docs: DataFrame, labels: DataFrame, parts: int = PARTS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, lang, hash, bits per word (the end mark counts as one) and number of words n of every document."""
-    plain = saved(plain_bits(docs, unseen), "plain")
-    many = plain.agg(F.sum("n")).first()[0] or 0
-    bits = max(int(math.log2(parts)), math.ceil(math.log2(max(1, 2.5 * many / SHARD_KEYS))))
-    sums = []
+    row = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64(text_of()).alias("hash"), F.length(text_of()).alias("size"))
+    plain = saved(row, "plain")
+    mine = saved(trusted_documents(labels).where("fold = 0").select("doc_id"), "trusted")
+    texts = marked_texts(docs, _few(mine))
+    layout = layout_of(docs.select(F.lit(0).cast("long"), text_of(), F.lit(False)), plain.agg(F.sum("size")).first()[0] or 0, parts, shard_words)
+    model = trained(texts.where("train"), layout)
+    small, sums = (model.d3, model.d2, model.sums, model.unseen), []
     for i in range(parts):
-        mine = _all([t.where(F.col("part") == i).select("key", "bits") for t in model])
-        mine = mine.withColumn("shard", F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("long"))
-        got = sent_grams(docs, i, parts, bits).groupBy("shard").cogroup(mine.groupBy("shard"))
-        per = got.applyInArrow(lambda sent, known: _found(known, sent, bits), "hash long, bits double")
-        sums.append(saved(per.groupBy("hash").agg(F.sum("bits").alias("more")), "sums"))
-    # copies of a text are sent each, so their sum is shared out
-    copies = plain.groupBy("hash").agg(F.count("*").alias("copies"))
-    more = _all(sums).groupBy("hash").agg(F.sum("more").alias("more")).join(copies, "hash").select("hash", (F.col("more") / F.col("copies")).alias("more"))
-    total = -(F.col("bits") + F.coalesce("more", F.lit(0.0)))
-    out = saved(plain.join(more, "hash", "left").select("doc_id", "lang", "hash", "n", F.when(F.col("n") > 0, total / (F.col("n") + 1)).otherwise(0.0).alias("bits")), "scores")
-    discard(plain, *sums)
+        low, high = (layout.shards * k // parts for k in (i, i + 1))
+        known = layout.column(model.bigrams, "v").where(F.col("shard").between(low, high - 1))
+        got = sent_positions(texts, layout, low, high).groupBy("shard").cogroup(known.groupBy("shard"))
+        per = got.applyInArrow(lambda sent, known: _answered(sent, known, layout, small), ANSWER).groupBy("batch").applyInArrow(_summed, "hash long, bits double, n long")
+        sums.append(saved(per, "sums"))
+    more = _all(sums).groupBy("hash").agg(F.sum("bits").alias("more"), F.sum("n").alias("places"))
+    # copies of a text are sent each, so their sums are shared out
+    more = more.join(plain.groupBy("hash").agg(F.count("*").alias("copies")), "hash")
+    more = more.select("hash", (F.col("places") / F.col("copies")).cast("long").alias("places"), (F.col("more") / F.col("copies")).alias("more"))
+    total = -(F.col("more") + F.lit(math.log2(model.end)))
+    out = plain.join(more, "hash", "left").select("doc_id", "lang", "hash", (F.coalesce("places", F.lit(1)) - 1).alias("n"), F.coalesce(total / F.col("places"), F.lit(0.0)).alias("bits"))
+    out = saved(out, "scores")
+    discard(plain, mine, model.bigrams, *sums)
     return out
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def thresholds(scores: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, float]:
     """lang and line (bits per word) of the languages with enough held-out documents, and the line of all others."""
     held = scores.where("n > 0").join(_few(trusted_documents(labels).where("fold = 1").select("doc_id")), "doc_id", "left_semi")
@@ -388,13 +494,9 @@ def thresholds(scores: DataFrame, labels: DataFrame, quantile: float = QUANTILE)
     return per, math.inf if whole is None else whole
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, **how) -> DataFrame:
     """doc_id, lang, hash, n, bits and line of every document."""
-    words = saved(training_words(docs, labels), "words")
-    model, unseen = model_tables(words)
-    discard(words)
-    scores = score_texts(docs, model, unseen)
-    discard(*model)
+    scores = score_texts(docs, labels, **how)
     per, other = thresholds(scores, labels, quantile)
     return scores.join(_few(per), "lang", "left").withColumn("line", F.coalesce("line", F.lit(other)))
 

@@ -249,6 +249,32 @@ def test_quality_without_documents_or_labels(spark):
     assert kneser_ney.score_documents(df, marked.where("false")).where("not kept").isEmpty()
 
 
+def test_frequent_words_are_dealt_over_shards(spark):
+    """Scores with many shards, where a few words, pairs and a text's beginning are most of all positions; rows between the steps are by batch, not by text."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(r.choice(["the", "of the", "of", f"w{r.integers(60)}", f"x{r.integers(9)}"], p=[0.35, 0.25, 0.1, 0.2, 0.1]) for _ in range(40)) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 400, 2)], "doc_id long, quality int")
+    mine = kneser_ney.trusted_documents(labels).where("fold = 0")
+    plain = BruteKneserNey([texts[x["doc_id"]] for x in mine.collect()])
+    got = kneser_ney.score_documents(df, labels, parts=2, shard_words=500).collect()
+    assert len(got) == 400
+    for x in got:
+        assert abs(x["perplexity"] / plain.perplexity(texts[x["doc_id"]]) - 1) < 1e-5 and x["n_words"] == len(texts[x["doc_id"]].split())
+    marked = kneser_ney.marked_texts(df, mine)
+    layout = kneser_ney.layout_of(marked, sum(map(len, texts)), 2, 500)
+    assert layout.shards >= 20 and layout.splits.max() > 4 and len(layout.pairs) >= 2
+    model = kneser_ney.trained(marked.where("train"), layout)
+    sent = kneser_ney.sent_positions(marked, layout, 0, layout.shards)
+    per = [x["n"] for x in sent.groupBy("shard").sum("n").toDF("shard", "n").collect()]
+    positions = sum(len(t.split()) + 1 for t in texts)
+    assert sum(per) == positions and max(per) < 0.2 * positions
+    small = (model.d3, model.d2, model.sums, model.unseen)
+    known = layout.column(model.bigrams, "v").groupBy("shard")
+    answers = sent.groupBy("shard").cogroup(known).applyInArrow(lambda a, b: kneser_ney._answered(a, b, layout, small), kneser_ney.ANSWER)
+    assert answers.count() == sent.count() <= 3 * layout.shards < len(texts)
+
+
 def test_keys_are_spark_s(spark):
     r = np.random.default_rng(2)
     a = r.integers(-(1 << 63), 1 << 63, (50, 3))
