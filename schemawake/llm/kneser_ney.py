@@ -161,10 +161,17 @@ class Layout:
     splits: np.ndarray
     pairs: np.ndarray
 
+    def base_of(self, words: np.ndarray) -> np.ndarray:
+        return ((gram_key(words) >> np.uint64(40)) % np.uint64(self.shards)).astype(np.int32)
+
+    def reach(self, words: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Whether positions of v can be in shards low to high - 1."""
+        base = self.base_of(words)
+        return (low <= base) & (base < high) | ((low - base) % self.shards < self.splits_of(words))
+
     def of(self, words: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Shards of positions, given as places in words."""
-        shard = ((gram_key(words) >> np.uint64(40)) % np.uint64(self.shards)).astype(np.int32)[v]
-        splits = self.splits_of(words)[v]
+        shard, splits = self.base_of(words)[v], self.splits_of(words)[v]
         hot = np.flatnonzero(splits > 1)
         key = gram_key(words[u[hot]], words[v[hot]])
         both = _places(self.pairs, key) >= 0
@@ -176,16 +183,13 @@ class Layout:
         at = _places(self.words, words)
         return np.where(at >= 0, np.r_[self.splits, 1][at], 1).astype(np.int32)
 
-    def column(self, rows: DataFrame, v: str) -> DataFrame:
-        """rows with each shard that positions of v can be in."""
-        spark = rows.sparkSession
-        several = [(int(x), int(k)) for x, k in zip(self.words.view(np.int64), self.splits, strict=True)]
-        rows = rows.withColumn("shard", F.shiftrightunsigned(F.xxhash64(v), 40) % self.shards)
-        if not several:
+    def column(self, rows: DataFrame) -> DataFrame:
+        """rows with each shard that positions of v can be in, given in how many they are as k."""
+        rows = rows.withColumn("shard", F.shiftrightunsigned(F.xxhash64("v"), 40) % self.shards)
+        if not len(self.words):
             return rows
-        rows = rows.join(F.broadcast(spark.createDataFrame(several, f"{v} long, _k long")), v, "left")
-        more = rows.where("_k is not null").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).withColumn("shard", (F.col("shard") + F.col("_i")) % self.shards)
-        return rows.where("_k is null").drop("_k").unionByName(more.drop("_k", "_i"))
+        more = rows.where("k > 1").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        return rows.where("k = 1").unionByName(more.withColumn("shard", (F.col("shard") + F.col("_i")) % self.shards).drop("_i"))
 
 
 def _places(known: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -264,6 +268,8 @@ def sent_positions(texts: DataFrame, layout: Layout, low: int, high: int) -> Dat
 
     def packed(words: np.ndarray, text: np.ndarray, hashes: np.ndarray, train: np.ndarray) -> Iterator[pa.RecordBatch]:
         words, u, v, w = _positions(words, text)
+        near = np.flatnonzero(layout.reach(words, low, high)[v])
+        text, u, v, w = text[near], u[near], v[near], w[near]
         shard = layout.of(words, u, v, w) - low
         at = np.flatnonzero((shard >= 0) & (shard < high - low))
         shard = shard[at].astype(np.uint16 if high - low <= 1 << 16 else np.int64)
@@ -336,21 +342,22 @@ class _Shard:
 
 
 def _counted(sent: pa.Table, layout: Layout) -> pa.Table:
-    """kind, a, b, c: 0 trigrams that stand a = 1 to 4 times; 1 bigrams a, b with their continuation counts, 2 those that other shards count too; 3 to 6 sums of the pairs that are dealt by w."""
+    """kind, a, b, c: 0 trigrams that stand a = 1 to 4 times; k bigrams a, b with their continuation counts here, and each a with START and 0, where k shards count a's; -1 to -4 sums of the pairs that are dealt by w."""
     x = _Shard(sent)
     seen = x.count > 0
     bigram, n = np.unique(x.v[x.context[seen]] * x.base + x.w[seen], return_counts=True)
     v = x.words[bigram // x.base]
-    rows = [(0, np.arange(1, 5), np.zeros(4), np.bincount(np.minimum(x.count[seen], 5), minlength=6)[1:5]), (1 + (layout.splits_of(v) > 1), v.view(np.int64), x.words[bigram % x.base].view(np.int64), n)]
+    v, w, n = np.r_[v, v[first := np.r_[True, v[1:] != v[:-1]][: len(v)]]], np.r_[x.words[bigram % x.base], np.full(first.sum(), START, np.uint64)], np.r_[n, np.zeros(first.sum(), n.dtype)]
+    rows = [(0, np.arange(1, 5), np.zeros(4), np.bincount(np.minimum(x.count[seen], 5), minlength=6)[1:5]), (layout.splits_of(v), v.view(np.int64), w.view(np.int64), n)]
     at = _places(layout.pairs, gram_key(x.words[x.u], x.words[x.v]))
-    rows += [(3 + i, at[at >= 0], np.zeros((at >= 0).sum()), y[at >= 0]) for i, y in enumerate(x.sums())]
+    rows += [(-1 - i, at[at >= 0], np.zeros((at >= 0).sum()), y[at >= 0]) for i, y in enumerate(x.sums())]
     kind = np.concatenate([np.broadcast_to(r[0], len(r[1])) for r in rows])
     return pa.table({"kind": kind.astype(np.int64)} | {k: np.concatenate([np.asarray(r[i], np.int64) for r in rows]) for i, k in ((1, "a"), (2, "b"), (3, "c"))})
 
 
 @dataclass
 class Model:
-    """Discounts of trigrams and bigrams, sums of the pairs that are dealt by w, probabilities of unseen words by shape and of the end mark; bigrams: v, w, c and p1 of w, and p1 of each word v where w is START."""
+    """Discounts of trigrams and bigrams, sums of the pairs that are dealt by w, probabilities of unseen words by shape and of the end mark; bigrams: k, v, w, c and p1 of w, and p1 of v where w is START."""
 
     d3: list[float]
     d2: list[float]
@@ -363,18 +370,18 @@ class Model:
 def trained(texts: DataFrame, layout: Layout) -> Model:
     counted = sent_positions(texts, layout, 0, layout.shards).groupBy("shard").applyInArrow(lambda sent: _counted(sent, layout), "kind long, a long, b long, c long")
     counted = saved(counted, "counts")
-    few = counted.where("kind = 0 or kind > 2").groupBy("kind", "a").agg(F.sum("c").alias("c")).collect()
+    few = counted.where("kind <= 0").groupBy("kind", "a").agg(F.sum("c").alias("c")).collect()
     d3 = discounts({r["a"]: r["c"] for r in few if r["kind"] == 0})
     sums = np.zeros((4, len(layout.pairs)))
     for r in few:
-        if r["kind"] > 2:
-            sums[r["kind"] - 3, r["a"]] = r["c"]
-    two = counted.where("kind = 1").select(F.col("a").alias("v"), F.col("b").alias("w"), "c")
+        if r["kind"] < 0:
+            sums[-1 - r["kind"], r["a"]] = r["c"]
+    two = counted.where("kind > 0").select(F.col("kind").alias("k"), F.col("a").alias("v"), F.col("b").alias("w"), "c")
     if len(layout.words):
-        two = two.unionByName(counted.where("kind = 2").groupBy(F.col("a").alias("v"), F.col("b").alias("w")).agg(F.sum("c").alias("c")))
+        two = two.where("k = 1").unionByName(two.where("k > 1").groupBy("k", "v", "w").agg(F.sum("c").alias("c")))
     of = lambda rows: discounts({r["c"]: r["n"] for r in rows.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()})
     d2 = of(two)
-    uni = saved(two.groupBy("w").agg(F.count("*").alias("c")), "unigrams")
+    uni = saved(two.where(F.col("w") != START).groupBy("w").agg(F.count("*").alias("c")), "unigrams")
     d1 = of(uni)
     total, left = uni.agg(F.sum("c"), F.sum(_less(F.col("c"), d1))).first()
     once = np.ones(SHAPES)
@@ -383,8 +390,9 @@ def trained(texts: DataFrame, layout: Layout) -> Model:
     unseen = (left / total if total else 1.0) * once / once.sum()
     p1 = uni.select("w", ((F.col("c") - _less(F.col("c"), d1)) / F.lit(float(total or 1))).cast("float").alias("p1"))
     end = p1.where(F.col("w") == END).first()
-    own = p1.select(F.col("w").alias("v"), F.lit(START).cast("long").alias("w"), F.lit(0).cast("int").alias("c"), "p1")
-    rows = two.join(_few(p1), "w").select("v", "w", F.col("c").cast("int").alias("c"), "p1").unionByName(own)
+    # START has no probability, and its own row none either
+    told = F.when(F.col("w") == START, F.col("v")).otherwise(F.col("w")).alias("of")
+    rows = two.select("k", "v", "w", F.col("c").cast("int").alias("c"), told).join(_few(p1.withColumnRenamed("w", "of")), "of").select("k", "v", "w", "c", "p1")
     out = Model(d3, d2, sums, unseen, end["p1"] if end else float(unseen[END % SHAPES]), saved(rows, "bigrams"))
     discard(counted, uni)
     return out
@@ -466,7 +474,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, parts: int = PARTS, shard_wo
     small, sums = (model.d3, model.d2, model.sums, model.unseen), []
     for i in range(parts):
         low, high = (layout.shards * k // parts for k in (i, i + 1))
-        known = layout.column(model.bigrams, "v").where(F.col("shard").between(low, high - 1))
+        known = layout.column(model.bigrams).where(F.col("shard").between(low, high - 1))
         got = sent_positions(texts, layout, low, high).groupBy("shard").cogroup(known.groupBy("shard"))
         per = got.applyInArrow(lambda sent, known: _answered(sent, known, layout, small), ANSWER).groupBy("batch").applyInArrow(_summed, "hash long, bits double, n long")
         sums.append(saved(per, "sums"))

@@ -270,7 +270,7 @@ def test_frequent_words_are_dealt_over_shards(spark):
     positions = sum(len(t.split()) + 1 for t in texts)
     assert sum(per) == positions and max(per) < 0.2 * positions
     small = (model.d3, model.d2, model.sums, model.unseen)
-    known = layout.column(model.bigrams, "v").groupBy("shard")
+    known = layout.column(model.bigrams).groupBy("shard")
     answers = sent.groupBy("shard").cogroup(known).applyInArrow(lambda a, b: kneser_ney._answered(a, b, layout, small), kneser_ney.ANSWER)
     assert answers.count() == sent.count() <= 3 * layout.shards < len(texts)
 
