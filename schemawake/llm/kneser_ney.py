@@ -56,6 +56,8 @@ START, END, SHAPES = 0, 128, 128
 PARTS, WORD_CHARS = 4, 6
 #: Tables with a row per word, language or trusted document are broadcast up to this many rows.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch from Spark to a task, about: a shard comes in several of them, as the JVM holds one and a copy outside its heap.
+ARROW_BYTES = 8 << 20
 #: What a discount is at least, so that every context leaves something to the lower order.
 _LEAST_DISCOUNT = 0.1
 
@@ -200,14 +202,36 @@ def _places(known: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(known[at] == x, at, -1)
 
 
+def _distinct_words(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of all parts, sorted, and each word's place in them. There are far fewer than words, so they are found without sorting all."""
+    coded = pa.chunked_array([pa.array(x) for x in parts], pa.uint64()).dictionary_encode().combine_chunks()
+    known, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    order = np.argsort(known)
+    rank = np.empty(len(known), np.int32)
+    rank[order] = np.arange(len(known), dtype=np.int32)
+    return known[order], rank[at]
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, whose places take half the memory."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    at = np.empty(len(key), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return key[new], at
+
+
 def _positions(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct words, START first, and u, v and w of each position as places in them."""
-    words, at = np.unique(np.r_[np.uint64(START), words], return_inverse=True)
-    w = at[1:].astype(np.int32)
-    del at
+    words, at = _distinct_words([np.array([START], np.uint64), words])
+    w = at[1:]
+    u, v = np.zeros_like(w), np.zeros_like(w)
     first = np.r_[True, text[1:] != text[:-1]][: len(text)]
-    v = np.where(first, np.int32(0), np.r_[np.int32(0), w[:-1]][: len(w)])
-    return words, np.where(first, np.int32(0), np.r_[np.int32(0), v[:-1]][: len(v)]), v, w
+    for x, before in ((v, w), (u, v)):
+        x[1:] = before[:-1]
+        x[first] = 0
+    return words, u, v, w
 
 
 def _batched(rows: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -261,20 +285,23 @@ SENT = "shard long, batch long, n long, words binary, grams binary, places binar
 
 
 def sent_positions(texts: DataFrame, layout: Layout, low: int, high: int) -> DataFrame:
-    """The positions of shards low to high - 1, a row a batch of texts and shard: its words, u, v and w as places in them, the steps from text to text and whether each trains.
+    """The positions of shards low to high - 1, a row a batch of texts and shard: its words, u, v and w as places in them, its text and whether that trains.
 
     One row of a batch also has the hashes of its texts and how many positions of the round each has.
     """
 
     def packed(words: np.ndarray, text: np.ndarray, hashes: np.ndarray, train: np.ndarray) -> Iterator[pa.RecordBatch]:
         words, u, v, w = _positions(words, text)
-        near = np.flatnonzero(layout.reach(words, low, high)[v])
-        text, u, v, w = text[near], u[near], v[near], w[near]
+        if high - low < layout.shards:
+            near = layout.reach(words, low, high)[v]
+            text, u, v, w = (x[near] for x in (text, u, v, w))
+            del near
         shard = layout.of(words, u, v, w) - low
-        at = np.flatnonzero((shard >= 0) & (shard < high - low))
+        at = np.flatnonzero((shard >= 0) & (shard < high - low)).astype(np.int32)
         shard = shard[at].astype(np.uint16 if high - low <= 1 << 16 else np.int64)
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard, kind="stable").astype(np.int32)
         at, shard = at[order], shard[order]
+        del order
         # equal batches have one number: their texts are the same, and count together
         batch = int(vectext.mix(hashes.view(np.uint64) + vectext.mix(np.arange(len(hashes)))).sum().view(np.int64)) if len(hashes) else 0
         sizes = np.bincount(text[at], minlength=len(hashes)).astype("<i8")
@@ -288,11 +315,14 @@ def sent_positions(texts: DataFrame, layout: Layout, low: int, high: int) -> Dat
                 own, three = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[three]
             else:
                 own, three = np.unique(three, return_inverse=True)
-            place = np.diff(text[one], prepend=0)
+            # a bit for each position and each step to the next text
+            place = _rising_bytes(text[one] + np.arange(j - i))
             # the bytes of the words by their place, as the first ones of sorted words are nearly the same
-            raw = [words[own].view(np.uint8).reshape(-1, 8).T, three.astype(_width(len(own))), place.astype(_width(len(hashes))), np.packbits(train[text[one]])]
+            raw = [words[own].view(np.uint8).reshape(-1, 8).T, three.astype(_width(len(own))), np.packbits(train[text[one]])]
+            raw = [x.tobytes() for x in raw]
+            raw.insert(2, place)
             head = [hashes.tobytes(), sizes.tobytes()] if i == 0 else [None, None]
-            yield pa.RecordBatch.from_arrays([*(pa.array([int(x)]) for x in (shard[i] + low, batch, j - i)), *(pa.array([x], pa.binary()) for x in (*(y.tobytes() for y in raw), *head))], [f.split()[0] for f in SENT.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(pa.array([int(x)]) for x in (shard[i] + low, batch, j - i)), *(pa.array([x], pa.binary()) for x in (*raw, *head))], [f.split()[0] for f in SENT.split(", ")])
 
     return texts.mapInArrow(lambda rows: (out for held in _batched(rows) for out in packed(*held)), SENT)
 
@@ -301,39 +331,58 @@ def _width(n: int) -> str:
     return "<u2" if n <= 1 << 16 else "<u4"
 
 
-def _wide(raw: bytes, n: int) -> np.ndarray:
+def _wide(raw: bytes | pa.Buffer, n: int) -> np.ndarray:
     return np.frombuffer(raw, _width(0) if len(raw) == 2 * n else "<u4")
 
 
+def _rising_bytes(x: np.ndarray) -> bytes:
+    """Rising numbers: a bit for each number up to the last, or the numbers themselves where that is shorter."""
+    if int(x[-1]) // 8 + 1 < 2 * len(x):
+        there = np.zeros(int(x[-1]) + 1, bool)
+        there[x] = True
+        return np.packbits(there).tobytes()
+    return x.astype(_width(int(x[-1]) + 1)).tobytes()
+
+
+def _rising(raw: bytes | pa.Buffer, n: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))) if len(raw) < 2 * n else _wide(raw, n)
+
+
 class _Shard:
     """A shard's positions: words (distinct, sorted), u, v and w as places in them, train, text (numbered over the batches) and each row's first text; contexts u, v and trigrams, each once."""
 
     def __init__(self, sent: pa.Table, more: np.ndarray | None = None):
-        names, parts, self.text, train, self.many = [], [], [], [], [0]
-        off = 0
-        for n, words, grams, places, t in zip(*(sent.column(c).to_pylist() for c in ("n", "words", "grams", "places", "train")), strict=True):
-            names.append(np.frombuffer(words, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel())
-            parts.append(_wide(grams, 3 * n).reshape(3, n).astype(np.int32) + np.int32(off))
-            place = np.cumsum(_wide(places, n), dtype=np.int32)
-            self.text.append(place + np.int32(self.many[-1]))
-            self.many.append(self.many[-1] + int(place[-1]) + 1)
-            train.append(np.unpackbits(np.frombuffer(t, np.uint8), count=n))
-            off += len(names[-1])
-        if more is not None:
-            names.append(more)
-        none = [np.zeros(0, np.int32)]
-        self.words, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *names]), return_inverse=True)
-        self.more = at[off:]
-        self.text, self.train = np.concatenate(none + self.text), np.concatenate([np.zeros(0, np.uint8), *train])
-        u, v, w = at[:off].astype(np.int32)[np.concatenate([np.zeros((3, 0), np.int32), *parts], axis=1)]
-        del parts, names, train
+        many = sent.column("n").to_pylist()
+        names = [np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel() for x in sent.column("words")]
+        self.words, at = _distinct_words(names if more is None else [*names, more])
         self.base = max(1, len(self.words))
-        context, of = np.unique(u.astype(np.int64) * self.base + v, return_inverse=True)
-        self.u, self.v = context // self.base, context % self.base
-        del u, v
-        gram, self.gram = np.unique(of * self.base + w, return_inverse=True)
-        self.context, self.w = gram // self.base, gram % self.base
-        self.count = np.bincount(self.gram, self.train, minlength=len(gram)).astype(np.int64)
+        self.text, self.train, self.many = np.empty(sum(many), np.int32), np.empty(sum(many), np.uint8), [0]
+        u, v, w = np.empty((3, sum(many)), np.int32)
+        i = off = 0
+        for n, own, grams, places, train in zip(many, map(len, names), *(sent.column(c) for c in ("grams", "places", "train")), strict=True):
+            j = i + n
+            u[i:j], v[i:j], w[i:j] = at[off : off + own][_wide(grams.as_buffer(), 3 * n).reshape(3, n)]
+            self.text[i:j] = _rising(places.as_buffer(), n) - np.arange(n) + self.many[-1]
+            self.train[i:j] = np.unpackbits(np.frombuffer(train.as_buffer(), np.uint8), count=n)
+            self.many.append(int(self.text[j - 1]) + 1)
+            i, off = j, off + own
+        self.more = at[off:]
+        del names, at
+        key = u.astype(np.int64) * self.base
+        del u
+        key += v
+        del v
+        context, of = _distinct(key)
+        self.u, self.v = ((x.astype(np.int32)) for x in np.divmod(context, self.base))
+        del context
+        np.multiply(of, self.base, out=key, dtype=np.int64)
+        del of
+        key += w
+        del w
+        gram, self.gram = _distinct(key)
+        del key
+        self.context, self.w = ((x.astype(np.int32)) for x in np.divmod(gram, self.base))
+        self.count = np.bincount(self.gram, self.train, minlength=len(gram)).astype(np.int32)
 
     def sums(self) -> list[np.ndarray]:
         """By context: the sum of its counts, how many are 1, 2, and how many there are."""
@@ -345,7 +394,7 @@ def _counted(sent: pa.Table, layout: Layout) -> pa.Table:
     """kind, a, b, c: 0 trigrams that stand a = 1 to 4 times; k bigrams a, b with their continuation counts here, and each a with START and 0, where k shards count a's; -1 to -4 sums of the pairs that are dealt by w."""
     x = _Shard(sent)
     seen = x.count > 0
-    bigram, n = np.unique(x.v[x.context[seen]] * x.base + x.w[seen], return_counts=True)
+    bigram, n = np.unique(x.v[x.context[seen]].astype(np.int64) * x.base + x.w[seen], return_counts=True)
     v = x.words[bigram // x.base]
     v, w, n = np.r_[v, v[first := np.r_[True, v[1:] != v[:-1]][: len(v)]]], np.r_[x.words[bigram % x.base], np.full(first.sum(), START, np.uint64)], np.r_[n, np.zeros(first.sum(), n.dtype)]
     rows = [(0, np.arange(1, 5), np.zeros(4), np.bincount(np.minimum(x.count[seen], 5), minlength=6)[1:5]), (layout.splits_of(v), v.view(np.int64), w.view(np.int64), n)]
@@ -419,7 +468,7 @@ def _answered(sent: pa.Table, known: pa.Table, layout: Layout, model: tuple) ->
     d3, d2, pair_sums, unseen = model
     v, w, c, p1 = (known.column(k).to_numpy() for k in ("v", "w", "c", "p1"))
     x = _Shard(sent, np.r_[v, w].view(np.uint64))
-    v, w = x.more[: len(v)], x.more[len(v) :]
+    v, w = x.more[: len(v)].astype(np.int64), x.more[len(v) :]
     own = x.words[w] == START if len(w) else np.zeros(0, bool)
     alone = unseen[(x.words % np.uint64(SHAPES)).astype(np.int64)]
     alone[v[own]] = p1[own]
@@ -432,23 +481,30 @@ def _answered(sent: pa.Table, known: pa.Table, layout: Layout, model: tuple) ->
     order = np.argsort(key)
     # by trigram: how many times p1 of its last word its probability is
     mid = x.v[x.context]
-    at = _places(key[order], mid * x.base + x.w)
-    ratio, last = back2[mid], np.ones(len(mid))
+    at = _places(key[order], mid.astype(np.int64) * x.base + x.w)
+    ratio, last = back2[mid], np.ones(len(mid), np.float32)
     if len(key):
         at = order[at[(hit := at >= 0)]]
         ratio[hit], last[hit] = p2[at] / p1[at], p1[at]
+    del at, key, order, p2, p1, c, v, w, own, back2
     sums = x.sums()
     if len(layout.pairs):
         pair = _places(layout.pairs, gram_key(x.words[x.u], x.words[x.v]))
         for y, all_ in zip(sums, pair_sums, strict=True):
             y[pair >= 0] = all_[pair[pair >= 0]]
-    back3 = _back(d3, *sums)[x.context]
-    bits = np.log2(_off(x.count, d3) / np.maximum(sums[0][x.context], 1) / last + back3 * ratio) + np.log2(alone)[mid]
+    ratio *= _back(d3, *sums)[x.context]
+    bits = _off(x.count, d3)
+    bits /= np.maximum(sums[0][x.context], 1)
+    bits /= last
+    bits += ratio
+    np.log2(bits, out=bits)
+    bits += np.log2(alone)[mid]
+    del ratio, last, sums, alone, mid
     total, there = (np.bincount(x.text, y, minlength=x.many[-1]) for y in (bits[x.gram], None))
     rows = []
     for i, j in zip(x.many, x.many[1:]):
         place = np.flatnonzero(there[i:j])
-        rows.append((place.astype(_width(j - i)).tobytes(), total[i:j][place].tobytes()))
+        rows.append((_rising_bytes(place), total[i:j][place].astype("<f4").tobytes()))
     return pa.table([sent.column("batch"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), sent.column("hashes"), sent.column("sizes")], names=[f.split()[0] for f in ANSWER.split(", ")])
 
 
@@ -458,13 +514,14 @@ def _summed(answers: pa.Table) -> pa.Table:
     hashes, n = np.frombuffer(heads[0][0], "<i8"), sum(np.frombuffer(s, "<i8") for _, s in heads)
     bits = np.zeros(len(hashes))
     for place, more in zip(answers.column("places").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-        more = np.frombuffer(more)
-        bits[_wide(place, len(more))] += more
+        more = np.frombuffer(more, "<f4")
+        bits[_rising(place, len(more))] += more
     return pa.table({"hash": hashes[n > 0], "bits": bits[n > 0], "n": n[n > 0]})
 
 
 def score_texts(docs: DataFrame, labels: DataFrame, parts: int = PARTS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, lang, hash, bits per word (the end mark counts as one) and number of words n of every document."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     row = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64(text_of()).alias("hash"), F.length(text_of()).alias("size"))
     plain = saved(row, "plain")
     mine = saved(trusted_documents(labels).where("fold = 0").select("doc_id"), "trusted")

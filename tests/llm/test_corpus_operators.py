@@ -2,11 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from schemawake.llm import ann, kneser_ney, mixing, neardup, pii
@@ -275,6 +277,53 @@ def test_frequent_words_are_dealt_over_shards(spark):
     assert answers.count() == sent.count() <= 3 * layout.shards < len(texts)
 
 
+class Rows:
+    """Stands for a DataFrame, to call what is run in its tasks."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_memory_and_messages_of_a_shard_are_small():
+    """What a shard's positions take while they are scored, and what it sends and answers, in bytes a position."""
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(i)}" for i in r.zipf(1.3, 300) % 50_000) for _ in range(1000)]
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(1000)), pa.array(texts), pa.array(np.arange(1000) % 2 == 0)], ["hash", "text", "train"])
+    layout = kneser_ney.Layout(1, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    sent = pa.Table.from_batches(list(kneser_ney.sent_positions(Rows(), layout, 0, 1)(iter([rows]))))
+    n = sum(sent.column("n").to_pylist())
+    assert n == sum(len(t.split()) + 1 for t in texts)
+    assert sum(map(len, sent.column("places").to_pylist())) < 0.2 * n
+    two = kneser_ney._counted(sent, layout).to_pandas().query("kind > 0")
+    known = pa.table({"v": two.a.to_numpy(), "w": two.b.to_numpy(), "c": two.c.to_numpy(np.int32), "p1": np.full(len(two), 1e-4, np.float32)})
+    tracemalloc.start()
+    got = kneser_ney._answered(sent, known, layout, ([0.5] * 3, [0.5] * 3, np.zeros((4, 0)), np.full(kneser_ney.SHAPES, 1e-6)))
+    assert tracemalloc.get_traced_memory()[1] < 125 * n
+    tracemalloc.stop()
+    assert sum(len(x) for c in ("places", "bits") for x in got.column(c).to_pylist()) < 5 * len(texts)
+
+
+def test_rising_numbers_come_back():
+    for x in (np.arange(5), np.array([0]), np.array([7]), np.array([1_000_000]), np.array([3, 70_000, 1 << 20]), np.arange(0, 100_000, 3), np.arange(10) * 15, np.arange(10) * 16, np.arange(10) * 17):
+        raw = kneser_ney._rising_bytes(x)
+        assert kneser_ney._rising(raw, len(x)).tolist() == x.tolist() and len(raw) <= 4 * len(x)
+
+
+def test_a_shard_comes_in_arrow_batches_of_bounded_size(spark):
+    """The scores ask Spark for batches that are small by bytes; a shard that comes in many has the same scores."""
+    _, _, df, marked = labelled(spark)
+    spark.conf.unset(key := "spark.sql.execution.arrow.maxBytesPerBatch")
+    whole = {r["doc_id"]: r["perplexity"] for r in kneser_ney.score_documents(df, marked).collect()}
+    assert int(spark.conf.get(key)) == kneser_ney.ARROW_BYTES <= 16 << 20
+    was, kneser_ney.ARROW_BYTES = kneser_ney.ARROW_BYTES, 2000
+    try:
+        cut = {r["doc_id"]: r["perplexity"] for r in kneser_ney.score_documents(df, marked).collect()}
+    finally:
+        kneser_ney.ARROW_BYTES = was
+        spark.conf.unset(key)
+    assert whole.keys() == cut.keys() and all(abs(cut[k] / x - 1) < 1e-6 for k, x in whole.items())
+
+
 def test_keys_are_spark_s(spark):
     r = np.random.default_rng(2)
     a = r.integers(-(1 << 63), 1 << 63, (50, 3))
