@@ -13,9 +13,13 @@ from schemawake.llm.common import discard, saved, table
 from schemawake.llm.queries import tokenizer_path
 
 
+#: Positions in a shard of the quality stage: half of op3's, as what the other stages leave in the executors takes room beside them, for more bytes shuffled.
+SHARD_WORDS = kneser_ney.SHARD_WORDS // 2
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like trusted text; the others go."""
-    return kneser_ney.keep_good(docs, table(spark, sf_dir, "labels"))
+    return kneser_ney.keep_good(docs, table(spark, sf_dir, "labels"), shard_words=SHARD_WORDS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

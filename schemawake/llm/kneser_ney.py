@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
-from .common import discard, saved, text_of
+from .common import discard, give_back, lean, saved, text_of
 
 #: Words in a batch, which sends one row to a shard; positions in a shard, about; texts of which one is read to see what is frequent.
 BATCH_WORDS, SHARD_WORDS, SAMPLE = 2_000_000, 1_200_000, 16
@@ -57,7 +57,7 @@ PARTS, WORD_CHARS = 4, 6
 #: Tables with a row per word, language or trusted document are broadcast up to this many rows.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of an Arrow batch from Spark to a task, about: a shard comes in several of them, as the JVM holds one and a copy outside its heap.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 #: What a discount is at least, so that every context leaves something to the lower order.
 _LEAST_DISCOUNT = 0.1
 
@@ -290,7 +290,9 @@ def sent_positions(texts: DataFrame, layout: Layout, low: int, high: int) -> Dat
     One row of a batch also has the hashes of its texts and how many positions of the round each has.
     """
 
-    def packed(words: np.ndarray, text: np.ndarray, hashes: np.ndarray, train: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words, text, hashes, train = held
+        held.clear()
         words, u, v, w = _positions(words, text)
         if high - low < layout.shards:
             near = layout.reach(words, low, high)[v]
@@ -324,7 +326,13 @@ def sent_positions(texts: DataFrame, layout: Layout, low: int, high: int) -> Dat
             head = [hashes.tobytes(), sizes.tobytes()] if i == 0 else [None, None]
             yield pa.RecordBatch.from_arrays([*(pa.array([int(x)]) for x in (shard[i] + low, batch, j - i)), *(pa.array([x], pa.binary()) for x in (*raw, *head))], [f.split()[0] for f in SENT.split(", ")])
 
-    return texts.mapInArrow(lambda rows: (out for held in _batched(rows) for out in packed(*held)), SENT)
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        for held in _batched(rows):
+            yield from packed(held)
+            give_back()
+
+    return texts.mapInArrow(run, SENT)
 
 
 def _width(n: int) -> str:
@@ -417,7 +425,7 @@ class Model:
 
 
 def trained(texts: DataFrame, layout: Layout) -> Model:
-    counted = sent_positions(texts, layout, 0, layout.shards).groupBy("shard").applyInArrow(lambda sent: _counted(sent, layout), "kind long, a long, b long, c long")
+    counted = sent_positions(texts, layout, 0, layout.shards).groupBy("shard").applyInArrow(lambda sent: lean(_counted, sent, layout), "kind long, a long, b long, c long")
     counted = saved(counted, "counts")
     few = counted.where("kind <= 0").groupBy("kind", "a").agg(F.sum("c").alias("c")).collect()
     d3 = discounts({r["a"]: r["c"] for r in few if r["kind"] == 0})
@@ -533,7 +541,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, parts: int = PARTS, shard_wo
         low, high = (layout.shards * k // parts for k in (i, i + 1))
         known = layout.column(model.bigrams).where(F.col("shard").between(low, high - 1))
         got = sent_positions(texts, layout, low, high).groupBy("shard").cogroup(known.groupBy("shard"))
-        per = got.applyInArrow(lambda sent, known: _answered(sent, known, layout, small), ANSWER).groupBy("batch").applyInArrow(_summed, "hash long, bits double, n long")
+        per = got.applyInArrow(lambda sent, known: lean(_answered, sent, known, layout, small), ANSWER).groupBy("batch").applyInArrow(_summed, "hash long, bits double, n long")
         sums.append(saved(per, "sums"))
     more = _all(sums).groupBy("hash").agg(F.sum("bits").alias("more"), F.sum("n").alias("places"))
     # copies of a text are sent each, so their sums are shared out

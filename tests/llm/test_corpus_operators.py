@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from schemawake.llm import ann, kneser_ney, mixing, neardup, pii
+from schemawake.llm import ann, common, kneser_ney, mixing, neardup, pii
 
 from .helpers import corpus, docs, none, prose
 
@@ -446,3 +446,21 @@ def test_planted_near_copies_are_found(spark):
     near = [i for i, s in enumerate(pairs) if s >= 0.82]  # weights move the similarity a little
     assert len(near) > 80 and sum(2 * i in found for i in near) >= 0.98 * len(near)
     assert not any(2 * i in found for i, s in enumerate(pairs) if s < 0.75)
+
+
+def test_workers_give_back_what_they_do_not_need(monkeypatch):
+    """What is free after a task's batches and shards goes back to the system, as it counts beside the executor's heap."""
+    monkeypatch.setattr(common, "HELD_MB", 0, raising=False)
+    own = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024  # noqa: E731, SIM115
+    layout = kneser_ney.Layout(1, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+    def recs(n):
+        for i in range(n):
+            texts = [" ".join(f"{w}{(i * 7 + j * 13 + k) % 5000}" for k, w in enumerate(["word"] * 500)) for j in range(200)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(200)), pa.array(texts), pa.array([True] * 200)], ["hash", "text", "train"])
+
+    send = lambda n: sum(r.num_rows for r in kneser_ney.sent_positions(Rows(), layout, 0, 1)(recs(n)))
+    send(1)  # tables that stay
+    before = own()
+    assert send(22) == 2
+    assert own() - before < 40
